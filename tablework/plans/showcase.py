@@ -62,3 +62,337 @@ def pipeline_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     res = run_pipeline(spark, parse_pipeline(doc), database=db)
     return spark.table(res["output_table"])
+
+
+# ----------------------------------------------------------------- §2.10 functions
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    apply_runtime_conf(spark)
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+@query("fn_string", """
+SELECT p_partkey,
+  concat(p_name, '|', p_brand) AS f_concat, substring(p_name, 2, 3) AS f_substring,
+  substr(p_name, -3) AS f_substr, CAST(length(p_name) AS BIGINT) AS f_length,
+  CAST(char_length(p_brand) AS BIGINT) AS f_char_length, upper(p_name) AS f_upper,
+  lower(p_brand) AS f_lower, trim('  ' || p_name || '  ') AS f_trim,
+  ltrim('  ' || p_name) AS f_ltrim, rtrim(p_name || '  ') AS f_rtrim,
+  replace(p_name, 'e', 'E') AS f_replace,
+  regexp_replace(p_name, '[aeiou]', '_', 'g') AS f_regexp_all,
+  regexp_replace(p_name, '[aeiou]', '_') AS f_regexp_first,
+  split_part(p_name, ' ', 2) AS f_split_part, CAST(position('e' IN p_name) AS BIGINT) AS f_position,
+  CAST(instr(p_name, 'o') AS BIGINT) AS f_instr, left(p_name, 3) AS f_left, right(p_name, 3) AS f_right,
+  reverse(p_name) AS f_reverse, repeat(p_type, 2) AS f_repeat, lpad(p_brand, 12, '*') AS f_lpad,
+  rpad(p_brand, 12, '*') AS f_rpad, CAST(ascii(p_name) AS BIGINT) AS f_ascii,
+  chr(65 + p_size % 26) AS f_chr, translate(p_name, 'ab', 'xy') AS f_translate,
+  p_name || '/' || p_type AS f_concat_op, concat(p_name, NULL) AS f_concat_null
+FROM part
+""")
+def fn_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from tablework.functions import compat as X
+
+    p = _t(spark, sf_dir, "part")
+    n = F.col("p_name")
+    return p.select(
+        "p_partkey",
+        X.concat_plain(n, F.lit("|"), "p_brand").alias("f_concat"),
+        F.substring(n, 2, 3).alias("f_substring"),
+        F.expr("substr(p_name, -3)").alias("f_substr"),
+        F.length(n).cast("bigint").alias("f_length"),
+        F.char_length("p_brand").cast("bigint").alias("f_char_length"),
+        F.upper(n).alias("f_upper"), F.lower("p_brand").alias("f_lower"),
+        F.trim(F.concat(F.lit("  "), n, F.lit("  "))).alias("f_trim"),
+        F.ltrim(F.concat(F.lit("  "), n)).alias("f_ltrim"),
+        F.rtrim(F.concat(n, F.lit("  "))).alias("f_rtrim"),
+        F.replace(n, F.lit("e"), F.lit("E")).alias("f_replace"),
+        X.regexp_replace_all(n, "[aeiou]", "_").alias("f_regexp_all"),
+        X.regexp_replace_first(n, "[aeiou]", "_").alias("f_regexp_first"),
+        F.split_part(n, F.lit(" "), F.lit(2)).alias("f_split_part"),
+        F.expr("position('e' IN p_name)").cast("bigint").alias("f_position"),
+        F.instr(n, "o").cast("bigint").alias("f_instr"),
+        F.left(n, F.lit(3)).alias("f_left"), F.right(n, F.lit(3)).alias("f_right"),
+        F.reverse(n).alias("f_reverse"), F.repeat("p_type", 2).alias("f_repeat"),
+        F.lpad("p_brand", 12, "*").alias("f_lpad"), F.rpad("p_brand", 12, "*").alias("f_rpad"),
+        F.ascii(n).cast("bigint").alias("f_ascii"),
+        F.chr(F.lit(65) + F.col("p_size") % 26).alias("f_chr"),
+        F.translate(n, "ab", "xy").alias("f_translate"),
+        F.concat(n, F.lit("/"), "p_type").alias("f_concat_op"),
+        X.concat_plain(n, F.lit(None).cast("string")).alias("f_concat_null"),
+    )
+
+
+@query("fn_string_extra")
+def fn_string_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FS24 INITCAP, FS26 SOUNDEX: no counterpart in the oracle engine."""
+    from pyspark.sql import functions as F
+
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", F.initcap("p_name").alias("f_initcap"), F.soundex("p_name").alias("f_soundex"))
+
+
+@query("fn_math", """
+SELECT l_orderkey, l_linenumber, l_partkey,
+  abs(l_discount - 0.05) AS f_abs, CAST(ceil(l_extendedprice / 1000) AS BIGINT) AS f_ceil,
+  CAST(ceiling(l_tax * 10) AS BIGINT) AS f_ceiling, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS f_floor,
+  round(sqrt(l_extendedprice), 1) AS f_round, trunc((l_discount - 0.05) * 100) AS f_trunc,
+  power(l_quantity, 2) AS f_power, pow(l_tax * 10, 3) AS f_pow,
+  round(sqrt(l_extendedprice), 6) AS f_sqrt, round(exp(l_discount), 6) AS f_exp,
+  round(ln(l_extendedprice), 6) AS f_ln, round(log(l_extendedprice), 6) AS f_log,
+  round(log10(l_quantity), 6) AS f_log10, round(sin(l_quantity), 6) AS f_sin,
+  round(cos(l_quantity), 6) AS f_cos, round(tan(l_discount), 6) AS f_tan,
+  round(asin(l_discount), 6) AS f_asin, round(acos(l_discount), 6) AS f_acos,
+  round(atan(l_quantity), 6) AS f_atan, round(atan2(l_quantity, 2), 6) AS f_atan2,
+  round(degrees(l_discount), 6) AS f_degrees, round(radians(l_quantity), 6) AS f_radians,
+  round(pi(), 6) AS f_pi, CAST(sign(l_discount - 0.05) AS DOUBLE) AS f_sign, l_partkey % 7 AS f_mod,
+  greatest(l_partkey, l_suppkey) AS f_greatest, least(l_partkey, l_suppkey) AS f_least,
+  l_orderkey // 3 AS f_intdiv, CASE WHEN l_tax = 0 THEN NULL ELSE 1 / l_tax END AS f_safe_div,
+  (l_linenumber + 1) * 2 - l_linenumber % 2 AS f_ops,
+  random() BETWEEN 0 AND 1 AS f_random, CAST(l_quantity / 2 AS INTEGER) AS f_round_int
+FROM lineitem
+""")
+def fn_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from tablework.functions import compat as X
+
+    li = _t(spark, sf_dir, "lineitem")
+    r6 = lambda c: F.round(c, 6)
+    q, d, e, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice"), F.col("l_tax")
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.abs(d - 0.05).alias("f_abs"), F.ceil(e / 1000).alias("f_ceil"),
+        F.ceiling(t * 10).alias("f_ceiling"), F.floor(e / 1000).alias("f_floor"),
+        F.round(F.sqrt(e), 1).alias("f_round"), X.trunc_number((d - 0.05) * 100).alias("f_trunc"),
+        F.power(q, 2).alias("f_power"), F.pow(t * 10, 3).alias("f_pow"),
+        r6(F.sqrt(e)).alias("f_sqrt"), r6(F.exp(d)).alias("f_exp"), r6(F.ln(e)).alias("f_ln"),
+        r6(X.log_plain(e)).alias("f_log"), r6(F.log10(q)).alias("f_log10"),
+        r6(F.sin(q)).alias("f_sin"), r6(F.cos(q)).alias("f_cos"), r6(F.tan(d)).alias("f_tan"),
+        r6(F.asin(d)).alias("f_asin"), r6(F.acos(d)).alias("f_acos"), r6(F.atan(q)).alias("f_atan"),
+        r6(F.atan2(q, F.lit(2.0))).alias("f_atan2"), r6(F.degrees(d)).alias("f_degrees"),
+        r6(F.radians(q)).alias("f_radians"), r6(F.pi()).alias("f_pi"),
+        F.signum(d - 0.05).alias("f_sign"), (F.col("l_partkey") % 7).alias("f_mod"),
+        F.greatest("l_partkey", "l_suppkey").alias("f_greatest"),
+        F.least("l_partkey", "l_suppkey").alias("f_least"),
+        F.expr("l_orderkey div 3").alias("f_intdiv"),
+        X.safe_divide(F.lit(1.0), t).alias("f_safe_div"),
+        ((F.col("l_linenumber") + 1) * 2 - F.col("l_linenumber") % 2).alias("f_ops"),
+        F.rand(42).between(0, 1).alias("f_random"),
+        X.round_to_int(q / 2).alias("f_round_int"),
+    )
+
+
+@query("fn_date", """
+SELECT o_orderkey,
+  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS f_date,
+  CAST(year(o_orderdate) AS BIGINT) AS f_year, CAST(month(o_orderdate) AS BIGINT) AS f_month,
+  CAST(day(o_orderdate) AS BIGINT) AS f_day, CAST(quarter(o_orderdate) AS BIGINT) AS f_quarter,
+  CAST(dayofyear(o_orderdate) AS BIGINT) AS f_dayofyear, CAST(week(o_orderdate) AS BIGINT) AS f_week,
+  CAST(dayofweek(o_orderdate) AS BIGINT) AS f_dayofweek, CAST(weekday(o_orderdate) AS BIGINT) AS f_weekday,
+  CAST(extract(month FROM o_orderdate) AS BIGINT) AS f_extract, CAST(date_part('day', o_orderdate) AS BIGINT) AS f_date_part,
+  CAST(date_trunc('month', o_orderdate) AS VARCHAR) AS f_date_trunc,
+  CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS DATE)::VARCHAR AS f_date_add,
+  CAST(CAST(o_orderdate AS DATE) - 3 AS VARCHAR) AS f_date_sub,
+  datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS f_datediff,
+  CAST(o_orderdate + INTERVAL 1 MONTH AS VARCHAR) AS f_dateadd,
+  CAST(last_day(o_orderdate) AS VARCHAR) AS f_last_day,
+  datediff('day', TIMESTAMP '1990-01-01 00:00:00', o_orderdate) AS f_age_days,
+  strftime(o_orderdate, '%Y-%m-%d') AS f_to_char
+FROM orders
+""")
+def fn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from tablework.functions import compat as X
+
+    o = _t(spark, sf_dir, "orders")
+    ts = F.col("o_orderdate")
+    d = ts.cast("date")
+    big = lambda c: c.cast("bigint")
+    return o.select(
+        "o_orderkey",
+        d.cast("string").alias("f_date"),
+        big(F.year(ts)).alias("f_year"), big(F.month(ts)).alias("f_month"),
+        big(F.day(ts)).alias("f_day"), big(F.quarter(ts)).alias("f_quarter"),
+        big(F.dayofyear(ts)).alias("f_dayofyear"), big(F.weekofyear(ts)).alias("f_week"),
+        big(X.dayofweek0(ts)).alias("f_dayofweek"), big(X.dayofweek0(ts)).alias("f_weekday"),
+        big(F.extract(F.lit("MONTH"), ts)).alias("f_extract"),
+        big(F.date_part(F.lit("DAY"), ts)).alias("f_date_part"),
+        F.date_trunc("month", ts).cast("timestamp_ntz").cast("string").alias("f_date_trunc"),
+        F.date_add(d, 3).cast("string").alias("f_date_add"),
+        F.date_sub(d, 3).cast("string").alias("f_date_sub"),
+        big(F.datediff(d, F.lit("1995-01-01").cast("date"))).alias("f_datediff"),
+        F.expr("dateadd(MONTH, 1, o_orderdate)").cast("string").alias("f_dateadd"),
+        F.last_day(ts).cast("string").alias("f_last_day"),
+        X.age_days(ts, "1990-01-01 00:00:00").alias("f_age_days"),
+        F.date_format(ts, "yyyy-MM-dd").alias("f_to_char"),
+    )
+
+
+@query("fn_time", """
+SELECT event_id,
+  CAST(hour(ts) AS BIGINT) AS f_hour, CAST(minute(ts) AS BIGINT) AS f_minute,
+  CAST(second(ts) AS BIGINT) AS f_second, microsecond(ts) AS f_microsecond,
+  strftime(ts, '%H:%M:%S') AS f_time,
+  CAST(epoch_us(ts) AS BIGINT) AS f_epoch_us,
+  strftime(to_timestamp(event_id * 86400), '%Y-%m-%d %H:%M:%S') AS f_from_unixtime
+FROM events
+""")
+def fn_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from tablework.functions import compat as X
+
+    e = _t(spark, sf_dir, "events")
+    ts = F.col("ts")
+    return e.select(
+        "event_id",
+        F.hour(ts).cast("bigint").alias("f_hour"), F.minute(ts).cast("bigint").alias("f_minute"),
+        F.second(ts).cast("bigint").alias("f_second"), X.microsecond(ts).alias("f_microsecond"),
+        X.time_of_day(ts).alias("f_time"),
+        X.epoch_micros(ts).alias("f_epoch_us"),
+        F.date_format(F.timestamp_seconds(F.col("event_id") * 86400).cast("timestamp_ntz"),
+                      "yyyy-MM-dd HH:mm:ss").alias("f_from_unixtime"),
+    )
+
+
+@query("fn_cast_cond", """
+SELECT c_custkey,
+  CAST(c_custkey AS VARCHAR) AS f_cast, CAST(c_acctbal AS DECIMAL(10,2)) AS f_convert,
+  TRY_CAST(substr(c_name, 10) AS INTEGER) AS f_try_cast,
+  TRY_CAST(c_mktsegment AS INTEGER) AS f_try_cast_bad,
+  TRY_CAST('2024-01-07' AS DATE)::VARCHAR AS f_to_date,
+  CAST('12.5' AS DECIMAL(3,1)) AS f_to_number,
+  coalesce(NULLIF(c_nationkey, 0), -1) AS f_coalesce, (NULLIF(c_nationkey, 0) IS NULL) AS f_isnull,
+  ifnull(NULLIF(c_nationkey, 1), -1) AS f_ifnull, nullif(c_nationkey, 2) AS f_nullif,
+  coalesce(NULLIF(c_nationkey, 3), -1) AS f_nvl, if(NULLIF(c_nationkey, 4) IS NOT NULL, 1, 0) AS f_nvl2,
+  CASE c_nationkey % 4 WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'z' END AS f_decode,
+  CASE c_nationkey % 4 + 1 WHEN 1 THEN 'w' WHEN 2 THEN 'x' WHEN 3 THEN 'y' ELSE 'z' END AS f_choose,
+  if(c_acctbal > 5000, 1, 0) AS f_iif,
+  CASE WHEN c_nationkey = 0 THEN NULL ELSE c_custkey / c_nationkey END AS f_try_divide
+FROM customer
+""")
+def fn_cast_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from tablework.functions import compat as X
+
+    c = _t(spark, sf_dir, "customer")
+    nk = F.col("c_nationkey")
+    return c.select(
+        "c_custkey",
+        F.col("c_custkey").cast("string").alias("f_cast"),
+        F.col("c_acctbal").cast("decimal(10,2)").alias("f_convert"),
+        F.expr("try_cast(substr(c_name, 10) AS INT)").alias("f_try_cast"),
+        F.expr("try_cast(c_mktsegment AS INT)").alias("f_try_cast_bad"),
+        F.to_date(F.lit("2024-01-07")).cast("string").alias("f_to_date"),
+        F.to_number(F.lit("12.5"), F.lit("99.9")).alias("f_to_number"),
+        F.coalesce(F.nullif(nk, F.lit(0)), F.lit(-1)).alias("f_coalesce"),
+        F.isnull(F.nullif(nk, F.lit(0))).alias("f_isnull"),
+        F.ifnull(F.nullif(nk, F.lit(1)), F.lit(-1)).alias("f_ifnull"),
+        F.nullif(nk, F.lit(2)).alias("f_nullif"),
+        F.nvl(F.nullif(nk, F.lit(3)), F.lit(-1)).alias("f_nvl"),
+        F.nvl2(F.nullif(nk, F.lit(4)), F.lit(1), F.lit(0)).alias("f_nvl2"),
+        X.decode(nk % 4, 1, "a", 2, "b", "z").alias("f_decode"),
+        X.choose(nk % 4 + 1, "w", "x", "y", "z").alias("f_choose"),
+        F.when(F.col("c_acctbal") > 5000, 1).otherwise(0).alias("f_iif"),
+        X.safe_divide(F.col("c_custkey"), nk).alias("f_try_divide"),
+    )
+
+
+@query("fn_json", """
+SELECT event_id,
+  json_extract_string(props, '$.k') AS f_json_extract,
+  CAST(json_array(event_id, 2) AS VARCHAR) AS f_json_array,
+  CAST(json_object('id', event_id, 'type', event_type) AS VARCHAR) AS f_json_object,
+  array_to_string(json_keys(props), ',') AS f_json_keys,
+  CAST(json_array_length('[' || props || ',1]') AS BIGINT) AS f_json_length,
+  json_valid(props) AS f_json_valid,
+  json_valid(event_type) AS f_json_valid_bad
+FROM events
+""")
+def fn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from tablework.functions import compat as X
+
+    e = _t(spark, sf_dir, "events")
+    return e.select(
+        "event_id",
+        F.get_json_object("props", "$.k").alias("f_json_extract"),
+        F.to_json(F.array(F.col("event_id"), F.lit(2).cast("bigint"))).alias("f_json_array"),
+        F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")))
+        .alias("f_json_object"),
+        F.array_join(F.json_object_keys("props"), ",").alias("f_json_keys"),
+        F.json_array_length(F.concat(F.lit("["), F.col("props"), F.lit(",1]"))).cast("bigint")
+        .alias("f_json_length"),
+        X.json_valid(F.col("props")).alias("f_json_valid"),
+        X.json_valid(F.col("event_type")).alias("f_json_valid_bad"),
+    )
+
+
+@query("fn_json_type")
+def fn_json_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FJ8 JSON_TYPE: Spark names variant types differently from the oracle."""
+    from pyspark.sql import functions as F
+    from tablework.functions import compat as X
+
+    return _t(spark, sf_dir, "events").select("event_id", X.json_type(F.col("props")).alias("f_json_type"))
+
+
+@query("fn_array", """
+SELECT vec_id,
+  CAST(len(embedding) AS BIGINT) AS f_array_length,
+  CAST(list_position([label, 7, label], 7) AS BIGINT) AS f_array_position,
+  array_to_string(list_filter([label, 2, label], lambda v: v <> label), ',') AS f_array_remove,
+  array_to_string(list_transform([label, 1, label], lambda v: if(v = label, 9, v)), ',') AS f_array_replace,
+  array_to_string(list_append([1], label), ',') AS f_array_append,
+  array_to_string(list_prepend(label, [1]), ',') AS f_array_prepend,
+  list_contains([1, 2], label) AS f_array_contains,
+  CAST(embedding[1] AS DOUBLE) AS f_first
+FROM embeddings
+""")
+def fn_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from tablework.functions import compat as X
+
+    e = _t(spark, sf_dir, "embeddings")
+    lab = F.col("label")
+    return e.select(
+        "vec_id",
+        F.size("embedding").cast("bigint").alias("f_array_length"),
+        F.array_position(F.array(lab, F.lit(7), lab), 7).cast("bigint").alias("f_array_position"),
+        F.array_join(F.array_remove(F.array(lab, F.lit(2), lab), lab), ",").alias("f_array_remove"),
+        F.array_join(X.array_replace(F.array(lab, F.lit(1), lab), lab, 9), ",").alias("f_array_replace"),
+        F.array_join(F.array_append(F.array(F.lit(1)), lab), ",").alias("f_array_append"),
+        F.array_join(F.array_prepend(F.array(F.lit(1)), lab), ",").alias("f_array_prepend"),
+        F.array_contains(F.array(F.lit(1), F.lit(2)), lab).alias("f_array_contains"),
+        F.element_at("embedding", 1).cast("double").alias("f_first"),
+    )
+
+
+@query("fn_unnest", """
+SELECT vec_id, v, count(*) AS n FROM (SELECT vec_id, unnest([label, 9]) AS v FROM embeddings)
+GROUP BY vec_id, v
+""")
+def fn_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    e = _t(spark, sf_dir, "embeddings")
+    return (e.select("vec_id", F.explode(F.array("label", F.lit(9))).alias("v"))
+            .groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("fn_system")
+def fn_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FY1-FY7 and FD1-FD7: session functions, one row per region (values are
+    session-dependent, so the check is on rows only)."""
+    from pyspark.sql import functions as F
+
+    return _t(spark, sf_dir, "region").select(
+        "r_regionkey",
+        F.version().isNotNull().alias("has_version"), F.user().alias("user"),
+        F.current_user().alias("current_user"), F.session_user().alias("session_user"),
+        F.current_database().alias("database"), F.current_schema().alias("schema"),
+        F.now().isNotNull().alias("has_now"), F.current_date().alias("today"),
+        F.date_sub(F.current_date(), 1).alias("yesterday"), F.date_add(F.current_date(), 1).alias("tomorrow"),
+        F.current_timestamp().isNotNull().alias("has_ts"),
+        F.next_day(F.current_date(), "MON").alias("next_monday"),
+        F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"),
+                           F.current_timestamp().cast("timestamp_ntz")).alias("new_york"),
+    )

@@ -202,8 +202,8 @@ FROM lineitem GROUP BY l_orderkey
 """)
 _add("array_agg_nulls", """
 SELECT l_orderkey,
-       size(transform(array_agg(struct(NULLIF(l_linestatus, 'O') AS s)), x -> x.s)) AS n_with_nulls,
-       size(array_agg(NULLIF(l_linestatus, 'O'))) AS n_without_nulls,
+       CAST(size(transform(array_agg(struct(NULLIF(l_linestatus, 'O') AS s)), x -> x.s)) AS BIGINT) AS n_with_nulls,
+       CAST(size(array_agg(NULLIF(l_linestatus, 'O'))) AS BIGINT) AS n_without_nulls,
        array_join(array_sort(collect_list(l_linenumber)), ',') AS lines
 FROM lineitem GROUP BY l_orderkey
 """, """
@@ -268,7 +268,7 @@ EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >
 _add("cte", """
 WITH big AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 250000 GROUP BY o_custkey),
      seg AS (SELECT c_custkey, c_mktsegment FROM customer)
-SELECT seg.c_mktsegment, count(*) AS customers, sum(big.n) AS big_orders
+SELECT seg.c_mktsegment, count(*) AS customers, CAST(sum(big.n) AS BIGINT) AS big_orders
 FROM big JOIN seg ON big.o_custkey = seg.c_custkey GROUP BY seg.c_mktsegment
 """)
 _add("recursive_cte", """
@@ -278,12 +278,12 @@ WITH RECURSIVE months(m) AS (
   SELECT m + 1 FROM months
   WHERE m < (SELECT max(year(o_orderdate) * 12 + month(o_orderdate) - 1) FROM orders)
 )
-SELECT m AS month_index, count(o.o_orderkey) AS n_orders
+SELECT CAST(m AS BIGINT) AS month_index, count(o.o_orderkey) AS n_orders
 FROM months LEFT JOIN orders o ON year(o.o_orderdate) * 12 + month(o.o_orderdate) - 1 = m
 GROUP BY m
 """)
 _add("lateral_unnest", """
-SELECT e.vec_id, count(*) AS n, max(t.pos) AS max_pos, min(t.v) AS min_v, max(t.v) AS max_v
+SELECT e.vec_id, count(*) AS n, CAST(max(t.pos) AS BIGINT) AS max_pos, min(t.v) AS min_v, max(t.v) AS max_v
 FROM embeddings e, LATERAL posexplode(e.embedding) AS t(pos, v)
 GROUP BY e.vec_id
 """, """
@@ -311,8 +311,9 @@ GROUP BY v.label
 # ---------------------------------------------------------------- windows
 _add("window_ranking", """
 SELECT o_orderkey, o_custkey,
-       row_number() OVER w AS rn, rank() OVER w AS rnk, dense_rank() OVER w AS drnk,
-       percent_rank() OVER w AS prnk, cume_dist() OVER w AS cdist, ntile(3) OVER w AS tile
+       CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rnk,
+       CAST(dense_rank() OVER w AS BIGINT) AS drnk, percent_rank() OVER w AS prnk,
+       cume_dist() OVER w AS cdist, CAST(ntile(3) OVER w AS BIGINT) AS tile
 FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 """)
