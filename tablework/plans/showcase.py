@@ -396,3 +396,92 @@ def fn_system(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"),
                            F.current_timestamp().cast("timestamp_ntz")).alias("new_york"),
     )
+
+
+# ----------------------------------------------------------------- Q15 / Q16 / Q28 / Q8
+@query("join_range", """
+SELECT c.event_id AS click_id, p.event_id AS purchase_id
+FROM (SELECT * FROM events WHERE event_type = 'click') c
+JOIN (SELECT event_id, ts AS lo, ts + INTERVAL 10 MINUTE AS hi FROM events WHERE event_type = 'purchase') p
+  ON c.ts BETWEEN p.lo AND p.hi
+""")
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks within ten minutes after each purchase: a range join on time."""
+    from pyspark.sql import functions as F
+    from tablework.operators.joins import range_join
+
+    ev = _t(spark, sf_dir, "events")
+    clicks = ev.where(F.col("event_type") == "click").select(F.col("event_id").alias("click_id"), "ts")
+    buys = ev.where(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("purchase_id"), F.col("ts").alias("lo"),
+        (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("hi"))
+    return range_join(clicks, buys, "ts", "lo", "hi").select("click_id", "purchase_id")
+
+
+@query("join_asof", """
+SELECT p.event_id AS purchase_id, p.user_id, c.event_id AS r_event_id, c.ts AS r_ts
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF JOIN (SELECT * FROM events WHERE event_type = 'click') c
+  ON p.user_id = c.user_id AND p.ts >= c.ts
+""")
+def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase, the user's last click at or before it."""
+    from pyspark.sql import functions as F
+    from tablework.operators.joins import asof_join
+
+    ev = _t(spark, sf_dir, "events")
+    buys = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+    clicks = ev.where(F.col("event_type") == "click").select("event_id", "user_id", "ts")
+    out = asof_join(buys, clicks, on=["user_id"], left_ts="ts", right_ts="ts")
+    return out.select(F.col("event_id").alias("purchase_id"), "user_id", "r_event_id", "r_ts")
+
+
+@query("qualify_top2", """
+SELECT o_custkey, o_orderkey, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2
+""")
+def qualify_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QUALIFY as a skew-safe two-stage top-k per customer."""
+    from pyspark.sql import functions as F
+    from tablework.operators.joins import top_k_per_group
+
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return top_k_per_group(o, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2)
+
+
+@query("qualify_filter", """
+SELECT o_orderkey, o_custkey FROM orders
+QUALIFY o_totalprice > avg(o_totalprice) OVER (PARTITION BY o_custkey) * 1.5
+""")
+def qualify_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tablework.operators.joins import qualify
+
+    o = _t(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey")
+    return qualify(o, F.col("o_totalprice") > F.avg("o_totalprice").over(w) * 1.5) \
+        .select("o_orderkey", "o_custkey")
+
+
+@query("quantified_all_any", """
+SELECT o_orderkey,
+  o_totalprice > ALL (SELECT o_totalprice FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus = 'F'
+                      AND o_totalprice < 100000) AS gt_all,
+  o_totalprice < ANY (SELECT o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'
+                      AND o_totalprice < 20000) AS lt_any
+FROM orders WHERE o_orderstatus = 'O'
+""")
+def quantified_all_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8: ``> ALL`` / ``< ANY`` rewritten to scalar subqueries."""
+    from pyspark.sql import functions as F
+    from tablework.functions.compat import compare_all, compare_any
+
+    o = _t(spark, sf_dir, "orders")
+    low = o.where((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "F")
+                  & (F.col("o_totalprice") < 100000))
+    urgent = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") < 20000))
+    return o.where(F.col("o_orderstatus") == "O").select(
+        "o_orderkey",
+        compare_all("o_totalprice", ">", low, "o_totalprice").alias("gt_all"),
+        compare_any("o_totalprice", "<", urgent, "o_totalprice").alias("lt_any"))
