@@ -485,3 +485,277 @@ def quantified_all_any(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         compare_all("o_totalprice", ">", low, "o_totalprice").alias("gt_all"),
         compare_any("o_totalprice", "<", urgent, "o_totalprice").alias("lt_any"))
+
+
+# ----------------------------------------------------------------- §2.4 unification
+def _people(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Customers and suppliers as two drifting inputs: different column
+    order, a column only one side has, lineage literal per input."""
+    from pyspark.sql import functions as F
+
+    cust = _t(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"),
+        F.col("c_mktsegment").alias("segment"), F.lit("customer.csv").alias("_source_file"))
+    supp = _t(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("NAME"), F.col("s_suppkey").alias("Id"),
+        F.when(F.col("s_acctbal") > 5000, "gold").otherwise("std").alias("tier"),
+        F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"),
+        F.lit("supplier.csv").alias("_source_file"))
+    return [cust, supp]
+
+
+_PEOPLE_SQL = """
+SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, c_acctbal AS balance,
+       c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS tier, 'customer.csv' AS _source_file
+FROM customer
+UNION ALL
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL,
+       CASE WHEN s_acctbal > 5000 THEN 'gold' ELSE 'std' END, 'supplier.csv'
+FROM supplier
+"""
+
+
+@query("union_drift", _PEOPLE_SQL)
+def union_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union by name (case-insensitive), first input's order, new
+    columns sorted after, lineage last, absent columns NULL."""
+    from tablework.operators.schema import union_by_name
+
+    return union_by_name(_people(spark, sf_dir), order="first_seen_then_sorted")
+
+
+@query("union_fill", f"""
+SELECT id, name, nation, balance, COALESCE(segment, 'n/a') AS segment, COALESCE(tier, 'n/a') AS tier,
+       _source_file FROM ({_PEOPLE_SQL})
+""")
+def union_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C16 after U3: fill the padding with a value (typed: only text columns
+    can hold 'n/a')."""
+    from tablework.operators.clean import fill_missing
+    from tablework.operators.schema import union_by_name
+
+    return fill_missing(union_by_name(_people(spark, sf_dir)), "n/a")
+
+
+@query("widen_union", """
+SELECT p_partkey AS key, CAST(p_size AS VARCHAR) AS v, CAST(p_size AS DOUBLE) AS w, p_size AS x FROM part
+UNION ALL
+SELECT s_suppkey, s_name, s_acctbal, s_nationkey FROM supplier
+""")
+def widen_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Int with string -> string, int with double -> double, int with
+    int -> int."""
+    from pyspark.sql import functions as F
+    from tablework.operators.schema import union_by_name
+
+    a = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("v"),
+                                         F.col("p_size").alias("w"), F.col("p_size").alias("x"))
+    b = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("v"),
+                                             F.col("s_acctbal").alias("w"), F.col("s_nationkey").alias("x"))
+    return union_by_name([a, b])
+
+
+@query("align_to_table", """
+SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, CAST(NULL AS VARCHAR) AS tier
+FROM customer
+""")
+def align_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project an input onto an existing table's schema: extra columns
+    dropped, missing ones NULL, types cast to the table's."""
+    from tablework.operators.schema import align
+
+    cust, supp = _people(spark, sf_dir)
+    target = supp.select("Id", "NAME", "balance", "tier").toDF("id", "name", "balance", "tier").schema
+    return align(cust, target)
+
+
+# ----------------------------------------------------------------- §2.5 names and values
+_AWKWARD = [("p_partkey", "Part Key"), ("p_name", "p-name!"), ("p_size", "2size"),
+            ("p_brand", "Brand (#)"), ("p_type", "  type  "), ("p_retailprice", "Retail Price $"),
+            ("p_name", "Prix Détail")]
+
+
+def _awkward_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    p = _t(spark, sf_dir, "part")
+    return p.select(*[F.col(src).alias(alias) for src, alias in _AWKWARD])
+
+
+def _renamed_sql(names: list[str]) -> str:
+    cols = ", ".join(f'{src} AS "{dst}"' for (src, _), dst in zip(_AWKWARD, names))
+    return f"SELECT {cols} FROM part"
+
+
+@query("clean_names_upper", _renamed_sql(
+    ["PART_KEY", "PNAME", "_2SIZE", "BRAND_", "__TYPE__", "RETAIL_PRICE_", "PRIX_DTAIL"]))
+def clean_names_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper-case policy."""
+    from tablework.operators.names import rename_columns
+
+    return rename_columns(_awkward_part(spark, sf_dir), "upper")
+
+
+@query("clean_names_keep_case", _renamed_sql(
+    ["Part_Key", "p_name", "col_2size", "Brand", "type", "Retail_Price", "Prix_Détail"]))
+def clean_names_keep_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-case policy (Unicode word characters kept)."""
+    from tablework.operators.names import rename_columns
+
+    return rename_columns(_awkward_part(spark, sf_dir), "keep_case")
+
+
+@query("clean_names_ascii", _renamed_sql(
+    ["Part_Key", "p_name", "col_2size", "Brand", "type", "Retail_Price", "Prix_D_tail"]))
+def clean_names_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII policy."""
+    from tablework.operators.names import rename_columns
+
+    return rename_columns(_awkward_part(spark, sf_dir), "ascii")
+
+
+@query("dedupe_columns", """
+SELECT o_orderkey AS k, o_custkey AS "K_2", o_totalprice AS k_3, o_orderstatus AS k_1 FROM orders
+""")
+def dedupe_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case-insensitive duplicate names get the first free ``_k`` suffix."""
+    from tablework.operators.names import dedupe_columns as dedupe
+
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return dedupe(o.toDF("k", "K", "k", "k_1"))
+
+
+def _sanitize_sql(v: str) -> str:
+    s1 = f"CASE WHEN {v} IN ('nan', 'NaN', 'None', 'null', 'NULL', '') THEN NULL ELSE {v} END"
+    s2 = (f"CASE ({s1}) WHEN 'inf' THEN 'infinity' WHEN 'Infinity' THEN 'infinity' "
+          f"WHEN '-inf' THEN '-infinity' WHEN '-Infinity' THEN '-infinity' ELSE ({s1}) END")
+    s3 = f"replace(replace({s2}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return (f"CASE WHEN length({s3}) > 10000 AND NOT (length({s3}) = 10014 AND suffix({s3}, '...[truncated]')) "
+            f"THEN substr({s3}, 1, 10000) || '...[truncated]' ELSE {s3} END")
+
+
+_DOC_TOKEN = ("CASE lang WHEN 'fr' THEN 'NULL' WHEN 'de' THEN 'Infinity' WHEN 'es' THEN '-inf' "
+              "ELSE lang END")
+
+
+@query("sanitize_documents", f"""
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_sanitize_sql("replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(13))")} AS text,
+       {_sanitize_sql(_DOC_TOKEN)} AS token, source
+FROM documents
+""")
+def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14 = C10 null tokens, C11 infinity spellings, C12 CR/CRLF -> LF,
+    C13 truncation at 10,000 characters, all columns to text, empty rows
+    dropped - one projection and one filter, whole texts."""
+    from pyspark.sql import functions as F
+    from tablework.operators.clean import sanitize
+
+    d = _t(spark, sf_dir, "documents")
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(".\r\n")), F.lit(", "), F.lit(",\r"))
+    token = (F.when(F.col("lang") == "fr", "NULL").when(F.col("lang") == "de", "Infinity")
+             .when(F.col("lang") == "es", "-inf").otherwise(F.col("lang")))
+    return sanitize(d.select("doc_id", text.alias("text"), token.alias("token"), "source"))
+
+
+@query("truncate_text", """
+SELECT doc_id, CASE WHEN length(text) > 10000 THEN substr(text, 1, 10000) || '...[truncated]'
+                    ELSE text END AS text
+FROM documents
+""")
+def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C13 alone on whole document texts."""
+    from tablework.operators.clean import truncate_texts
+
+    return truncate_texts(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_EVENT_TOKEN = ("CASE event_type WHEN 'click' THEN 'NULL' WHEN 'view' THEN 'nan' "
+                "WHEN 'error' THEN 'Infinity' WHEN 'signup' THEN '-inf' ELSE event_type END")
+
+
+@query("null_and_infinity_tokens", f"""
+SELECT event_id,
+  CASE WHEN t IN ('nan', 'NaN', 'None', 'null', 'NULL', '') THEN NULL
+       WHEN t IN ('inf', 'Infinity') THEN 'infinity' WHEN t IN ('-inf', '-Infinity') THEN '-infinity'
+       ELSE t END AS token,
+  props
+FROM (SELECT event_id, {_EVENT_TOKEN} AS t, props FROM events)
+""")
+def null_and_infinity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10 + C11 on text columns (the token set is a parameter)."""
+    from pyspark.sql import functions as F
+    from tablework.operators.clean import normalize_infinity, replace_null_tokens
+
+    e = _t(spark, sf_dir, "events")
+    t = (F.when(F.col("event_type") == "click", "NULL").when(F.col("event_type") == "view", "nan")
+         .when(F.col("event_type") == "error", "Infinity").when(F.col("event_type") == "signup", "-inf")
+         .otherwise(F.col("event_type")))
+    return normalize_infinity(replace_null_tokens(e.select("event_id", t.alias("token"), "props")))
+
+
+def _headers_and_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as text where some rows repeat the header and some are empty."""
+    from pyspark.sql import functions as F
+
+    o = _t(spark, sf_dir, "orders")
+    is_header = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
+    is_blank = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    return o.select(*[F.when(is_header, F.lit(c)).when(is_blank, F.lit(None).cast("string"))
+                      .otherwise(F.col(c).cast("string")).alias(c) for c in cols])
+
+
+@query("drop_header_and_empty_rows", """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+       o_orderstatus, o_orderpriority
+FROM orders
+WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+  AND NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')
+""")
+def drop_header_and_empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 + C9: rows equal to the header and all-NULL rows are removed."""
+    from tablework.operators.clean import drop_empty_rows, drop_header_rows
+
+    return drop_empty_rows(drop_header_rows(_headers_and_blanks(spark, sf_dir)))
+
+
+def _narrow_oracle() -> str:
+    parts = []
+    text_cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
+    for c in text_cols:
+        x = f"CAST({c} AS VARCHAR)"
+        is_int = f"regexp_full_match(trim({x}), '[+-]?[0-9]+')"
+        lng = f"CASE WHEN {is_int} THEN CAST(trim({x}) AS BIGINT) END"
+        dbl = f"TRY_CAST({x} AS DOUBLE)"
+        parts.append(f"""SELECT 't_{c}' AS column_name, 'string' AS from_type, count({x}) AS n_non_null,
+  count({lng}) AS n_integer, count({dbl}) AS n_numeric, min({lng}) AS min_integer, max({lng}) AS max_integer,
+  count(CASE WHEN CAST(CAST({dbl} AS FLOAT) AS DOUBLE) = {dbl} THEN 1 END) AS n_float_exact FROM lineitem""")
+    native = [("l_linenumber", "int", True), ("l_orderkey", "bigint", True),
+              ("l_quantity", "double", False), ("l_extendedprice", "double", False)]
+    for c, t, integral in native:
+        lng = f"CAST({c} AS BIGINT)" if integral else "CAST(NULL AS BIGINT)"
+        parts.append(f"""SELECT '{c}', '{t}', count({c}), count({lng}), count(CAST({c} AS DOUBLE)),
+  min({lng}), max({lng}),
+  count(CASE WHEN CAST(CAST({c} AS FLOAT) AS DOUBLE) = CAST({c} AS DOUBLE) THEN 1 END) FROM lineitem""")
+    body = "\nUNION ALL\n".join(parts)
+    return f"""SELECT *, CASE WHEN n_non_null = 0 THEN from_type
+  WHEN n_integer = n_non_null THEN CASE WHEN min_integer >= -128 AND max_integer <= 127 THEN 'tinyint'
+       WHEN min_integer >= -32768 AND max_integer <= 32767 THEN 'smallint'
+       WHEN min_integer >= -2147483648 AND max_integer <= 2147483647 THEN 'int' ELSE 'bigint' END
+  WHEN n_numeric = n_non_null AND n_float_exact = n_non_null THEN 'float'
+  WHEN n_numeric = n_non_null THEN 'double' ELSE from_type END AS to_type
+FROM ({body})"""
+
+
+@query("narrow_types", _narrow_oracle())
+def narrow_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrowest lossless type per column from one aggregation."""
+    from pyspark.sql import functions as F
+    from tablework.operators.clean import narrow_report
+
+    li = _t(spark, sf_dir, "lineitem")
+    text_cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
+    df = li.select(*[F.col(c).cast("string").alias(f"t_{c}") for c in text_cols],
+                   "l_linenumber", "l_orderkey", "l_quantity", "l_extendedprice")
+    return narrow_report(df)
