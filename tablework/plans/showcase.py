@@ -759,3 +759,124 @@ def narrow_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = li.select(*[F.col(c).cast("string").alias(f"t_{c}") for c in text_cols],
                    "l_linenumber", "l_orderkey", "l_quantity", "l_extendedprice")
     return narrow_report(df)
+
+
+# ----------------------------------------------------------------- Q34 / C17 checks
+@query("constraint_checks", """
+SELECT 'orders_not_null' AS "check", count(*) AS n_violations FROM orders
+  WHERE o_custkey IS NULL OR o_totalprice IS NULL
+UNION ALL
+SELECT 'lineitem_unique_key', count(*) FROM lineitem l
+  WHERE (SELECT count(*) FROM lineitem x WHERE x.l_orderkey = l.l_orderkey AND x.l_linenumber = l.l_linenumber) > 1
+UNION ALL
+SELECT 'lineitem_fk_orders', count(*) FROM lineitem l
+  WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
+UNION ALL
+SELECT 'orders_status_domain', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL
+SELECT 'lineitem_discount_check', count(*) FROM lineitem WHERE NOT (l_discount BETWEEN 0 AND 0.08)
+""")
+def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q34: NOT NULL, UNIQUE, FOREIGN KEY, domain and CHECK as violation counts."""
+    from tablework.operators import checks as C
+
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    return C.summary({
+        "orders_not_null": C.not_null_violations(o, ["o_custkey", "o_totalprice"]),
+        "lineitem_unique_key": C.unique_violations(li, ["l_orderkey", "l_linenumber"]),
+        "lineitem_fk_orders": C.foreign_key_violations(li, "l_orderkey", o, "o_orderkey"),
+        "orders_status_domain": C.domain_violations(o, "o_orderstatus", ["F", "O"]),
+        "lineitem_discount_check": C.check_violations(li, "l_discount BETWEEN 0 AND 0.08"),
+    })
+
+
+@query("fk_orphans", """
+SELECT o_orderkey, o_custkey FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment = 'BUILDING')
+""")
+def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q34/Q14: orders whose customer is not among the BUILDING customers (anti join)."""
+    from pyspark.sql import functions as F
+    from tablework.operators.checks import foreign_key_violations
+
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    parents = _t(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    return foreign_key_violations(o, "o_custkey", parents, "c_custkey")
+
+
+@query("unique_violations", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l
+WHERE (SELECT count(*) FROM lineitem x WHERE x.l_orderkey = l.l_orderkey AND x.l_linenumber = l.l_linenumber) > 1
+""")
+def unique_violation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UNIQUE (l_orderkey, l_linenumber): the rows of duplicated keys."""
+    from tablework.operators.checks import unique_violations
+
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return unique_violations(li, ["l_orderkey", "l_linenumber"])
+
+
+@query("validate_import")
+def validate_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17: import validation messages for the lineitem table under awkward
+    names (name checks are metadata; the row count is one bounded job)."""
+    from tablework.operators.clean import validate
+
+    li = _t(spark, sf_dir, "lineitem")
+    df = li.toDF(*(["l orderkey", "1st", "L ORDERKEY"] + li.columns[3:]))
+    return validate(df, "lineitem_import", mode="append", table_exists=False)
+
+
+# ----------------------------------------------------------------- R2-R6 results
+@query("page_by_row", """
+SELECT * FROM (
+  SELECT o_orderkey, o_custkey, o_totalprice,
+         row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS _row FROM orders)
+WHERE _row BETWEEN 2001 AND 3000
+""")
+def page_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 deep page over a written snapshot: rows 2001-3000 by price desc."""
+    from pyspark.sql import functions as F
+    from tablework.operators.results import snapshot
+
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    snap = snapshot(o, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()])
+    return snap.page(2, 1000)
+
+
+@query("page_shallow", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000 OFFSET 3000
+""")
+def page_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 shallow page: ORDER BY + OFFSET + LIMIT."""
+    from pyspark.sql import functions as F
+    from tablework.operators.results import shallow_page
+
+    o = _t(spark, sf_dir, "orders")
+    return shallow_page(o, [F.col("o_orderdate").desc(), "o_orderkey"], 3000, 1000) \
+        .select("o_orderkey", "o_totalprice")
+
+
+@query("result_count", """
+SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05
+""")
+def result_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2."""
+    from tablework.operators.results import count_rows
+
+    li = run_surface_sql(spark, sf_dir, "SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05")
+    return count_rows(li)
+
+
+@query("sorted_nulls_last", """
+SELECT o_orderkey, NULLIF(o_orderpriority, '3-MEDIUM') AS priority FROM orders
+ORDER BY priority DESC NULLS LAST, o_orderkey
+""")
+def sorted_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sort by one column, NULLs last."""
+    from pyspark.sql import functions as F
+    from tablework.operators.results import sort_result
+
+    o = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", F.nullif(F.col("o_orderpriority"), F.lit("3-MEDIUM")).alias("priority"))
+    return sort_result(o, "priority", ascending=False)
