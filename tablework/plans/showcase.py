@@ -880,3 +880,225 @@ def sorted_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").select(
         "o_orderkey", F.nullif(F.col("o_orderpriority"), F.lit("3-MEDIUM")).alias("priority"))
     return sort_result(o, "priority", ascending=False)
+
+
+# ----------------------------------------------------------------- K1-K7, Q29-Q31, R10-R11 tables
+def _scratch_table(spark: SparkSession, name: str) -> str:
+    return f"{ensure_database(spark, SCRATCH_DB)}.{name}"
+
+
+@query("table_update", """
+SELECT o_orderkey,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+       o_orderpriority
+FROM orders
+""")
+def table_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q31 UPDATE on a parquet table (staged rewrite + rename)."""
+    from tablework.sinks.tables import update_where, write_table
+
+    t = _scratch_table(spark, "orders_update")
+    src = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    write_table(src, t, mode="replace")
+    update_where(spark, t, {"o_orderstatus": "'X'", "o_totalprice": "o_totalprice * 2"},
+                 "o_orderpriority = '1-URGENT'")
+    return spark.table(t)
+
+
+@query("table_delete", """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+WHERE NOT (o_orderstatus = 'P' AND o_totalprice < 100000)
+""")
+def table_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q31 DELETE on a parquet table."""
+    from tablework.sinks.tables import delete_where, write_table
+
+    t = _scratch_table(spark, "orders_delete")
+    write_table(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), t)
+    delete_where(spark, t, "o_orderstatus = 'P' AND o_totalprice < 100000")
+    return spark.table(t)
+
+
+@query("table_drop_column", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def table_drop_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DROP COLUMN on parquet = staged rewrite without the column."""
+    from tablework.sinks.tables import drop_column, write_table
+
+    t = _scratch_table(spark, "customer_drop")
+    write_table(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), t)
+    drop_column(spark, t, "c_acctbal")
+    return spark.table(t)
+
+
+@query("table_append_evolve", """
+SELECT c_custkey AS id, c_name AS name, CAST(NULL AS DOUBLE) AS balance FROM customer
+UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier
+UNION ALL SELECT p_partkey, NULL, p_retailprice FROM part
+""")
+def table_append_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4/K5: append by name; new columns added with ALTER TABLE ADD COLUMNS,
+    absent ones NULL, table columns keep their order."""
+    from pyspark.sql import functions as F
+    from tablework.sinks.tables import drop_table, write_table
+
+    t = _scratch_table(spark, "people_evolve")
+    drop_table(spark, t)
+    write_table(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"),
+                                                     F.col("c_name").alias("name")), t, mode="append")
+    write_table(_t(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"),
+                                                     F.col("s_suppkey").alias("id"),
+                                                     F.col("s_name").alias("name")), t, mode="append")
+    write_table(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ID"),
+                                                 F.col("p_retailprice").alias("Balance")), t, mode="append")
+    return spark.table(t)
+
+
+@query("table_ctas_insert", """
+SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey
+UNION ALL SELECT c_nationkey + 100, count(*) FROM customer GROUP BY c_nationkey
+""")
+def table_ctas_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q29 CREATE TABLE AS, Q30 INSERT INTO ... SELECT, K1 create-fails-if-exists."""
+    from tablework.sinks.tables import drop_table, write_table
+
+    t = _scratch_table(spark, "ctas_counts")
+    drop_table(spark, t)
+    register(spark, sf_dir, ["nation", "customer"])
+    write_table(spark.sql("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"), t, mode="create")
+    try:
+        write_table(spark.sql("SELECT 1 AS n_regionkey, 1L AS n"), t, mode="create")
+        raise AssertionError("create must fail on an existing table")
+    except ValueError:
+        pass
+    spark.sql(f"INSERT INTO {t} SELECT c_nationkey + 100, count(*) FROM customer GROUP BY c_nationkey")
+    return spark.table(t)
+
+
+# ----------------------------------------------------------------- K8-K14 exports and S1-S7 reads
+def _scratch(spark: SparkSession, name: str) -> str:
+    from tablework.session import shared_dir
+
+    return shared_dir(spark, "files", name)
+
+
+_PART_TEXT_SQL = """
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type,
+       CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice
+FROM part
+"""
+
+
+@query("csv_roundtrip", _PART_TEXT_SQL)
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8 export then S1 import (probe, text mode)."""
+    from tablework.sinks.export import export_csv
+    from tablework.sources.readers import read_files
+
+    path = export_csv(_t(spark, sf_dir, "part"), _scratch(spark, "csv"))
+    df, _ = read_files(spark, path, "csv", lineage=False)
+    return df
+
+
+@query("tsv_roundtrip", _PART_TEXT_SQL)
+def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9 export then S2 import."""
+    from tablework.sinks.export import export_tsv
+    from tablework.sources.readers import read_files
+
+    path = export_tsv(_t(spark, sf_dir, "part"), _scratch(spark, "tsv"))
+    df, _ = read_files(spark, path, "csv", pattern="*.csv", lineage=False)
+    return df
+
+
+@query("json_roundtrip", """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part
+""")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K10 export (JSON lines) then S6 import."""
+    from tablework.sinks.export import export_json
+    from tablework.sources.readers import read_files
+
+    path = export_json(_t(spark, sf_dir, "part"), _scratch(spark, "json"))
+    df, _ = read_files(spark, path, "json", lineage=False)
+    return df
+
+
+@query("json_array_roundtrip", """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part
+""")
+def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K10 as JSON array documents then S5 import (array of objects)."""
+    from tablework.sinks.export import export_json
+    from tablework.sources.readers import read_files
+
+    path = export_json(_t(spark, sf_dir, "part"), _scratch(spark, "jsonarr"), as_array=True)
+    df, _ = read_files(spark, path, "json", pattern="*.txt", lineage=False)
+    return df
+
+
+@query("parquet_roundtrip", "SELECT * FROM part")
+def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K11 export then S4 import."""
+    from tablework.sinks.export import export_parquet
+    from tablework.sources.readers import read_files
+
+    path = export_parquet(_t(spark, sf_dir, "part"), _scratch(spark, "parquet"))
+    df, _ = read_files(spark, path, "parquet", lineage=False)
+    return df
+
+
+@query("xml_roundtrip", """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part
+""")
+def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K12 export, read back with Spark's XML source (row tag ``row``)."""
+    from tablework.sinks.export import export_xml
+
+    path = export_xml(_t(spark, sf_dir, "part"), _scratch(spark, "xml"), query="SELECT * FROM part")
+    return spark.read.format("xml").option("rowTag", "row").load(path)
+
+
+def _html_escape_sql(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+            f"'\"', '&quot;'), '''', '&#39;')")
+
+
+@query("html_export", f"""
+SELECT '<tr><td>' || CAST(n_nationkey AS VARCHAR) || '</td><td>' || {_html_escape_sql("n_name || ' <&> ' || CAST(n_regionkey AS VARCHAR)")}
+       || '</td></tr>' AS value
+FROM nation
+UNION ALL
+SELECT '<tr><td>' || CAST(c_custkey AS VARCHAR) || '</td><td>' || {_html_escape_sql("c_name || ' \"' || c_mktsegment || '''s\"'")}
+       || '</td></tr>' FROM customer
+""")
+def html_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written document's table rows, escaped, read back as text."""
+    from pyspark.sql import functions as F
+    from tablework.sinks.export import export_html
+
+    n = _t(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("k"),
+        F.concat(F.col("n_name"), F.lit(" <&> "), F.col("n_regionkey").cast("string")).alias("label"))
+    c = _t(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("k"),
+        F.concat(F.col("c_name"), F.lit(' "'), F.col("c_mktsegment"), F.lit("'s\"")).alias("label"))
+    path = export_html(n.unionByName(c), _scratch(spark, "html"), title="Keys & labels")
+    return spark.read.text(path).where(F.col("value").startswith("<tr><td>"))
+
+
+@query("xlsx_roundtrip", """
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type,
+       CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice,
+       'Query Results' AS _source_sheet
+FROM part
+""")
+def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K14 export (one workbook per partition) then S7/S11 folder import."""
+    from tablework.sinks.export import export_excel
+    from tablework.sources.xlsx import read_excel
+
+    path = _scratch(spark, "xlsx")
+    export_excel(_t(spark, sf_dir, "part"), path).collect()
+    df, _ = read_excel(spark, path)
+    return df.drop("_source_file")
