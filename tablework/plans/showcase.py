@@ -1102,3 +1102,159 @@ def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     export_excel(_t(spark, sf_dir, "part"), path).collect()
     df, _ = read_excel(spark, path)
     return df.drop("_source_file")
+
+
+# ----------------------------------------------------------------- S11-S21, U1, U7, B1-B5 folders
+_DRIFT = [
+    ("g1", "1-URGENT", ",", [("o_orderkey", "Order Key"), ("o_custkey", "Cust Key"),
+                             ("o_orderstatus", "Status"), ("o_totalprice", "Total Price")]),
+    ("g2", "2-HIGH", ",", [("o_orderstatus", "status"), ("o_orderkey", "order key"),
+                           ("o_totalprice", "total price"), ("o_orderdate", "order date")]),
+    ("g3", "3-MEDIUM", ";", [("o_orderkey", "ORDER KEY"), ("o_orderpriority", "Priority"),
+                             ("o_custkey", "cust key")]),
+    ("g4", "4-NOT SPECIFIED", "\t", [("o_custkey", "Cust_Key"), ("o_orderkey", "Order_Key"),
+                                     ("o_orderdate", "Order Date")]),
+    ("g5", "5-LOW", "|", [("o_orderkey", "order key"), ("o_custkey", "cust key"),
+                          ("o_orderdate", "order date"), ("o_orderpriority", "priority")]),
+]
+_DRIFT_COLS = ["ORDER_KEY", "CUST_KEY", "STATUS", "TOTAL_PRICE", "ORDER_DATE", "PRIORITY"]
+
+
+def _write_drift_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Orders split by priority into five CSV folders whose headers drift:
+    other names, case, order, subsets and delimiters."""
+    from pyspark.sql import functions as F
+
+    o = _t(spark, sf_dir, "orders")
+    base = _scratch(spark, "drift")
+    for group, prio, sep, cols in _DRIFT:
+        part = o.where(F.col("o_orderpriority") == prio).select(*[F.col(c).alias(a) for c, a in cols])
+        (part.write.option("header", "true").option("sep", sep)
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{base}/{group}"))
+    return base
+
+
+def _drift_oracle() -> str:
+    text = {"o_orderkey": "CAST(o_orderkey AS VARCHAR)", "o_custkey": "CAST(o_custkey AS VARCHAR)",
+            "o_orderstatus": "o_orderstatus", "o_totalprice": "CAST(o_totalprice AS VARCHAR)",
+            "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')", "o_orderpriority": "o_orderpriority"}
+    name_to_src = {"ORDER_KEY": "o_orderkey", "CUST_KEY": "o_custkey", "STATUS": "o_orderstatus",
+                   "TOTAL_PRICE": "o_totalprice", "ORDER_DATE": "o_orderdate", "PRIORITY": "o_orderpriority"}
+    parts = []
+    for _, prio, _, cols in _DRIFT:
+        have = {c for c, _ in cols}
+        sel = [f"{text[name_to_src[n]]} AS {n}" if name_to_src[n] in have else f"CAST(NULL AS VARCHAR) AS {n}"
+               for n in _DRIFT_COLS]
+        parts.append(f"SELECT {', '.join(sel)} FROM orders WHERE o_orderpriority = '{prio}'")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("folder_ingest", _drift_oracle())
+def folder_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of CSV files with drifting headers and
+    delimiters -> one read per header group, union by cleaned name."""
+    from tablework.sources.readers import read_files
+
+    base = _write_drift_folder(spark, sf_dir)
+    df, res = read_files(spark, base, "csv", recursive=True, policy="upper")
+    assert res.groups == len(_DRIFT), res.groups
+    return df.select(*_DRIFT_COLS)
+
+
+@query("folder_column_report", """
+SELECT * FROM (VALUES (4, 'ORDER_DATE,PRIORITY'), (4, 'CUST_KEY,PRIORITY'), (3, 'ORDER_DATE,STATUS,TOTAL_PRICE'),
+                      (3, 'PRIORITY,STATUS,TOTAL_PRICE'), (4, 'STATUS,TOTAL_PRICE')) AS t(n_columns, missing)
+""")
+def folder_column_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per distinct header, the unified columns its files lack -
+    computed from the probe listing in one job (file names are random, so
+    the report is grouped by header)."""
+    from pyspark.sql import functions as F
+    from tablework.operators.schema import column_mismatch_report
+    from tablework.sources.probe import describe_files, header_columns
+
+    base = _write_drift_folder(spark, sf_dir)
+    probes = describe_files(spark, base, "*.csv", recursive=True)
+    cols = header_columns(probes, "upper").groupBy("path").agg(
+        F.array_sort(F.collect_list("column_name")).alias("columns"))
+    rep = column_mismatch_report(cols, "columns", "path")
+    return rep.select(F.size("columns").cast("int").alias("n_columns"),
+                      F.array_join("missing_columns", ",").alias("missing")).distinct()
+
+
+@query("describe_files")
+def describe_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file encoding, delimiter, header, column count."""
+    from tablework.sources.probe import describe_files
+
+    base = _write_drift_folder(spark, sf_dir)
+    return describe_files(spark, base, "*.csv", recursive=True).select(
+        "file_name", "size", "encoding", "delimiter", "header", "n_columns", "status")
+
+
+def _write_ragged(spark: SparkSession, sf_dir: str) -> str:
+    """Orders as CSV text where urgent rows carry an extra field and low
+    rows lack the last one; every part file starts with the header line."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    o = _t(spark, sf_dir, "orders")
+    base_fields = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
+                   F.col("o_orderstatus"), F.col("o_orderpriority")]
+    line = (F.when(F.col("o_orderpriority") == "1-URGENT",
+                   F.concat_ws(",", *base_fields, F.col("o_totalprice").cast("string"), F.lit("EXTRA")))
+            .when(F.col("o_orderpriority") == "5-LOW", F.concat_ws(",", *base_fields))
+            .otherwise(F.concat_ws(",", *base_fields, F.col("o_totalprice").cast("string"))))
+    header = "o_orderkey,o_custkey,o_orderstatus,o_orderpriority,o_totalprice"
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    path = _scratch(spark, "ragged")
+    o.select(line.alias("value")).mapInPandas(with_header, "value string").write.text(path)
+    return path
+
+
+_RAGGED_BASE = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+       o_orderpriority, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(o_totalprice AS VARCHAR) END
+       AS o_totalprice
+FROM orders
+"""
+
+
+@query("bad_rows_skip_long", _RAGGED_BASE + "WHERE o_orderpriority <> '1-URGENT'")
+def bad_rows_skip_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: rows with too many fields are rejected, short rows NULL-padded."""
+    from tablework.sources.readers import read_files
+
+    path = _write_ragged(spark, sf_dir)
+    df, res = read_files(spark, path, "txt", pattern="*.txt", delimiter=",", bad_rows="skip_long",
+                         lineage=False)
+    return df
+
+
+@query("bad_rows_drop_malformed", _RAGGED_BASE + "WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')")
+def bad_rows_drop_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: DROPMALFORMED drops both too-long and too-short rows."""
+    from tablework.sources.readers import read_files
+
+    path = _write_ragged(spark, sf_dir)
+    df, _ = read_files(spark, path, "txt", pattern="*.txt", delimiter=",", bad_rows="drop_malformed",
+                       lineage=False)
+    return df
+
+
+@query("bad_rows_rejected", """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'EXTRA' AS extra FROM orders WHERE o_orderpriority = '1-URGENT'
+""")
+def bad_rows_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejected long rows themselves (with the field that overflowed)."""
+    from pyspark.sql import functions as F
+    from tablework.sources.readers import EXTRA_FIELD, read_files
+
+    path = _write_ragged(spark, sf_dir)
+    _, res = read_files(spark, path, "txt", pattern="*.txt", delimiter=",", bad_rows="skip_long",
+                        lineage=False)
+    return res.rejected_rows.select(F.col("_c0").alias("o_orderkey"), F.col(EXTRA_FIELD).alias("extra"))
