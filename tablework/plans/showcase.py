@@ -1258,3 +1258,75 @@ def bad_rows_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, res = read_files(spark, path, "txt", pattern="*.txt", delimiter=",", bad_rows="skip_long",
                         lineage=False)
     return res.rejected_rows.select(F.col("_c0").alias("o_orderkey"), F.col(EXTRA_FIELD).alias("extra"))
+
+
+# ----------------------------------------------------------------- T1/T2 streaming, P1 folders
+def _stream_oracle() -> str:
+    return """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+       o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+       CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS o_orderpriority
+FROM orders"""
+
+
+@query("stream_ingest", _stream_oracle())
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders arrive as three CSV drops; each availableNow run loads
+    only the files it has not seen, and the last drop's reordered header
+    with an extra column is mapped by name (table gains the column)."""
+    from pyspark.sql import functions as F
+    from tablework.sinks.tables import drop_table
+    from tablework.streaming.ingest import ingest_new_files
+
+    o = _t(spark, sf_dir, "orders")
+    folder = _scratch(spark, "incoming")
+    table = _scratch_table(spark, "orders_stream")
+    drop_table(spark, table)
+    ckpt = _scratch(spark, "stream_ckpt")
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+
+    def drop(status: str, name: str, columns: list[str]):
+        o.where(F.col("o_orderstatus") == status).select(*columns) \
+            .write.option("header", "true").csv(f"{folder}/{name}")
+
+    drop("F", "drop1", cols)
+    n1 = ingest_new_files(spark, folder, table, checkpoint=ckpt, pattern="*.csv").count()
+    drop("O", "drop2", cols)
+    ingest_new_files(spark, folder, table, checkpoint=ckpt, pattern="*.csv")
+    drop("P", "drop3", ["o_orderpriority", "o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey"])
+    out = ingest_new_files(spark, folder, table, checkpoint=ckpt, pattern="*.csv")
+    assert n1 > 0
+    return out.drop("_ingest_batch", "_source_file")
+
+
+@query("pipeline_folder", """
+SELECT CAST(o.o_orderkey AS VARCHAR) AS order_key, c.c_name AS customer_name, CAST(o.o_totalprice AS VARCHAR) AS total
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE o.o_orderstatus = 'F'
+""")
+def pipeline_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1/P2 in the folder dialect: a CSV folder source (files appended
+    over time) + a single-file source, one SQL, output table."""
+    from pyspark.sql import functions as F
+
+    o = _t(spark, sf_dir, "orders")
+    base = _scratch(spark, "pipeline")
+    for st in ("F", "O", "P"):
+        o.where(F.col("o_orderstatus") == st).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice") \
+            .write.option("header", "true").csv(f"{base}/sales/{st}")
+    _t(spark, sf_dir, "customer").select("c_custkey", "c_name").coalesce(1) \
+        .write.option("header", "true").csv(f"{base}/customers")
+    doc = {
+        "version": "1.0", "description": "orders with customer names",
+        "sources": [
+            {"mode": "csv_folder", "path": f"{base}/sales", "table_name": "sales", "file_type": "csv",
+             "options": {"recursive": True}},
+            {"mode": "csv_folder", "folder_path": f"{base}/customers", "table_name": "customers",
+             "file_pattern": "*.csv"},
+        ],
+        "sql_query": ("CREATE TABLE finished_sales AS SELECT s.o_orderkey AS order_key, c.c_name AS customer_name, "
+                      "s.o_totalprice AS total FROM sales s LEFT JOIN customers c ON s.o_custkey = c.c_custkey "
+                      "WHERE s.o_orderstatus = 'F'"),
+    }
+    res = run_pipeline(spark, parse_pipeline(doc), database=ensure_database(spark, SCRATCH_DB))
+    return spark.table(res["output_table"])

@@ -26,6 +26,7 @@ from tablework.sources.probe import case_insensitive_glob
 from tablework.sources.readers import read_files
 
 BATCH_COLUMN = "_ingest_batch"
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def write_batch(data: DataFrame, table: str, batch_id: int) -> None:
@@ -37,18 +38,26 @@ def write_batch(data: DataFrame, table: str, batch_id: int) -> None:
         return
     add_missing_columns(spark, table, [f for f in data.schema.fields if f.name != BATCH_COLUMN])
     target = spark.table(table).schema
-    (align(data, target).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").insertInto(table))
+    # only the batch's own partition is replaced
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        align(data, target).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def start_folder_ingest(spark: SparkSession, folder: str, table: str, file_type: str = "csv",
                         pattern: str = "*.csv", checkpoint: str | None = None,
                         max_files_per_trigger: int | None = None, available_now: bool = True,
-                        **read_options) -> StreamingQuery:
+                        recursive: bool = True, **read_options) -> StreamingQuery:
     """Start the ingest stream; with ``available_now`` it loads every file
     not loaded by an earlier run and stops."""
     checkpoint = checkpoint or shared_dir(spark, "streams", table.replace(".", "_"), unique=False)
-    src = spark.readStream.format("binaryFile").option("pathGlobFilter", case_insensitive_glob(pattern))
+    src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+           .option("pathGlobFilter", case_insensitive_glob(pattern))
+           .option("recursiveFileLookup", str(recursive).lower()))
     if max_files_per_trigger:
         src = src.option("maxFilesPerTrigger", str(max_files_per_trigger))
     files = src.load(folder).select("path")
