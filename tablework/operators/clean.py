@@ -155,9 +155,9 @@ def fill_missing(df: DataFrame, value, exclude=LINEAGE_COLUMNS) -> DataFrame:
         if f.name in exclude:
             cols.append(_q(f.name))
         else:
-            fill = F.lit(value).cast(f.dataType) if not isinstance(f.dataType, T.StringType) \
-                else F.lit(str(value))
-            if not isinstance(f.dataType, T.StringType):
+            if isinstance(f.dataType, T.StringType):
+                fill = F.lit(str(value))
+            else:  # a constant: folded once by the optimizer
                 fill = F.expr(f"try_cast({_sql_literal(value)} AS {f.dataType.simpleString()})")
             cols.append(F.coalesce(_q(f.name), fill).alias(f.name))
     return df.select(*cols)
@@ -179,6 +179,9 @@ def quick_clean(df: DataFrame, exclude=LINEAGE_COLUMNS) -> DataFrame:
 
 
 # --------------------------------------------------------------- narrowing
+INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER_PATTERN = (r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?"
+                  r"|(?i:inf|infinity|nan))\s*$")
 _INT_RANGES = (("tinyint", -128, 127), ("smallint", -32768, 32767),
                ("int", -2147483648, 2147483647), ("bigint", None, None))
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -193,8 +196,10 @@ def _narrow_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         f = df.schema[c]
         x = _q(c)
         if isinstance(f.dataType, T.StringType):
-            as_long = F.expr(f"try_cast(`{c}` AS BIGINT)")
-            as_dbl = F.expr(f"try_cast(`{c}` AS DOUBLE)")
+            # gate the casts with a pattern: a failing cast raises and catches
+            # an exception per value, which costs far more than the match
+            as_long = F.when(x.rlike(INTEGER_PATTERN), F.expr(f"try_cast(`{c}` AS BIGINT)"))
+            as_dbl = F.when(x.rlike(NUMBER_PATTERN), F.expr(f"try_cast(`{c}` AS DOUBLE)"))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             as_long = x.cast("bigint")
             as_dbl = x.cast("double")
