@@ -237,14 +237,10 @@ def plan_table_names(files: DataFrame, existing: DataFrame | None = None,
         f = f.join(plain_free, "base_name", "left").fillna({"_plain_free": 0})
     else:
         f = f.withColumn("_plain_free", F.lit(1))
-    # candidates for suffixed names: base_1 .. base_(n + m) where m bounds collisions
+    # candidates for suffixed names: base_1 .. base_(n + m + 1), where n is the
+    # number of files with this base and m the number of taken names that look
+    # like base_<digits> (each can block at most one candidate)
     counts = f.groupBy("base_name").agg(F.count(F.lit(1)).alias("_n"))
-    cand = counts.select(
-        "base_name",
-        F.explode(F.sequence(F.lit(1), F.col("_n") + F.lit(1) + F.lit(0))).alias("_s"),
-    )
-    # a suffixed candidate may itself be taken; widen the candidate range by
-    # the number of taken names that look like base_<digits>
     collide = taken.withColumn("_b", F.regexp_extract("name", r"^(.*)_\d+$", 1)).where(F.col("_b") != "")
     extra = collide.groupBy(F.col("_b").alias("base_name")).agg(F.count(F.lit(1)).alias("_m"))
     counts = counts.join(extra, "base_name", "left").fillna({"_m": 0})

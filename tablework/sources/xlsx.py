@@ -44,10 +44,11 @@ ROW_SCHEMA = ("path string, sheet_index int, sheet_name string, row_number long,
 
 # ------------------------------------------------------------------ parsing
 def _open(path: str):
-    if path.startswith("file:"):
-        return open(urllib.parse.unquote(urllib.parse.urlparse(path).path), "rb")
-    if path.startswith("/"):
-        return open(path, "rb")
+    from tablework.sources.probe import _local_path
+
+    local = _local_path(path)
+    if local is not None:
+        return open(local, "rb")
     from pyarrow import fs as pafs
 
     filesystem, p = pafs.FileSystem.from_uri(path)
@@ -353,8 +354,9 @@ def _workbook_xml(sheet: str) -> str:
 
 
 def _open_out(path: str):
-    if path.startswith("file:"):
-        path = urllib.parse.unquote(urllib.parse.urlparse(path).path)
+    from tablework.sources.probe import _local_path
+
+    path = _local_path(path) or path
     if path.startswith("/"):
         import os
 
