@@ -1330,3 +1330,89 @@ def pipeline_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     res = run_pipeline(spark, parse_pipeline(doc), database=ensure_database(spark, SCRATCH_DB))
     return spark.table(res["output_table"])
+
+
+@query("folder_ingest_generic", _drift_oracle())
+def folder_ingest_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 path for folders with very many distinct headers: one positional
+    read per (encoding, delimiter), header map joined per file (forced here
+    by a group limit of 1)."""
+    from tablework.sources.readers import read_files
+
+    base = _write_drift_folder(spark, sf_dir)
+    df, _ = read_files(spark, base, "csv", recursive=True, policy="upper", max_header_groups=1)
+    return df.select(*_DRIFT_COLS)
+
+
+# ----------------------------------------------------------------- K6 / K7 / B7 import workflows
+@query("bulk_import", _drift_oracle())
+def bulk_import_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: the drifting folder into one table, one union, one write."""
+    from tablework.plans.imports import bulk_import
+
+    base = _write_drift_folder(spark, sf_dir)
+    t = _scratch_table(spark, "orders_bulk")
+    bulk_import(spark, base, t, mode="replace", recursive=True, policy="upper")
+    return spark.table(t).select(*_DRIFT_COLS)
+
+
+@query("merge_csv_append", f"""
+SELECT * FROM ({_drift_oracle()})
+UNION ALL
+SELECT * FROM ({_drift_oracle()}) WHERE PRIORITY IS NOT NULL
+""")
+def merge_csv_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: merge a CSV folder into a CSV output, then append a second folder
+    (re-read, union by name, staged rewrite)."""
+    from pyspark.sql import functions as F
+    from tablework.plans.imports import merge_folder_to_csv
+    from tablework.sources.readers import read_files
+
+    base = _write_drift_folder(spark, sf_dir)
+    out = _scratch(spark, "merged")
+    merge_folder_to_csv(spark, base, out, "create_new", recursive=True, policy="upper", lineage=False)
+    merge_folder_to_csv(spark, f"{base}/g3", out, "append", policy="upper", lineage=False)
+    merge_folder_to_csv(spark, f"{base}/g5", out, "append", policy="upper", lineage=False)
+    df, _ = read_files(spark, out, "csv", lineage=False)
+    return df.select(*_DRIFT_COLS)
+
+
+def _lineitem_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    li = _t(spark, sf_dir, "lineitem")
+    bad = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
+    return li.select(F.col("l_orderkey").cast("string").alias("l_orderkey"),
+                     F.col("l_linenumber").cast("string").alias("l_linenumber"),
+                     F.when(bad, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string")).alias("l_quantity"),
+                     F.col("l_shipdate").cast("date").cast("string").alias("l_shipdate"))
+
+
+_TYPED = "l_orderkey bigint, l_linenumber int, l_quantity double, l_shipdate date"
+
+
+@query("typed_load", """
+SELECT l_orderkey, l_linenumber, l_quantity, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate
+FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_linestatus = 'O')
+""")
+def typed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to a typed schema; convertible rows."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from tablework.plans.imports import typed_with_rejects
+
+    ok, _ = typed_with_rejects(_lineitem_text(spark, sf_dir), T.StructType.fromDDL(_TYPED))
+    return ok.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+
+
+@query("typed_rejects", """
+SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, 'n/a' AS l_quantity, 'l_quantity' AS failed_columns
+FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O'
+""")
+def typed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that do not convert, with the failing columns."""
+    from pyspark.sql import types as T
+    from tablework.plans.imports import typed_with_rejects
+
+    _, rej = typed_with_rejects(_lineitem_text(spark, sf_dir), T.StructType.fromDDL(_TYPED))
+    return rej.select("l_orderkey", "l_quantity", "failed_columns")

@@ -98,6 +98,60 @@ def _read_text_files(spark, probes_rows, *, policy, bad_rows, header, multiline,
     return frames, rej, len(groups)
 
 
+def _read_text_generic(spark, probes_rows, *, policy, bad_rows, header, multiline, quote, escape,
+                       nulls, lineage, order, pad_value, broadcast_limit: int = 100_000):
+    """H1 for folders with very many distinct headers: one positional read per
+    (encoding, delimiter) instead of one per header.  Each line keeps its
+    file path; a join with the per-file header table (one row per file,
+    broadcast only below ``broadcast_limit`` files) turns the positional
+    fields into a name -> value map, projected onto the unified columns.
+    Rows longer than their file's header are detected (``skip_long`` /
+    ``drop_malformed``); short rows cannot be told from trailing empty
+    fields here and are kept NULL-padded."""
+    probes_rows = sorted(probes_rows, key=lambda p: p["path"])
+    width = max(int(p["n_columns"]) for p in probes_rows)
+    names_by_path = {p["path"]: clean_names(list(p["header"]), policy) for p in probes_rows}
+    cols = target_columns(list(names_by_path.values()), order, lineage=())
+    heads = spark.createDataFrame([(k, v, len(v)) for k, v in names_by_path.items()],
+                                  "_path string, _names array<string>, _n int")
+    if len(names_by_path) <= broadcast_limit:
+        heads = F.broadcast(heads)
+    groups: dict[tuple, list[str]] = {}
+    for p in probes_rows:
+        ml = multiline or p["encoding"] == "UTF-16"
+        groups.setdefault((p["encoding"], p["delimiter"], ml), []).append(p["path"])
+    frames, rejected = [], []
+    for (enc, delim, ml), paths in sorted(groups.items(), key=lambda kv: min(kv[1])):
+        raw = _csv_group_read(spark, sorted(paths), width, delimiter=delim, encoding=enc, header=header,
+                              multiline=ml, bad_rows="keep" if bad_rows == "skip_long" else bad_rows,
+                              quote=quote, escape=escape, nulls=nulls)
+        raw = raw.withColumn("_path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"),
+                                                             F.lit("%2B"))))
+        if lineage:
+            raw = raw.withColumn("_source_file", lineage_file_name())
+        raw = raw.join(heads, "_path")
+        fields = F.array(*[F.col(f"_c{i}") for i in range(width)])
+        if bad_rows in ("skip_long", "drop_malformed"):
+            # a field beyond the file's own header width marks a long row
+            beyond = F.exists(F.slice(F.concat(fields, F.array(F.lit(None).cast("string"))),
+                                      F.col("_n") + 1, width + 1), lambda v: v.isNotNull())
+            if bad_rows == "skip_long":
+                rejected.append(raw.where(beyond))
+            raw = raw.where(~beyond)
+        m = F.map_from_arrays(F.col("_names"), F.slice(fields, 1, F.col("_n")))
+        sel = [F.element_at(m, F.lit(c)).alias(c) for c in cols]
+        if pad_value is not None:
+            sel = [F.coalesce(x, F.lit(pad_value)).alias(c) for x, c in zip(sel, cols)]
+        frames.append(raw.select(*sel, *(["_source_file"] if lineage else [])))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    rej = None
+    for r in rejected:
+        rej = r if rej is None else rej.unionByName(r)
+    return out, rej, len(groups)
+
+
 def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv", *,
                pattern: str | None = None, recursive: bool = False, delimiter: str | None = None,
                encoding: str | None = None, header: bool = True, strategy: str = "fast",
@@ -105,7 +159,8 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
                multiline: bool = False, order: str = "first_seen_then_sorted",
                pad_value=None, nulls: str = "null", lineage: bool = True,
                quote: str = '"', escape: str = '"', sheet=None, json_records: str = "auto",
-               drop_empty: bool = False, drop_headers: bool = False) -> tuple[DataFrame, ReadResult]:
+               drop_empty: bool = False, drop_headers: bool = False,
+               max_header_groups: int = MAX_HEADER_GROUPS) -> tuple[DataFrame, ReadResult]:
     """Read one file or a folder of drifting files into one DataFrame.
 
     file_type: csv | tsv | txt | json | parquet | excel.
@@ -143,11 +198,17 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
     if not good:
         raise ValueError(f"no readable files under {path}: {[(r['file_name'], r['error']) for r in rows]}")
     if ft in TEXT_TYPES:
-        frames, rej, n = _read_text_files(spark, good, policy=policy, bad_rows=bad_rows,
-                                          header=header, multiline=multiline, quote=quote,
-                                          escape=escape, nulls=nulls, lineage=lineage)
+        n_headers = len({(r["encoding"], r["delimiter"], tuple(r["header"])) for r in good})
+        if n_headers > max_header_groups:
+            df, rej, n = _read_text_generic(spark, good, policy=policy, bad_rows=bad_rows, header=header,
+                                            multiline=multiline, quote=quote, escape=escape, nulls=nulls,
+                                            lineage=lineage, order=order, pad_value=pad_value)
+        else:
+            frames, rej, n = _read_text_files(spark, good, policy=policy, bad_rows=bad_rows,
+                                              header=header, multiline=multiline, quote=quote,
+                                              escape=escape, nulls=nulls, lineage=lineage)
+            df = union_by_name(frames, order, pad_value, all_string=True)
         result.rejected_rows, result.groups = rej, n
-        df = union_by_name(frames, order, pad_value, all_string=True)
     elif ft == "json":
         df = _read_json(spark, good, policy, order, pad_value, lineage, json_records)
     else:
