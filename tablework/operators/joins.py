@@ -110,12 +110,17 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
     local = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w_local)) \
                 .withColumn("_mt", F.last(F.when(F.col("_side") == 0, F.col("_t")), ignorenulls=True)
                             .over(w_local))
-    lefts = local.where(F.col("_side") == 1)
-    have = lefts.where(F.col("_m").isNotNull()) \
-        .select(*on, "_t", "_l", F.col("_m").alias("_match"), F.col("_mt").alias("_match_t"))
-    need = lefts.where(F.col("_m").isNull()).select(*on, "_b", "_t", "_l")
-    filled = _fill_from_earlier_buckets(need, R.withColumn("_b", F.floor(F.col("_t") / bw).cast("bigint")), on)
-    resolved = have.unionByName(filled)
+    # every left row once, with its in-bucket match (or NULL)
+    lefts = local.where(F.col("_side") == 1).select(*on, "_b", "_t", "_l", "_m", "_mt")
+    # predecessor right row for every (key, bucket) that has left rows: the
+    # bucket list comes straight from the left input (no second window pass)
+    wanted = L.select(*on, F.floor(F.col("_t") / bw).cast("bigint").alias("_b")).distinct()
+    rb = R.withColumn("_b", F.floor(F.col("_t") / bw).cast("bigint"))
+    prev = _previous_bucket_match(wanted, rb, on)
+    resolved = lefts.join(prev, on + ["_b"], "left").select(
+        *on, "_t", "_l",
+        F.coalesce(F.col("_m"), F.col("_prev.r")).alias("_match"),
+        F.coalesce(F.col("_mt"), F.col("_prev.t")).alias("_match_t"))
     if tolerance is not None:
         ok = (F.col("_t") - F.col("_match_t")) <= F.lit(tolerance)
         resolved = resolved.withColumn("_match", F.when(ok, F.col("_match")))
@@ -130,30 +135,25 @@ def rpay_type(right: DataFrame, prefix: str) -> T.DataType:
     return T.StructType([T.StructField(prefix + f.name, f.dataType, True) for f in right.schema.fields])
 
 
-def _fill_from_earlier_buckets(need: DataFrame, right_rows: DataFrame, on: list[str]) -> DataFrame:
-    """Left rows with no right row before them in their own bucket take the
-    last right row of the latest earlier bucket that has one.
+def _previous_bucket_match(wanted: DataFrame, right_rows: DataFrame, on: list[str]) -> DataFrame:
+    """For each wanted (key, bucket): the last right row of the latest
+    earlier bucket of the same key that has right rows.
 
-    Both sides are first reduced to one marker row per (key, bucket): the
-    right side's last row of each bucket, and each bucket that has left rows
-    to fill.  A running window over these markers (partitioned by key,
-    ordered by bucket, right markers after left ones in the same bucket)
-    hands every left bucket its predecessor.  The markers are one row per
-    bucket, so a hot key costs (buckets of that key) rows here, and the final
-    join back is an equi-join on (key, bucket).
-    """
+    Both sides are one marker row per (key, bucket): the right side's last
+    row of each bucket and the buckets that have left rows.  A running
+    window over the markers (partitioned by key, ordered by bucket, right
+    markers after left ones in the same bucket) hands every left bucket its
+    predecessor.  A hot key costs (buckets of that key) rows here, not rows
+    of data."""
     last_in_bucket = right_rows.groupBy(*on, "_b").agg(
         F.max_by(F.struct(F.col("_t").alias("t"), F.col("_r").alias("r")), F.col("_t")).alias("_last"))
-    wanted = need.select(*on, "_b").distinct()
-    markers = (wanted.withColumn("_kind", F.lit(0)).withColumn("_last", F.lit(None).cast(
-        last_in_bucket.schema["_last"].dataType))
-        .unionByName(last_in_bucket.withColumn("_kind", F.lit(1))))
+    markers = (wanted.withColumn("_kind", F.lit(0))
+               .withColumn("_last", F.lit(None).cast(last_in_bucket.schema["_last"].dataType))
+               .unionByName(last_in_bucket.withColumn("_kind", F.lit(1))))
     w = Window.partitionBy(*on).orderBy("_b", "_kind").rowsBetween(Window.unboundedPreceding,
                                                                     Window.currentRow)
-    prev = markers.withColumn("_prev", F.last("_last", ignorenulls=True).over(w)) \
+    return markers.withColumn("_prev", F.last("_last", ignorenulls=True).over(w)) \
         .where(F.col("_kind") == 0).select(*on, "_b", "_prev")
-    j = need.join(prev, on + ["_b"], "left")
-    return j.select(*on, "_t", "_l", F.col("_prev.r").alias("_match"), F.col("_prev.t").alias("_match_t"))
 
 
 # ------------------------------------------------------------------ qualify
