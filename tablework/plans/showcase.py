@@ -196,7 +196,10 @@ SELECT o_orderkey,
   CAST(o_orderdate + INTERVAL 1 MONTH AS VARCHAR) AS f_dateadd,
   CAST(last_day(o_orderdate) AS VARCHAR) AS f_last_day,
   datediff('day', TIMESTAMP '1990-01-01 00:00:00', o_orderdate) AS f_age_days,
-  strftime(o_orderdate, '%Y-%m-%d') AS f_to_char
+  strftime(o_orderdate, '%Y-%m-%d') AS f_to_char,
+  CAST(TRY_CAST(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS VARCHAR) AS f_parse_datetime,
+  CAST(TRY_CAST(strftime(o_orderdate, '%Y') || '-01-01' AS DATE) AS VARCHAR) AS f_parse_date,
+  TRY_CAST(o_orderpriority AS DATE) AS f_parse_bad
 FROM orders
 """)
 def fn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +227,11 @@ def fn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.last_day(ts).cast("string").alias("f_last_day"),
         X.age_days(ts, "1990-01-01 00:00:00").alias("f_age_days"),
         F.date_format(ts, "yyyy-MM-dd").alias("f_to_char"),
+        F.try_to_timestamp(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").cast("string")
+        .alias("f_parse_datetime"),
+        F.call_function("try_to_date", F.date_format(ts, "yyyy"), F.lit("yyyy")).cast("string")
+        .alias("f_parse_date"),
+        F.call_function("try_to_date", F.col("o_orderpriority")).alias("f_parse_bad"),
     )
 
 
@@ -1416,3 +1424,15 @@ def typed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _, rej = typed_with_rejects(_lineitem_text(spark, sf_dir), T.StructType.fromDDL(_TYPED))
     return rej.select("l_orderkey", "l_quantity", "failed_columns")
+
+
+@query("agg_approx")
+def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate distinct count and quantiles (sketches differ between
+    engines, so rows only)."""
+    from pyspark.sql import functions as F
+
+    li = _t(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey").alias("approx_parts"),
+        F.percentile_approx("l_extendedprice", [0.5, 0.9]).alias("price_p50_p90"))

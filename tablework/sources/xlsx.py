@@ -9,7 +9,9 @@ one projection onto the unified column list, so a folder of workbooks with
 drifting headers is still a single scan.
 
 Writing is ``mapInPandas``: every partition streams its rows into its own
-workbook(s), rolling over at the sheet row limit.
+workbook(s), rolling over at the sheet row limit.  Each task attempt writes
+a temporary file and moves it to its deterministic final name when done, so
+a lost executor's retry or a speculative copy never leaves a torn workbook.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ import datetime
 import io
 import json
 import re
-import urllib.parse
 import zipfile
 from xml.etree import ElementTree as ET
 
@@ -368,9 +369,34 @@ def _open_out(path: str):
     return filesystem.open_output_stream(p)
 
 
+def _publish(tmp: str, final: str) -> None:
+    """Move a finished part into place (a retried or speculative attempt
+    writes its own temporary file; the last finished one wins whole)."""
+    from tablework.sources.probe import _local_path
+
+    lt, lf = _local_path(tmp), _local_path(final)
+    if lt is not None and lf is not None:
+        import os
+
+        os.replace(lt, lf)
+        return
+    from pyarrow import fs as pafs
+
+    filesystem, src = pafs.FileSystem.from_uri(tmp)
+    _, dst = pafs.FileSystem.from_uri(final)
+    filesystem.move(src, dst)
+
+
 class _WorkbookWriter:
     def __init__(self, path: str, sheet: str, columns: list[str], numeric: list[bool], widths: list[int]):
-        self.fh = _open_out(path)
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        attempt = f"{ctx.stageId()}-{ctx.taskAttemptId()}" if ctx is not None else "local"
+        head, _, name = path.rpartition("/")
+        self.final = path
+        self.tmp = f"{head}/.{name}.{attempt}.tmp"
+        self.fh = _open_out(self.tmp)
         self.zf = zipfile.ZipFile(self.fh, "w", compression=zipfile.ZIP_DEFLATED)
         self.zf.writestr("[Content_Types].xml", _CONTENT_TYPES)
         self.zf.writestr("_rels/.rels", _ROOT_RELS)
@@ -408,6 +434,7 @@ class _WorkbookWriter:
         self.sheet.close()
         self.zf.close()
         self.fh.close()
+        _publish(self.tmp, self.final)
 
 
 def write_partitions(df: DataFrame, path: str, sheet: str, max_width: int, max_rows: int) -> DataFrame:
