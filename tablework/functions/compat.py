@@ -100,10 +100,33 @@ def age_days(c, since: str) -> Column:
     return F.floor((epoch_micros(c) - start) / 86_400_000_000)
 
 
+def from_unixtime_ntz(seconds) -> Column:
+    """FD35 ``FROM_UNIXTIME`` as a time-zone-free timestamp_ntz."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=_c(seconds).cast("decimal(18,6)"))
+
+
+def parse_datetime(c) -> Column:
+    """FC11 ``PARSE_DATETIME``: text to timestamp_ntz, NULL when it does not parse."""
+    return _c(c).try_cast("timestamp_ntz")
+
+
+def month_start(c) -> Column:
+    """FD13 ``DATE_TRUNC('month', ts)`` as a time-zone-free timestamp_ntz."""
+    return F.trunc(_c(c).cast("date"), "month").cast("timestamp_ntz")
+
+
+def ntz_text(c) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` text of a timestamp_ntz without any time-zone
+    step (``date_format`` first converts to a session-time-zone timestamp,
+    which shifts wall times that fall into a daylight-saving gap)."""
+    return F.substring(_c(c).cast("timestamp_ntz").cast("string"), 1, 19)
+
+
 def time_of_day(c) -> Column:
     """FD9 ``TIME`` as ``HH:mm:ss`` text (the TIME type needs
     ``spark.sql.timeType.enabled``)."""
-    return F.date_format(_c(c), "HH:mm:ss")
+    return F.substring(ntz_text(c), 12, 8)
 
 
 # ---------------------------------------------------------------- json

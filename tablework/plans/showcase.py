@@ -219,17 +219,16 @@ def fn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
         big(X.dayofweek0(ts)).alias("f_dayofweek"), big(X.dayofweek0(ts)).alias("f_weekday"),
         big(F.extract(F.lit("MONTH"), ts)).alias("f_extract"),
         big(F.date_part(F.lit("DAY"), ts)).alias("f_date_part"),
-        F.date_trunc("month", ts).cast("timestamp_ntz").cast("string").alias("f_date_trunc"),
+        X.month_start(ts).cast("string").alias("f_date_trunc"),
         F.date_add(d, 3).cast("string").alias("f_date_add"),
         F.date_sub(d, 3).cast("string").alias("f_date_sub"),
         big(F.datediff(d, F.lit("1995-01-01").cast("date"))).alias("f_datediff"),
         F.expr("dateadd(MONTH, 1, o_orderdate)").cast("string").alias("f_dateadd"),
         F.last_day(ts).cast("string").alias("f_last_day"),
         X.age_days(ts, "1990-01-01 00:00:00").alias("f_age_days"),
-        F.date_format(ts, "yyyy-MM-dd").alias("f_to_char"),
-        F.try_to_timestamp(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").cast("string")
-        .alias("f_parse_datetime"),
-        F.call_function("try_to_date", F.date_format(ts, "yyyy"), F.lit("yyyy")).cast("string")
+        F.to_char(ts.cast("date"), F.lit("yyyy-MM-dd")).alias("f_to_char"),
+        X.parse_datetime(X.ntz_text(ts)).cast("string").alias("f_parse_datetime"),
+        F.call_function("try_to_date", F.year(ts).cast("string"), F.lit("yyyy")).cast("string")
         .alias("f_parse_date"),
         F.call_function("try_to_date", F.col("o_orderpriority")).alias("f_parse_bad"),
     )
@@ -256,8 +255,7 @@ def fn_time(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.second(ts).cast("bigint").alias("f_second"), X.microsecond(ts).alias("f_microsecond"),
         X.time_of_day(ts).alias("f_time"),
         X.epoch_micros(ts).alias("f_epoch_us"),
-        F.date_format(F.timestamp_seconds(F.col("event_id") * 86400).cast("timestamp_ntz"),
-                      "yyyy-MM-dd HH:mm:ss").alias("f_from_unixtime"),
+        X.ntz_text(X.from_unixtime_ntz(F.col("event_id") * 86400)).alias("f_from_unixtime"),
     )
 
 

@@ -34,3 +34,19 @@ def test_scan_prunes_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double," in plan
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan
+
+
+@pytest.mark.parametrize("name", ["fn_date", "fn_time", "join_asof", "join_range"])
+def test_results_do_not_depend_on_session_time_zone(spark, name):
+    """timestamp_ntz data: the same rows under UTC and under a zone whose
+    daylight-saving switch happens at midnight."""
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "UTC")
+        a = sorted(map(tuple, E.queries()[name](spark, SF_SMALL).collect()), key=repr)
+        spark.conf.set(key, "America/Sao_Paulo")
+        b = sorted(map(tuple, E.queries()[name](spark, SF_SMALL).collect()), key=repr)
+    finally:
+        spark.conf.set(key, before)
+    assert a == b
