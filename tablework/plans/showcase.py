@@ -199,7 +199,9 @@ SELECT o_orderkey,
   strftime(o_orderdate, '%Y-%m-%d') AS f_to_char,
   CAST(TRY_CAST(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS VARCHAR) AS f_parse_datetime,
   CAST(TRY_CAST(strftime(o_orderdate, '%Y') || '-01-01' AS DATE) AS VARCHAR) AS f_parse_date,
-  TRY_CAST(o_orderpriority AS DATE) AS f_parse_bad
+  TRY_CAST(o_orderpriority AS DATE) AS f_parse_bad,
+  CAST(CAST('2024-01-07 01:02:03' AS TIMESTAMP) AS VARCHAR) AS f_datetime,
+  CAST(o_orderdate + INTERVAL 90 MINUTE AS VARCHAR) AS f_to_timestamp
 FROM orders
 """)
 def fn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +233,9 @@ def fn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.call_function("try_to_date", F.year(ts).cast("string"), F.lit("yyyy")).cast("string")
         .alias("f_parse_date"),
         F.call_function("try_to_date", F.col("o_orderpriority")).alias("f_parse_bad"),
+        F.lit("2024-01-07 01:02:03").cast("timestamp_ntz").cast("string").alias("f_datetime"),
+        X.parse_datetime(F.concat(X.ntz_text(ts).substr(1, 11), F.lit("01:30:00"))).cast("string")
+        .alias("f_to_timestamp"),
     )
 
 
@@ -1434,3 +1439,20 @@ def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("l_returnflag").agg(
         F.approx_count_distinct("l_partkey").alias("approx_parts"),
         F.percentile_approx("l_extendedprice", [0.5, 0.9]).alias("price_p50_p90"))
+
+
+@query("numeric_nan_to_null", """
+SELECT event_id, CASE WHEN event_type IN ('error', 'view', 'signup') THEN NULL ELSE value END AS value
+FROM events
+""")
+def numeric_nan_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN and +-infinity in numeric columns become NULL."""
+    from pyspark.sql import functions as F
+    from tablework.operators.clean import numeric_nan_to_null as to_null
+
+    e = _t(spark, sf_dir, "events")
+    v = (F.when(F.col("event_type") == "error", F.lit(float("nan")))
+         .when(F.col("event_type") == "view", F.lit(float("inf")))
+         .when(F.col("event_type") == "signup", F.lit(float("-inf")))
+         .otherwise(F.col("value")))
+    return to_null(e.select("event_id", v.alias("value")))

@@ -66,3 +66,31 @@ def test_typed_with_rejects(spark):
     ok, rej = typed_with_rejects(df, T.StructType.fromDDL("a int, d date"))
     assert rows(ok.selectExpr("a", "CAST(d AS STRING) d")) == [(1, "2024-01-01")]
     assert rows(rej, ["a", "failed_columns"]) == [("x", "a"), (None, "d")]
+
+
+def test_pipeline_validation_and_failure_policy(spark, tmp):
+    import pytest
+    from tablework.plans.pipeline import parse_pipeline, run_pipeline
+
+    with pytest.raises(ValueError):
+        parse_pipeline({"sources": [{"path": "/a", "table_name": "t"}, {"path": "/b", "table_name": "T"}]})
+    write(tmp / "ok", "x.csv", "a\n1\n")
+    doc = {"sources": [{"mode": "folder", "path": str(tmp / "missing"), "table_name": "gone"},
+                       {"mode": "folder", "path": str(tmp / "ok"), "table_name": "fine"}],
+           "on_error": "skip"}
+    res = run_pipeline(spark, parse_pipeline(doc), database=ensure_database(spark, "tw_test_p6"))
+    assert res["sources_processed"] == 1 and [e["source"] for e in res["errors"]] == ["gone"]
+    doc["on_error"] = "stop"
+    with pytest.raises(Exception):
+        run_pipeline(spark, parse_pipeline(doc), database=ensure_database(spark, "tw_test_p6"))
+
+
+def test_metadata_helpers(spark):
+    from tablework.operators.results import columns_of
+    from tablework.sinks.tables import table_exists, table_schema
+
+    db = ensure_database(spark, "tw_test_meta")
+    write_table(spark.createDataFrame([(1, "a")], "id int, s string"), f"{db}.m", "replace")
+    assert table_exists(spark, f"{db}.m") and not table_exists(spark, f"{db}.nope")
+    assert table_schema(spark, f"{db}.m") == {"id": "int", "s": "string"}
+    assert columns_of(spark.table(f"{db}.m")) == [("id", "int"), ("s", "string")]
