@@ -69,12 +69,22 @@ def _csv_group_read(spark: SparkSession, paths: list[str], n_fields: int, *, del
     return r.csv(paths)
 
 
+def _needs_multiline(probe: dict, multiline) -> bool:
+    """H3: quoted fields with line breaks need ``multiLine`` (one task per
+    file).  ``"auto"`` turns it on only for files whose probed head shows an
+    open quote across a line end, and for UTF-16 files (which Spark only
+    decodes correctly that way); other files stay splittable."""
+    if multiline is True or probe["encoding"] == "UTF-16":
+        return True
+    return multiline == "auto" and bool(probe.get("quoted_newline_hint"))
+
+
 def _read_text_files(spark, probes_rows, *, policy, bad_rows, header, multiline, quote, escape,
                      nulls, lineage):
     groups: dict[tuple, list[str]] = {}
     for p in probes_rows:
         enc = p["encoding"]
-        ml = multiline or enc == "UTF-16"
+        ml = _needs_multiline(p, multiline)
         key = (enc, p["delimiter"], tuple(p["header"]), ml)
         groups.setdefault(key, []).append(p["path"])
     frames, rejected = [], []
@@ -118,7 +128,7 @@ def _read_text_generic(spark, probes_rows, *, policy, bad_rows, header, multilin
         heads = F.broadcast(heads)
     groups: dict[tuple, list[str]] = {}
     for p in probes_rows:
-        ml = multiline or p["encoding"] == "UTF-16"
+        ml = _needs_multiline(p, multiline)
         groups.setdefault((p["encoding"], p["delimiter"], ml), []).append(p["path"])
     frames, rejected = [], []
     for (enc, delim, ml), paths in sorted(groups.items(), key=lambda kv: min(kv[1])):
@@ -156,7 +166,7 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
                pattern: str | None = None, recursive: bool = False, delimiter: str | None = None,
                encoding: str | None = None, header: bool = True, strategy: str = "fast",
                policy: str = "keep_case", types: str = "string", bad_rows: str = "keep",
-               multiline: bool = False, order: str = "first_seen_then_sorted",
+               multiline: bool | str = "auto", order: str = "first_seen_then_sorted",
                pad_value=None, nulls: str = "null", lineage: bool = True,
                quote: str = '"', escape: str = '"', sheet=None, json_records: str = "auto",
                drop_empty: bool = False, drop_headers: bool = False,
