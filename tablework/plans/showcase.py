@@ -58,7 +58,7 @@ def pipeline_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
              "file_type": "parquet", "load": "view"},
         ],
         "sql_query": ENRICH_SQL,
-        "output_table": "enriched_orders",
+        "output_table": f"enriched_orders_{_dir_tag(sf_dir)}",
     }
     res = run_pipeline(spark, parse_pipeline(doc), database=db)
     return spark.table(res["output_table"])
@@ -894,8 +894,18 @@ def sorted_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------- K1-K7, Q29-Q31, R10-R11 tables
-def _scratch_table(spark: SparkSession, name: str) -> str:
-    return f"{ensure_database(spark, SCRATCH_DB)}.{name}"
+def _scratch_table(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """A scratch table name per query and input folder, so results built
+    from different scale factors never share a table."""
+    return f"{ensure_database(spark, SCRATCH_DB)}.{name}_{_dir_tag(sf_dir)}"
+
+
+def _dir_tag(sf_dir: str) -> str:
+    import hashlib
+    import re
+
+    base = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.rstrip("/").rsplit("/", 1)[-1]).strip("_")
+    return f"{base}_{hashlib.sha1(sf_dir.encode()).hexdigest()[:6]}"
 
 
 @query("table_update", """
@@ -909,7 +919,7 @@ def table_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q31 UPDATE on a parquet table (staged rewrite + rename)."""
     from tablework.sinks.tables import update_where, write_table
 
-    t = _scratch_table(spark, "orders_update")
+    t = _scratch_table(spark, "orders_update", sf_dir)
     src = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     write_table(src, t, mode="replace")
     update_where(spark, t, {"o_orderstatus": "'X'", "o_totalprice": "o_totalprice * 2"},
@@ -925,7 +935,7 @@ def table_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q31 DELETE on a parquet table."""
     from tablework.sinks.tables import delete_where, write_table
 
-    t = _scratch_table(spark, "orders_delete")
+    t = _scratch_table(spark, "orders_delete", sf_dir)
     write_table(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), t)
     delete_where(spark, t, "o_orderstatus = 'P' AND o_totalprice < 100000")
     return spark.table(t)
@@ -936,7 +946,7 @@ def table_drop_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DROP COLUMN on parquet = staged rewrite without the column."""
     from tablework.sinks.tables import drop_column, write_table
 
-    t = _scratch_table(spark, "customer_drop")
+    t = _scratch_table(spark, "customer_drop", sf_dir)
     write_table(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), t)
     drop_column(spark, t, "c_acctbal")
     return spark.table(t)
@@ -953,7 +963,7 @@ def table_append_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     from tablework.sinks.tables import drop_table, write_table
 
-    t = _scratch_table(spark, "people_evolve")
+    t = _scratch_table(spark, "people_evolve", sf_dir)
     drop_table(spark, t)
     write_table(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"),
                                                      F.col("c_name").alias("name")), t, mode="append")
@@ -973,7 +983,7 @@ def table_ctas_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q29 CREATE TABLE AS, Q30 INSERT INTO ... SELECT, K1 create-fails-if-exists."""
     from tablework.sinks.tables import drop_table, write_table
 
-    t = _scratch_table(spark, "ctas_counts")
+    t = _scratch_table(spark, "ctas_counts", sf_dir)
     drop_table(spark, t)
     register(spark, sf_dir, ["nation", "customer"])
     write_table(spark.sql("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"), t, mode="create")
@@ -1291,7 +1301,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     o = _t(spark, sf_dir, "orders")
     folder = _scratch(spark, "incoming")
-    table = _scratch_table(spark, "orders_stream")
+    table = _scratch_table(spark, "orders_stream", sf_dir)
     drop_table(spark, table)
     ckpt = _scratch(spark, "stream_ckpt")
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
@@ -1335,7 +1345,7 @@ def pipeline_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"mode": "csv_folder", "folder_path": f"{base}/customers", "table_name": "customers",
              "file_pattern": "*.csv"},
         ],
-        "sql_query": ("CREATE TABLE finished_sales AS SELECT s.o_orderkey AS order_key, c.c_name AS customer_name, "
+        "sql_query": (f"CREATE TABLE finished_sales_{_dir_tag(sf_dir)} AS SELECT s.o_orderkey AS order_key, c.c_name AS customer_name, "
                       "s.o_totalprice AS total FROM sales s LEFT JOIN customers c ON s.o_custkey = c.c_custkey "
                       "WHERE s.o_orderstatus = 'F'"),
     }
@@ -1362,7 +1372,7 @@ def bulk_import_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablework.plans.imports import bulk_import
 
     base = _write_drift_folder(spark, sf_dir)
-    t = _scratch_table(spark, "orders_bulk")
+    t = _scratch_table(spark, "orders_bulk", sf_dir)
     bulk_import(spark, base, t, mode="replace", recursive=True, policy="upper")
     return spark.table(t).select(*_DRIFT_COLS)
 
