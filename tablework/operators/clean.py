@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tablework.operators.names import dedupe_names
 from tablework.operators.schema import LINEAGE_COLUMNS
+from tablework.session import spread_for_cpu
 
 # --- fixed values: must equal the reference's behaviour ----------------------
 NULL_TOKENS = ("nan", "NaN", "None", "null", "NULL", "")
@@ -88,7 +89,7 @@ def sanitize(df: DataFrame, tokens=NULL_TOKENS, max_len: int = MAX_TEXT_LEN,
     names = dedupe_names(names)
     cols = [(_q(c) if c in exclude else sanitize_value_expr(_q(c), tokens, max_len)).alias(n)
             for c, n in zip(df.columns, names)]
-    out = df.select(*cols)
+    out = spread_for_cpu(df).select(*cols)
     return drop_empty_rows(out, exclude) if drop_empty else out
 
 

@@ -79,3 +79,15 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     if unique:
         path += f"/{uuid.uuid4().hex[:12]}"
     return path
+
+
+def spread_for_cpu(df, min_partitions: int | None = None):
+    """Round-robin repartition before CPU-heavy row work when the input has
+    fewer partitions than the cluster has cores (a small file, or one parquet
+    row group, is read by a single task).  Inputs that already have at least
+    that many partitions - every large input - are returned unchanged, so no
+    shuffle is added at scale."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df
