@@ -154,3 +154,30 @@ def snapshot(df: DataFrame, order: list[Column | str], partitions: int | None =
         bases.append((int(r["_pid"]), first, int(r["min_id"]), int(r["n"])))
         first += int(r["n"])
     return Snapshot(path=path, df=snap, bases=bases)
+
+
+@dataclass
+class OpenResult:
+    """R1 + R3 + R4 together: a small result is fetched whole (bounded by the
+    threshold); a large one is snapshotted once and served page by page."""
+    columns: list[tuple[str, str]]
+    rows: list | None = None
+    snap: Snapshot | None = None
+
+    @property
+    def paged(self) -> bool:
+        return self.snap is not None
+
+    def page(self, number: int, size: int = PAGE_SIZE) -> list:
+        if self.snap is None:
+            return self.rows[number * size:(number + 1) * size]
+        return [r for r in self.snap.page(number, size).orderBy("_row").collect()]
+
+
+def open_result(df: DataFrame, order: list[Column | str], threshold: int = PAGE_THRESHOLD) -> OpenResult:
+    """Fetch at most ``threshold`` rows eagerly, otherwise page over a
+    snapshot ordered by ``order`` (give a unique tie-breaker for stable pages)."""
+    head = df.limit(threshold + 1).collect()
+    if len(head) <= threshold:
+        return OpenResult(columns_of(df), rows=head)
+    return OpenResult(columns_of(df), snap=snapshot(df, order))

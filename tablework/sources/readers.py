@@ -10,6 +10,7 @@ itself is only ever read by Spark's own file sources, split by
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -232,11 +233,22 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
     return df, result
 
 
+_DATA_EXTENSIONS = (".csv", ".tsv", ".txt", ".json", ".jsonl", ".ndjson", ".parquet", ".xlsx", ".xlsm",
+                    ".xls", ".gz", ".bz2", ".zst", ".snappy")
+
+
 def _is_folder(spark: SparkSession, path) -> bool:
+    """A folder gets the file type's default pattern; a single file is read
+    whatever its extension.  Local paths are checked on disk; for other
+    schemes a path ending in a data-file extension is taken as a file."""
     if not isinstance(path, str):
         return True
-    last = path.rstrip("/").rsplit("/", 1)[-1]
-    return "." not in last or path.endswith("/")
+    from tablework.sources.probe import _local_path
+
+    local = _local_path(path)
+    if local is not None and os.path.exists(local):
+        return os.path.isdir(local)
+    return path.endswith("/") or not path.lower().endswith(_DATA_EXTENSIONS)
 
 
 def _read_json(spark, rows, policy, order, pad_value, lineage, records):

@@ -76,3 +76,12 @@ def test_snapshot_pages_cover_result_without_overlap(spark):
 def test_should_page_is_bounded(spark):
     assert should_page(spark.range(10), threshold=5)
     assert not should_page(spark.range(5), threshold=5)
+
+
+def test_open_result_eager_and_paged(spark):
+    from tablework.operators.results import open_result
+
+    small = open_result(spark.range(10), ["id"], threshold=100)
+    assert not small.paged and len(small.page(0, 5)) == 5
+    big = open_result(spark.range(250), ["id"], threshold=100)
+    assert big.paged and [r["id"] for r in big.page(2, 100)] == list(range(200, 250))
