@@ -195,18 +195,17 @@ def missing_columns(table_schema: T.StructType | list[str], df: DataFrame) -> li
 
 def column_mismatch_report(listing: DataFrame, columns_col: str = "columns",
                            file_col: str = "path") -> DataFrame:
-    """Per file, which unified columns it lacks and which extra ones it has.
+    """Per file, which unified columns it lacks.
 
     ``listing`` has one row per file and an array of (cleaned) column names.
-    One aggregation builds the unified set; a broadcast of that single row
-    (size = number of distinct columns) feeds ``array_except`` per file.
+    The unified set is one aggregation used as a scalar subquery (one value:
+    the distinct column names), fed to ``array_except`` per file.
     """
-    allcols = listing.select(F.array_sort(F.array_distinct(F.flatten(F.collect_list(columns_col))))
-                             .alias("_all"))
-    return (listing.crossJoin(F.broadcast(allcols))
-            .select(file_col, columns_col,
-                    F.array_except("_all", columns_col).alias("missing_columns"),
-                    F.size(F.array_except("_all", columns_col)).alias("n_missing")))
+    exploded = listing.select(F.explode(columns_col).alias("_c")).distinct()
+    allcols = exploded.agg(F.array_sort(F.collect_list("_c")).alias("_all")).scalar()
+    missing = F.array_except(allcols, F.col(columns_col))
+    return listing.select(file_col, columns_col, missing.alias("missing_columns"),
+                          F.size(missing).alias("n_missing"))
 
 
 def lineage_file_name() -> Column:
