@@ -272,11 +272,11 @@ SELECT seg.c_mktsegment, count(*) AS customers, CAST(sum(big.n) AS BIGINT) AS bi
 FROM big JOIN seg ON big.o_custkey = seg.c_custkey GROUP BY seg.c_mktsegment
 """)
 _add("recursive_cte", """
-WITH RECURSIVE months(m) AS (
-  SELECT min(year(o_orderdate) * 12 + month(o_orderdate) - 1) FROM orders
+WITH RECURSIVE months(m, hi) AS (
+  SELECT min(year(o_orderdate) * 12 + month(o_orderdate) - 1),
+         max(year(o_orderdate) * 12 + month(o_orderdate) - 1) FROM orders
   UNION ALL
-  SELECT m + 1 FROM months
-  WHERE m < (SELECT max(year(o_orderdate) * 12 + month(o_orderdate) - 1) FROM orders)
+  SELECT m + 1, hi FROM months WHERE m < hi
 )
 SELECT CAST(m AS BIGINT) AS month_index, count(o.o_orderkey) AS n_orders
 FROM months LEFT JOIN orders o ON year(o.o_orderdate) * 12 + month(o.o_orderdate) - 1 = m

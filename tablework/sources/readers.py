@@ -65,8 +65,6 @@ def _csv_group_read(spark: SparkSession, paths: list[str], n_fields: int, *, del
          .option("multiLine", str(multiline).lower())
          .option("mode", mode)
          .option("enforceSchema", "true"))
-    if nulls == "keep_empty":
-        r = r.option("nullValue", "\u0000__never__").option("emptyValue", "")
     return r.csv(paths)
 
 
@@ -100,6 +98,10 @@ def _read_text_files(spark, probes_rows, *, policy, bad_rows, header, multiline,
             raw = raw.where(F.col(EXTRA_FIELD).isNull()).drop(EXTRA_FIELD)
         names = clean_names(list(hdr), policy)
         renamed = raw.toDF(*(names + (["_source_file"] if lineage else [])))
+        if nulls == "keep_empty":
+            # the CSV parser reads an empty field as NULL; the file does have the column
+            renamed = renamed.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names],
+                                     *(["_source_file"] if lineage else []))
         frames.append(renamed)
     rej = None
     if rejected:
@@ -151,6 +153,9 @@ def _read_text_generic(spark, probes_rows, *, policy, bad_rows, header, multilin
             raw = raw.where(~beyond)
         m = F.map_from_arrays(F.col("_names"), F.slice(fields, 1, F.col("_n")))
         sel = [F.element_at(m, F.lit(c)).alias(c) for c in cols]
+        if nulls == "keep_empty":
+            sel = [F.when(F.array_contains("_names", F.lit(c)), F.coalesce(x, F.lit(""))).alias(c)
+                   for x, c in zip(sel, cols)]
         if pad_value is not None:
             sel = [F.coalesce(x, F.lit(pad_value)).alias(c) for x, c in zip(sel, cols)]
         frames.append(raw.select(*sel, *(["_source_file"] if lineage else [])))
@@ -178,6 +183,8 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
     types: ``string`` (all text), ``infer`` (one aggregation pass picks the
     narrowest lossless type per unified column, C7), ``native`` (parquet/json
     native types).
+    nulls: ``null`` (empty fields are NULL) or ``keep_empty`` (empty fields
+    of a file's own columns stay ``''``; absent columns get ``pad_value``).
     bad_rows: ``keep`` (short rows padded, long rows cut), ``drop_malformed``
     (B1, both dropped), ``skip_long`` (B2: long rows go to ``rejected_rows``),
     ``fail``.
