@@ -1466,3 +1466,20 @@ def numeric_nan_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("event_type") == "signup", F.lit(float("-inf")))
          .otherwise(F.col("value")))
     return to_null(e.select("event_id", v.alias("value")))
+
+
+@query("import_report", """
+SELECT CASE WHEN o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 3 ELSE 4 END AS n_columns,
+       'ok' AS status, count(*) AS rows
+FROM orders GROUP BY 1
+""")
+def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-file import report (status, columns, rows loaded),
+    rolled up by column count since part-file names are random."""
+    from pyspark.sql import functions as F
+    from tablework.sources.readers import read_files
+
+    base = _write_drift_folder(spark, sf_dir)
+    df, res = read_files(spark, base, "csv", recursive=True, policy="upper")
+    rep = res.report(df)
+    return rep.groupBy("n_columns", "status").agg(F.sum("rows").cast("bigint").alias("rows"))
