@@ -82,3 +82,38 @@ def test_plan_table_names_unique(spark):
     assert out["b.csv"] not in ("b",)
     assert len(set(out.values())) == len(out)
     assert "a_2" not in out.values()
+
+
+def _plan_brute(files, existing):
+    bases = {f: clean_table_name(f.rsplit(".", 1)[0] if "." in f else f) for f in files}
+    taken = {e.lower() for e in existing} | {b.lower() for b in bases.values()}
+    used = set()
+    out = {}
+    for base in sorted(set(bases.values())):
+        group = sorted(f for f in files if bases[f] == base)
+        k = 0
+        for i, f in enumerate(group):
+            if i == 0 and base not in {e.lower() for e in existing}:
+                out[f] = base
+                continue
+            while True:
+                k += 1
+                cand = f"{base}_{k}"
+                if cand not in taken and cand not in used:
+                    break
+            used.add(cand)
+            out[f] = cand
+    return out
+
+
+def test_plan_table_names_matches_brute_force(spark):
+    rnd = random.Random(11)
+    stems = ["a", "A", "a_1", "a_2", "b", "select", "2024", "x y", "x-y", "a 1"]
+    for trial in range(4):
+        files = sorted({f"{rnd.choice(stems)}{rnd.choice(['', '', ' '])}.{rnd.choice(['csv', 'CSV'])}"
+                        for _ in range(12)})
+        existing = rnd.sample(["a", "a_1", "a_3", "b_1", "tbl_select", "x_y"], 3)
+        fdf = spark.createDataFrame([(f,) for f in files], "file_name string")
+        edf = spark.createDataFrame([(e,) for e in existing], "name string")
+        got = {r["file_name"]: r["table_name"] for r in plan_table_names(fdf, edf).collect()}
+        assert got == _plan_brute(files, existing), (files, existing)
