@@ -1483,3 +1483,19 @@ def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, res = read_files(spark, base, "csv", recursive=True, policy="upper")
     rep = res.report(df)
     return rep.groupBy("n_columns", "status").agg(F.sum("rows").cast("bigint").alias("rows"))
+
+
+@query("row_number_hot_keys", """
+SELECT o_orderkey, o_custkey,
+       row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS row_number
+FROM orders
+""")
+def row_number_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 over a key with very few values (a third of the rows each): numbered
+    by range partitions instead of one task per key."""
+    from pyspark.sql import functions as F
+    from tablework.operators.windows import row_number_by_range
+
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    out = row_number_by_range(o, ["o_orderstatus"], [F.col("o_orderdate"), F.col("o_orderkey")])
+    return out.select("o_orderkey", "o_custkey", "row_number")
