@@ -298,11 +298,13 @@ def validate(df: DataFrame, table_name: str | None, mode: str = "create",
     lowered = [c.lower() for c in cols]
     dups = sorted({c for c in cols if lowered.count(c.lower()) > 1})
     if dups:
-        out.append(("warning", "duplicate_columns", f"Duplicate column names found: {dups} - they will be renamed"))
+        out.append(("warning", "duplicate_columns",
+                    f"Duplicate column names found: {', '.join(dups)} - they will be renamed"))
     bad = [("(empty column name)" if not c.strip() else f"'{c}' (starts with number)")
            for c in cols if not c.strip() or c.strip()[:1].isdigit()]
     if bad:
-        out.append(("warning", "problem_column_names", f"Problematic column names will be cleaned: {bad}"))
+        out.append(("warning", "problem_column_names",
+                    f"Problematic column names will be cleaned: {', '.join(bad)}"))
     n = df.limit(LARGE_ROW_WARNING + 1).count()
     if n == 0:
         out.append(("error", "empty", "No data to import - the file appears to be empty"))
