@@ -176,13 +176,17 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
                pad_value=None, nulls: str = "null", lineage: bool = True,
                quote: str = '"', escape: str = '"', sheet=None, json_records: str = "auto",
                drop_empty: bool = False, drop_headers: bool = False,
-               max_header_groups: int = MAX_HEADER_GROUPS) -> tuple[DataFrame, ReadResult]:
+               max_header_groups: int = MAX_HEADER_GROUPS,
+               encoding_check: str = "full") -> tuple[DataFrame, ReadResult]:
     """Read one file or a folder of drifting files into one DataFrame.
 
     file_type: csv | tsv | txt | json | parquet | excel.
     types: ``string`` (all text), ``infer`` (one aggregation pass picks the
     narrowest lossless type per unified column, C7), ``native`` (parquet/json
     native types).
+    encoding_check: ``full`` (default) confirms a UTF-8 head over the whole
+    file in the probe, so a stray cp1252 byte anywhere is honoured; ``head``
+    trusts the first 8 KB (one read of the data instead of two).
     nulls: ``null`` (empty fields are NULL) or ``keep_empty`` (empty fields
     of a file's own columns stay ``''``; absent columns get ``pad_value``).
     bad_rows: ``keep`` (short rows padded, long rows cut), ``drop_malformed``
@@ -206,7 +210,8 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
         return _read_parquet(spark, path, pattern or (default_pattern if _is_folder(spark, path) else None),
                              recursive, policy, order, pad_value, lineage)
     probes = describe_files(spark, path, pattern or (default_pattern if _is_folder(spark, path) else None),
-                            recursive, delimiter, strategy, header, encoding)
+                            recursive, delimiter, strategy, header, encoding,
+                            encoding_check=encoding_check)
     # one small row per file: the file list itself has to be on the driver
     # for the reads below, exactly as Spark's own file index holds it.
     rows = [r.asDict() for r in probes.collect()]
