@@ -46,8 +46,8 @@ WHERE o.o_orderdate >= '1998-01-01'
 """
 
 
-@query("pipeline_enrich", ENRICH_SQL.replace("'1998-01-01'", "TIMESTAMP '1998-01-01 00:00:00'"))
-def pipeline_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("automation_enrich", ENRICH_SQL.replace("'1998-01-01'", "TIMESTAMP '1998-01-01 00:00:00'"))
+def automation_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """README workflow: two sources, LEFT JOIN + date filter, output table."""
     db = ensure_database(spark, SCRATCH_DB)
     doc = {
@@ -1331,12 +1331,12 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("_ingest_batch", "_source_file")
 
 
-@query("pipeline_folder", """
+@query("automation_folder", """
 SELECT CAST(o.o_orderkey AS VARCHAR) AS order_key, c.c_name AS customer_name, CAST(o.o_totalprice AS VARCHAR) AS total
 FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 WHERE o.o_orderstatus = 'F'
 """)
-def pipeline_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+def automation_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1/P2 in the folder dialect: a CSV folder source (files appended
     over time) + a single-file source, one SQL, output table."""
     from pyspark.sql import functions as F
