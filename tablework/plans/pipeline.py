@@ -134,7 +134,7 @@ def load_source(spark: SparkSession, src: SourceSpec) -> DataFrame:
 
     if src.mode == "table":
         return spark.table(src.path)
-    opts = dict(src.options)
+    opts = {k: v for k, v in src.options.items() if k not in ("partition_by", "bucket_by")}
     if src.file_pattern:
         opts.setdefault("pattern", src.file_pattern)
     if src.file_type == "excel":
@@ -175,7 +175,8 @@ def run_pipeline(spark: SparkSession, spec: PipelineSpec | dict | str,
                 df.createOrReplaceTempView(src.table_name)
                 rows = None
             else:
-                tables.write_table(df, target, mode=src.load)
+                layout = {k: src.options[k] for k in ("partition_by", "bucket_by") if k in src.options}
+                tables.write_table(df, target, mode=src.load, **layout)
                 rows = spark.table(target).count()
                 spark.table(target).createOrReplaceTempView(src.table_name)
                 result["tables_created"].append(target)

@@ -63,9 +63,15 @@ def _staged_replace(df: DataFrame, name: str, fmt: str = "parquet") -> None:
 
 
 def write_table(df: DataFrame, name: str, mode: str = "replace", fmt: str = "parquet",
-                partition_by: list[str] | None = None, on_type_conflict: str = "widen") -> str:
+                partition_by: list[str] | None = None, on_type_conflict: str = "widen",
+                bucket_by: tuple[int, list[str]] | None = None) -> str:
     """Write ``df`` as table ``name``.
 
+    ``partition_by`` lays the table out in directories (filters on those
+    columns prune whole directories); ``bucket_by=(n, columns)`` hash-buckets
+    it so later joins / aggregations on those columns with tables bucketed
+    the same way need no shuffle.
+
     * ``create`` (K1): fails if the table exists.
     * ``replace`` (K2, K16): drop + create; staged when ``df`` reads ``name``.
     * ``append`` / ``append_evolve`` (K3-K5): by name; a missing table is
@@ -79,6 +85,9 @@ def write_table(df: DataFrame, name: str, mode: str = "replace", fmt: str = "par
     writer = df.write.format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if bucket_by:
+        n, cols = bucket_by
+        writer = writer.bucketBy(int(n), *cols).sortBy(*cols)
     exists = spark.catalog.tableExists(name)
     if mode == "create":
         if exists:
@@ -140,7 +149,6 @@ def append_evolve(df: DataFrame, name: str, fmt: str = "parquet",
         old = spark.table(name)
         _staged_replace(old.select(*[F.col(f"`{c}`").cast(widen[c]).alias(c) if c in widen
                                      else F.col(f"`{c}`") for c in old.columns]), name, fmt)
-        current = spark.table(name).schema
     added = add_missing_columns(spark, name, [f for f in df.schema.fields])
     target = spark.table(name).schema
     align(df, target).write.insertInto(name)

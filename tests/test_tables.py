@@ -58,3 +58,22 @@ def test_listing_and_digest(spark, db):
     spark.sql(f"CREATE TABLE IF NOT EXISTS {db}.t9 (a int) USING parquet")
     d2 = schema_digest(list_tables(spark, db)).first()["digest"]
     assert d1 != d2
+
+
+def test_bucketed_tables_join_without_shuffle(spark, db):
+    from pyspark.sql import functions as F
+
+    a = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    b = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("w"))
+    write_table(a, f"{db}.ba", "replace", bucket_by=(8, ["k"]))
+    write_table(b, f"{db}.bb", "replace", bucket_by=(8, ["k"]))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        j = spark.table(f"{db}.ba").join(spark.table(f"{db}.bb"), "k")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 2000
+    finally:
+        spark.conf.set(key, before)
