@@ -184,17 +184,20 @@ def decode(c, *pairs_and_default) -> Column:
 
 
 # ---------------------------------------------------------------- quantifiers (Q8)
+def _set_stats(sub: DataFrame, col: str):
+    """min, max, count(*), count(col) of the subquery set as ONE scalar
+    subquery (a struct), so the set is aggregated once per comparison."""
+    s = sub.agg(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx"),
+                         F.count(F.lit(1)).alias("n"), F.count(col).alias("nn")).alias("s")).scalar()
+    return s["mn"], s["mx"], s["n"], s["nn"]
+
+
 def compare_all(c, op: str, sub: DataFrame, col: str) -> Column:
     """``c <op> ALL (SELECT col FROM sub)`` for op in > >= < <= = - Spark
     rejects quantified subqueries.  Rewritten to scalar subqueries over one
     aggregation: true on an empty set; NULL when a NULL takes part and no
     value decides.  ``<> ALL`` is ``NOT IN`` (a null-aware anti join)."""
-    stats = sub.agg(F.min(col).alias("mn"), F.max(col).alias("mx"),
-                    F.count(F.lit(1)).alias("n"), F.count(col).alias("nn"))
-    mn = stats.select("mn").scalar()
-    mx = stats.select("mx").scalar()
-    n = stats.select("n").scalar()
-    nn = stats.select("nn").scalar()
+    mn, mx, n, nn = _set_stats(sub, col)
     c = _c(c)
     core = {">": c > mx, ">=": c >= mx, "<": c < mn, "<=": c <= mn,
             "=": (c == mn) & (c == mx)}[op]
@@ -210,12 +213,7 @@ def compare_all(c, op: str, sub: DataFrame, col: str) -> Column:
 
 def compare_any(c, op: str, sub: DataFrame, col: str) -> Column:
     """``c <op> ANY (SELECT col FROM sub)``; ``= ANY`` is ``IN``."""
-    stats = sub.agg(F.min(col).alias("mn"), F.max(col).alias("mx"),
-                    F.count(F.lit(1)).alias("n"), F.count(col).alias("nn"))
-    mn = stats.select("mn").scalar()
-    mx = stats.select("mx").scalar()
-    n = stats.select("n").scalar()
-    nn = stats.select("nn").scalar()
+    mn, mx, n, nn = _set_stats(sub, col)
     c = _c(c)
     hit = {">": c > mn, ">=": c >= mn, "<": c < mx, "<=": c <= mx}[op]
     return (F.when(n == 0, F.lit(False))
