@@ -214,6 +214,11 @@ def lineage_file_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
+def lineage_file_path() -> Column:
+    """The input file's full path, decoded like :func:`lineage_file_name`."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def to_string_columns(df: DataFrame, exclude: tuple = LINEAGE_COLUMNS) -> DataFrame:
     """U4: every column to string (NULL stays NULL)."""
     return df.select(*[F.col(f"`{c}`") if c in exclude else F.col(f"`{c}`").cast("string").alias(c)

@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +33,48 @@ from tablework.sources.readers import read_files
 def import_folder_as_tables(spark: SparkSession, folder: str, database: str, file_type: str = "csv",
                             pattern: str = "*.csv", prefix: str = "", **read_options) -> DataFrame:
     """Every file becomes its own table ``<database>.<unique cleaned name>``.
-    Returns the plan (file_name, table_name, path)."""
+
+    One read of the whole folder (probe, one scan per header group) and one
+    write partitioned by target table; each table is then registered on its
+    partition directory with only its own columns (parquet resolves columns by
+    name).  So N files cost one scan and one write job plus N catalog
+    statements, not N jobs.  Returns the plan (path, file_name, table_name).
+    """
+    from tablework.operators.names import clean_names
+
     listing = list_files(spark, folder, pattern)
     existing = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database)], "name string")
     plan = plan_table_names(listing, existing, "file_name", prefix).select("path", "file_name", "table_name")
-    # one row per file: the plan is metadata and drives one read + write per file
-    for r in plan.orderBy("path").collect():
-        df, _ = read_files(spark, r["path"], file_type, **read_options)
-        tables.write_table(df, f"{database}.{r['table_name']}", mode="create")
+    # one row per file: the table names are needed on the driver for the catalog
+    targets = {r["path"]: r["table_name"] for r in plan.collect()}
+    policy = read_options.pop("policy", "keep_case")
+    df, res = read_files(spark, folder, file_type, pattern=pattern, lineage="path", policy=policy,
+                         **read_options)
+    columns = {r["path"]: clean_names(list(r["header"]), policy)
+               for r in res.probes.where("status = 'ok'").select("path", "header").collect()}
+    mapping = spark.createDataFrame(list(targets.items()), "_source_file string, _table string")
+    if len(targets) <= 100_000:
+        mapping = F.broadcast(mapping)
+    types = {f.name.lower(): f.dataType.simpleString() for f in df.schema.fields}
+    base = _database_location(spark, database) + f"/__import_{uuid.uuid4().hex[:8]}"
+    (df.join(mapping, "_source_file").drop("_source_file")
+       .write.partitionBy("_table").parquet(base))
+    for path, table in sorted(targets.items()):
+        cols = columns.get(path)
+        if not cols:
+            continue          # rejected file (reported by the probe)
+        ddl = ", ".join(f"`{c}` {types.get(c.lower(), 'string')}" for c in cols)
+        spark.sql(f"CREATE TABLE {database}.`{table}` ({ddl}) USING parquet "
+                  f"LOCATION '{base}/_table={table}'")
     return plan
 
 
+def _database_location(spark: SparkSession, database: str) -> str:
+    rows = spark.sql(f"DESCRIBE DATABASE `{database}`").collect()
+    info = {r[0].lower(): r[1] for r in rows}
+    return info.get("location", "").rstrip("/")
+
+
 def bulk_import(spark: SparkSession, folder: str, table: str, mode: str = "replace",
                 file_type: str = "csv", **read_options) -> DataFrame:
     """K6: a folder into one table with a single union and one write."""

@@ -19,10 +19,17 @@ from pyspark.sql import types as T
 
 from tablework.operators import clean as cleaning
 from tablework.operators.names import clean_names, rename_columns
-from tablework.operators.schema import lineage_file_name, target_columns, union_by_name
+from tablework.operators.schema import (lineage_file_name, lineage_file_path, target_columns,
+                                        union_by_name)
 from tablework.sources.probe import describe_files
 
 EXTRA_FIELD = "__extra_field"
+
+
+def _lineage_expr(lineage):
+    """``_source_file``: the file name (``lineage=True``) or its full path
+    (``lineage="path"``)."""
+    return lineage_file_path() if lineage == "path" else lineage_file_name()
 TEXT_TYPES = ("csv", "tsv", "txt")
 # More header groups than this are read through the generic text path (H1).
 MAX_HEADER_GROUPS = 200
@@ -92,7 +99,7 @@ def _read_text_files(spark, probes_rows, *, policy, bad_rows, header, multiline,
                               header=header, multiline=ml, bad_rows=bad_rows, quote=quote,
                               escape=escape, nulls=nulls)
         if lineage:
-            raw = raw.withColumn("_source_file", lineage_file_name())
+            raw = raw.withColumn("_source_file", _lineage_expr(lineage))
         if bad_rows == "skip_long":
             rejected.append(raw.where(F.col(EXTRA_FIELD).isNotNull()))
             raw = raw.where(F.col(EXTRA_FIELD).isNull()).drop(EXTRA_FIELD)
@@ -141,7 +148,7 @@ def _read_text_generic(spark, probes_rows, *, policy, bad_rows, header, multilin
         raw = raw.withColumn("_path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"),
                                                              F.lit("%2B"))))
         if lineage:
-            raw = raw.withColumn("_source_file", lineage_file_name())
+            raw = raw.withColumn("_source_file", _lineage_expr(lineage))
         raw = raw.join(heads, "_path")
         fields = F.array(*[F.col(f"_c{i}") for i in range(width)])
         if bad_rows in ("skip_long", "drop_malformed"):
@@ -283,7 +290,7 @@ def _read_json(spark, rows, policy, order, pad_value, lineage, records):
             raise ValueError(f"unparseable JSON in {paths}")
         d = rename_columns(d, policy)
         if lineage:
-            d = d.withColumn("_source_file", lineage_file_name())
+            d = d.withColumn("_source_file", _lineage_expr(lineage))
         frames.append(d)
     return union_by_name(frames, order, pad_value)
 
@@ -307,7 +314,7 @@ def _read_parquet(spark, path, pattern, recursive, policy, order, pad_value, lin
         d = r.parquet(*paths)
         d = rename_columns(d, policy)
         if lineage:
-            d = d.withColumn("_source_file", lineage_file_name())
+            d = d.withColumn("_source_file", _lineage_expr(lineage))
         cols = target_columns([d.columns], order)
         return d.select(*[F.col(f"`{c}`") for c in cols]), result
     except Exception as e:
@@ -317,7 +324,7 @@ def _read_parquet(spark, path, pattern, recursive, policy, order, pad_value, lin
         for row in probes.select("path").orderBy("path").toLocalIterator():
             d = rename_columns(spark.read.parquet(row["path"]), policy)
             if lineage:
-                d = d.withColumn("_source_file", lineage_file_name())
+                d = d.withColumn("_source_file", _lineage_expr(lineage))
             frames.append(d)
         return union_by_name(frames, order, pad_value), result
 
