@@ -89,7 +89,8 @@ def merge_folder_to_csv(spark: SparkSession, folder: str, output: str, mode: str
     """K7: merge a folder of CSV files into the CSV folder ``output``.
 
     ``create_new`` fails if the output exists, ``replace`` overwrites it,
-    ``append`` unions the existing output by name with the new files and
+    ``append`` adds part files when the new files bring no new column, and
+    otherwise unions the existing output by name with the new files and
     rewrites it through a staging folder in the shared scratch area."""
     from tablework.operators.clean import fill_missing as fill
     from tablework.sinks.export import export_csv
@@ -107,7 +108,17 @@ def merge_folder_to_csv(spark: SparkSession, folder: str, output: str, mode: str
         old, _ = read_files(spark, output, "csv", lineage=False)
     except Exception:
         return export_csv(new, output, mode="errorifexists")
-    merged = union_by_name([old, new.drop("_source_file") if "_source_file" not in old.columns else new])
+    incoming = new.drop("_source_file") if "_source_file" not in old.columns else new
+    if {c.lower() for c in incoming.columns} <= {c.lower() for c in old.columns}:
+        # same or fewer columns: new part files with the output's own header
+        # order are appended; nothing already written is read back or rewritten
+        from tablework.operators.schema import align
+
+        aligned = align(incoming, old.columns)
+        if fill_missing is not None:
+            aligned = fill(aligned, fill_missing)
+        return export_csv(aligned, output, mode="append")
+    merged = union_by_name([old, incoming])
     if fill_missing is not None:
         merged = fill(merged, fill_missing)
     staging = shared_dir(spark, "merge_staging")

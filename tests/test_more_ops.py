@@ -94,3 +94,14 @@ def test_metadata_helpers(spark):
     assert table_exists(spark, f"{db}.m") and not table_exists(spark, f"{db}.nope")
     assert table_schema(spark, f"{db}.m") == {"id": "int", "s": "string"}
     assert columns_of(spark.table(f"{db}.m")) == [("id", "int"), ("s", "string")]
+
+
+def test_merge_append_with_new_columns_rewrites(spark, tmp):
+    write(tmp / "one", "a.csv", "k,v\n1,x\n")
+    write(tmp / "two", "b.csv", "k,w\n2,y\n")
+    out = str(tmp / "merged2")
+    merge_folder_to_csv(spark, str(tmp / "one"), out, "create_new", lineage=False)
+    merge_folder_to_csv(spark, str(tmp / "two"), out, "append", lineage=False)
+    back = spark.read.option("header", "true").csv(out)
+    assert sorted(back.columns) == ["k", "v", "w"]
+    assert rows(back, ["k", "v", "w"]) == [("1", "x", None), ("2", None, "y")]
