@@ -199,7 +199,7 @@ SELECT o_orderkey,
   strftime(o_orderdate, '%Y-%m-%d') AS f_to_char,
   CAST(TRY_CAST(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS TIMESTAMP) AS VARCHAR) AS f_parse_datetime,
   CAST(TRY_CAST(strftime(o_orderdate, '%Y') || '-01-01' AS DATE) AS VARCHAR) AS f_parse_date,
-  TRY_CAST(o_orderpriority AS DATE) AS f_parse_bad,
+  CAST(TRY_CAST(o_orderpriority AS DATE) AS VARCHAR) AS f_parse_bad,
   CAST(CAST('2024-01-07 01:02:03' AS TIMESTAMP) AS VARCHAR) AS f_datetime,
   CAST(o_orderdate + INTERVAL 90 MINUTE AS VARCHAR) AS f_to_timestamp
 FROM orders
@@ -232,7 +232,7 @@ def fn_date(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.parse_datetime(X.ntz_text(ts)).cast("string").alias("f_parse_datetime"),
         F.call_function("try_to_date", F.year(ts).cast("string"), F.lit("yyyy")).cast("string")
         .alias("f_parse_date"),
-        F.call_function("try_to_date", F.col("o_orderpriority")).alias("f_parse_bad"),
+        F.call_function("try_to_date", F.col("o_orderpriority")).cast("string").alias("f_parse_bad"),
         F.lit("2024-01-07 01:02:03").cast("timestamp_ntz").cast("string").alias("f_datetime"),
         X.parse_datetime(F.concat(X.ntz_text(ts).substr(1, 11), F.lit("01:30:00"))).cast("string")
         .alias("f_to_timestamp"),
@@ -266,11 +266,11 @@ def fn_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fn_cast_cond", """
 SELECT c_custkey,
-  CAST(c_custkey AS VARCHAR) AS f_cast, CAST(c_acctbal AS DECIMAL(10,2)) AS f_convert,
+  CAST(c_custkey AS VARCHAR) AS f_cast, CAST(CAST(c_acctbal AS DECIMAL(10,2)) AS DOUBLE) AS f_convert,
   TRY_CAST(substr(c_name, 10) AS INTEGER) AS f_try_cast,
   TRY_CAST(c_mktsegment AS INTEGER) AS f_try_cast_bad,
   TRY_CAST('2024-01-07' AS DATE)::VARCHAR AS f_to_date,
-  CAST('12.5' AS DECIMAL(3,1)) AS f_to_number,
+  CAST(CAST('12.5' AS DECIMAL(3,1)) AS DOUBLE) AS f_to_number,
   coalesce(NULLIF(c_nationkey, 0), -1) AS f_coalesce, (NULLIF(c_nationkey, 0) IS NULL) AS f_isnull,
   ifnull(NULLIF(c_nationkey, 1), -1) AS f_ifnull, nullif(c_nationkey, 2) AS f_nullif,
   coalesce(NULLIF(c_nationkey, 3), -1) AS f_nvl, if(NULLIF(c_nationkey, 4) IS NOT NULL, 1, 0) AS f_nvl2,
@@ -289,11 +289,11 @@ def fn_cast_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         "c_custkey",
         F.col("c_custkey").cast("string").alias("f_cast"),
-        F.col("c_acctbal").cast("decimal(10,2)").alias("f_convert"),
+        F.col("c_acctbal").cast("decimal(10,2)").cast("double").alias("f_convert"),
         F.expr("try_cast(substr(c_name, 10) AS INT)").alias("f_try_cast"),
         F.expr("try_cast(c_mktsegment AS INT)").alias("f_try_cast_bad"),
         F.to_date(F.lit("2024-01-07")).cast("string").alias("f_to_date"),
-        F.to_number(F.lit("12.5"), F.lit("99.9")).alias("f_to_number"),
+        F.to_number(F.lit("12.5"), F.lit("99.9")).cast("double").alias("f_to_number"),
         F.coalesce(F.nullif(nk, F.lit(0)), F.lit(-1)).alias("f_coalesce"),
         F.isnull(F.nullif(nk, F.lit(0))).alias("f_isnull"),
         F.ifnull(F.nullif(nk, F.lit(1)), F.lit(-1)).alias("f_ifnull"),

@@ -125,7 +125,7 @@ SELECT c_custkey, c_nationkey FROM customer ANTI JOIN
   (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o.o_custkey
 """)
 _add("join_theta", """
-SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, CAST(o.o_orderdate AS DATE) AS order_date
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, CAST(CAST(o.o_orderdate AS DATE) AS STRING) AS order_date
 FROM lineitem l JOIN orders o
   ON l.l_orderkey = o.o_orderkey AND l.l_shipdate < o.o_orderdate
 """)
@@ -283,11 +283,12 @@ FROM months LEFT JOIN orders o ON year(o.o_orderdate) * 12 + month(o.o_orderdate
 GROUP BY m
 """)
 _add("lateral_unnest", """
-SELECT e.vec_id, count(*) AS n, CAST(max(t.pos) AS BIGINT) AS max_pos, min(t.v) AS min_v, max(t.v) AS max_v
+SELECT e.vec_id, count(*) AS n, CAST(max(t.pos) AS BIGINT) AS max_pos, CAST(min(t.v) AS DOUBLE) AS min_v,
+       CAST(max(t.v) AS DOUBLE) AS max_v
 FROM embeddings e, LATERAL posexplode(e.embedding) AS t(pos, v)
 GROUP BY e.vec_id
 """, """
-SELECT vec_id, count(*) AS n, max(pos) AS max_pos, min(v) AS min_v, max(v) AS max_v
+SELECT vec_id, count(*) AS n, max(pos) AS max_pos, CAST(min(v) AS DOUBLE) AS min_v, CAST(max(v) AS DOUBLE) AS max_v
 FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings)
 GROUP BY vec_id
 """)
