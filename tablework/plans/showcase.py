@@ -267,12 +267,12 @@ def fn_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fn_cast_cond", """
 SELECT c_custkey,
   CAST(c_custkey AS VARCHAR) AS f_cast, CAST(CAST(c_acctbal AS DECIMAL(10,2)) AS DOUBLE) AS f_convert,
-  TRY_CAST(substr(c_name, 10) AS INTEGER) AS f_try_cast,
-  TRY_CAST(c_mktsegment AS INTEGER) AS f_try_cast_bad,
+  CAST(TRY_CAST(substr(c_name, 10) AS INTEGER) AS VARCHAR) AS f_try_cast,
+  CAST(TRY_CAST(c_mktsegment AS INTEGER) AS VARCHAR) AS f_try_cast_bad,
   TRY_CAST('2024-01-07' AS DATE)::VARCHAR AS f_to_date,
   CAST(CAST('12.5' AS DECIMAL(3,1)) AS DOUBLE) AS f_to_number,
   coalesce(NULLIF(c_nationkey, 0), -1) AS f_coalesce, (NULLIF(c_nationkey, 0) IS NULL) AS f_isnull,
-  ifnull(NULLIF(c_nationkey, 1), -1) AS f_ifnull, nullif(c_nationkey, 2) AS f_nullif,
+  ifnull(NULLIF(c_nationkey, 1), -1) AS f_ifnull, CAST(nullif(c_nationkey, 2) AS VARCHAR) AS f_nullif,
   coalesce(NULLIF(c_nationkey, 3), -1) AS f_nvl, if(NULLIF(c_nationkey, 4) IS NOT NULL, 1, 0) AS f_nvl2,
   CASE c_nationkey % 4 WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'z' END AS f_decode,
   CASE c_nationkey % 4 + 1 WHEN 1 THEN 'w' WHEN 2 THEN 'x' WHEN 3 THEN 'y' ELSE 'z' END AS f_choose,
@@ -290,14 +290,14 @@ def fn_cast_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey",
         F.col("c_custkey").cast("string").alias("f_cast"),
         F.col("c_acctbal").cast("decimal(10,2)").cast("double").alias("f_convert"),
-        F.expr("try_cast(substr(c_name, 10) AS INT)").alias("f_try_cast"),
-        F.expr("try_cast(c_mktsegment AS INT)").alias("f_try_cast_bad"),
+        F.expr("try_cast(substr(c_name, 10) AS INT)").cast("string").alias("f_try_cast"),
+        F.expr("try_cast(c_mktsegment AS INT)").cast("string").alias("f_try_cast_bad"),
         F.to_date(F.lit("2024-01-07")).cast("string").alias("f_to_date"),
         F.to_number(F.lit("12.5"), F.lit("99.9")).cast("double").alias("f_to_number"),
         F.coalesce(F.nullif(nk, F.lit(0)), F.lit(-1)).alias("f_coalesce"),
         F.isnull(F.nullif(nk, F.lit(0))).alias("f_isnull"),
         F.ifnull(F.nullif(nk, F.lit(1)), F.lit(-1)).alias("f_ifnull"),
-        F.nullif(nk, F.lit(2)).alias("f_nullif"),
+        F.nullif(nk, F.lit(2)).cast("string").alias("f_nullif"),
         F.nvl(F.nullif(nk, F.lit(3)), F.lit(-1)).alias("f_nvl"),
         F.nvl2(F.nullif(nk, F.lit(4)), F.lit(1), F.lit(0)).alias("f_nvl2"),
         X.decode(nk % 4, 1, "a", 2, "b", "z").alias("f_decode"),
@@ -750,7 +750,9 @@ def _narrow_oracle() -> str:
   min({lng}), max({lng}),
   count(CASE WHEN CAST(CAST({c} AS FLOAT) AS DOUBLE) = CAST({c} AS DOUBLE) THEN 1 END) FROM lineitem""")
     body = "\nUNION ALL\n".join(parts)
-    return f"""SELECT *, CASE WHEN n_non_null = 0 THEN from_type
+    return f"""SELECT column_name, from_type, n_non_null, n_integer, n_numeric,
+  CAST(min_integer AS VARCHAR) AS min_integer, CAST(max_integer AS VARCHAR) AS max_integer, n_float_exact,
+  CASE WHEN n_non_null = 0 THEN from_type
   WHEN n_integer = n_non_null THEN CASE WHEN min_integer >= -128 AND max_integer <= 127 THEN 'tinyint'
        WHEN min_integer >= -32768 AND max_integer <= 32767 THEN 'smallint'
        WHEN min_integer >= -2147483648 AND max_integer <= 2147483647 THEN 'int' ELSE 'bigint' END
@@ -769,7 +771,9 @@ def narrow_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
     df = li.select(*[F.col(c).cast("string").alias(f"t_{c}") for c in text_cols],
                    "l_linenumber", "l_orderkey", "l_quantity", "l_extendedprice")
-    return narrow_report(df)
+    rep = narrow_report(df)
+    return rep.withColumn("min_integer", F.col("min_integer").cast("string")) \
+              .withColumn("max_integer", F.col("max_integer").cast("string"))
 
 
 # ----------------------------------------------------------------- Q34 / C17 checks

@@ -91,17 +91,18 @@ FROM lineitem JOIN (SELECT o_orderkey AS l_orderkey, o_custkey FROM orders
                     WHERE o_orderpriority = '1-URGENT') o USING (l_orderkey)
 """)
 _add("join_left", """
-SELECT c.c_custkey, o.o_orderkey
+SELECT c.c_custkey, CAST(o.o_orderkey AS STRING) AS o_orderkey
 FROM customer c LEFT JOIN orders o
   ON c.c_custkey = o.o_custkey AND o.o_orderpriority = '1-URGENT' AND o.o_orderstatus = 'F'
 """)
 _add("join_right", """
-SELECT o.o_orderkey, c.c_custkey
+SELECT CAST(o.o_orderkey AS STRING) AS o_orderkey, c.c_custkey
 FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') o
 RIGHT JOIN customer c ON c.c_custkey = o.o_custkey
 """)
 _add("join_full", """
-SELECT o.o_orderkey, o.o_custkey, c.c_custkey
+SELECT CAST(o.o_orderkey AS STRING) AS o_orderkey, CAST(o.o_custkey AS STRING) AS o_custkey,
+       CAST(c.c_custkey AS STRING) AS c_custkey
 FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') o
 FULL OUTER JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c
   ON c.c_custkey = o.o_custkey
@@ -320,9 +321,9 @@ WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 """)
 _add("window_offsets", """
 SELECT o_orderkey, o_custkey,
-       lag(o_orderkey, 1, -1) OVER w AS prev_key, lead(o_orderkey, 2) OVER w AS next2_key,
+       lag(o_orderkey, 1, -1) OVER w AS prev_key, CAST(lead(o_orderkey, 2) OVER w AS STRING) AS next2_key,
        first_value(o_orderkey) OVER wf AS first_key, last_value(o_orderkey) OVER wf AS last_key,
-       nth_value(o_orderkey, 2) OVER wf AS second_key
+       CAST(nth_value(o_orderkey, 2) OVER wf AS STRING) AS second_key
 FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey),
        wf AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
