@@ -81,5 +81,7 @@ def ingest_new_files(spark: SparkSession, folder: str, table: str, **kw) -> Data
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    if not spark.catalog.tableExists(table):
+        raise ValueError(f"no file matching the pattern has arrived in {folder} yet; {table} not created")
     spark.catalog.refreshTable(table)
     return spark.table(table)
