@@ -15,7 +15,6 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # --- fixed values: the reference's export conventions ------------------------
 XML_ROOT_TAG = "query_results"
@@ -162,8 +161,3 @@ def export(df: DataFrame, fmt: str, path: str, **kw):
     fn = {"csv": export_csv, "tsv": export_tsv, "json": export_json, "parquet": export_parquet,
           "xml": export_xml, "html": export_html, "excel": export_excel, "xlsx": export_excel}[fmt.lower()]
     return fn(df, path, **kw)
-
-
-def text_schema(df: DataFrame) -> T.StructType:
-    """The all-text schema a CSV/TSV/XML round trip reads back."""
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in df.columns])

@@ -10,7 +10,6 @@ is two catalog operations, not one atomic swap.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -248,7 +247,3 @@ def schema_digest(listing: DataFrame) -> DataFrame:
     (changes when a table, a column or a type changes)."""
     entry = F.concat_ws(":", F.concat_ws(".", "table_name", "column_name"), F.col("data_type"))
     return listing.agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_list(entry)))).alias("digest"))
-
-
-def sanitize_identifier(name: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_]", "_", name)
