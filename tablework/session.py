@@ -7,8 +7,10 @@ temporary folder is only chosen when that setting is absent (tests).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -44,12 +46,38 @@ def get_session(master: str | None = None, app: str = "tablework",
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL settings on an existing session (idempotent)."""
+    """Set the runtime SQL settings on an existing session (idempotent) and
+    make sure executors can import this package."""
     for k in ("spark.sql.legacy.javaCharsets",):
         try:
             spark.conf.set(k, DEFAULT_CONF[k])
         except Exception:  # pragma: no cover - static on some deployments
             pass
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """``addPyFile`` a zip of ``tablework`` once per application, so Python
+    steps that run on executors (file-head probing, xlsx, mapInPandas
+    framing) import it there - the same as ``spark-submit --py-files``."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="tablework-pyfiles-"), "tablework.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

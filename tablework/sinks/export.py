@@ -52,6 +52,9 @@ def export_json(df: DataFrame, path: str, mode: str = "errorifexists", as_array:
         return path
     import pandas as pd
 
+    from tablework.session import ship_package
+
+    ship_package(df.sparkSession)
     rec = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
                               {"ignoreNullFields": "false"}).alias("value"))
 

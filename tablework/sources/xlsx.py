@@ -234,6 +234,9 @@ class XlsxDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    from tablework.session import ship_package
+
+    ship_package(spark)
     spark.dataSource.register(XlsxDataSource)
 
 
@@ -308,6 +311,9 @@ def list_sheets_df(spark: SparkSession, listing: DataFrame) -> DataFrame:
                     out.append((p, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "sheet_index", "sheet_name", "error"])
 
+    from tablework.session import ship_package
+
+    ship_package(spark)
     return listing.select("path").mapInPandas(
         sheets, "path string, sheet_index int, sheet_name string, error string")
 
@@ -441,6 +447,9 @@ def write_partitions(df: DataFrame, path: str, sheet: str, max_width: int, max_r
     """K14 writer: returns DataFrame(part, rows) - acting on it writes the files."""
     from pyspark.sql import types as T
 
+    from tablework.session import ship_package
+
+    ship_package(df.sparkSession)
     columns = df.columns
     numeric = [isinstance(f.dataType, T.NumericType) for f in df.schema.fields]
     base = path.rstrip("/")
