@@ -122,9 +122,26 @@ def fn_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("fn_initcap", """
+SELECT p_partkey,
+       array_to_string(list_transform(string_split(lower(p_name), ' '),
+                                      lambda w: upper(w[1]) || w[2:]), ' ') AS f_initcap,
+       array_to_string(list_transform(string_split(lower(p_brand || ' ' || p_type), ' '),
+                                      lambda w: upper(w[1]) || w[2:]), ' ') AS f_initcap2
+FROM part
+""")
+def fn_initcap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FS24 INITCAP (the oracle spells it with a word split)."""
+    from pyspark.sql import functions as F
+
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", F.initcap("p_name").alias("f_initcap"),
+        F.initcap(F.concat_ws(" ", "p_brand", "p_type")).alias("f_initcap2"))
+
+
 @query("fn_string_extra")
 def fn_string_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FS24 INITCAP, FS26 SOUNDEX: no counterpart in the oracle engine."""
+    """FS26 SOUNDEX: no counterpart in the oracle engine."""
     from pyspark.sql import functions as F
 
     return _t(spark, sf_dir, "part").select(
