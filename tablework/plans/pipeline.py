@@ -7,8 +7,8 @@ A pipeline document in any of the three dialects the reference wrote
 :class:`PipelineSpec`.  Running it reads every source as one Spark read per
 header group (``tablework.sources.readers``), registers it as a table or a
 view, runs the SQL with ``spark.sql`` and writes the output table (K16 =
-replace).  Nothing is collected; the per-step row counts come from the
-written tables' metadata-free ``count()`` jobs, each a single aggregation.
+replace).  No data reaches the driver; the per-step row counts are one
+``count()`` per written table (parquet answers it from file footers).
 """
 
 from __future__ import annotations
