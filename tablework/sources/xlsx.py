@@ -197,14 +197,18 @@ def read_workbook(path: str, sheet=None, on_missing: str = "first", policy: str
 
 
 class _WorkbookPartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+    """One workbook, or one sheet of it (``sheet`` set) when reading all sheets."""
+
+    def __init__(self, path: str, sheet=None):
+        super().__init__((path, sheet))
         self.path = path
+        self.sheet = sheet
 
 
 class XlsxReader(DataSourceReader):
     def __init__(self, options):
         self.paths = json.loads(options.get("paths", "[]"))
+        self.units = json.loads(options.get("sheet_units", "[]"))
         sheet = options.get("sheet")
         self.sheet = None if sheet in (None, "", "null") else sheet
         self.on_missing = options.get("on_missing_sheet", "first")
@@ -212,10 +216,13 @@ class XlsxReader(DataSourceReader):
         self.headers_only = options.get("headers_only", "false") == "true"
 
     def partitions(self):
+        if self.units:        # all sheets: one partition per (workbook, sheet index)
+            return [_WorkbookPartition(p, int(i)) for p, i in self.units]
         return [_WorkbookPartition(p) for p in self.paths]
 
     def read(self, partition):
-        yield from read_workbook(partition.path, self.sheet, self.on_missing, self.policy,
+        sheet = self.sheet if partition.sheet is None else str(partition.sheet)
+        yield from read_workbook(partition.path, sheet, self.on_missing, self.policy,
                                  self.headers_only)
 
 
@@ -279,7 +286,13 @@ def read_excel(spark: SparkSession, path, pattern: str = "*.xlsx", recursive: bo
         raise ValueError(f"no .xlsx workbooks under {path}")
     reader = (spark.read.format("tablework_xlsx").option("paths", json.dumps(paths))
               .option("on_missing_sheet", on_missing_sheet).option("policy", policy))
-    if sheet is not None:
+    if sheet == "*":
+        # all sheets: list them in executors first, then read one sheet per task
+        units = [(r["path"], r["sheet_index"]) for r in
+                 list_sheets_df(spark, spark.createDataFrame([(p,) for p in paths], "path string"))
+                 .where("error IS NULL").orderBy("path", "sheet_index").collect()]
+        reader = reader.option("sheet_units", json.dumps(units))
+    elif sheet is not None:
         reader = reader.option("sheet", str(sheet))
     heads = reader.option("headers_only", "true").load() \
         .select("path", "sheet_index", "header").orderBy("path", "sheet_index").collect()
