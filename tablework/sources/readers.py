@@ -210,7 +210,8 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
                           lineage=lineage)
     if ft == "tsv":
         delimiter = delimiter or "\t"
-    default_pattern = {"csv": "*.csv", "tsv": "*.tsv", "txt": "*.txt", "json": "*.json*",
+    default_pattern = {"csv": "*.{csv,csv.gz,csv.bz2}", "tsv": "*.{tsv,tsv.gz,tsv.bz2}",
+                       "txt": "*.{txt,txt.gz,txt.bz2}", "json": "*.{json,jsonl,ndjson,json.gz,jsonl.gz}",
                        "parquet": "*.parquet"}.get(ft)
     if ft == "parquet":
         # self-describing and splittable: no head probing, Spark lists and reads
