@@ -49,7 +49,7 @@ def write_batch(data: DataFrame, table: str, batch_id: int) -> None:
 
 
 def start_folder_ingest(spark: SparkSession, folder: str, table: str, file_type: str = "csv",
-                        pattern: str = "*.csv", checkpoint: str | None = None,
+                        pattern: str = "*.{csv,csv.gz,csv.bz2}", checkpoint: str | None = None,
                         max_files_per_trigger: int | None = None, available_now: bool = True,
                         recursive: bool = True, **read_options) -> StreamingQuery:
     """Start the ingest stream; with ``available_now`` it loads every file
