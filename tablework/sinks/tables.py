@@ -51,12 +51,34 @@ def _is_self_overwrite(err: Exception) -> bool:
             or "overwrite" in msg.lower() and "read" in msg.lower())
 
 
+def partition_columns(spark: SparkSession, name: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+
+
+def _bucket_spec(spark: SparkSession, name: str) -> tuple[int, list[str]] | None:
+    buckets = [c.name for c in spark.catalog.listColumns(name) if c.isBucket]
+    if not buckets:
+        return None
+    info = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_q(name)}").collect()}
+    n = info.get("Num Buckets")
+    return (int(n), buckets) if n else None
+
+
 def _staged_replace(df: DataFrame, name: str, fmt: str = "parquet") -> None:
-    """H5: write to a staging table, drop the target, rename staging into place."""
+    """H5: write to a staging table, drop the target, rename staging into place.
+    The table's partitioning and bucketing are kept."""
     spark = df.sparkSession
     db, _, tbl = name.rpartition(".")
     staging = f"{db + '.' if db else ''}{tbl}__staging_{uuid.uuid4().hex[:8]}"
-    df.write.format(fmt).mode("errorifexists").saveAsTable(staging)
+    writer = df.write.format(fmt).mode("errorifexists")
+    if spark.catalog.tableExists(name):
+        parts = partition_columns(spark, name)
+        if parts:
+            writer = writer.partitionBy(*parts)
+        spec = _bucket_spec(spark, name)
+        if spec:
+            writer = writer.bucketBy(spec[0], *spec[1]).sortBy(*spec[1])
+    writer.saveAsTable(staging)
     spark.sql(f"DROP TABLE IF EXISTS {_q(name)}")
     spark.sql(f"ALTER TABLE {_q(staging)} RENAME TO {_q(name)}")
 
@@ -208,14 +230,68 @@ def deleted_frame(df: DataFrame, condition: str | Column) -> DataFrame:
     return df.where(~F.coalesce(_cond(condition), F.lit(False)))
 
 
+def _sql_value(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return f"'{v}'" if not isinstance(v, (int, float)) else repr(v)
+
+
+def _rewrite_touched_partitions(spark: SparkSession, name: str, condition, change) -> bool:
+    """For a partitioned table, rewrite only the partitions holding rows that
+    match ``condition``: their rows after ``change`` are checkpointed (which
+    also cuts the read of the target) and written with dynamic partition
+    overwrite; partitions left empty are dropped.  Returns False when the
+    table is not partitioned."""
+    parts = partition_columns(spark, name)
+    if not parts:
+        return False
+    t = spark.table(name)
+    cond = F.lit(True) if condition is None else _cond(condition)
+    # one row per touched partition (bounded by the partition count)
+    touched = [tuple(r) for r in t.where(F.coalesce(cond, F.lit(False))).select(*parts).distinct().collect()]
+    if not touched:
+        return True
+    keys = spark.createDataFrame(touched, t.select(*parts).schema)
+    subset = t.join(F.broadcast(keys) if len(touched) <= 10_000 else keys, parts, "left_semi")
+    from tablework.session import checkpoint_root
+
+    checkpoint_root(spark)
+    new = change(subset).checkpoint()
+    remaining = {tuple(r) for r in new.select(*parts).distinct().collect()}
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        align(new, t.schema).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(key, before)
+    for values in touched:
+        if values not in remaining:
+            spec = ", ".join(f"`{c}` = {_sql_value(v)}" for c, v in zip(parts, values))
+            spark.sql(f"ALTER TABLE {_q(name)} DROP IF EXISTS PARTITION ({spec})")
+    spark.catalog.refreshTable(name)
+    return True
+
+
 def update_where(spark: SparkSession, name: str, assignments: dict,
                  condition: str | Column | None = None) -> None:
-    """Q31 UPDATE on a parquet table: one staged rewrite."""
+    """Q31 UPDATE on a parquet table.  Partitioned tables rewrite only the
+    partitions that hold matching rows (updating a partition column is a full
+    rewrite); others are one staged rewrite."""
+    parts = {c.lower() for c in partition_columns(spark, name)}
+    if not parts & {k.lower() for k in assignments} and _rewrite_touched_partitions(
+            spark, name, condition, lambda d: updated_frame(d, assignments, condition)):
+        return
     _staged_replace(updated_frame(spark.table(name), assignments, condition), name)
 
 
 def delete_where(spark: SparkSession, name: str, condition: str | Column) -> None:
-    """Q31 DELETE on a parquet table: one staged rewrite."""
+    """Q31 DELETE on a parquet table (only the touched partitions of a
+    partitioned table are rewritten)."""
+    if _rewrite_touched_partitions(spark, name, condition, lambda d: deleted_frame(d, condition)):
+        return
     _staged_replace(deleted_frame(spark.table(name), condition), name)
 
 

@@ -77,3 +77,25 @@ def test_bucketed_tables_join_without_shuffle(spark, db):
         assert j.count() == 2000
     finally:
         spark.conf.set(key, before)
+
+
+def test_partitioned_update_delete_touch_only_their_partitions(spark, db):
+    import os
+
+    t = f"{db}.parted"
+    spark.sql(f"DROP TABLE IF EXISTS {t}")
+    df = spark.createDataFrame([(i, f"v{i}", i % 3) for i in range(12)], "id int, v string, p int")
+    write_table(df, t, "replace", partition_by=["p"])
+    loc = [r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {t}").collect() if r[0] == "Location"][0]
+    local = loc.replace("file:", "")
+    untouched = sorted(os.listdir(os.path.join(local, "p=2")))
+    update_where(spark, t, {"v": "upper(v)"}, "id IN (0, 1)")          # partitions p=0 and p=1
+    assert sorted(os.listdir(os.path.join(local, "p=2"))) == untouched   # p=2 files not rewritten
+    got = {r["id"]: r["v"] for r in spark.table(t).collect()}
+    assert got[0] == "V0" and got[1] == "V1" and got[2] == "v2" and len(got) == 12
+    delete_where(spark, t, "p = 0")                                     # empties partition p=0
+    assert sorted(r["p"] for r in spark.table(t).select("p").distinct().collect()) == [1, 2]
+    assert spark.table(t).count() == 8
+    assert [c.name for c in spark.catalog.listColumns(t) if c.isPartition] == ["p"]
+    drop_column(spark, t, "v")                                          # staged rewrite keeps partitioning
+    assert [c.name for c in spark.catalog.listColumns(t) if c.isPartition] == ["p"]
