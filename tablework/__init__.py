@@ -1,8 +1,8 @@
 """tablework: messy tabular folders -> clean Spark tables, SQL, pages and exports.
 
 Every data step is a Spark DataFrame / SQL / Structured Streaming job.
-Python on executors is limited to reading file heads (probing) and the
-xlsx container format.
+Python on executors is limited to probing files (heads, encoding
+confirmation) and the xlsx container format.
 
 The names below are the user-facing surface; everything is importable from
 its module as well.
