@@ -85,3 +85,24 @@ def test_open_result_eager_and_paged(spark):
     assert not small.paged and len(small.page(0, 5)) == 5
     big = open_result(spark.range(250), ["id"], threshold=100)
     assert big.paged and [r["id"] for r in big.page(2, 100)] == list(range(200, 250))
+
+
+def test_asof_tolerance_and_timestamps(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    left = [(i, i % 3, base + dt.timedelta(minutes=7 * i)) for i in range(40)]
+    right = [(100 + j, j % 3, base + dt.timedelta(minutes=11 * j + 1)) for j in range(25)]
+    L = spark.createDataFrame(left, "id long, k int, ts timestamp_ntz")
+    R = spark.createDataFrame(right, "id long, k int, ts timestamp_ntz")
+    tol_us = 20 * 60 * 1_000_000
+    got = {(r["id"], r["r_id"]) for r in asof_join(L, R, ["k"], "ts", "ts", how="inner", tolerance=tol_us,
+                                                    bucket_width=3_600_000_000.0).collect()}
+    want = set()
+    for i, k, t in left:
+        cands = [(rt, rid) for rid, rk, rt in right if rk == k and rt <= t]
+        if cands:
+            rt, rid = max(cands)
+            if (t - rt) <= dt.timedelta(minutes=20):
+                want.add((i, rid))
+    assert got == want and len(got) > 0
