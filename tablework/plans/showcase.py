@@ -8,6 +8,7 @@ checked for row counts only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def query(name: str, oracle: str | None = None):
 
 def run_surface_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     apply_runtime_conf(spark)
-    used = [t for t in TABLES if t in sql]
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql, re.IGNORECASE)]
     register(spark, sf_dir, used)
     return spark.sql(sql)
 
