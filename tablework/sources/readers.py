@@ -57,7 +57,11 @@ class ReadResult:
 
 def _csv_group_read(spark: SparkSession, paths: list[str], n_fields: int, *, delimiter: str,
                     encoding: str, header: bool, multiline: bool, bad_rows: str,
-                    quote: str = '"', escape: str = '"', nulls: str = "null") -> DataFrame:
+                    quote: str = '"', escape: str = '"', nulls: str = "null",
+                    folder: tuple | None = None) -> DataFrame:
+    """One CSV read of a header group.  ``folder=(path, pattern, recursive)``
+    reads the folder itself (Spark lists it) instead of an explicit file list
+    - used when the whole folder is one group."""
     fields = [T.StructField(f"_c{i}", T.StringType(), True) for i in range(n_fields)]
     if bad_rows == "skip_long":
         fields.append(T.StructField(EXTRA_FIELD, T.StringType(), True))
@@ -72,6 +76,15 @@ def _csv_group_read(spark: SparkSession, paths: list[str], n_fields: int, *, del
          .option("multiLine", str(multiline).lower())
          .option("mode", mode)
          .option("enforceSchema", "true"))
+    if folder is not None:
+        from tablework.sources.probe import case_insensitive_glob
+
+        path, pattern, recursive = folder
+        if pattern:
+            r = r.option("pathGlobFilter", case_insensitive_glob(pattern))
+        if recursive:
+            r = r.option("recursiveFileLookup", "true")
+        return r.csv(path)
     return r.csv(paths)
 
 
@@ -86,7 +99,7 @@ def _needs_multiline(probe: dict, multiline) -> bool:
 
 
 def _read_text_files(spark, probes_rows, *, policy, bad_rows, header, multiline, quote, escape,
-                     nulls, lineage):
+                     nulls, lineage, folder: tuple | None = None):
     groups: dict[tuple, list[str]] = {}
     for p in probes_rows:
         enc = p["encoding"]
@@ -94,10 +107,11 @@ def _read_text_files(spark, probes_rows, *, policy, bad_rows, header, multiline,
         key = (enc, p["delimiter"], tuple(p["header"]), ml)
         groups.setdefault(key, []).append(p["path"])
     frames, rejected = [], []
+    whole = folder if len(groups) == 1 else None
     for (enc, delim, hdr, ml), paths in sorted(groups.items(), key=lambda kv: min(kv[1])):
         raw = _csv_group_read(spark, sorted(paths), len(hdr), delimiter=delim, encoding=enc,
                               header=header, multiline=ml, bad_rows=bad_rows, quote=quote,
-                              escape=escape, nulls=nulls)
+                              escape=escape, nulls=nulls, folder=whole)
         if lineage:
             raw = raw.withColumn("_source_file", _lineage_expr(lineage))
         if bad_rows == "skip_long":
@@ -184,7 +198,8 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
                quote: str = '"', escape: str = '"', sheet=None, json_records: str = "auto",
                drop_empty: bool = False, drop_headers: bool = False,
                max_header_groups: int = MAX_HEADER_GROUPS,
-               encoding_check: str = "full") -> tuple[DataFrame, ReadResult]:
+               encoding_check: str = "full",
+               folder_read_min_files: int = 10_000) -> tuple[DataFrame, ReadResult]:
     """Read one file or a folder of drifting files into one DataFrame.
 
     file_type: csv | tsv | txt | json | parquet | excel.
@@ -217,8 +232,8 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
         # self-describing and splittable: no head probing, Spark lists and reads
         return _read_parquet(spark, path, pattern or (default_pattern if _is_folder(spark, path) else None),
                              recursive, policy, order, pad_value, lineage)
-    probes = describe_files(spark, path, pattern or (default_pattern if _is_folder(spark, path) else None),
-                            recursive, delimiter, strategy, header, encoding,
+    read_pattern = pattern or (default_pattern if _is_folder(spark, path) else None)
+    probes = describe_files(spark, path, read_pattern, recursive, delimiter, strategy, header, encoding,
                             encoding_check=encoding_check)
     # one small row per file: the file list itself has to be on the driver
     # for the reads below, exactly as Spark's own file index holds it.
@@ -235,9 +250,15 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
                                             multiline=multiline, quote=quote, escape=escape, nulls=nulls,
                                             lineage=lineage, order=order, pad_value=pad_value)
         else:
+            # a large folder whose files all share one header (none rejected) is
+            # read as the folder, so no file list is handed to the reader; small
+            # folders keep the probed list (exactly the files that were checked)
+            folder = ((path, read_pattern, recursive)
+                      if isinstance(path, str) and not rejected_files and len(good) >= folder_read_min_files
+                      and _is_folder(spark, path) else None)
             frames, rej, n = _read_text_files(spark, good, policy=policy, bad_rows=bad_rows,
                                               header=header, multiline=multiline, quote=quote,
-                                              escape=escape, nulls=nulls, lineage=lineage)
+                                              escape=escape, nulls=nulls, lineage=lineage, folder=folder)
             df = union_by_name(frames, order, pad_value, all_string=True)
         result.rejected_rows, result.groups = rej, n
     elif ft == "json":
