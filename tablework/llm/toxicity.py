@@ -1,6 +1,7 @@
 """Toxicity: counterfactual-regularised classifier (operator 2).
 
-A logistic model over the distinct words of a text.  Besides the usual loss
+A logistic model over the distinct words of a text and their first bytes
+(stems, so that unseen endings count).  Besides the usual loss
 it pays for every change of a labelled text's score when the identity terms
 in it are swapped for other terms of the same group, so that the mere
 mention of a group carries no weight.
@@ -28,7 +29,8 @@ SAMPLE = 20_000        # labelled rows read for training at most
 FOLDS = 5              # crc32(doc_id) mod FOLDS = 0 is held out
 STEPS = 150            # optimiser steps
 RATE = 0.1             # step size
-L2 = 2e-3              # weight penalty
+L2 = 1e-3              # weight penalty
+HEADS = (5, 6, 7)      # word beginnings, in bytes, that are features too
 SWAP = 1.0             # weight of the counterfactual penalty
 
 # Interchangeable identity terms, by group.
@@ -74,22 +76,30 @@ class Model:
         """0..1 for each text; a text without known words has sigmoid(bias)."""
         n = len(offs) - 1
         z = np.full(n, self.bias)
-        _, _, h, first = W.split_words(raw, offs, W.ALNUM)
-        if len(h) and len(self.hashes):
+        _, _, kinds, first = W.split_words(raw, offs, W.ALNUM, HEADS)
+        keys = []
+        for h in kinds if len(self.hashes) else ():
             may = np.flatnonzero(self.gate[(h >> np.uint64(44)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.hashes, h[may]), len(self.hashes) - 1)
             hit = self.hashes[at] == h[may]
             doc = np.searchsorted(first, may[hit], side="right") - 1
-            key = np.unique(doc * len(self.hashes) + at[hit])
+            keys.append(doc * len(self.hashes) + at[hit])
+        if keys:
+            key = np.unique(np.concatenate(keys))
             z += np.bincount(key // len(self.hashes), weights=self.weights[key % len(self.hashes)], minlength=n)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def word_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """The distinct features of each text."""
+    _, _, kinds, first = W.split_words(raw, offs, W.ALNUM, HEADS)
+    return [np.unique(np.concatenate([h[first[d]:first[d + 1]] for h in kinds])) for d in range(len(offs) - 1)]
+
+
 def _word_sets(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, offs = W.text_bytes(b.column(1))
-        _, _, h, first = W.split_words(raw, offs, W.ALNUM)
-        sets = [np.unique(h[first[d]:first[d + 1]]) for d in range(b.num_rows)]
+        sets = word_sets(raw, offs)
         col = pa.ListArray.from_arrays(np.cumsum([0] + [len(s) for s in sets]).astype(np.int32),
                                        pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), col], names=["toxic", "words"])
@@ -109,7 +119,7 @@ def train(sets: list[np.ndarray], y: np.ndarray, l2: float = L2, swap: float = S
     sizes = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(n), sizes)
     vocab, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = (df >= max(2, n // 2000)) | np.isin(vocab, np.concatenate([term, other]))
+    keep = (df >= max(4, n // 400)) | np.isin(vocab, np.concatenate([term, other]))
     if not keep.any():
         return none
     new = np.cumsum(keep) - 1

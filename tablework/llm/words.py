@@ -81,13 +81,15 @@ def chunks(offs: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def split_words(raw: np.ndarray, offs: np.ndarray, table=WHITESPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash, first word of each text as an offset array)."""
+def split_words(raw: np.ndarray, offs: np.ndarray, table=WHITESPACE, heads: tuple[int, ...] = ()):
+    """(start, end, hash, first word of each text as an offset array).  With
+    ``heads`` the hash is a list: of the words, then of their first k bytes
+    for each k (of the whole word where it is not longer, as another value)."""
     word, code = table
     n = len(raw)
     if n == 0:
-        e = np.empty(0, np.int64)
-        return e, e, np.empty(0, np.uint64), np.zeros(len(offs), np.int64)
+        e, none = np.empty(0, np.int64), np.empty(0, np.uint64)
+        return e, e, [none] * (1 + len(heads)) if heads else none, np.zeros(len(offs), np.int64)
     mask = word[raw]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True  # a text's first byte starts a word, and ends the one before
@@ -101,8 +103,15 @@ def split_words(raw: np.ndarray, offs: np.ndarray, table=WHITESPACE) -> tuple[np
     end = np.flatnonzero(mask & (~after | edge[1:])) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(code[raw] * _power("p", n), out=total[1:])
-    h = (total[end] - total[start]) * _power("q", n)[start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    back = _power("q", n)[start]
+    base = total[start]
+
+    def hashed(stop, salt):
+        return mix((total[stop] - base) * back + (stop - start + salt).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+    h = hashed(end, 0)
+    if heads:
+        h = [h] + [hashed(np.minimum(start + k, end), 1000 * k) for k in heads]
     return start, end, h, np.searchsorted(start, offs)
 
 
