@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tablework.llm import ngram_join
+from tablework.llm import decontaminate, ngram_join, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.query,
+    "op2_toxicity": toxicity.query,
+    "op4_decontaminate": decontaminate.query,
+    "op5_token_counts": token_counts.query,
 }
 
 ORACLES: dict[str, str] = {}
