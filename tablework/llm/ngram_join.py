@@ -5,16 +5,16 @@ Documents are sets of distinct k-word shingles; two documents link when
 component) of every document.
 
 Plan
-1. One scan finds frequent shingles (shared by many texts of a partition).
-   Their counts live in a table of 2**20 cells - a fixed size, so it can be
-   sent to every task.  They only steer the order below; any order is exact.
-2. One scan makes each text's sorted shingle set and its prefix: the first
-   ``n - ceil(t * n) + 1`` shingles in (frequency class, hash) order.  Linked
-   sets must share a prefix shingle.  Equal sets have equal node ids and
-   count once.  Texts sharing a shingle inside a task meet at the task's
-   smallest node, so a hot shingle leaves a task as one row; the rest meet
-   after a shuffle by shingle.  The components of these star edges bound
-   where links can be.
+1. One scan makes each text's shingle set.  Equal sets have equal node ids.
+   A task sends its (shingle, text) postings as packed blocks, one for each
+   slice of the shingles' hash range; copies inside a task are sent once.
+2. A slice counts its shingles and keeps those of two texts or more - no
+   other can make a link - and sends them back to the block of their texts.
+   There every text's prefix is taken: the first ``n - ceil(t * n) + 1``
+   shingles, rarest first.  Linked sets share a prefix shingle.  Texts of a
+   block meet at the block's first text with the shingle, so a hot shingle
+   leaves a block as one row; the rest meet after a shuffle by shingle.  The
+   components of these star edges bound where links can be.
 3. The sets of those candidate groups (and only those) are brought together.
    A group above ``cell_weight`` shingles is split into cells by size band
    and hash, and every pair of cells whose sizes are compatible is one block.
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +43,14 @@ from tablework.llm import words as W
 from tablework.llm.components import components
 from tablework.llm.store import discard, materialise, n_parts, prepare
 
-CELLS = 1 << 20          # cells of the frequency table
-HOT = 8                  # texts of one partition that make a shingle frequent
+SLICES = 8               # slices of the hash range for each shuffle partition
+ROW_BITS = 20            # bits of a text's place in its block
+BLOCK_TEXTS = 65_000     # texts in a block at most (their places take 16 bits)
+BLOCK = 2_000_000        # shingles after which a block is closed
 BITS = 4096              # bits of a signature
 FAN = 8                  # children of a tree node
-CELL_WEIGHT = 2_000_000  # shingles in a cell of a block (about 16 MB)
-FLUSH = 2_000_000        # prefix entries combined at a time inside a task
+CELL_WEIGHT = 2_000_000  # shingles in a cell of a heavy group (about 16 MB)
+GATE = 1 << 20           # cells of the filter on the texts read again
 
 
 def need(na, nb, threshold: int):
@@ -72,35 +75,129 @@ def node_id(tokens: np.ndarray) -> int:
     return int(W.mix(s)[0] >> np.uint64(1))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
+_POST = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()),
+                   ("n", pa.int64()), ("place", pa.int32()), ("tokens", pa.binary()), ("places", pa.binary()),
+                   ("df", pa.binary())])
+_POST_DDL = ("slice int, block long, doc_id long, node long, n long, place int, tokens binary, places binary, "
+             "df binary")
+
+
+def _batch(m: int, **cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(m, f.type) for f in _POST], schema=_POST)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted 48-bit values by byte plane: the high planes compress to little."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _unplanes(b: bytes) -> np.ndarray:
+    p = np.frombuffer(b, np.uint8).reshape(6, -1)
+    out = np.zeros((p.shape[1], 8), np.uint8)
+    out[:, :6] = p.T
+    return out.view("<u8").ravel()
+
+
+def _postings(batches, k: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """A row (doc_id, node, n, place) per text - place is null for a repeated
+    set and for a null id - and packed postings per (block, slice).  A
+    shingle is sent by 48 bits of its hash: equal shingles stay equal."""
+    task = TaskContext.get().partitionId() << ROW_BITS
+    seen: set[int] = set()
+    block, texts, held, texts_seen = 0, [], 0, 0
+
+    def close():
+        tok = np.concatenate(texts) >> np.uint64(16)
+        place = np.repeat(np.arange(len(texts), dtype=np.uint16), [len(t) for t in texts])
+        order = np.argsort(tok, kind="stable")
+        tok, place = tok[order], place[order]
+        part = ((tok >> np.uint64(16)) * np.uint64(slices)) >> np.uint64(32)
+        cut = np.searchsorted(part, np.arange(slices + 1))
+        some = [i for i in range(slices) if cut[i] < cut[i + 1]]
+        yield _batch(len(some), slice=some, block=[task + block] * len(some),
+                     tokens=[_planes(tok[cut[i]:cut[i + 1]]) for i in some],
+                     places=[place[cut[i]:cut[i + 1]].tobytes() for i in some])
+
     for b in batches:
-        raw, offs = W.text_bytes(b.column(0))
+        ids = b.column(0).to_pylist()
+        raw, offs = W.text_bytes(b.column(1))
+        out: dict[str, list] = {c: [] for c in ("slice", "block", "doc_id", "node", "n", "place")}
         for i, j in W.chunks(offs):
             o = offs[i:j + 1]
-            _, _, h, first = W.split_words(raw[o[0]:o[-1]], o - o[0])
-            sh, _ = W.shingle_hashes(h, first, k)
-            counts += np.bincount((sh & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    hot = np.flatnonzero(counts >= max(HOT, 4 * counts.mean()))
-    yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(counts[hot])], names=["cell", "n"])
+            for d, t in enumerate(text_sets(raw[o[0]:o[-1]], o - o[0], k), i):
+                if len(texts) == BLOCK_TEXTS or held >= BLOCK:
+                    yield from close()
+                    block, texts, held = block + 1, [], 0
+                texts_seen += 1  # rows of texts are spread over the slices
+                node = node_id(t) if len(t) else None
+                new = node is not None and ids[d] is not None and node not in seen
+                for c, v in zip(out, ((texts_seen * 7919 + (task >> ROW_BITS) * 104729) % slices, task + block, ids[d], node, len(t),
+                                      len(texts) if new else None)):
+                    out[c].append(v)
+                if new:
+                    seen.add(node)
+                    texts.append(t)
+                    held += len(t)
+        yield _batch(len(out["n"]), **out)
+    if texts:
+        yield from close()
+
+
+def _shared(batches) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slice.  Postings of shingles with two texts or more, with
+    their count, per block; rows of texts pass through."""
+    at, held = None, []
+
+    def count():
+        tok = np.concatenate([_unplanes(t) for _, t, _ in held])
+        place = np.concatenate([np.frombuffer(p, np.uint16) for _, _, p in held])
+        who = np.repeat(np.arange(len(held)), [len(p) // 2 for _, _, p in held])
+        order = np.argsort(tok, kind="stable")
+        tok = tok[order]
+        head = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+        size = np.diff(np.r_[head, len(tok)])
+        df = np.repeat(size, size)
+        keep = df > 1
+        order, tok, df = order[keep], tok[keep], df[keep]
+        back = np.argsort(who[order], kind="stable")
+        order, tok, df = order[back], tok[back], df[back]
+        cut = np.searchsorted(who[order], np.arange(len(held) + 1))
+        some = [i for i in range(len(held)) if cut[i] < cut[i + 1]]
+        place = place[order]
+        if some:
+            yield _batch(len(some), block=[held[i][0] for i in some],
+                         tokens=[tok[cut[i]:cut[i + 1]].tobytes() for i in some],
+                         places=[place[cut[i]:cut[i + 1]].tobytes() for i in some],
+                         df=[df[cut[i]:cut[i + 1]].astype(np.uint32).tobytes() for i in some])
 
+    for b in batches:
+        texts = b.filter(b.column(6).is_null())
+        if texts.num_rows:
+            yield texts
+        for r in b.filter(b.column(6).is_valid()).select(["slice", "block", "tokens", "places"]).to_pylist():
+            if r["slice"] != at:
+                if held:
+                    yield from count()
+                at, held = r["slice"], []
+            held.append((r["block"], r["tokens"], r["places"]))
+    if held:
+        yield from count()
 
-def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """Class per cell: 0, or 1 + log2 of how frequent its shingles are.  At
-    most CELLS rows of 12 bytes come to the driver, whatever the input."""
-    rows = docs.select("text").mapInArrow(lambda it: _frequent(it, k), "cell int, n long") \
-        .groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CELLS, np.uint8)
-    if len(rows):
-        out[rows["cell"].to_numpy()] = 1 + np.log2(rows["n"].to_numpy() / HOT).astype(np.uint8)
-    return out
 
+_SIG = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
 
-_SIG = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+def _sig(kind: int, a, b, n=None, place=None) -> pa.RecordBatch:
+    m = len(a)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(m, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+        pa.array(n, pa.int64()) if n is not None else pa.nulls(m, pa.int64()),
+        pa.array(place, pa.int64()) if place is not None else pa.nulls(m, pa.int64())], schema=_SIG)
 
 
 def _stars(tok: np.ndarray, node: np.ndarray):
-    """Rows sorted by (token, node) -> (tokens, their first node, edges to it)."""
+    """(tokens, their first node, edges of the other nodes to it)."""
     order = np.lexsort((node, tok))
     tok, node = tok[order], node[order]
     head = np.ones(len(tok), bool)
@@ -112,59 +209,49 @@ def _stars(tok: np.ndarray, node: np.ndarray):
     return tok[at], node[at], edges
 
 
-def _rows(kind: int, a, b, n=None) -> pa.RecordBatch:
-    m = len(a)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(m, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-        pa.array(n, pa.int64()) if n is not None else pa.nulls(m, pa.int64())], schema=_SIG)
-
-
-def _signatures(batches, k: int, threshold: int, classes) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, node, n); 1: (prefix shingle, smallest node here);
-    2: (node, smallest node here that shares a prefix shingle)."""
-    cls = classes.value
-    seen: set[int] = set()
-    toks: list[np.ndarray] = []
-    nodes: list[np.ndarray] = []
-    held = 0
+def _prefixes(batches, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block.  kind 0: (doc_id, node, n, row); 1: (prefix
+    shingle, its first row in the block); 2: (row, first row that shares a
+    prefix shingle).  A row is a text's block and place."""
+    at, texts, post = None, [], []
 
-    def flush():
-        tok, node, edges = _stars(np.concatenate(toks), np.concatenate(nodes))
-        for at in range(0, len(tok), 200_000):
-            yield _rows(1, tok[at:at + 200_000].view(np.int64), node[at:at + 200_000])
-        if len(edges):
-            yield _rows(2, edges[:, 0], edges[:, 1])
+    def solve():
+        out = [(d, v, n, None if p is None else (at << ROW_BITS) + p) for d, v, n, p in texts]
+        yield _sig(0, *([r[i] for r in out] for i in range(4)))
+        if not post:
+            return
+        n = np.zeros(BLOCK_TEXTS + 1, np.int64)
+        for _, _, size, p in texts:
+            if p is not None:
+                n[p] = size
+        tok = np.concatenate([np.frombuffer(t, np.uint64) for t, _, _ in post])
+        place = np.concatenate([np.frombuffer(p, np.uint16) for _, p, _ in post]).astype(np.int64)
+        df = np.concatenate([np.frombuffer(f, np.uint32) for _, _, f in post])
+        order = np.lexsort((tok, df, place))
+        tok, place = tok[order], place[order]
+        head = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        size = np.diff(np.r_[head, len(place)])
+        rank = np.arange(len(place)) - np.repeat(head, size)
+        alone = np.repeat(n[place[head]] - size, size)  # shingles of this text only come first
+        keep = rank < n[place] + (-threshold * n[place]) // 100 + 1 - alone
+        if keep.any():
+            t, v, e = _stars(tok[keep], (at << ROW_BITS) + place[keep])
+            yield _sig(1, t.view(np.int64), v)
+            if len(e):
+                yield _sig(2, e[:, 0], e[:, 1])
 
     for b in batches:
-        ids = b.column(0).to_pylist()
-        raw, offs = W.text_bytes(b.column(1))
-        doc_node, doc_n = [], []
-        for i, j in W.chunks(offs):
-            o = offs[i:j + 1]
-            for d, t in enumerate(text_sets(raw[o[0]:o[-1]], o - o[0], k)):
-                n = len(t)
-                doc_n.append(n)
-                if n == 0:
-                    doc_node.append(None)
-                    continue
-                node = node_id(t)
-                doc_node.append(node)
-                if node in seen or ids[i + d] is None:
-                    continue
-                seen.add(node)
-                c = cls[(t & np.uint64(CELLS - 1)).astype(np.int64)]
-                if c.any():
-                    t = t[np.argsort(c, kind="stable")]
-                p = t[:prefix_len(n, threshold)]
-                toks.append(p)
-                nodes.append(np.full(len(p), node, np.int64))
-                held += len(p)
-                if held >= FLUSH:
-                    yield from flush()
-                    toks, nodes, held = [], [], 0
-        yield _rows(0, ids, doc_node, doc_n)
-    if held:
-        yield from flush()
+        for r in b.select(["block", "doc_id", "node", "n", "place", "tokens", "places", "df"]).to_pylist():
+            if r["block"] != at:
+                if at is not None:
+                    yield from solve()
+                at, texts, post = r["block"], [], []
+            if r["tokens"] is None:
+                texts.append((r["doc_id"], r["node"], r["n"], r["place"]))
+            else:
+                post.append((r["tokens"], r["places"], r["df"]))
+    if at is not None:
+        yield from solve()
 
 
 def _token_edges(batches) -> Iterator[pa.RecordBatch]:
@@ -379,29 +466,41 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFra
     A text with fewer than k words has its whole sequence as one shingle.
     A null doc_id takes no part in links; its component is null.  Rows that
     repeat a doc_id with different texts are separate members that share
-    their id.  Equal shingle sets are always linked.
+    their id.  Equal shingle sets are always linked.  ``docs`` must give the
+    same rows in the same order when a task is repeated (a table does).
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, k))
-    sig = materialise(docs.mapInArrow(lambda it: _signatures(it, k, threshold, classes),
-                                      "kind int, a long, b long, n long"), "signatures", "kind")
-    rows = sig.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n")
+    parts = n_parts(spark)
+    slices = SLICES * parts
+    posts = docs.mapInArrow(lambda it: _postings(it, k, slices), _POST_DDL)
+    shared = posts.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_shared, _POST_DDL)
+    sig = materialise(
+        shared.repartition(parts, "block").sortWithinPartitions("block")
+        .mapInArrow(lambda it: _prefixes(it, threshold), "kind int, a long, b long, n long, place long"),
+        "signatures", "kind")
+    rows = sig.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "place")
     by_token = sig.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node")) \
-        .repartition(n_parts(spark), "token").sortWithinPartitions("token", "node") \
-        .mapInArrow(_token_edges, "a long, b long")
-    near = components(sig.where("kind = 2").select("a", "b").unionByName(by_token))
+        .repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(_token_edges, "a long, b long")
+    stars = sig.where("kind = 2").select("a", "b").unionByName(by_token).distinct()
+    place = rows.where("place is not null").select("place", "node")
+    near = components(stars.join(place.toDF("a", "x"), "a").join(place.toDF("b", "y"), "b").select(
+        F.col("x").alias("a"), F.col("y").alias("b")))
     reps = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     members, split = _cells(near.join(reps, "node"))
     members = materialise(members.select("node", "comp", "band", "k", "rep"), "members")
-    held = members.join(docs, members["rep"] == docs["doc_id"]).select(
+    # only texts whose id falls in a member's cell of a fixed-size filter are shuffled
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(GATE))
+    gate = members.select(F.col("rep").alias("doc_id")).select(cell.alias("cell")).distinct()
+    again = docs.withColumn("cell", cell).join(F.broadcast(gate), "cell", "left_semi").drop("cell")
+    held = members.join(again, members["rep"] == again["doc_id"]).select(
         "node", "comp", F.struct("band", "k").alias("cell"), "text")
     sets = held.mapInArrow(lambda it: _member_sets(it, k),
                            "comp long, cell struct<band:int,k:int>, node long, tokens array<long>")
     blocks = _blocks(sets, split)
-    links = blocks.repartition(n_parts(spark), "block").sortWithinPartitions("block") \
+    links = blocks.repartition(parts, "block").sortWithinPartitions("block") \
         .select("block", "cell", "node", "tokens").mapInArrow(lambda it: _block_links(it, k, threshold), "a long, b long")
     found = components(links)
     named = found.join(reps.select("node", "rep"), "node")
