@@ -46,6 +46,10 @@ class Lattice:
         self.pieces = Table(h & 0x7FFFFFFFFFFFFFFF)
         self.kept: dict[int, np.ndarray] = {}
         self.kept_size = 0
+        v = m.vocabulary
+        self.names: list[str | None] = [p if ok else "" for p, ok in zip(v.pieces, v.normal)]
+        if v.byte0 >= 0:
+            self.names[v.byte0:v.byte0 + 256] = [chr(b) if b < 128 else None for b in range(256)]
 
     @staticmethod
     def _hash(sym: np.ndarray) -> np.uint64:
@@ -73,8 +77,9 @@ class Lattice:
         order = np.lexsort((-n, place + n))
         return place[order], n[order], piece[order]
 
-    def segment(self, sym: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-        """Symbols of each stretch.  The fold takes the ends of all stretches
+    def segment(self, sym: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the stretches, which lie end to end in sym, and their
+        offsets.  The fold takes the ends of all stretches
         side by side, in order: at step i the edges that end i characters in."""
         place, n, piece = self.edges(sym, start, size)
         end = place + n
@@ -102,15 +107,16 @@ class Lattice:
                 best[end[x[fine]]] = x[fine]
                 todo, x = todo[~fine], x[~fine]
                 e[todo] = np.where(final[x], -1, x + 1)
-        out: list[np.ndarray] = [None] * len(start)  # type: ignore[list-item]
-        for k, (a, b) in enumerate(zip(start.tolist(), (start + size).tolist())):
-            path = []
-            while b > a:
-                x = best[b]
-                path.append(piece[x])
-                b = int(place[x])
-            out[k] = np.array(path[::-1], np.int64)
-        return out
+        chosen = np.zeros(len(place), bool)
+        at, stop = start + size, start
+        while len(at):  # back along the paths, all stretches at once
+            x = best[at]
+            chosen[x] = True
+            at = place[x]
+            go = at > stop
+            at, stop = at[go], stop[go]
+        path = np.flatnonzero(chosen)  # edges are ordered by their ends
+        return piece[path], np.searchsorted(place[path], np.r_[start, len(sym)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets per text)."""
@@ -141,13 +147,16 @@ class Lattice:
             at = first[np.array(part)]
             order = np.argsort(start[at], kind="stable")
             at = at[order]
-            for i, symbols in zip(np.array(part)[order].tolist(), self.segment(*_packed(sym, start[at], size[at]))):
-                ids = m.id[symbols]
-                if (ids < 0).any():  # characters that are no piece become bytes
-                    ids = np.concatenate([[m.id[x]] if m.id[x] >= 0 else
-                                          [v.byte0 + y for y in m.chars[x].encode("utf-8")] for x in symbols.tolist()])
-                got[i] = ids.astype(np.int32)
-        fresh = [i for i in byte + new]
+            symbols, o = self.segment(*_packed(sym, start[at], size[at]))
+            ids = m.id[symbols].astype(np.int32)
+            for i, x, y in zip(np.array(part)[order].tolist(), o[:-1].tolist(), o[1:].tolist()):
+                got[i] = ids[x:y]
+            for j in np.unique(np.searchsorted(o, np.flatnonzero(ids < 0), side="right") - 1).tolist():
+                # characters that are no piece become bytes
+                got[part[order[j]]] = np.concatenate([
+                    [m.id[x]] if m.id[x] >= 0 else [v.byte0 + y for y in m.chars[x].encode("utf-8")]
+                    for x in symbols[o[j]:o[j + 1]].tolist()]).astype(np.int32)
+        fresh = byte + new
         self.kept_size += sum(len(got[i]) + 8 for i in fresh)
         if self.kept_size > KEPT_IDS:
             self.kept.clear()
@@ -166,19 +175,17 @@ class Lattice:
         """Text of ids: pieces joined, bytes decoded (invalid ones replaced),
         space marks as spaces, without the mark the model put first."""
         v = self.t.m.vocabulary
-        out, held = [], bytearray()
-        for i in list(ids):
-            if v.byte0 <= i < v.byte0 + 256:
-                held.append(i - v.byte0)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
+        got = [self.names[i] for i in ids]
+        if None in got:  # bytes of several that make a character
+            got, held = [], bytearray()
+            for i in [*ids, -1]:
+                if i >= 0 and v.byte0 <= i < v.byte0 + 256:
+                    held.append(i - v.byte0)
+                    continue
+                got.append(held.decode("utf-8", "replace"))
                 held = bytearray()
-            if v.normal[i]:
-                out.append(v.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+                got.append(self.names[i] if i >= 0 else "")
+        text = "".join(got).replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 

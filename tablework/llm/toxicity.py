@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.llm import words as W
-from tablework.llm.store import prepare, table
+from tablework.llm.store import discard, materialise, prepare, table
 
-SAMPLE = 20_000        # labelled rows read for training at most
+SAMPLE = 8_000         # labelled rows read for training at most
 FOLDS = 5              # crc32(doc_id) mod FOLDS = 0 is held out
 STEPS = 150            # optimiser steps
 RATE = 0.1             # step size
@@ -96,15 +96,23 @@ def word_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return [np.unique(np.concatenate([h[first[d]:first[d + 1]] for h in kinds])) for d in range(len(offs) - 1)]
 
 
-def _word_sets(batches) -> Iterator[pa.RecordBatch]:
+def _word_sets(batches, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) -> (toxic, features); only ``known`` ones (sorted) where given."""
     for b in batches:
         raw, offs = W.text_bytes(b.column(1))
         sets = word_sets(raw, offs)
+        if known is not None:
+            sets = [np.intersect1d(s, known, assume_unique=True) for s in sets]
         col = pa.ListArray.from_arrays(np.cumsum([0] + [len(s) for s in sets]).astype(np.int32),
                                        pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), col], names=["toxic", "words"])
 
 
+def support(n: int) -> int:
+    """Texts out of n that a feature must be in to have a weight."""
+    return max(4, n // 400)
+
+
 def train(sets: list[np.ndarray], y: np.ndarray, l2: float = L2, swap: float = SWAP, steps: int = STEPS) -> Model:
     """Full-batch Adam on: class-balanced log loss + l2 |v|^2 / 2 +
     swap * mean squared score change under identity swaps.  Each word's
@@ -119,7 +127,7 @@ def train(sets: list[np.ndarray], y: np.ndarray, l2: float = L2, swap: float = S
     sizes = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(n), sizes)
     vocab, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = (df >= max(4, n // 400)) | np.isin(vocab, np.concatenate([term, other]))
+    keep = (df >= support(n)) | np.isin(vocab, np.concatenate([term, other]))
     if not keep.any():
         return none
     new = np.cumsum(keep) - 1
@@ -166,13 +174,19 @@ def train(sets: list[np.ndarray], y: np.ndarray, l2: float = L2, swap: float = S
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Model:
     """Learn from ``labels(doc_id, toxic)`` outside the held-out fold.  Labels
     other than 0 and 1, and null ids, are left out; conflicting labels of one
-    id count as 1.  At most ``sample`` ids (by hash) and the distinct words of
-    their texts reach the driver."""
+    id count as 1.  At most ``sample`` ids (by hash) are used; of their texts
+    the features that ``support`` texts share reach the driver."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
         .where(f"doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % {FOLDS} != 0") \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text") \
-        .mapInArrow(_word_sets, "toxic int, words array<long>").toArrow()
+    texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "labelled")
+    n = texts.count()
+    common = texts.mapInArrow(lambda it: _word_sets(it, None), "toxic int, words array<long>") \
+        .select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= support(n)).select("w").toPandas()
+    known = np.unique(np.concatenate([common["w"].to_numpy(np.int64).view(np.uint64), *swap_table()]))
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    got = texts.mapInArrow(lambda it: _word_sets(it, held.value), "toxic int, words array<long>").toArrow()
+    discard(texts)
     words = got.column("words").combine_chunks()
     flat = words.values.to_numpy().view(np.uint64) if len(words) else np.empty(0, np.uint64)
     offs = words.offsets.to_numpy() if len(words) else np.zeros(1, np.int32)
