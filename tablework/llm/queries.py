@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tablework.llm import decontaminate, ngram_join, token_counts, toxicity
+from tablework.llm import decontaminate, ngram_join, pii, sentence_pieces, token_counts, toxicity, vector_join, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.query,
     "op2_toxicity": toxicity.query,
+    "op3_vector_join": vector_join.query,
     "op4_decontaminate": decontaminate.query,
     "op5_token_counts": token_counts.query,
+    "op6_sentence_pieces": sentence_pieces.query,
+    "op8_personal_data": pii.query,
+    "op10_warc": warc.query,
 }
 
 ORACLES: dict[str, str] = {}
