@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablework.llm import words as W
@@ -535,3 +536,14 @@ def _blocks(sets: DataFrame, split: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the whole ``documents`` table, 5 words, similarity 0.75."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each class of near copies the document with the
+    smallest doc_id stays; rows repeating a doc_id are one document (that with
+    the smallest text hash), and rows without a doc_id stay."""
+    cols = [f"`{c}`" for c in docs.columns]
+    keep = jaccard_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    first = F.row_number().over(Window.partitionBy("_keep").orderBy(F.xxhash64("text")))
+    stay = docs.join(keep, docs["doc_id"] == keep["_keep"]).withColumn("_first", first).where("_first = 1")
+    return stay.select(*cols).unionByName(docs.where("doc_id is null"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tablework.llm import decontaminate, ngram_join, pii, sentence_pieces, token_counts, toxicity, vector_join, warc
+from tablework.llm import (
+    decontaminate, language_id, license_scan, ngram_join, pii, sentence_pieces, token_counts, toxicity, vector_join, warc,
+)
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.query,
@@ -11,7 +13,9 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op5_token_counts": token_counts.query,
     "op6_sentence_pieces": sentence_pieces.query,
+    "op7_license_scan": license_scan.query,
     "op8_personal_data": pii.query,
+    "op9_language_id": language_id.query,
     "op10_warc": warc.query,
 }
 
