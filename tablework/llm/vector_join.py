@@ -197,7 +197,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     held = spark.sparkContext.broadcast(fitted)
     placed = flat.mapInArrow(lambda it: _projected(it, held, eps), "node long, label int, dim int, n long, vector array<double>, "
                              "cells array<int>, y array<double>")
-    keys = ["label", "dim", *(F.col("cells")[i] for i in range(4)), F.col("node")]
+    keys = ["label", "dim", *(F.get("cells", F.lit(i)) for i in range(4)), F.col("node")]
     blocks = materialise(placed.repartitionByRange(n_parts(spark), *keys).sortWithinPartitions("label", "dim", "cells", "node")
                          .mapInArrow(_blocks, "block long, label int, dim int, nodes binary, weights binary, vectors binary, "
                                      "y binary, lo array<double>, hi array<double>"), "blocks")

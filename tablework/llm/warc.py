@@ -64,10 +64,11 @@ def capture(page_id, url: str | None, html: str | None, copy: int, head) -> list
     raw = body.encode()
     sha1 = digest(raw)
     uri = url or ""
-    main = record_id(page_id, sha1, copy, "response")
+    name = page_id if page_id is not None else f"null {uri}"
+    main = record_id(name, sha1, copy, "response")
     base = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     host, path = (uri.split("://", 1)[-1].split("/", 1) + [""])[:2]
-    request = _record("request", [("WARC-Record-ID", record_id(page_id, sha1, copy, "request")), ("WARC-Concurrent-To", main), *base,
+    request = _record("request", [("WARC-Record-ID", record_id(name, sha1, copy, "request")), ("WARC-Concurrent-To", main), *base,
                                   ("Content-Type", "application/http; msgtype=request")],
                       f"GET /{_clean(path)} HTTP/1.1\r\nHost: {_clean(host)}\r\n\r\n")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(raw)}\r\n\r\n"
@@ -79,7 +80,7 @@ def capture(page_id, url: str | None, html: str | None, copy: int, head) -> list
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("WARC-Refers-To", record_id(head, sha1, 0, "response"))], http)
     note = {"pageId": page_id, "payloadLength": len(raw), "hasUrl": int(url is not None), "refersToPage": head}
-    metadata = _record("metadata", [("WARC-Record-ID", record_id(page_id, sha1, copy, "metadata")), ("WARC-Concurrent-To", main), *base,
+    metadata = _record("metadata", [("WARC-Record-ID", record_id(name, sha1, copy, "metadata")), ("WARC-Concurrent-To", main), *base,
                                     ("Content-Type", "application/warc-fields")],
                        "".join(f"{k}: {v}\r\n" for k, v in note.items() if v is not None))
     return [request, answer, metadata]
