@@ -7,7 +7,7 @@ revisits that refer to it.  ``read_records`` parses archives by their
 Content-Length fields; ``assemble`` joins the three records of a capture
 through WARC-Concurrent-To and gives one nested row per capture.
 
-Payloads move once, by page_id.  Equal payloads are found on (digest, size,
+Payloads move once, by page_id.  Equal payloads are found on (digest,
 page_id) rows: grouped maxima are combined before the shuffle, and the join
 back is against payloads that occur more than once.  Files hold at most
 ``CAPTURES`` captures, so that a reader holds one bounded file.
@@ -86,27 +86,20 @@ def capture(page_id, url: str | None, html: str | None, copy: int, head) -> list
     return [request, answer, metadata]
 
 
-def _sizes(batches) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw = [(h or "").encode() for h in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(r) for r in raw]), pa.array([len(r) for r in raw], pa.int64())],
-                                         names=["page_id", "sha1", "size"])
-
-
 def _render(batches) -> Iterator[pa.RecordBatch]:
     copies: dict = {}
-    last = object()
+    last = None
     yield pa.RecordBatch.from_arrays([pa.array([_record("warcinfo", [
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")],
         "format: WARC File Format 1.1\r\n")])], names=["value"])
     for b in batches:
         out = []
         for r in b.to_pylist():
-            if r["page_id"] != last:  # rows of a page are next to each other
-                copies, last = {}, r["page_id"]
-            key = digest((r["html"] or "").encode())
-            head = dict(r["heads"] or []).get(key)
-            n = copies[key] = copies.get(key, -1) + 1
+            if r["key"] != last:  # rows of a key are next to each other
+                copies, last = {}, r["key"]
+            head = dict(r["heads"] or []).get(r["hex"])
+            same = (r["url"], r["hex"]) if r["page_id"] is None else r["hex"]
+            n = copies[same] = copies.get(same, -1) + 1
             out += capture(r["page_id"], r["url"], r["html"], n, head if head != r["page_id"] else None)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
@@ -120,18 +113,20 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     prepare(spark, 200)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html"))
-    sizes = pages.select("page_id", "html").mapInArrow(_sizes, "page_id long, sha1 string, size long").where(F.col("size") >= min_bytes)
-    sizes = materialise(sizes, "sizes")
-    heads = materialise(sizes.groupBy("sha1", "size").agg(F.max("page_id").alias("head"), F.count("*").alias("n"))
-                        .where("n > 1 and head is not null").select("sha1", "head"), "heads")
+    body = F.coalesce("html", F.lit(""))
+    pages = pages.withColumn("hex", F.sha1(body))
+    # rows that need one place: those of a page, or those of a payload without page_id
+    key = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("n"), "hex"))
+    sizes = pages.where(F.octet_length(body) >= min_bytes).select("page_id", "hex", key.alias("key"))
+    heads = materialise(sizes.groupBy("hex").agg(F.max("page_id").alias("head"), F.count("*").alias("n"))
+                        .where("n > 1 and head is not null").select("hex", "head"), "heads")
     # a page's revisits by payload: one for each row but repeated page_ids
-    again = sizes.join(heads, "sha1").where("not page_id <=> head").select("page_id", "sha1", "head").distinct() \
-        .groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("sha1", "head"))).alias("heads"))
-    joined = pages.join(again.withColumnRenamed("page_id", "_id"), F.col("page_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    again = sizes.join(heads, "hex").where("not page_id <=> head").select("key", "hex", "head").distinct() \
+        .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("hex", "head"))).alias("heads"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # null ids are spread; others keep a page's rows together
-    where = F.coalesce("page_id", -F.abs(F.xxhash64("url", "html")))
-    joined.repartition(parts, where).sortWithinPartitions("page_id").mapInArrow(_render, "value string") \
+    # payloads are shuffled once: the join keeps the partitions by key
+    pages.withColumn("key", key).repartition(parts, "key").join(again, "key", "left").sortWithinPartitions("key") \
+        .mapInArrow(_render, "value string") \
         .write.mode("overwrite").option("lineSep", _END).option("maxRecordsPerFile", 3 * CAPTURES).option("compression", "gzip").text(path)
 
 
