@@ -1,8 +1,8 @@
 """License scans: TF-IDF cosine to templates, then directory inheritance (operator 7).
 
 A text's candidate stretches are runs of words that occur in some template,
-with at most ``GAP`` other words between two of them; the whole text is a
-candidate too.  Each is a sparse TF-IDF vector compared with every
+with at most ``GAP`` other words between two of them, over lines and within
+them; the whole text is a candidate too.  Each is a sparse TF-IDF vector compared with every
 template by cosine.  Inverse document frequencies of the templates' words
 are counted over all texts; any other word of a stretch weighs as a word of
 one text.  A text whose words lie mostly in licence stretches is a licence
@@ -141,33 +141,35 @@ def _frequencies(batches, vocab: np.ndarray) -> Iterator[pa.RecordBatch]:
 def notices(t: Templates, gate: np.ndarray, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, float, float]]:
     """(text, template, cosine, share of the text's words in notices) of the
     best notice of each text that has one."""
-    _, _, h, first = W.split_words(raw, offs, W.ALNUM)
+    start, _, h, first = W.split_words(raw, offs, W.ALNUM)
     at, word = _places(h, t.vocab, gate)
     if not len(at):
         return []
     doc = np.searchsorted(first, at, side="right") - 1
-    cut = np.r_[True, (np.diff(at) > GAP + 1) | (doc[1:] != doc[:-1])]
-    head = np.flatnonzero(cut)
-    stop = np.r_[head[1:], len(at)]
-    units = [(a, b, int(at[b - 1] - at[a] + 1)) for a, b in zip(head.tolist(), stop.tolist()) if b - a >= LEAST]
-    whole = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    for a, b in zip(whole.tolist(), np.r_[whole[1:], len(at)].tolist()):
-        d = doc[a]
-        if b - a >= LEAST:
-            units.append((a, b, int(first[d + 1] - first[d])))
+    line = np.searchsorted(np.flatnonzero(raw == 10), start[at])
+    apart = np.r_[True, (np.diff(at) > GAP + 1) | (doc[1:] != doc[:-1])]
     best: dict[int, tuple[float, int]] = {}
     inside: dict[int, int] = {}
-    for a, b, size in units:
-        w, n = np.unique(word[a:b], return_counts=True)
-        x = n * t.idf[w]
-        norm = math.sqrt(float((x * x).sum()) + (size - (b - a)) * t.rare ** 2)
-        c = t.rows[:, w] @ x / norm
-        k = int(c.argmax())
-        if c[k] >= COSINE:
+    # stretches over lines, stretches within lines, whole texts
+    for cut, whole in ((apart, False), (apart | np.r_[True, line[1:] != line[:-1]], False), (np.r_[True, doc[1:] != doc[:-1]], True)):
+        head = np.flatnonzero(cut)
+        hit: dict[int, int] = {}
+        for a, b in zip(head.tolist(), np.r_[head[1:], len(at)].tolist()):
+            if b - a < LEAST:
+                continue
             d = int(doc[a])
-            inside[d] = min(inside.get(d, 0) + size, int(first[d + 1] - first[d]))
-            if d not in best or (c[k], -k) > best[d]:
-                best[d] = (float(c[k]), -k)
+            size = int(first[d + 1] - first[d]) if whole else int(at[b - 1] - at[a] + 1)
+            w, n = np.unique(word[a:b], return_counts=True)
+            x = n * t.idf[w]
+            norm = math.sqrt(float((x * x).sum()) + (size - (b - a)) * t.rare ** 2)
+            c = t.rows[:, w] @ x / norm
+            k = int(c.argmax())
+            if c[k] >= COSINE:
+                hit[d] = hit.get(d, 0) + size
+                if d not in best or (c[k], -k) > best[d]:
+                    best[d] = (float(c[k]), -k)
+        for d, n_words in hit.items():
+            inside[d] = max(inside.get(d, 0), n_words)
     return [(d, -k, c, inside[d] / int(first[d + 1] - first[d])) for d, (c, k) in sorted(best.items())]
 
 
