@@ -21,7 +21,8 @@ from tablework.operators import clean as cleaning
 from tablework.operators.names import clean_names, rename_columns
 from tablework.operators.schema import (lineage_file_name, lineage_file_path, target_columns,
                                         union_by_name)
-from tablework.sources.probe import describe_files
+from tablework.session import shared_dir
+from tablework.sources.probe import describe_files, with_text_facts
 
 EXTRA_FIELD = "__extra_field"
 
@@ -31,8 +32,6 @@ def _lineage_expr(lineage):
     (``lineage="path"``)."""
     return lineage_file_path() if lineage == "path" else lineage_file_name()
 TEXT_TYPES = ("csv", "tsv", "txt")
-# More header groups than this are read through the generic text path (H1).
-MAX_HEADER_GROUPS = 200
 
 
 @dataclass
@@ -42,151 +41,109 @@ class ReadResult:
     rejected_files: list[dict] = field(default_factory=list)
     rejected_rows: DataFrame | None = None  # long rows under bad_rows="skip_long"
     groups: int = 0
+    counted: DataFrame | None = None        # (_path) of every row read, for the report
 
     def report(self, data: DataFrame | None = None) -> DataFrame:
-        """B5 import report: (file, status, n_columns, rows, error).
-
-        ``rows`` comes from one aggregation over the loaded data grouped by
-        lineage file (a partial+final aggregation, not a scan per file)."""
-        rep = self.probes.select(F.col("file_name").alias("file"), "status", "n_columns", "error")
-        if data is not None and "_source_file" in data.columns:
+        """B5 import report: (file, status, n_columns, error[, rows]), one row
+        per path (equal base names stay apart).
+
+        ``rows`` (with ``data``) counts what was read per path, in one
+        partial+final aggregation; where only ``data``'s lineage column is
+        known (JSON, workbooks) it counts that by file name."""
+        rep = self.probes.select("path", F.col("file_name").alias("file"), "status", "n_columns", "error")
+        if data is not None and self.counted is not None:
+            counts = self.counted.groupBy(F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+            rep = rep.join(counts, "path", "left").fillna({"rows": 0})
+        elif data is not None and "_source_file" in data.columns:
             counts = data.groupBy(F.col("_source_file").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
             rep = rep.join(counts, "file", "left").fillna({"rows": 0})
-        return rep
+        return rep.drop("path")
 
 
 def _csv_group_read(spark: SparkSession, paths: list[str], n_fields: int, *, delimiter: str,
                     encoding: str, header: bool, multiline: bool, bad_rows: str,
-                    quote: str = '"', escape: str = '"', nulls: str = "null",
-                    folder: tuple | None = None) -> DataFrame:
-    """One CSV read of a header group.  ``folder=(path, pattern, recursive)``
-    reads the folder itself (Spark lists it) instead of an explicit file list
-    - used when the whole folder is one group."""
+                    quote: str = '"', escape: str = '"') -> DataFrame:
+    """One positional CSV read of files with ``n_fields`` header fields.
+
+    Column pruning is off in the parser: whether a row is malformed then
+    depends on the row alone, not on the columns a query happens to use."""
     fields = [T.StructField(f"_c{i}", T.StringType(), True) for i in range(n_fields)]
     if bad_rows == "skip_long":
         fields.append(T.StructField(EXTRA_FIELD, T.StringType(), True))
     mode = {"keep": "PERMISSIVE", "skip_long": "PERMISSIVE", "drop_malformed": "DROPMALFORMED",
             "fail": "FAILFAST"}[bad_rows]
-    r = (spark.read.schema(T.StructType(fields))
-         .option("header", str(header).lower())
-         .option("sep", delimiter)
-         .option("encoding", encoding)
-         .option("quote", quote)
-         .option("escape", escape)
-         .option("multiLine", str(multiline).lower())
-         .option("mode", mode)
-         .option("enforceSchema", "true"))
-    if folder is not None:
-        from tablework.sources.probe import case_insensitive_glob
-
-        path, pattern, recursive = folder
-        if pattern:
-            r = r.option("pathGlobFilter", case_insensitive_glob(pattern))
-        if recursive:
-            r = r.option("recursiveFileLookup", "true")
-        return r.csv(path)
-    return r.csv(paths)
+    return (spark.read.schema(T.StructType(fields))
+            .option("header", str(header).lower())
+            .option("sep", delimiter)
+            .option("encoding", encoding)
+            .option("quote", quote)
+            .option("escape", escape)
+            .option("multiLine", str(multiline).lower())
+            .option("mode", mode)
+            .option("columnPruning", str(bad_rows not in ("drop_malformed", "fail")).lower())
+            .option("enforceSchema", "true")
+            .csv(paths))
 
 
 def _needs_multiline(probe: dict, multiline) -> bool:
     """H3: quoted fields with line breaks need ``multiLine`` (one task per
-    file).  ``"auto"`` turns it on only for files whose probed head shows an
-    open quote across a line end, and for UTF-16 files (which Spark only
-    decodes correctly that way); other files stay splittable."""
+    file).  ``"auto"`` turns it on only for files that have a line with an
+    open quote anywhere, and for UTF-16 files (which Spark only decodes
+    correctly that way); other files stay splittable."""
     if multiline is True or probe["encoding"] == "UTF-16":
         return True
     return multiline == "auto" and bool(probe.get("quoted_newline_hint"))
 
 
-def _read_text_files(spark, probes_rows, *, policy, bad_rows, header, multiline, quote, escape,
-                     nulls, lineage, folder: tuple | None = None):
+def _read_text(spark, probes_rows, *, policy, bad_rows, header, multiline, quote, escape, nulls, lineage,
+               order, pad_value):
+    """Text files -> (unified DataFrame, rejected rows, number of reads, paths of kept rows).
+
+    One positional read per (encoding, delimiter, number of header fields,
+    multiLine): rows are judged against their own file's width whatever the
+    number of distinct headers.  Files of a read that share one header are
+    renamed; otherwise a join on the path with the files' headers turns the
+    positions into a name -> value map."""
+    rows = sorted(probes_rows, key=lambda p: p["path"])
+    names = {p["path"]: clean_names(list(p["header"]), policy) for p in rows}
+    cols = target_columns(list(names.values()), order, lineage=())
     groups: dict[tuple, list[str]] = {}
-    for p in probes_rows:
-        enc = p["encoding"]
-        ml = _needs_multiline(p, multiline)
-        key = (enc, p["delimiter"], tuple(p["header"]), ml)
+    for p in rows:
+        key = (p["encoding"], p["delimiter"], len(p["header"]), _needs_multiline(p, multiline))
         groups.setdefault(key, []).append(p["path"])
-    frames, rejected = [], []
-    whole = folder if len(groups) == 1 else None
-    for (enc, delim, hdr, ml), paths in sorted(groups.items(), key=lambda kv: min(kv[1])):
-        raw = _csv_group_read(spark, sorted(paths), len(hdr), delimiter=delim, encoding=enc,
-                              header=header, multiline=ml, bad_rows=bad_rows, quote=quote,
-                              escape=escape, nulls=nulls, folder=whole)
+    frames, rejected, counted = [], [], []
+    for (enc, delim, width, ml), paths in sorted(groups.items(), key=lambda kv: min(kv[1])):
+        raw = _csv_group_read(spark, sorted(paths), width, delimiter=delim, encoding=enc, header=header,
+                              multiline=ml, bad_rows=bad_rows, quote=quote, escape=escape)
+        raw = raw.withColumn("_path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
         if lineage:
             raw = raw.withColumn("_source_file", _lineage_expr(lineage))
         if bad_rows == "skip_long":
-            rejected.append(raw.where(F.col(EXTRA_FIELD).isNotNull()))
+            rejected.append(raw.where(F.col(EXTRA_FIELD).isNotNull()).drop("_path"))
             raw = raw.where(F.col(EXTRA_FIELD).isNull()).drop(EXTRA_FIELD)
-        names = clean_names(list(hdr), policy)
-        renamed = raw.toDF(*(names + (["_source_file"] if lineage else [])))
+        counted.append(raw.select("_path"))
+        fields = [F.col(f"_c{i}") for i in range(width)]
         if nulls == "keep_empty":
             # the CSV parser reads an empty field as NULL; the file does have the column
-            renamed = renamed.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names],
-                                     *(["_source_file"] if lineage else []))
-        frames.append(renamed)
-    rej = None
-    if rejected:
-        rej = rejected[0]
-        for r in rejected[1:]:
-            rej = rej.unionByName(r, allowMissingColumns=True)
-    return frames, rej, len(groups)
-
-
-def _read_text_generic(spark, probes_rows, *, policy, bad_rows, header, multiline, quote, escape,
-                       nulls, lineage, order, pad_value, broadcast_limit: int = 100_000):
-    """H1 for folders with very many distinct headers: one positional read per
-    (encoding, delimiter) instead of one per header.  Each line keeps its
-    file path; a join with the per-file header table (one row per file,
-    broadcast only below ``broadcast_limit`` files) turns the positional
-    fields into a name -> value map, projected onto the unified columns.
-    Rows longer than their file's header are detected (``skip_long`` /
-    ``drop_malformed``); short rows cannot be told from trailing empty
-    fields here and are kept NULL-padded."""
-    probes_rows = sorted(probes_rows, key=lambda p: p["path"])
-    width = max(int(p["n_columns"]) for p in probes_rows)
-    names_by_path = {p["path"]: clean_names(list(p["header"]), policy) for p in probes_rows}
-    cols = target_columns(list(names_by_path.values()), order, lineage=())
-    heads = spark.createDataFrame([(k, v, len(v)) for k, v in names_by_path.items()],
-                                  "_path string, _names array<string>, _n int")
-    if len(names_by_path) <= broadcast_limit:
-        heads = F.broadcast(heads)
-    groups: dict[tuple, list[str]] = {}
-    for p in probes_rows:
-        ml = _needs_multiline(p, multiline)
-        groups.setdefault((p["encoding"], p["delimiter"], ml), []).append(p["path"])
-    frames, rejected = [], []
-    for (enc, delim, ml), paths in sorted(groups.items(), key=lambda kv: min(kv[1])):
-        raw = _csv_group_read(spark, sorted(paths), width, delimiter=delim, encoding=enc, header=header,
-                              multiline=ml, bad_rows="keep" if bad_rows == "skip_long" else bad_rows,
-                              quote=quote, escape=escape, nulls=nulls)
-        raw = raw.withColumn("_path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"),
-                                                             F.lit("%2B"))))
-        if lineage:
-            raw = raw.withColumn("_source_file", _lineage_expr(lineage))
-        raw = raw.join(heads, "_path")
-        fields = F.array(*[F.col(f"_c{i}") for i in range(width)])
-        if bad_rows in ("skip_long", "drop_malformed"):
-            # a field beyond the file's own header width marks a long row
-            beyond = F.exists(F.slice(F.concat(fields, F.array(F.lit(None).cast("string"))),
-                                      F.col("_n") + 1, width + 1), lambda v: v.isNotNull())
-            if bad_rows == "skip_long":
-                rejected.append(raw.where(beyond))
-            raw = raw.where(~beyond)
-        m = F.map_from_arrays(F.col("_names"), F.slice(fields, 1, F.col("_n")))
-        sel = [F.element_at(m, F.lit(c)).alias(c) for c in cols]
-        if nulls == "keep_empty":
-            sel = [F.when(F.array_contains("_names", F.lit(c)), F.coalesce(x, F.lit(""))).alias(c)
-                   for x, c in zip(sel, cols)]
-        if pad_value is not None:
-            sel = [F.coalesce(x, F.lit(pad_value)).alias(c) for x, c in zip(sel, cols)]
-        frames.append(raw.select(*sel, *(["_source_file"] if lineage else [])))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
+            fields = [F.coalesce(f, F.lit("")) for f in fields]
+        pad = F.lit(None).cast("string") if pad_value is None else F.lit(str(pad_value))
+        headers = {tuple(names[p]) for p in paths}
+        if len(headers) == 1:
+            own = {n: f for n, f in zip(headers.pop(), fields)}
+            sel = [own[c] if c in own and pad_value is None else F.coalesce(own[c], pad) if c in own else pad for c in cols]
+        else:
+            heads = spark.createDataFrame([(p, names[p]) for p in paths], "_path string, _names array<string>")
+            raw = raw.join(heads, "_path")
+            value = F.map_from_arrays(F.col("_names"), F.array(*fields))
+            sel = [F.coalesce(F.element_at(value, F.lit(c)), pad) for c in cols]
+        frames.append(raw.select(*[x.alias(c) for x, c in zip(sel, cols)], *(["_source_file"] if lineage else [])))
+    out, paths_read = frames[0], counted[0]
+    for f, c in zip(frames[1:], counted[1:]):
+        out, paths_read = out.union(f), paths_read.union(c)
     rej = None
     for r in rejected:
-        rej = r if rej is None else rej.unionByName(r)
-    return out, rej, len(groups)
+        rej = r if rej is None else rej.unionByName(r, allowMissingColumns=True)
+    return out, rej, len(groups), paths_read
 
 
 def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv", *,
@@ -197,9 +154,7 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
                pad_value=None, nulls: str = "null", lineage: bool = True,
                quote: str = '"', escape: str = '"', sheet=None, json_records: str = "auto",
                drop_empty: bool = False, drop_headers: bool = False,
-               max_header_groups: int = MAX_HEADER_GROUPS,
-               encoding_check: str = "full",
-               folder_read_min_files: int = 10_000) -> tuple[DataFrame, ReadResult]:
+               encoding_check: str = "full") -> tuple[DataFrame, ReadResult]:
     """Read one file or a folder of drifting files into one DataFrame.
 
     file_type: csv | tsv | txt | json | parquet | excel.
@@ -207,8 +162,10 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
     narrowest lossless type per unified column, C7), ``native`` (parquet/json
     native types).
     encoding_check: ``full`` (default) confirms a UTF-8 head over the whole
-    file in the probe, so a stray cp1252 byte anywhere is honoured; ``head``
-    trusts the first 8 KB (one read of the data instead of two).
+    file, so a stray cp1252 byte anywhere is honoured; ``head`` trusts the
+    head.  ``multiline="auto"`` looks for open quotes in whole files in the
+    same split-parallel read; with ``head`` and a given ``multiline`` that
+    read is left out.
     nulls: ``null`` (empty fields are NULL) or ``keep_empty`` (empty fields
     of a file's own columns stay ``''``; absent columns get ``pad_value``).
     bad_rows: ``keep`` (short rows padded, long rows cut), ``drop_malformed``
@@ -233,8 +190,11 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
         return _read_parquet(spark, path, pattern or (default_pattern if _is_folder(spark, path) else None),
                              recursive, policy, order, pad_value, lineage)
     read_pattern = pattern or (default_pattern if _is_folder(spark, path) else None)
-    probes = describe_files(spark, path, read_pattern, recursive, delimiter, strategy, header, encoding,
-                            encoding_check=encoding_check)
+    probes = describe_files(spark, path, read_pattern, recursive, delimiter, strategy, header, encoding)
+    # stored once: the report and the passes below do not probe again
+    probes = _stored(probes)
+    if ft in TEXT_TYPES and (multiline == "auto" or (encoding_check == "full" and not encoding)):
+        probes = _stored(with_text_facts(probes, encoding_check == "full" and not encoding))
     # one small row per file: the file list itself has to be on the driver
     # for the reads below, exactly as Spark's own file index holds it.
     rows = [r.asDict() for r in probes.collect()]
@@ -244,23 +204,10 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
     if not good:
         raise ValueError(f"no readable files under {path}: {[(r['file_name'], r['error']) for r in rows]}")
     if ft in TEXT_TYPES:
-        n_headers = len({(r["encoding"], r["delimiter"], tuple(r["header"])) for r in good})
-        if n_headers > max_header_groups:
-            df, rej, n = _read_text_generic(spark, good, policy=policy, bad_rows=bad_rows, header=header,
-                                            multiline=multiline, quote=quote, escape=escape, nulls=nulls,
-                                            lineage=lineage, order=order, pad_value=pad_value)
-        else:
-            # a large folder whose files all share one header (none rejected) is
-            # read as the folder, so no file list is handed to the reader; small
-            # folders keep the probed list (exactly the files that were checked)
-            folder = ((path, read_pattern, recursive)
-                      if isinstance(path, str) and not rejected_files and len(good) >= folder_read_min_files
-                      and _is_folder(spark, path) else None)
-            frames, rej, n = _read_text_files(spark, good, policy=policy, bad_rows=bad_rows,
-                                              header=header, multiline=multiline, quote=quote,
-                                              escape=escape, nulls=nulls, lineage=lineage, folder=folder)
-            df = union_by_name(frames, order, pad_value, all_string=True)
-        result.rejected_rows, result.groups = rej, n
+        df, rej, n, counted = _read_text(spark, good, policy=policy, bad_rows=bad_rows, header=header, multiline=multiline,
+                                         quote=quote, escape=escape, nulls=nulls, lineage=lineage, order=order,
+                                         pad_value=pad_value)
+        result.rejected_rows, result.groups, result.counted = rej, n, counted
     elif ft == "json":
         df = _read_json(spark, good, policy, order, pad_value, lineage, json_records)
     else:
@@ -274,6 +221,12 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
     return df, result
 
 
+def _stored(probes: DataFrame) -> DataFrame:
+    path = shared_dir(probes.sparkSession, "probes")
+    probes.write.parquet(path)
+    return probes.sparkSession.read.schema(probes.schema).parquet(path)
+
+
 _DATA_EXTENSIONS = (".csv", ".tsv", ".txt", ".json", ".jsonl", ".ndjson", ".parquet", ".xlsx", ".xlsm",
                     ".xls", ".gz", ".bz2", ".zst", ".snappy")
 
