@@ -37,6 +37,12 @@ def row_number_by_range(df: DataFrame, keys: list[str], order: list[Column | str
                                                   F.min("__mid").alias("__min"))
     w = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_part.withColumn("__base", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    out = staged.join(bases.select(*keys, "__pid", "__base", "__min"), keys + ["__pid"])
+    # null-safe: a NULL key is a group like any other
+    right = bases.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)],
+                         F.col("__pid").alias("__p"), "__base", "__min")
+    same = F.col("__pid") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    out = staged.join(right, same).drop("__p", *[f"__k{i}" for i in range(len(keys))])
     out = out.withColumn(name, (F.col("__base") + F.col("__mid") - F.col("__min") + 1).cast("bigint"))
     return out.drop("__pid", "__mid", "__base", "__min")

@@ -253,8 +253,11 @@ def _rewrite_touched_partitions(spark: SparkSession, name: str, condition, chang
     touched = [tuple(r) for r in t.where(F.coalesce(cond, F.lit(False))).select(*parts).distinct().collect()]
     if not touched:
         return True
-    keys = spark.createDataFrame(touched, t.select(*parts).schema)
-    subset = t.join(F.broadcast(keys) if len(touched) <= 10_000 else keys, parts, "left_semi")
+    keys = spark.createDataFrame(touched, t.select(*parts).schema).toDF(*[f"__k{i}" for i in range(len(parts))])
+    same = F.lit(True)
+    for i, c in enumerate(parts):  # null-safe: the NULL partition is one like any other
+        same = same & t[c].eqNullSafe(keys[f"__k{i}"])
+    subset = t.join(keys, same, "left_semi")
     from tablework.session import checkpoint_root
 
     checkpoint_root(spark)
@@ -269,7 +272,7 @@ def _rewrite_touched_partitions(spark: SparkSession, name: str, condition, chang
         spark.conf.set(key, before)
     for values in touched:
         if values not in remaining:
-            spec = ", ".join(f"`{c}` = {_sql_value(v)}" for c, v in zip(parts, values))
+            spec = ", ".join(f"`{c}` = " + ("null" if v is None else _sql_value(v)) for c, v in zip(parts, values))
             spark.sql(f"ALTER TABLE {_q(name)} DROP IF EXISTS PARTITION ({spec})")
     spark.catalog.refreshTable(name)
     return True
