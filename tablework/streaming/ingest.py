@@ -7,20 +7,24 @@ hands its file list to the batch reader (``read_files``: probe heads, group
 by header, union by name), so files whose header drifted from the earlier
 ones are mapped by name, not by position (T2).
 
-The sink is idempotent: rows carry ``_ingest_batch`` and each micro-batch
-is written with dynamic partition overwrite of its own batch partition, so a
-micro-batch replayed after a failure replaces, not duplicates, its rows.
+The sink is idempotent: rows carry ``_ingest_batch`` - the stream's own id
+and the number of the micro-batch - and each micro-batch is written with
+dynamic partition overwrite of its own partition, so one replayed after a
+failure replaces, not duplicates, its rows.  The checkpoint lies beside the
+target table, so a restarted application goes on where the last one ended;
+the stream's id is kept in it, and another stream never touches its rows.
 New columns are added to the table before the write (K4).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablework.operators.schema import align
-from tablework.session import shared_dir
 from tablework.sinks.tables import add_missing_columns
 from tablework.sources.probe import case_insensitive_glob
 from tablework.sources.readers import read_files
@@ -29,10 +33,19 @@ BATCH_COLUMN = "_ingest_batch"
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def write_batch(data: DataFrame, table: str, batch_id: int) -> None:
-    """Idempotent append of one micro-batch into a table partitioned by batch id."""
+def default_checkpoint(spark: SparkSession, table: str) -> str:
+    """A folder beside the table's (the warehouse's or its database's), the
+    same for every application."""
+    database, _, name = table.rpartition(".")
+    info = spark.catalog.getDatabase(database or spark.catalog.currentDatabase())
+    return f"{info.locationUri.rstrip('/')}/_ingest_checkpoints/{name}"
+
+
+def write_batch(data: DataFrame, table: str, batch_id: int, stream: str = "batch") -> None:
+    """Idempotent append of one micro-batch into a table partitioned by
+    ``<stream>-<batch id>``."""
     spark = data.sparkSession
-    data = data.withColumn(BATCH_COLUMN, F.lit(int(batch_id)).cast("bigint"))
+    data = data.withColumn(BATCH_COLUMN, F.lit(f"{stream}-{int(batch_id)}"))
     if not spark.catalog.tableExists(table):
         data.write.format("parquet").partitionBy(BATCH_COLUMN).saveAsTable(table)
         return
@@ -48,13 +61,18 @@ def write_batch(data: DataFrame, table: str, batch_id: int) -> None:
         spark.conf.set(key, before)
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark keeps in a stream's checkpoint (the same after a restart)."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def start_folder_ingest(spark: SparkSession, folder: str, table: str, file_type: str = "csv",
                         pattern: str = "*.{csv,csv.gz,csv.bz2}", checkpoint: str | None = None,
                         max_files_per_trigger: int | None = None, available_now: bool = True,
                         recursive: bool = True, **read_options) -> StreamingQuery:
     """Start the ingest stream; with ``available_now`` it loads every file
     not loaded by an earlier run and stops."""
-    checkpoint = checkpoint or shared_dir(spark, "streams", table.replace(".", "_"), unique=False)
+    checkpoint = checkpoint or default_checkpoint(spark, table)
     src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
            .option("pathGlobFilter", case_insensitive_glob(pattern))
            .option("recursiveFileLookup", str(recursive).lower()))
@@ -68,7 +86,7 @@ def start_folder_ingest(spark: SparkSession, folder: str, table: str, file_type:
         if not paths:
             return
         data, _report = read_files(batch.sparkSession, paths, file_type, **read_options)
-        write_batch(data, table, batch_id)
+        write_batch(data, table, batch_id, _stream_id(batch.sparkSession, checkpoint))
 
     w = files.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
