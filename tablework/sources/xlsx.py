@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tablework.operators.names import clean_names
+from tablework.operators.names import clean_names, dedupe_names
 from tablework.operators.schema import target_columns
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -122,8 +122,11 @@ def _excel_date(v: str) -> str:
 def iter_sheet_rows(zf: zipfile.ZipFile, member: str, strings: list[str], date_styles: set[int]):
     """Yield (row number, [cell text or None, ...]) for one worksheet."""
     with zf.open(member) as fh:
-        for _, el in ET.iterparse(fh):
-            if el.tag != f"{NS}row":
+        data = None
+        for event, el in ET.iterparse(fh, events=("start", "end")):
+            if el.tag == f"{NS}sheetData":
+                data = el
+            if event == "start" or el.tag != f"{NS}row":
                 continue
             cells: dict[int, str | None] = {}
             auto = 0
@@ -150,7 +153,7 @@ def iter_sheet_rows(zf: zipfile.ZipFile, member: str, strings: list[str], date_s
             r = int(el.get("r")) if el.get("r") else None
             width = max(cells) + 1 if cells else 0
             yield r, [cells.get(i) for i in range(width)]
-            el.clear()
+            (el if data is None else data).clear()  # rows read are not kept
 
 
 def _select_sheets(sheets: list[tuple[str, str]], sheet, on_missing: str):
@@ -169,9 +172,43 @@ def _select_sheets(sheets: list[tuple[str, str]], sheet, on_missing: str):
     return [(0, sheets[0])] if on_missing == "first" else []
 
 
+def _names_to(header: list[str], width: int) -> list[str]:
+    """The header's names, and generated ones for cells to the right of it."""
+    return dedupe_names(header + [f"column_{i + 1}" for i in range(len(header), width)])
+
+
 def read_workbook(path: str, sheet=None, on_missing: str = "first", policy: str = "keep_case",
                   headers_only: bool = False):
-    """Rows of the selected sheets of one workbook (executor-side)."""
+    """Rows of the selected sheets of one workbook (executor-side).  With
+    ``headers_only``, per sheet its names up to its widest row; a workbook
+    that cannot be read to its end gives a row (path, -1, reason, 0, null,
+    null) after what could."""
+    if headers_only:
+        try:
+            yield from _sheet_headers(path, sheet, on_missing, policy)
+        except Exception as e:  # B4: the workbook is reported, the others go on
+            yield (path, -1, f"{type(e).__name__}: {e}", 0, None, None)
+        return
+    for idx, name, rnum, header, cells in _workbook_rows(path, sheet, on_missing, policy):
+        if rnum is not None:
+            names = _names_to(header, max(len(header), len(cells)))
+            yield (path, idx, name, rnum, names, cells + [None] * (len(names) - len(cells)))
+
+
+def _sheet_headers(path, sheet, on_missing, policy):
+    at, widest, header = None, 0, []
+    for idx, name, rnum, names, cells in _workbook_rows(path, sheet, on_missing, policy):
+        if at != (idx, name):
+            if at:
+                yield (path, *at, 0, _names_to(header, widest), [])
+            at, widest, header = (idx, name), len(names), names
+        widest = max(widest, len(cells))
+    if at:
+        yield (path, *at, 0, _names_to(header, widest), [])
+
+
+def _workbook_rows(path, sheet, on_missing, policy):
+    """(sheet index, name, row number or None for the header, names, cells)."""
     with _open(path) as raw:
         data = raw if hasattr(raw, "seek") else io.BytesIO(raw.read())
         with zipfile.ZipFile(data) as zf:
@@ -185,15 +222,10 @@ def read_workbook(path: str, sheet=None, on_missing: str = "first", policy: str
                         if not any(c not in (None, "") for c in cells):
                             continue
                         header = clean_names(cells, policy)
-                        if headers_only:
-                            yield (path, idx, name, 0, header, [])
-                            break
+                        yield idx, name, None, header, []
                         continue
-                    if not any(c not in (None, "") for c in cells):
-                        continue
-                    n = len(header)
-                    cells = (cells + [None] * n)[:n]
-                    yield (path, idx, name, rnum, header, cells)
+                    if any(c not in (None, "") for c in cells):
+                        yield idx, name, rnum or 0, header, cells
 
 
 class _WorkbookPartition(InputPartition):
@@ -295,7 +327,22 @@ def read_excel(spark: SparkSession, path, pattern: str = "*.xlsx", recursive: bo
     elif sheet is not None:
         reader = reader.option("sheet", str(sheet))
     heads = reader.option("headers_only", "true").load() \
-        .select("path", "sheet_index", "header").orderBy("path", "sheet_index").collect()
+        .select("path", "sheet_index", "sheet_name", "header").orderBy("path", "sheet_index").collect()
+    broken = {h["path"]: h["sheet_name"] for h in heads if h["sheet_index"] == -1}
+    if broken:
+        heads = [h for h in heads if h["path"] not in broken]
+        paths = [p for p in paths if p not in broken]
+        if not paths:
+            raise ValueError(f"no readable workbook under {path}: {broken}")
+        reader = reader.option("paths", json.dumps(paths))
+        if sheet == "*":
+            reader = reader.option("sheet_units", json.dumps([u for u in units if u[0] not in broken]))
+        names = {r["path"]: r["file_name"] for r in good}
+        result.rejected_files += [{"file_name": names[p], "status": "unreadable", "error": e} for p, e in sorted(broken.items())]
+        reasons = spark.createDataFrame(list(broken.items()), "path string, _error string")
+        result.probes = probes.join(reasons, "path", "left") \
+            .withColumn("status", F.when(F.col("_error").isNotNull(), "unreadable").otherwise(F.col("status"))) \
+            .withColumn("error", F.coalesce("_error", "error")).drop("_error")
     cols = target_columns([list(h["header"]) for h in heads], order, lineage=())
     rows = reader.option("headers_only", "false").load()
     m = F.map_from_arrays("header", "cells")
@@ -407,7 +454,8 @@ def _publish(tmp: str, final: str) -> None:
 
 
 class _WorkbookWriter:
-    def __init__(self, path: str, sheet: str, columns: list[str], numeric: list[bool], widths: list[int]):
+    def __init__(self, path: str, sheet: str, columns: list[str], numeric: list[bool], boolean: list[bool],
+                 widths: list[int]):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
@@ -427,7 +475,7 @@ class _WorkbookWriter:
         self._w('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
                 '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
                 f'<cols>{cols}</cols><sheetData>')
-        self.numeric = numeric
+        self.numeric, self.boolean = numeric, boolean
         self.row = 0
         self.write_row(columns, header=True)
 
@@ -441,7 +489,9 @@ class _WorkbookWriter:
             if v is None or (isinstance(v, float) and v != v):
                 continue
             ref = f"{_col_letter(i)}{self.row}"
-            if not header and self.numeric[i] and not isinstance(v, str):
+            if not header and self.boolean[i]:
+                parts.append(f'<c r="{ref}" t="b"><v>{int(v == "true")}</v></c>')
+            elif not header and self.numeric[i]:
                 parts.append(f'<c r="{ref}"><v>{v}</v></c>')
             else:
                 parts.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_xml_text(v)}</t></is></c>')
@@ -456,6 +506,12 @@ class _WorkbookWriter:
         _publish(self.tmp, self.final)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the file system Spark resolves it against."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def write_partitions(df: DataFrame, path: str, sheet: str, max_width: int, max_rows: int) -> DataFrame:
     """K14 writer: returns DataFrame(part, rows) - acting on it writes the files."""
     from pyspark.sql import types as T
@@ -465,8 +521,12 @@ def write_partitions(df: DataFrame, path: str, sheet: str, max_width: int, max_r
     ship_package(df.sparkSession)
     columns = df.columns
     numeric = [isinstance(f.dataType, T.NumericType) for f in df.schema.fields]
-    base = path.rstrip("/")
-    staged = df.withColumn("__part", F.spark_partition_id())
+    boolean = [isinstance(f.dataType, T.BooleanType) for f in df.schema.fields]
+    base = qualified(df.sparkSession, path)
+    # integers, decimals and booleans travel as text: pandas would make nullable ones floats
+    exact = (T.IntegralType, T.DecimalType, T.BooleanType)
+    staged = df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, exact)
+                         else F.col(f"`{f.name}`") for f in df.schema.fields]).withColumn("__part", F.spark_partition_id())
 
     def write(batches):
         writer, part, k, n, report = None, None, 0, 0, []
@@ -484,7 +544,7 @@ def write_partitions(df: DataFrame, path: str, sheet: str, max_width: int, max_r
                     widths = [min(max(len(str(c)), *(len(str(v)) for v in data[c].head(100))) + 2, max_width)
                               for c in data.columns]
                     writer = _WorkbookWriter(f"{base}/part-{part:05d}-{k:03d}.xlsx", sheet, columns,
-                                             numeric, widths)
+                                             numeric, boolean, widths)
                     n = 0
                 writer.write_row([None if (v is None or (isinstance(v, float) and v != v)) else
                                   (v.isoformat() if hasattr(v, "isoformat") else v) for v in rec])
