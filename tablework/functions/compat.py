@@ -30,7 +30,8 @@ def regexp_replace_first(c, pattern: str, repl: str) -> Column:
     """FS12 without the ``g`` flag: only the first match is replaced.
     ``repl`` is literal text; groups inside ``pattern`` cannot be referenced."""
     lit = repl.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(_c(c), f"(?s)^(.*?)(?:{pattern})(.*)$", f"$1{lit}$2")
+    # the text before the first match is group 1; what follows is left alone
+    return F.regexp_replace(_c(c), f"^((?s:.*?))(?:{pattern})", f"$1{lit}")
 
 
 def substring_plain(c, start: int, length: int | None = None) -> Column:
@@ -48,8 +49,10 @@ def trunc_number(c, digits: int = 0) -> Column:
     c = _c(c)
     if digits == 0:
         return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
-    s = F.lit(10.0 ** digits)
-    return F.when(c >= 0, F.floor(c * s) / s).otherwise(F.ceil(c * s) / s)
+    # on the decimal the number is written as: 0.29 * 100 is not 29 in binary
+    d = F.lit(digits)
+    return F.when(c >= 0, F.floor(c.cast("string").cast("decimal(38,18)"), d)) \
+        .otherwise(F.ceil(c.cast("string").cast("decimal(38,18)"), d)).cast("double")
 
 
 def log_plain(c) -> Column:
@@ -59,7 +62,7 @@ def log_plain(c) -> Column:
 
 def int_div(a, b) -> Column:
     """FO3 integer division (``//``), truncating toward zero like ``div``."""
-    return (_c(a) / _c(b)).cast("bigint")
+    return F.call_function("div", _c(a), _c(b))
 
 
 def safe_divide(a, b) -> Column:

@@ -65,3 +65,13 @@ def summary(checks: dict[str, DataFrame]) -> DataFrame:
     parts = [v.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(k).alias("check"), "n_violations")
              for k, v in checks.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def row_summary(df: DataFrame, violated: dict[str, Column]) -> DataFrame:
+    """(check, n_violations) of conditions on single rows (NOT NULL, domains,
+    CHECK), all counted in one pass over ``df``.  A condition says when a row
+    violates the check; NULL means it does not."""
+    names = list(violated)
+    counts = df.agg(*[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(violated.values())])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("check"), F.col(f"n{i}").alias("n_violations")) for i, n in enumerate(names)])))

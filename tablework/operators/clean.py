@@ -8,13 +8,14 @@ aggregation (partial + final; the final input is one row per partition).
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.operators.names import dedupe_names
 from tablework.operators.schema import LINEAGE_COLUMNS
-from tablework.session import spread_for_cpu
 
 # --- fixed values: must equal the reference's behaviour ----------------------
 NULL_TOKENS = ("nan", "NaN", "None", "null", "NULL", "")
@@ -52,8 +53,10 @@ def infinity_expr(c: Column, mapping=None) -> Column:
 
 
 def control_chars_expr(c: Column) -> Column:
-    """Drop NUL, CRLF and lone CR -> LF."""
-    return F.regexp_replace(F.regexp_replace(c, "\u0000", ""), "\r\n?", "\n")
+    """Drop NUL, CRLF and lone CR -> LF (literal replacements)."""
+    for old, new in (("\u0000", ""), ("\r\n", "\n"), ("\r", "\n")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
 
 
 def truncate_expr(c: Column, max_len: int = MAX_TEXT_LEN, marker: str = TRUNCATION_MARKER) -> Column:
@@ -87,9 +90,12 @@ def sanitize(df: DataFrame, tokens=NULL_TOKENS, max_len: int = MAX_TEXT_LEN,
         n = c.strip() if c is not None else ""
         names.append(n if n else f"col_{i}")
     names = dedupe_names(names)
-    cols = [(_q(c) if c in exclude else sanitize_value_expr(_q(c), tokens, max_len)).alias(n)
-            for c, n in zip(df.columns, names)]
-    out = spread_for_cpu(df).select(*cols)
+    out = df.toDF(*names)
+    data = [n for c, n in zip(df.columns, names) if c not in exclude]
+    # a projection per step: each step's value is computed once, however often the next refers to it
+    for step in (lambda c: infinity_expr(null_tokens_expr(c.cast("string"), tokens)), control_chars_expr,
+                 lambda c: truncate_expr(c, max_len)):
+        out = out.select(*[step(_q(n)).alias(n) if n in data else _q(n) for n in names])
     return drop_empty_rows(out, exclude) if drop_empty else out
 
 
@@ -180,9 +186,11 @@ def quick_clean(df: DataFrame, exclude=LINEAGE_COLUMNS) -> DataFrame:
 
 
 # --------------------------------------------------------------- narrowing
-INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
-NUMBER_PATTERN = (r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?"
-                  r"|(?i:inf|infinity|nan))\s*$")
+# Only texts that a number gives back: no leading zeros or signs, and at most
+# the 15 digits that a double holds; other texts (codes, long ids) stay text.
+INTEGER_PATTERN = r"^(0|-?[1-9][0-9]{0,18})$"
+NUMBER_PATTERN = (r"^(?=(?:[^0-9]*[0-9]){1,15}[^0-9]*(?:[eE].*)?$)-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]{1,2})?$"
+                  r"|^(?i:-?(inf|infinity)|nan)$")
 _INT_RANGES = (("tinyint", -128, 127), ("smallint", -32768, 32767),
                ("int", -2147483648, 2147483647), ("bigint", None, None))
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -286,38 +294,27 @@ def validate(df: DataFrame, table_name: str | None, mode: str = "create",
     threshold is passed).
     """
     spark = df.sparkSession
-    out: list[tuple[str, str, str]] = []
     cols = [c for c in df.columns if c not in exclude]
-    if not cols:
-        out.append(("error", "no_columns", "No columns found in the data"))
-    if not table_name or not str(table_name).strip():
-        out.append(("error", "empty_table_name", "Table name cannot be empty"))
-    elif len(str(table_name).strip()) > LONG_TABLE_NAME:
-        out.append(("warning", "long_table_name",
-                    f"Table name is very long ({len(table_name)} chars) - it will be truncated"))
-    lowered = [c.lower() for c in cols]
-    dups = sorted({c for c in cols if lowered.count(c.lower()) > 1})
-    if dups:
-        out.append(("warning", "duplicate_columns",
-                    f"Duplicate column names found: {', '.join(dups)} - they will be renamed"))
-    bad = [("(empty column name)" if not c.strip() else f"'{c}' (starts with number)")
-           for c in cols if not c.strip() or c.strip()[:1].isdigit()]
-    if bad:
-        out.append(("warning", "problem_column_names",
-                    f"Problematic column names will be cleaned: {', '.join(bad)}"))
-    n = df.limit(LARGE_ROW_WARNING + 1).count()
-    if n == 0:
-        out.append(("error", "empty", "No data to import - the file appears to be empty"))
-    elif n > LARGE_ROW_WARNING:
-        out.append(("warning", "large", f"Large dataset (more than {LARGE_ROW_WARNING:,} rows)"))
-    if len(cols) > MANY_COLUMNS_WARNING:
-        out.append(("warning", "many_columns", f"Many columns ({len(cols)}) - consider if all are needed"))
-    if mode in ("append", "replace") and table_name:
-        exists = table_exists if table_exists is not None else spark.catalog.tableExists(table_name)
-        if not exists and mode == "append":
-            out.append(("error", "append_target_missing",
-                        f"Cannot append to table '{table_name}' - table does not exist"))
-        elif not exists:
-            out.append(("warning", "replace_target_missing",
-                        f"Table '{table_name}' does not exist - will create new table"))
-    return spark.createDataFrame(out, "level string, code string, message string")
+    folded = Counter(c.lower() for c in cols)
+    repeated = sorted(c for c in set(cols) if folded[c.lower()] > 1)
+    awkward = [repr(c) for c in cols if not c.strip() or c.strip()[0].isdigit()]
+    name = (table_name or "").strip()
+    rows = df.limit(LARGE_ROW_WARNING + 1).count()
+    known = True
+    if name and mode in ("append", "replace"):
+        known = spark.catalog.tableExists(name) if table_exists is None else table_exists
+    # level, code, whether it applies, message
+    rules = [
+        ("error", "empty", rows == 0, "there are no rows to load"),
+        ("error", "no_columns", not cols, "there are no data columns"),
+        ("error", "empty_table_name", not name, "a table name is needed"),
+        ("error", "append_target_missing", not known and mode == "append", f"append needs table {name}, which is not there"),
+        ("warning", "replace_target_missing", not known and mode == "replace", f"table {name} is not there and will be made"),
+        ("warning", "long_table_name", len(name) > LONG_TABLE_NAME, f"table name of {len(name)} characters will be cut"),
+        ("warning", "duplicate_columns", bool(repeated), "repeated column names get a suffix: " + ", ".join(repeated)),
+        ("warning", "problem_column_names", bool(awkward), "column names to be cleaned: " + ", ".join(awkward)),
+        ("warning", "large", rows > LARGE_ROW_WARNING, f"over {LARGE_ROW_WARNING:,} rows"),
+        ("warning", "many_columns", len(cols) > MANY_COLUMNS_WARNING, f"{len(cols)} columns"),
+    ]
+    return spark.createDataFrame([(level, code, text) for level, code, applies, text in rules if applies],
+                                 "level string, code string, message string")

@@ -38,8 +38,9 @@ def numeric_time(df: DataFrame, c: str) -> Column:
 
 # ------------------------------------------------------------------ range join
 def range_join(points: DataFrame, intervals: DataFrame, point_col: str, lo_col: str, hi_col: str,
-               how: str = "inner", bin_width: float | None = None) -> DataFrame:
-    """Pairs with ``lo <= point <= hi`` (Q15), ``how`` = inner | left.
+               how: str = "inner", bin_width: float | None = None, on: list[str] | None = None) -> DataFrame:
+    """Pairs with ``lo <= point <= hi`` (Q15), ``how`` = inner | left, and equal
+    ``on`` columns (same names on both sides) where given.
 
     ``bin_width`` defaults to the mean interval length (one aggregation over
     the interval side), which keeps the replication at about two bins per
@@ -67,6 +68,8 @@ def range_join(points: DataFrame, intervals: DataFrame, point_col: str, lo_col:
     pt = points.withColumn("_x", numeric_time(points, point_col)) \
                .withColumn("_bin", F.floor(F.col("_x") / w).cast("bigint"))
     cond = (pt["_bin"] == iv["_bin"]) & (iv["_lo"] <= pt["_x"]) & (pt["_x"] <= iv["_hi"])
+    for c in on or []:
+        cond = cond & (pt[c] == iv[c])
     joined = pt.alias("p").join(iv.alias("i"), cond, how)
     keep = [F.col(f"p.`{c}`") for c in points.columns] + [F.col(f"i.`{c}`") for c in intervals.columns]
     return joined.select(*keep)
@@ -163,16 +166,9 @@ def qualify(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("__qualify", condition).where(F.col("__qualify")).drop("__qualify")
 
 
-def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
-                    salt_buckets: int = 16) -> DataFrame:
-    """``QUALIFY row_number() OVER (PARTITION BY keys ORDER BY order) <= k``
-    that stays balanced on a hot key: rows are first cut to the top ``k`` per
-    (key, salt) - salt from a hash of the row - then per key among the
-    ``k * salt_buckets`` survivors.  Exact, since the global top ``k`` is
-    always inside the union of the per-salt top ``k``."""
-    salt = F.abs(F.hash(*[F.col(f"`{c}`") for c in df.columns])) % salt_buckets
-    w1 = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    stage = df.withColumn("__salt", salt).withColumn("__r", F.row_number().over(w1)) \
-        .where(F.col("__r") <= k).drop("__r", "__salt")
-    return stage.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= k).drop("__r")
+def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """``QUALIFY row_number() OVER (PARTITION BY keys ORDER BY order) <= k``.
+    Spark cuts every task's rows to the top ``k`` of a key before the shuffle
+    (window group limit), so a hot key sends ``k`` rows a task."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")

@@ -17,19 +17,15 @@ from pyspark.sql import types as T
 LINEAGE_COLUMNS = ("_source_file", "_source_sheet")
 
 # ------------------------------------------------------------------ type map
-# Host (pandas/numpy) dtype name -> SQL type name per target database.
-# fixed values (the reference's mapping, DuckDB column then SQLite column)
-HOST_TO_SQL = {
-    "int8": ("TINYINT", "INTEGER"),
-    "int16": ("SMALLINT", "INTEGER"),
-    "int32": ("INTEGER", "INTEGER"),
-    "int64": ("BIGINT", "INTEGER"),
-    "float32": ("REAL", "REAL"),
-    "float64": ("DOUBLE", "REAL"),
-    "bool": ("BOOLEAN", "INTEGER"),
-    "object": ("VARCHAR", "TEXT"),
-    "datetime64[ns]": ("TIMESTAMP", "TEXT"),
-    "category": ("VARCHAR", "TEXT"),
+# Host (pandas/numpy) dtype name -> SQL type name, by target database.
+# Fixed values.
+DUCKDB_TYPES = {
+    "int8": "TINYINT", "int16": "SMALLINT", "int32": "INTEGER", "int64": "BIGINT", "float32": "REAL",
+    "float64": "DOUBLE", "bool": "BOOLEAN", "object": "VARCHAR", "datetime64[ns]": "TIMESTAMP", "category": "VARCHAR",
+}
+SQLITE_TYPES = {
+    "int8": "INTEGER", "int16": "INTEGER", "int32": "INTEGER", "int64": "INTEGER", "float32": "REAL",
+    "float64": "REAL", "bool": "INTEGER", "object": "TEXT", "datetime64[ns]": "TEXT", "category": "TEXT",
 }
 
 # SQL type spellings advertised by the reference -> Spark DDL type.
@@ -48,10 +44,8 @@ SQL_TO_SPARK = {
 
 def host_type_to_sql(host_type: str, db: str = "duckdb") -> str:
     """Map a pandas dtype name to the SQL type the reference would use."""
-    pair = HOST_TO_SQL.get(str(host_type))
-    if pair is None:
-        return "VARCHAR" if db == "duckdb" else "TEXT"
-    return pair[0] if db == "duckdb" else pair[1]
+    types, other = (DUCKDB_TYPES, "VARCHAR") if db == "duckdb" else (SQLITE_TYPES, "TEXT")
+    return types.get(str(host_type).lower(), other)
 
 
 def spark_type_for_sql(sql_type: str) -> str:

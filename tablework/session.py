@@ -24,6 +24,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # cp1252 / windows-1252 CSV files need the JDK charset table.
     "spark.sql.legacy.javaCharsets": "true",
+    # "name" is an identifier, and TIME a type, as in the reference's dialect
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.ansi.doubleQuotedIdentifiers": "true",
+    "spark.sql.timeType.enabled": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -48,7 +52,8 @@ def get_session(master: str | None = None, app: str = "tablework",
 def apply_runtime_conf(spark: SparkSession) -> None:
     """Set the runtime SQL settings on an existing session (idempotent) and
     make sure executors can import this package."""
-    for k in ("spark.sql.legacy.javaCharsets",):
+    for k in ("spark.sql.legacy.javaCharsets", "spark.sql.session.timeZone", "spark.sql.ansi.enabled",
+              "spark.sql.ansi.doubleQuotedIdentifiers", "spark.sql.timeType.enabled"):
         try:
             spark.conf.set(k, DEFAULT_CONF[k])
         except Exception:  # pragma: no cover - static on some deployments
@@ -108,14 +113,3 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
         path += f"/{uuid.uuid4().hex[:12]}"
     return path
 
-
-def spread_for_cpu(df, min_partitions: int | None = None):
-    """Round-robin repartition before CPU-heavy row work when the input has
-    fewer partitions than the cluster has cores (a small file, or one parquet
-    row group, is read by a single task).  Inputs that already have at least
-    that many partitions - every large input - are returned unchanged, so no
-    shuffle is added at scale."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
