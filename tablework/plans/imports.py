@@ -16,7 +16,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +52,6 @@ def import_folder_as_tables(spark: SparkSession, folder: str, database: str, fil
     columns = {r["path"]: clean_names(list(r["header"]), policy)
                for r in res.probes.where("status = 'ok'").select("path", "header").collect()}
     mapping = spark.createDataFrame(list(targets.items()), "_source_file string, _table string")
-    if len(targets) <= 100_000:
-        mapping = F.broadcast(mapping)
     types = {f.name.lower(): f.dataType.simpleString() for f in df.schema.fields}
     base = _database_location(spark, database) + f"/__import_{uuid.uuid4().hex[:8]}"
     (df.join(mapping, "_source_file").drop("_source_file")
@@ -104,10 +101,9 @@ def merge_folder_to_csv(spark: SparkSession, folder: str, output: str, mode: str
         return export_csv(new, output, mode="overwrite")
     if mode != "append":
         raise ValueError("mode must be create_new, replace or append")
-    try:
-        old, _ = read_files(spark, output, "csv", lineage=False)
-    except Exception:
+    if not path_exists(spark, output):
         return export_csv(new, output, mode="errorifexists")
+    old, _ = read_files(spark, output, "csv", lineage=False)
     incoming = new.drop("_source_file") if "_source_file" not in old.columns else new
     if {c.lower() for c in incoming.columns} <= {c.lower() for c in old.columns}:
         # same or fewer columns: new part files with the output's own header
@@ -122,11 +118,16 @@ def merge_folder_to_csv(spark: SparkSession, folder: str, output: str, mode: str
     if fill_missing is not None:
         merged = fill(merged, fill_missing)
     staging = shared_dir(spark, "merge_staging")
-    export_csv(merged, staging)
-    export_csv(spark.read.option("header", "true").csv(staging), output, mode="overwrite")
+    merged.write.parquet(staging)  # the output is read to its end before it is overwritten
+    export_csv(spark.read.schema(merged.schema).parquet(staging), output, mode="overwrite")
     return output
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def typed_with_rejects(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows that convert to ``schema``, rejected rows with the failing
     column names).  One projection computes the casts; both outputs are
@@ -145,6 +146,3 @@ def typed_with_rejects(df: DataFrame, schema: T.StructType) -> tuple[DataFrame,
         F.array_join("__failed", ",").alias("failed_columns"))
     return ok, rejects
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

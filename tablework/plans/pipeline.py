@@ -102,13 +102,16 @@ def parse_source(src: dict) -> SourceSpec:
                       options=dict(src.get("options", {})))
 
 
+_CREATE = r"(?i)\s*create\s+(?:or\s+replace\s+)?table\s+(?:if\s+not\s+exists\s+)?([A-Za-z0-9_.`\"]+)"
+
+
 def _output_from_sql(sql: str | None) -> str | None:
     """``CREATE TABLE x`` on the first line names the output."""
     if not sql:
         return None
     first = sql.strip().splitlines()[0].strip()
-    m = re.match(r"(?i)create\s+(?:or\s+replace\s+)?table\s+([A-Za-z0-9_.`]+)", first)
-    return m.group(1).strip("`;") if m else None
+    m = re.match(_CREATE, first)
+    return m.group(1).replace("`", "").replace('"', "").rstrip(";") if m else None
 
 
 def parse_pipeline(doc: dict | str, name: str | None = None) -> PipelineSpec:
@@ -145,8 +148,8 @@ def load_source(spark: SparkSession, src: SourceSpec) -> DataFrame:
 
 def _strip_create(sql: str, output: str | None) -> str:
     """The transform is the SELECT; a leading ``CREATE TABLE x AS`` is the output."""
-    m = re.match(r"(?is)\s*create\s+(?:or\s+replace\s+)?table\s+[A-Za-z0-9_.`]+\s+as\s*(.*)$", sql)
-    body = m.group(1) if m else sql
+    m = re.match(_CREATE + r"\s+as\b\s*((?s:.*))$", sql)
+    body = m.group(2) if m else sql
     return body.strip().rstrip(";").strip()
 
 
