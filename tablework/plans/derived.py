@@ -425,7 +425,7 @@ def pipeline_skips_failed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = _scratch(spark, "skip")
     _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")).write.option("header", "true").csv(f"{base}/ok")
-    doc = {"on_error": "continue", "output_table": "skip_out", "sql_query": "SELECT id FROM ok_rows",
+    doc = {"on_error": "skip", "output_table": "skip_out", "sql_query": "SELECT id FROM ok_rows",
            "sources": [{"mode": "folder", "folder_path": f"{base}/missing", "table_name": "gone", "file_pattern": "*.csv"},
                        {"mode": "folder", "folder_path": f"{base}/ok", "table_name": "ok_rows", "file_pattern": "*.csv"}]}
     res = run_pipeline(spark, parse_pipeline(doc), database=ensure_database(spark, "tablework_scratch"))
