@@ -15,9 +15,14 @@ Plan
    block meet at the block's first text with the shingle, so a hot shingle
    leaves a block as one row; the rest meet after a shuffle by shingle.  The
    components of these star edges bound where links can be.
-3. The sets of those candidate groups (and only those) are brought together.
-   A group above ``cell_weight`` shingles is split into cells by size band
-   and hash, and every pair of cells whose sizes are compatible is one block.
+3. The sets of those candidate groups (and only those) are brought together,
+   a group in one block.  A group above ``2 * CELL_WEIGHT`` shingles is cut
+   into cells by size band and hash, in three rounds: each cell by itself;
+   the heads of the classes found so far; then, completely, all pairs of
+   cells of compatible sizes whose members are not known to be one class (a
+   class that fills a cell has cells of its own, the small ones share).
+   However large a class of near copies is, its rows are copied only for the
+   members that have not joined it.
 4. In a block a signature tree is built - nodes hold the OR of their
    members' token bitmaps, a size range and the largest bit-collision slack -
    and traversed against itself.  A node pair is dropped when its size
@@ -389,7 +394,7 @@ class SignatureTree:
         return out
 
 
-def _block_links(batches, k: int, threshold: int) -> Iterator[pa.RecordBatch]:
+def _block_links(batches, threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block: (block, cell, node, set); one block is held at a time."""
     key, rows = None, []
 
@@ -425,7 +430,7 @@ def _block_links(batches, k: int, threshold: int) -> Iterator[pa.RecordBatch]:
 
 
 def _member_sets(batches, k: int) -> Iterator[pa.RecordBatch]:
-    """(node, comp, cells, text) -> (comp, cells, node, set); a text that does
+    """(node, comp, heavy, text) -> (comp, heavy, node, set); a text that does
     not have its node's set (a repeated doc_id) is left out."""
     for b in batches:
         nodes = b.column(0).to_pylist()
@@ -442,19 +447,52 @@ def _member_sets(batches, k: int) -> Iterator[pa.RecordBatch]:
                                            pa.array(np.concatenate(sets).view(np.int64)))
             at = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), b.column(0).take(at), col],
-                                             names=["comp", "n_cells", "node", "tokens"])
-
-
-def _cells(members: DataFrame) -> DataFrame:
-    """(node, comp, n, rep) + n_cells: 1, or how many cells a heavy group's
-    size band is split into."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.34)).cast("int")
-    m = members.withColumn("band", band)
-    weight = m.groupBy("comp", "band").agg(F.sum("n").alias("w"))
-    heavy = weight.groupBy("comp").agg(F.sum("w").alias("total")).where(F.col("total") > 2 * CELL_WEIGHT)
-    split = weight.join(heavy, "comp").select(
-        "comp", "band", F.ceil(F.col("w") / CELL_WEIGHT).cast("int").alias("k"))
-    return m.join(split, ["comp", "band"], "left"), split
+                                             names=["comp", "heavy", "node", "tokens"])
+
+
+def _solved(blocks: DataFrame, threshold: int) -> DataFrame:
+    """(block, cell, node, tokens) -> links (a, b)."""
+    return blocks.repartition(n_parts(blocks.sparkSession), "block").sortWithinPartitions("block") \
+        .select("block", "cell", "node", "tokens").mapInArrow(lambda it: _block_links(it, threshold), "a long, b long")
+
+
+def _in_cells(members: DataFrame, by: list[str], salt: int) -> DataFrame:
+    """members (comp, node, tokens, ...) + cell: for each value of ``by`` as
+    many as its weight asks for, members dealt out by a hash."""
+    weight = members.groupBy(*by).agg(F.sum(F.size("tokens")).alias("w"))
+    counts = weight.select(*[F.col(c).alias(f"_{c}") for c in by], F.ceil(F.col("w") / CELL_WEIGHT).cast("int").alias("_k"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    part = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("_k"))
+    return members.join(counts, same).withColumn("cell", F.xxhash64(*by, part)).drop("_k", *[f"_{c}" for c in by])
+
+
+def _heavy_links(heavy: DataFrame, threshold: int) -> DataFrame:
+    """Links of the groups that do not fit in one block."""
+    band = F.floor(F.log(F.size("tokens").cast("double")) / math.log(1.34)).cast("int")
+    heavy = heavy.withColumn("band", band)
+    alone = F.concat_ws("/", "comp", "cell").alias("block")
+    first = materialise(_solved(_in_cells(heavy, ["comp", "band"], 1).select(alone, "cell", "node", "tokens"), threshold), "links")
+    known = components(first).withColumnRenamed("comp", "cls")
+    heads = heavy.join(known, "node", "left").where(F.coalesce("cls", "node") == F.col("node")).drop("cls")
+    second = materialise(_solved(_in_cells(heads, ["comp"], 2).select(alone, "cell", "node", "tokens"), threshold), "links")
+    links = first.unionByName(second)
+    known = components(links).withColumnRenamed("comp", "cls")
+    classed = heavy.join(known, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    large = classed.groupBy("cls").agg(F.sum(F.size("tokens")).alias("w")).where(F.col("w") >= CELL_WEIGHT / 2) \
+        .select("cls", F.col("cls").alias("pure"))
+    cells = materialise(_in_cells(classed.join(large, "cls", "left").drop("cls"), ["comp", "pure", "band"], 3), "cells")
+    a = cells.select("comp", F.col("cell").alias("x"), F.col("pure").alias("pure_x"), F.col("band").alias("band_x")).distinct() \
+        .withColumn("near", F.explode(F.expr("array(band_x - 1, band_x, band_x + 1)")))
+    b = cells.select("comp", F.col("cell").alias("y"), F.col("pure").alias("pure_y"), F.col("band").alias("near")).distinct()
+    # sizes further than a band apart cannot link; one class has nothing left to join
+    pairs = a.join(b, ["comp", "near"]).where("x <= y and not coalesce(pure_x = pure_y, false)") \
+        .select("comp", "x", "y", F.concat_ws("/", "comp", "x", "y").alias("block")).distinct()
+    ends = pairs.select("comp", F.col("x").alias("cell"), "block").unionByName(
+        pairs.where("x != y").select("comp", F.col("y").alias("cell"), "block"))
+    third = _solved(cells.join(ends, ["comp", "cell"]).select("block", "cell", "node", "tokens"), threshold)
+    return links.unionByName(third)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFrame:
@@ -490,19 +528,22 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFra
         F.col("x").alias("a"), F.col("y").alias("b")))
     reps = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    members, split = _cells(near.join(reps, "node"))
-    members = materialise(members.select("node", "comp", "band", "k", "rep"), "members")
+    members = materialise(near.join(reps, "node"), "members")
+    weight = members.groupBy("comp").agg(F.sum("n").alias("w")).where(F.col("w") > 2 * CELL_WEIGHT).select(F.col("comp").alias("_c"))
+    members_of = members.join(weight, F.col("comp") == F.col("_c"), "left").withColumn("heavy", F.col("_c").isNotNull())
     # only texts whose id falls in a member's cell of a fixed-size filter are shuffled
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(GATE))
     gate = members.select(F.col("rep").alias("doc_id")).select(cell.alias("cell")).distinct()
     again = docs.withColumn("cell", cell).join(F.broadcast(gate), "cell", "left_semi").drop("cell")
-    held = members.join(again, members["rep"] == again["doc_id"]).select(
-        "node", "comp", F.struct("band", "k").alias("cell"), "text")
-    sets = held.mapInArrow(lambda it: _member_sets(it, k),
-                           "comp long, cell struct<band:int,k:int>, node long, tokens array<long>")
-    blocks = _blocks(sets, split)
-    links = blocks.repartition(parts, "block").sortWithinPartitions("block") \
-        .select("block", "cell", "node", "tokens").mapInArrow(lambda it: _block_links(it, k, threshold), "a long, b long")
+    held = members_of.join(again, members["rep"] == again["doc_id"]).select("node", "comp", "heavy", "text")
+    sets = held.mapInArrow(lambda it: _member_sets(it, k), "comp long, heavy boolean, node long, tokens array<long>")
+    any_heavy = not weight.isEmpty()
+    if any_heavy:
+        sets = materialise(sets, "sets", "heavy")
+    links = _solved(sets.where("not heavy").select(
+        F.concat_ws("/", "comp").alias("block"), F.lit(0).cast("long").alias("cell"), "node", "tokens"), threshold)
+    if any_heavy:
+        links = links.unionByName(_heavy_links(sets.where("heavy").select("comp", "node", "tokens"), threshold))
     found = components(links)
     named = found.join(reps.select("node", "rep"), "node")
     label = named.groupBy("comp").agg(F.min("rep").alias("component"))
@@ -515,24 +556,6 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFra
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _blocks(sets: DataFrame, split: DataFrame) -> DataFrame:
-    """A light group is one block.  In a heavy group a member of cell x goes to
-    the block of every pair (x, y) of cells in the same or a neighbouring size
-    band (sizes further apart than 1/0.75 cannot link)."""
-    light = sets.where("cell.k is null").select(
-        F.concat_ws("/", "comp").alias("block"), F.lit(0).alias("cell"), "node", "tokens")
-    heavy = sets.where("cell.k is not null").select(
-        "comp", "cell.band", F.pmod(F.hash("node"), F.col("cell.k")).alias("s"), "node", "tokens")
-    other = split.select("comp", F.col("band").alias("band2"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s2"))
-    pairs = heavy.withColumn("band2", F.explode(F.expr("array(band - 1, band, band + 1)"))).join(other, ["comp", "band2"])
-    here, there = F.struct("band", "s"), F.struct(F.col("band2").alias("band"), F.col("s2").alias("s"))
-    low, high = F.least(here, there), F.greatest(here, there)
-    heavy = pairs.select(
-        F.concat_ws("/", "comp", low["band"], low["s"], high["band"], high["s"]).alias("block"),
-        (F.col("band") * 1_000_003 + F.col("s")).cast("int").alias("cell"), "node", "tokens")
-    return light.unionByName(heavy)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the whole ``documents`` table, 5 words, similarity 0.75."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
