@@ -395,7 +395,8 @@ class SignatureTree:
 
 
 def _block_links(batches, threshold: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: (block, cell, node, set); one block is held at a time."""
+    """Rows sorted by block: (block, cell, node, set) -> (member, smallest
+    member of its class in the block); one block is held at a time."""
     key, rows = None, []
 
     def solve():
@@ -408,12 +409,16 @@ def _block_links(batches, threshold: int) -> Iterator[pa.RecordBatch]:
         cells = [c for (c, _), _ in items]
         two = len(set(cells)) > 1
         tree = SignatureTree([s for _, s in items])
-        got = tree.links(threshold, np.array([c == cells[0] for c in cells]) if two else None)
-        if not got:
+        if not tree.links(threshold, np.array([c == cells[0] for c in cells]) if two else None):
             return None
-        node = [v for (_, v), _ in items]
-        return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in got], pa.int64()),
-                                           pa.array([node[j] for _, j in got], pa.int64())], names=["a", "b"])
+        # each class as a star: its members with its smallest node
+        head: dict[int, int] = {}
+        for i, ((_, node), _) in enumerate(items):
+            root = tree.linked.find(i)
+            head[root] = min(head.get(root, node), node)
+        stars = [(node, head[tree.linked.find(i)]) for i, ((_, node), _) in enumerate(items)]
+        a, b = zip(*[e for e in stars if e[0] != e[1]])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for b in batches:
         sets = b.column(3)
@@ -474,12 +479,14 @@ def _heavy_links(heavy: DataFrame, threshold: int) -> DataFrame:
     heavy = heavy.withColumn("band", band)
     alone = F.concat_ws("/", "comp", "cell").alias("block")
     first = materialise(_solved(_in_cells(heavy, ["comp", "band"], 1).select(alone, "cell", "node", "tokens"), threshold), "links")
-    known = components(first).withColumnRenamed("comp", "cls")
-    heads = heavy.join(known, "node", "left").where(F.coalesce("cls", "node") == F.col("node")).drop("cls")
+    # cells are disjoint, so a member is in one star: those that are not its centre are done with
+    one = first.select(F.col("a").alias("node"), F.col("b").alias("h1"))
+    heads = heavy.join(one, "node", "left_anti")
     second = materialise(_solved(_in_cells(heads, ["comp"], 2).select(alone, "cell", "node", "tokens"), threshold), "links")
     links = first.unionByName(second)
-    known = components(links).withColumnRenamed("comp", "cls")
-    classed = heavy.join(known, "node", "left").withColumn("cls", F.coalesce("cls", "node"))
+    two = second.select(F.col("a").alias("h1"), F.col("b").alias("h2"))
+    classed = heavy.join(one, "node", "left").withColumn("h1", F.coalesce("h1", "node")) \
+        .join(two, "h1", "left").withColumn("cls", F.coalesce("h2", "h1")).drop("h1", "h2")
     large = classed.groupBy("cls").agg(F.sum(F.size("tokens")).alias("w")).where(F.col("w") >= CELL_WEIGHT / 2) \
         .select("cls", F.col("cls").alias("pure"))
     cells = materialise(_in_cells(classed.join(large, "cls", "left").drop("cls"), ["comp", "pure", "band"], 3), "cells")
