@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.llm import words as W
-from tablework.llm.store import discard, materialise, prepare, table
+from tablework.llm.store import bounded_sample, discard, materialise, prepare, table
 
-SAMPLE = 8_000         # labelled rows read for training at most
+SAMPLE = 4_000         # labelled rows read for training at most
 FOLDS = 5              # crc32(doc_id) mod FOLDS = 0 is held out
 STEPS = 150            # optimiser steps
 RATE = 0.1             # step size
@@ -96,15 +96,26 @@ def word_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return [np.unique(np.concatenate([h[first[d]:first[d + 1]] for h in kinds])) for d in range(len(offs) - 1)]
 
 
-def _word_sets(batches, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> (toxic, features); only ``known`` ones (sorted) where given."""
+def _word_sets(batches) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) -> (features)."""
     for b in batches:
         raw, offs = W.text_bytes(b.column(1))
         sets = word_sets(raw, offs)
-        if known is not None:
-            sets = [np.intersect1d(s, known, assume_unique=True) for s in sets]
         col = pa.ListArray.from_arrays(np.cumsum([0] + [len(s) for s in sets]).astype(np.int32),
                                        pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))
+        yield pa.RecordBatch.from_arrays([col], names=["words"])
+
+
+def _known_words(batches, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(toxic, text) -> (toxic, places in ``known`` of the text's features)."""
+    for b in batches:
+        raw, offs = W.text_bytes(b.column(1))
+        sets = []
+        for found in word_sets(raw, offs):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            sets.append(at[known[at] == found].astype(np.int32))
+        col = pa.ListArray.from_arrays(np.cumsum([0] + [len(s) for s in sets]).astype(np.int32),
+                                       pa.array(np.concatenate(sets) if sets else [], pa.int32()))
         yield pa.RecordBatch.from_arrays([b.column(0), col], names=["toxic", "words"])
 
 
@@ -113,20 +124,27 @@ def support(n: int) -> int:
     return max(4, n // 400)
 
 
-def train(sets: list[np.ndarray], y: np.ndarray, l2: float = L2, swap: float = SWAP, steps: int = STEPS) -> Model:
+def train(sets: list[np.ndarray], y: np.ndarray, **options) -> Model:
+    """:func:`optimise` on texts given as sets of feature hashes."""
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    vocab, col = np.unique(flat, return_inverse=True)
+    return optimise(vocab, col, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), y, **options)
+
+
+def optimise(vocab: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray, l2: float = L2, swap: float = SWAP,
+             steps: int = STEPS) -> Model:
     """Full-batch Adam on: class-balanced log loss + l2 |v|^2 / 2 +
-    swap * mean squared score change under identity swaps.  Each word's
-    weight is v times its smoothed log odds, so words that are as common in
-    both classes are held near 0.  One class only, or no rows: no weights,
-    and the bias is the (smoothed) share of label 1."""
+    swap * mean squared score change under identity swaps.  Text ``doc[i]``
+    has feature ``vocab[col[i]]`` (vocab sorted).  Each word's weight is v
+    times its smoothed log odds, so words that are as common in both classes
+    are held near 0.  One class only, or no rows: no weights, and the bias is
+    the (smoothed) share of label 1."""
     n, pos = len(y), int(y.sum())
     none = Model(np.empty(0, np.uint64), np.empty(0), float(np.log((pos + 0.5) / (n - pos + 1.0))))
     if n == 0 or pos in (0, n):
         return none
     term, other = swap_table()
-    sizes = np.array([len(s) for s in sets])
-    doc = np.repeat(np.arange(n), sizes)
-    vocab, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    df = np.bincount(col, minlength=len(vocab))
     keep = (df >= support(n)) | np.isin(vocab, np.concatenate([term, other]))
     if not keep.any():
         return none
@@ -178,21 +196,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
     the features that ``support`` texts share reach the driver."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
         .where(f"doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % {FOLDS} != 0") \
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = bounded_sample(chosen, ["doc_id"], sample)
     texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "labelled")
     n = texts.count()
-    common = texts.mapInArrow(lambda it: _word_sets(it, None), "toxic int, words array<long>") \
+    common = texts.mapInArrow(_word_sets, "words array<long>") \
         .select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= support(n)).select("w").toPandas()
     known = np.unique(np.concatenate([common["w"].to_numpy(np.int64).view(np.uint64), *swap_table()]))
     held = docs.sparkSession.sparkContext.broadcast(known)
-    got = texts.mapInArrow(lambda it: _word_sets(it, held.value), "toxic int, words array<long>").toArrow()
+    got = texts.mapInArrow(lambda it: _known_words(it, held.value), "toxic int, words array<int>").toArrow()
     discard(texts)
     words = got.column("words").combine_chunks()
-    flat = words.values.to_numpy().view(np.uint64) if len(words) else np.empty(0, np.uint64)
-    offs = words.offsets.to_numpy() if len(words) else np.zeros(1, np.int32)
     y = got.column("toxic").to_numpy().astype(np.float64)
-    order = np.lexsort((np.diff(offs), y))  # the same rows in any order give the same model
-    return train([flat[offs[i]:offs[i + 1]] for i in order], y[order], **options)
+    if not len(words):
+        return optimise(known, np.empty(0, np.int32), np.empty(0, np.int32), y, **options)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(words.offsets.to_numpy()))
+    return optimise(known, words.flatten().to_numpy(), doc, y, **options)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
