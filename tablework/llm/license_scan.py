@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from tablework.llm import words as W
 from tablework.llm.store import materialise, prepare, table
-from tablework.llm.toxicity import word_hash
 
 COSINE = 0.70      # least similarity of a licence notice
 SHARE = 0.5        # share of a text's words in notices that makes it a licence file

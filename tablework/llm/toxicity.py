@@ -46,20 +46,20 @@ IDENTITY_GROUPS = [
 ]
 
 
-def word_hash(words: list[str]) -> np.ndarray:
+def _features(words: list[str]) -> np.ndarray:
+    """Feature hashes of single words: theirs, then those of their beginnings."""
     raw, offs = W.text_bytes(pa.array(words))
-    _, _, h, _ = W.split_words(raw, offs, W.ALNUM)
-    assert len(h) == len(words)
-    return h
+    _, _, kinds, _ = W.split_words(raw, offs, W.ALNUM, HEADS)
+    return np.concatenate(kinds)
 
 
 def swap_table() -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each identity term and of the term it is swapped for."""
+    """Each identity term's features, and those of the term it is swapped for."""
     a, b = [], []
     for g in IDENTITY_GROUPS:
         a += g
         b += g[1:] + g[:1]
-    return word_hash(a), word_hash(b)
+    return _features(a), _features(b)
 
 
 @dataclass
