@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.llm import words as W
-from tablework.llm.store import materialise, prepare, table
+from tablework.llm.store import bounded_sample, materialise, prepare, table
 
 BUCKETS = 1 << 16   # trigram buckets
 SAMPLE = 4_000      # labelled documents the trigrams are counted on
@@ -84,9 +84,10 @@ def evidence(model: np.ndarray, texts: list[str]) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """From at most ``sample`` documents with a language and a text, by hash."""
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, 20_000).alias("text")) \
-        .where("lang is not null and length(text) > 0").orderBy(F.xxhash64("text"), "lang").limit(sample).collect()
-    return train([r.text for r in rows], [r.lang for r in rows])
+    texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")) \
+        .where("lang is not null and length(text) > 0")
+    rows = bounded_sample(texts, ["text", "lang"], sample).orderBy("lang", "text").toArrow()
+    return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
 def _texts(batches, held) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tablework.llm import words as W
 from tablework.llm.pii_tagger import KINDS, Tagger, classes, spans_of, tags_of
-from tablework.llm.store import prepare, table
+from tablework.llm.store import bounded_sample, prepare, table
 
 SAMPLE = 1_500      # windows the tagger is trained on
 WIDTH = 96          # characters of a window
@@ -244,9 +244,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     """Train on ``sample`` windows: half with spans, half without where there
     are enough, chosen by a hash of their text."""
     got = docs.mapInArrow(_labelled, "doc_id long, at long, text string, spans string").select("text", "spans").distinct() \
-        .select("text", "spans", F.xxhash64("text").alias("h"))
-    rows = [r for cond in ("spans != ''", "spans = ''")
-            for r in got.where(cond).orderBy("h", "text").limit(sample // 2).collect()]
+        .withColumn("some", F.col("spans") != "")
+    n = {r["some"]: r["count"] for r in got.groupBy("some").count().collect()}
+    halves = [bounded_sample(got.where(F.col("some") == s), ["text", "spans"], sample // 2, n.get(s, 0)) for s in (True, False)]
+    rows = halves[0].unionByName(halves[1]).orderBy(F.desc("some"), F.xxhash64("text"), "text").collect()
     return train([(r.text, parsed(r.spans)) for r in rows])
 
 

@@ -58,5 +58,18 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in cols.items()])
 
 
+def bounded_sample(df: DataFrame, by: list[str], size: int, total: int | None = None) -> DataFrame:
+    """At most ``size`` rows, those with the smallest hash of ``by`` (ties by
+    their values): the same rows whatever the partitions.  A share of the
+    hash range that holds them is cut out first, so that what tasks send to
+    the final ordering is about ``size`` rows in all, not from each."""
+    total = df.count() if total is None else total
+    hashed = df.withColumn("_hash", F.xxhash64(*by))
+    if total > 4 * size:
+        share = int(2.0 ** 64 * min(1.0, 2.0 * size / total))
+        hashed = hashed.where(F.col("_hash") < F.lit(-(2 ** 63) + share))
+    return hashed.orderBy("_hash", *by).limit(size).drop("_hash")
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)  # DDL

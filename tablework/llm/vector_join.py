@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tablework.llm.components import components
 from tablework.llm.ngram_join import Forest
-from tablework.llm.store import materialise, n_parts, prepare, table
+from tablework.llm.store import bounded_sample, materialise, n_parts, prepare, table
 
 SAMPLE = 10_000   # vectors that the directions are fitted on
 DIRECTIONS = 8    # projected coordinates
@@ -192,7 +192,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     flat = classes.select("node", "label", F.size("vector").alias("dim"), "n", "vector")
     fitted = {}
     for r in flat.groupBy("dim").count().collect():
-        got = flat.where(F.col("dim") == r["dim"]).orderBy("node").limit(SAMPLE).select("vector").toArrow()
+        got = bounded_sample(flat.where(F.col("dim") == r["dim"]), ["node"], SAMPLE, r["count"]).select("vector").toArrow()
         fitted[r["dim"]] = directions(unit(_vectors(got.column(0).combine_chunks())))
     held = spark.sparkContext.broadcast(fitted)
     placed = flat.mapInArrow(lambda it: _projected(it, held, eps), "node long, label int, dim int, n long, vector array<double>, "

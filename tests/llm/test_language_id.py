@@ -39,7 +39,7 @@ def brute(rows, model):
     seen = []
     for _, url, html in rows:
         m = L._LANG.search(html or "")
-        host = ((url or "").split("://")[-1].split("/")[0]) if url else ""
+        host = url.split("://")[1].split("/")[0] if "://" in (url or "") else ""
         ll = L.evidence(table, [L.visible(html or "")])[0]
         text = int(ll.argmax()) if (ll < 0).any() else None
         levels = [host.split(".")[-1] if host else None] + [".".join(host.split(".")[-n:]) for n in range(2, L.LEVELS + 1)] + [host]
