@@ -83,9 +83,9 @@ def node_id(tokens: np.ndarray) -> int:
 
 _POST = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()),
                    ("n", pa.int64()), ("place", pa.int32()), ("tokens", pa.binary()), ("places", pa.binary()),
-                   ("df", pa.binary())])
+                   ("df", pa.binary()), ("hash", pa.int64())])
 _POST_DDL = ("slice int, block long, doc_id long, node long, n long, place int, tokens binary, places binary, "
-             "df binary")
+             "df binary, hash long")
 
 
 def _batch(m: int, **cols) -> pa.RecordBatch:
@@ -106,7 +106,7 @@ def _unplanes(b: bytes) -> np.ndarray:
 
 
 def _postings(batches, k: int, slices: int) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, node, n, place) per text - place is null for a repeated
+    """A row (doc_id, node, n, place, hash) per text - place is null for a repeated
     set and for a null id - and packed postings per (block, slice).  A
     shingle is sent by 48 bits of its hash: equal shingles stay equal."""
     task = TaskContext.get().partitionId() << ROW_BITS
@@ -127,8 +127,9 @@ def _postings(batches, k: int, slices: int) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         ids = b.column(0).to_pylist()
+        hashes = b.column(2).to_pylist()
         raw, offs = W.text_bytes(b.column(1))
-        out: dict[str, list] = {c: [] for c in ("slice", "block", "doc_id", "node", "n", "place")}
+        out: dict[str, list] = {c: [] for c in ("slice", "block", "doc_id", "node", "n", "place", "hash")}
         for i, j in W.chunks(offs):
             o = offs[i:j + 1]
             for d, t in enumerate(text_sets(raw[o[0]:o[-1]], o - o[0], k), i):
@@ -139,7 +140,7 @@ def _postings(batches, k: int, slices: int) -> Iterator[pa.RecordBatch]:
                 node = node_id(t) if len(t) else None
                 new = node is not None and ids[d] is not None and node not in seen
                 for c, v in zip(out, ((texts_seen * 7919 + (task >> ROW_BITS) * 104729) % slices, task + block, ids[d], node, len(t),
-                                      len(texts) if new else None)):
+                                      len(texts) if new else None, hashes[d])):
                     out[c].append(v)
                 if new:
                     seen.add(node)
@@ -191,15 +192,17 @@ def _shared(batches) -> Iterator[pa.RecordBatch]:
         yield from count()
 
 
-_SIG = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
+_SIG = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("place", pa.int64()),
+                  ("hash", pa.int64())])
 
 
-def _sig(kind: int, a, b, n=None, place=None) -> pa.RecordBatch:
+def _sig(kind: int, a, b, n=None, place=None, hashes=None) -> pa.RecordBatch:
     m = len(a)
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(m, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
         pa.array(n, pa.int64()) if n is not None else pa.nulls(m, pa.int64()),
-        pa.array(place, pa.int64()) if place is not None else pa.nulls(m, pa.int64())], schema=_SIG)
+        pa.array(place, pa.int64()) if place is not None else pa.nulls(m, pa.int64()),
+        pa.array(hashes, pa.int64()) if hashes is not None else pa.nulls(m, pa.int64())], schema=_SIG)
 
 
 def _stars(tok: np.ndarray, node: np.ndarray):
@@ -216,18 +219,18 @@ def _stars(tok: np.ndarray, node: np.ndarray):
 
 
 def _prefixes(batches, threshold: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block.  kind 0: (doc_id, node, n, row); 1: (prefix
+    """Rows sorted by block.  kind 0: (doc_id, node, n, row, hash); 1: (prefix
     shingle, its first row in the block); 2: (row, first row that shares a
     prefix shingle).  A row is a text's block and place."""
     at, texts, post = None, [], []
 
     def solve():
-        out = [(d, v, n, None if p is None else (at << ROW_BITS) + p) for d, v, n, p in texts]
-        yield _sig(0, *([r[i] for r in out] for i in range(4)))
+        out = [(d, v, n, None if p is None else (at << ROW_BITS) + p, h) for d, v, n, p, h in texts]
+        yield _sig(0, *([r[i] for r in out] for i in range(5)))
         if not post:
             return
         n = np.zeros(BLOCK_TEXTS + 1, np.int64)
-        for _, _, size, p in texts:
+        for _, _, size, p, _ in texts:
             if p is not None:
                 n[p] = size
         tok = np.concatenate([np.frombuffer(t, np.uint64) for t, _, _ in post])
@@ -247,13 +250,13 @@ def _prefixes(batches, threshold: int) -> Iterator[pa.RecordBatch]:
                 yield _sig(2, e[:, 0], e[:, 1])
 
     for b in batches:
-        for r in b.select(["block", "doc_id", "node", "n", "place", "tokens", "places", "df"]).to_pylist():
+        for r in b.select(["block", "doc_id", "node", "n", "place", "tokens", "places", "df", "hash"]).to_pylist():
             if r["block"] != at:
                 if at is not None:
                     yield from solve()
                 at, texts, post = r["block"], [], []
             if r["tokens"] is None:
-                texts.append((r["doc_id"], r["node"], r["n"], r["place"]))
+                texts.append((r["doc_id"], r["node"], r["n"], r["place"], r["hash"]))
             else:
                 post.append((r["tokens"], r["places"], r["df"]))
     if at is not None:
@@ -502,31 +505,27 @@ def _heavy_links(heavy: DataFrame, threshold: int) -> DataFrame:
     return links.unionByName(third)
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFrame:
-    """docs(doc_id long, text) -> (doc_id, n_shingles, component_id), one row
-    per input row.
+def _hashed(text):
+    return F.xxhash64(F.col(text).cast("string"))
 
-    Words are runs of characters other than space and \\x09-\\x0D, with A-Z
-    lower-cased.  Null and empty texts, and texts without words, have no
-    shingles and link with nothing (their component is their own doc_id).
-    A text with fewer than k words has its whole sequence as one shingle.
-    A null doc_id takes no part in links; its component is null.  Rows that
-    repeat a doc_id with different texts are separate members that share
-    their id.  Equal shingle sets are always linked.  ``docs`` must give the
-    same rows in the same order when a task is repeated (a table does).
-    """
+
+def _classes(docs: DataFrame, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) -> rows (doc_id, node, n, hash), one for each input
+    row, and sets (node, component, head, first): ``head`` is one node of the
+    class, the same for all of them, ``first`` the smallest (doc_id, hash) of
+    the node's rows."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = n_parts(spark)
     slices = SLICES * parts
-    posts = docs.mapInArrow(lambda it: _postings(it, k, slices), _POST_DDL)
+    posts = docs.withColumn("hash", _hashed("text")).mapInArrow(lambda it: _postings(it, k, slices), _POST_DDL)
     shared = posts.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_shared, _POST_DDL)
     sig = materialise(
         shared.repartition(parts, "block").sortWithinPartitions("block")
-        .mapInArrow(lambda it: _prefixes(it, threshold), "kind int, a long, b long, n long, place long"),
+        .mapInArrow(lambda it: _prefixes(it, threshold), "kind int, a long, b long, n long, place long, hash long"),
         "signatures", "kind")
-    rows = sig.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "place")
+    rows = sig.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "place", "hash")
     by_token = sig.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node")) \
         .repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(_token_edges, "a long, b long")
     stars = sig.where("kind = 2").select("a", "b").unionByName(by_token).distinct()
@@ -534,7 +533,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFra
     near = components(stars.join(place.toDF("a", "x"), "a").join(place.toDF("b", "y"), "b").select(
         F.col("x").alias("a"), F.col("y").alias("b")))
     reps = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+        F.min(F.struct("doc_id", "hash")).alias("first"), F.max("n").alias("n")).withColumn("rep", F.col("first.doc_id"))
     members = materialise(near.join(reps, "node"), "members")
     weight = members.groupBy("comp").agg(F.sum("n").alias("w")).where(F.col("w") > 2 * CELL_WEIGHT).select(F.col("comp").alias("_c"))
     members_of = members.join(weight, F.col("comp") == F.col("_c"), "left").withColumn("heavy", F.col("_c").isNotNull())
@@ -553,12 +552,29 @@ def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFra
         links = links.unionByName(_heavy_links(sets.where("heavy").select("comp", "node", "tokens"), threshold))
     found = components(links)
     named = found.join(reps.select("node", "rep"), "node")
-    label = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    linked = named.join(label, "comp").select("node", "component")
+    label = named.groupBy("comp").agg(F.min(F.struct("rep", "node")).alias("least"))
+    linked = named.join(label, "comp").select("node", "least")
     info = materialise(reps.join(linked, "node", "left").select(
-        "node", F.coalesce("component", "rep").alias("component")), "classes")
+        "node", F.coalesce("least.rep", "rep").alias("component"), F.coalesce("least.node", "node").alias("head"), "first"),
+        "classes")
     discard(near, found, members)
-    return rows.join(info, "node", "left").select(
+    return rows, info
+
+def jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 75) -> DataFrame:
+    """docs(doc_id long, text) -> (doc_id, n_shingles, component_id), one row
+    per input row.
+
+    Words are runs of characters other than space and \\x09-\\x0D, with A-Z
+    lower-cased.  Null and empty texts, and texts without words, have no
+    shingles and link with nothing (their component is their own doc_id).
+    A text with fewer than k words has its whole sequence as one shingle.
+    A null doc_id takes no part in links; its component is null.  Rows that
+    repeat a doc_id with different texts are separate members that share
+    their id.  Equal shingle sets are always linked.  ``docs`` must give the
+    same rows in the same order when a task is repeated (a table does).
+    """
+    rows, info = _classes(docs, k, threshold)
+    return rows.join(info.select("node", "component"), "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
@@ -569,11 +585,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near copies the document with the
-    smallest doc_id stays; rows repeating a doc_id are one document (that with
-    the smallest text hash), and rows without a doc_id stay."""
+    """Pipeline stage: of each class of near copies one row stays, that with
+    the smallest doc_id (then the smallest set id and text hash).  Classes are
+    of texts: rows that repeat a doc_id with unlike texts are judged each by
+    its own class.  Texts without words stay, each once, where no text with
+    words stays under their doc_id; rows without a doc_id stay."""
     cols = [f"`{c}`" for c in docs.columns]
-    keep = jaccard_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    first = F.row_number().over(Window.partitionBy("_keep").orderBy(F.xxhash64("text")))
-    stay = docs.join(keep, docs["doc_id"] == keep["_keep"]).withColumn("_first", first).where("_first = 1")
+    rows, info = _classes(docs, 5, 75)
+    heads = info.where("node = head").select("first.doc_id", "first.hash")
+    wordless = rows.where("node is null and doc_id is not null").select("doc_id", "hash").distinct() \
+        .join(heads.select("doc_id"), "doc_id", "left_anti")
+    keep = heads.unionByName(wordless).toDF("_keep", "_hash")
+    first = F.row_number().over(Window.partitionBy("_keep", "_hash").orderBy("_hash"))
+    stay = docs.join(keep, (docs["doc_id"].cast("long") == keep["_keep"]) & (_hashed("text") == keep["_hash"])) \
+        .withColumn("_first", first).where("_first = 1")
     return stay.select(*cols).unionByName(docs.where("doc_id is null"))

@@ -134,3 +134,16 @@ def test_stage_keeps_one_of_each_class(spark):
     want = {c for _, c in brute([r for r in rows[:-2]]).values()}
     got = [r.doc_id for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) - {None} == want and None in got
+
+
+def test_stage_judges_texts_that_share_an_id_by_themselves(spark):
+    b = [f"b{i}" for i in range(40)]
+    texts = {"B": " ".join(b), "B2": " ".join(b + ["tail"]), "A": " ".join(f"a{i}" for i in range(40)),
+             "C": " ".join(f"c{i}" for i in range(40))}
+    for lone in range(2):  # whichever text has the smaller hash
+        a = texts["A"] + f" {lone}"
+        rows = [(3, texts["B"]), (5, texts["B2"]), (5, a), (5, a), (5, texts["C"]), (6, texts["C"] + " x"), (5, None),
+                (7, texts["B2"]), (7, None), (7, None), (8, " ")]
+        df = spark.createDataFrame([(i, t, "en") for i, t in rows], SCHEMA + ", lang string")
+        got = sorted(((r.doc_id, r.text) for r in N.stage(spark, df, "").collect()), key=str)
+        assert got == sorted([(3, texts["B"]), (5, a), (5, texts["C"]), (7, None), (8, " ")], key=str)
