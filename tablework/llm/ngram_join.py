@@ -478,7 +478,8 @@ def _in_cells(members: DataFrame, by: list[str], salt: int) -> DataFrame:
 
 def _heavy_links(heavy: DataFrame, threshold: int) -> DataFrame:
     """Links of the groups that do not fit in one block."""
-    band = F.floor(F.log(F.size("tokens").cast("double")) / math.log(1.34)).cast("int")
+    # linked sets differ at most 100 / threshold times in size: they are in one band or in neighbours
+    band = F.floor(F.log(F.size("tokens").cast("double")) / math.log(1.005 * 100 / threshold)).cast("int")
     heavy = heavy.withColumn("band", band)
     alone = F.concat_ws("/", "comp", "cell").alias("block")
     first = materialise(_solved(_in_cells(heavy, ["comp", "band"], 1).select(alone, "cell", "node", "tokens"), threshold), "links")

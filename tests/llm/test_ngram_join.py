@@ -74,6 +74,24 @@ def test_heavy_groups_are_split_into_cells(spark, monkeypatch):
     assert result(N.jaccard_classes(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
+def test_heavy_group_at_a_low_threshold(spark, monkeypatch):
+    """Linked sets that differ 1.8 times in size, in one chain of candidates."""
+    monkeypatch.setattr(N, "CELL_WEIGHT", 300)
+    run = lambda name, n: [f"{name}_{i}" for i in range(n)]
+    rows = []
+    for i in range(12):
+        core = run(f"a{i}", 64)
+        rows += [(2 * i, " ".join(core)), (2 * i + 1, " ".join(run(f"s{i}", 24) + core + run(f"s{i + 1}", 24)))]
+    sets = [shingles(t) for _, t in rows]
+    want = N.Forest(len(rows))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 50 * len(a | b):
+                want.join(i, j)
+    got = result(N.jaccard_classes(spark.createDataFrame(rows, SCHEMA), threshold=50))
+    assert {i: c for i, (_, c) in got.items()} == {i: want.find(i) for i in range(len(rows))}
+
+
 def test_edges_of_the_contract(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b c"), (5, "A B\tC"), (6, "a b"), (7, "a b c d e"), (8, "a b c d e"),
             (9, "a b c d e f"), (None, "a b c d e"), (10, "z " * 20_000), (11, "z " * 30_000)]
