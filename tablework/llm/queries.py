@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tablework.llm import (
-    decontaminate, language_id, license_scan, ngram_join, pii, sentence_pieces, token_counts, toxicity, vector_join, warc,
+    centroid_clusters, decontaminate, language_id, license_scan, ngram_join, pii, sentence_pieces, token_counts, toxicity, vector_join, warc,
 )
 
 QUERIES = {
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_personal_data": pii.query,
     "op9_language_id": language_id.query,
     "op10_warc": warc.query,
+    "op13_centroid_clusters": centroid_clusters.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_centroid_clusters": centroid_clusters.oracle(),
+}
