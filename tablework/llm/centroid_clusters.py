@@ -192,16 +192,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(clusters: int = CLUSTERS, rounds: int = ROUNDS, dim: int = DIM, scale: int = SCALE) -> str:
     """The same by plain comparison with every centroid."""
     parts = [f"""kept AS MATERIALIZED (
-      SELECT vec_id, list_transform(embedding, c -> CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+      SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
       FROM embeddings
-      WHERE len(embedding) = {dim} AND len(list_filter(embedding, c -> c IS NOT NULL AND isfinite(c))) = {dim})""",
+      WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dim})""",
              f"""c0 AS MATERIALIZED (
       SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS cluster, x
       FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, x FROM kept ORDER BY h, x LIMIT {clusters}))"""]
     for r in range(rounds + 1):
         parts.append(f"""d{r} AS MATERIALIZED (
       SELECT k.vec_id, k.x, c.cluster,
-             CAST(list_sum(list_transform(range(1, {dim} + 1), i -> (k.x[i] - c.x[i]) * (k.x[i] - c.x[i]))) AS BIGINT) AS distance
+             CAST(list_sum(list_transform(range(1, {dim} + 1), lambda i: (k.x[i] - c.x[i]) * (k.x[i] - c.x[i]))) AS BIGINT) AS distance
       FROM kept k CROSS JOIN c{r} c),
     a{r} AS MATERIALIZED (
       SELECT vec_id, x, cluster, distance FROM d{r}
