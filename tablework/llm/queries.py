@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tablework.llm import (
-    centroid_clusters, decontaminate, language_id, license_scan, ngram_join, pii, sentence_pieces, token_counts, toxicity, vector_join, warc,
+    centroid_clusters, decontaminate, language_id, license_scan, ngram_join, pii, sentence_pieces, token_counts,
+    toxicity, vector_join, warc, whitening,
 )
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op8_personal_data": pii.query,
     "op9_language_id": language_id.query,
     "op10_warc": warc.query,
+    "op11_whitening": whitening.query,
     "op13_centroid_clusters": centroid_clusters.query,
 }
 
