@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tablework.llm import (
-    centroid_clusters, decontaminate, language_id, license_scan, ngram_join, pii, sentence_pieces, token_counts,
+    centroid_clusters, decontaminate, language_id, license_scan, ngram_join, pii, sentence_pieces, substring_dedup, token_counts,
     toxicity, vector_join, warc, whitening,
 )
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_warc": warc.query,
     "op11_whitening": whitening.query,
+    "op12_substring_dedup": substring_dedup.query,
     "op13_centroid_clusters": centroid_clusters.query,
 }
 
