@@ -25,12 +25,19 @@ from tablework.session import shared_dir
 from tablework.sources.probe import describe_files, with_text_facts
 
 EXTRA_FIELD = "__extra_field"
+CORRUPT = "__corrupt_record"
 
 
 def _lineage_expr(lineage):
     """``_source_file``: the file name (``lineage=True``) or its full path
     (``lineage="path"``)."""
     return lineage_file_path() if lineage == "path" else lineage_file_name()
+
+
+def _lineage_of_path(path, lineage):
+    return path if lineage == "path" else F.regexp_extract(path, "([^/]+)$", 1)
+
+
 TEXT_TYPES = ("csv", "tsv", "txt")
 
 
@@ -85,11 +92,34 @@ def _csv_group_read(spark: SparkSession, paths: list[str], n_fields: int, *, del
             .csv(paths))
 
 
+def _quoted_group_read(spark: SparkSession, paths: list[str], n_fields: int, *, delimiter: str,
+                       encoding: str, header: bool, bad_rows: str) -> DataFrame:
+    """As ``_csv_group_read``, + _path, for files with line breaks inside
+    quotes: records are found split by split and parsed one by one."""
+    from tablework.sources.pieces import quoted_records
+
+    names = [f"_c{i}" for i in range(n_fields)] + ([EXTRA_FIELD] if bad_rows == "skip_long" else [])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "FAILFAST" if bad_rows == "fail" else "PERMISSIVE"}
+    if bad_rows == "drop_malformed":
+        names.append(CORRUPT)
+        options["columnNameOfCorruptRecord"] = CORRUPT
+    got = quoted_records(spark, paths, delimiter, encoding)
+    if header:
+        got = got.where("not _first")
+    schema = ", ".join(f"`{n}` string" for n in names)
+    raw = got.select("_path", F.from_csv("value", F.lit(schema), options).alias("r")).select("_path", "r.*")
+    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if bad_rows == "drop_malformed" else raw
+
+
+def _splittable(encoding: str, delimiter: str, quote: str, escape: str) -> bool:
+    """Whether records can be told apart byte by byte (``quoted_records``)."""
+    return encoding != "UTF-16" and len(delimiter) == 1 and delimiter.isascii() and quote == escape == '"'
+
+
 def _needs_multiline(probe: dict, multiline) -> bool:
-    """H3: quoted fields with line breaks need ``multiLine`` (one task per
-    file).  ``"auto"`` turns it on only for files that have a line with an
-    open quote anywhere, and for UTF-16 files (which Spark only decodes
-    correctly that way); other files stay splittable."""
+    """H3: whether quoted fields may hold line breaks.  ``"auto"`` says so
+    only for files that have a line with an open quote anywhere, and for
+    UTF-16 files (which Spark only decodes correctly as a whole)."""
     if multiline is True or probe["encoding"] == "UTF-16":
         return True
     return multiline == "auto" and bool(probe.get("quoted_newline_hint"))
@@ -113,11 +143,14 @@ def _read_text(spark, probes_rows, *, policy, bad_rows, header, multiline, quote
         groups.setdefault(key, []).append(p["path"])
     frames, rejected, counted = [], [], []
     for (enc, delim, width, ml), paths in sorted(groups.items(), key=lambda kv: min(kv[1])):
-        raw = _csv_group_read(spark, sorted(paths), width, delimiter=delim, encoding=enc, header=header,
-                              multiline=ml, bad_rows=bad_rows, quote=quote, escape=escape)
-        raw = raw.withColumn("_path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+        if ml and _splittable(enc, delim, quote, escape):
+            raw = _quoted_group_read(spark, sorted(paths), width, delimiter=delim, encoding=enc, header=header, bad_rows=bad_rows)
+        else:
+            raw = _csv_group_read(spark, sorted(paths), width, delimiter=delim, encoding=enc, header=header,
+                                  multiline=ml, bad_rows=bad_rows, quote=quote, escape=escape)
+            raw = raw.withColumn("_path", lineage_file_path())
         if lineage:
-            raw = raw.withColumn("_source_file", _lineage_expr(lineage))
+            raw = raw.withColumn("_source_file", _lineage_of_path(F.col("_path"), lineage))
         if bad_rows == "skip_long":
             rejected.append(raw.where(F.col(EXTRA_FIELD).isNotNull()).drop("_path"))
             raw = raw.where(F.col(EXTRA_FIELD).isNull()).drop(EXTRA_FIELD)
@@ -171,6 +204,7 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
     bad_rows: ``keep`` (short rows padded, long rows cut), ``drop_malformed``
     (B1, both dropped), ``skip_long`` (B2: long rows go to ``rejected_rows``),
     ``fail``.
+    Broken JSON files are left out and reported like unreadable ones.
     Returns (DataFrame, ReadResult).
     """
     ft = file_type.lower()
@@ -209,7 +243,7 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
                                          pad_value=pad_value)
         result.rejected_rows, result.groups, result.counted = rej, n, counted
     elif ft == "json":
-        df = _read_json(spark, good, policy, order, pad_value, lineage, json_records)
+        df = _read_json(spark, good, policy, order, pad_value, lineage, json_records, result)
     else:
         raise ValueError(f"unknown file type {file_type!r}")
     if drop_headers:
@@ -245,31 +279,95 @@ def _is_folder(spark: SparkSession, path) -> bool:
     return path.endswith("/") or not path.lower().endswith(_DATA_EXTENSIONS)
 
 
-def _read_json(spark, rows, policy, order, pad_value, lineage, records):
-    """JSON arrays / single objects need one task per file (multiLine,
-    H6); JSON-lines files split like text."""
-    lines, whole = [], []
+def _read_json(spark, rows, policy, order, pad_value, lineage, records, result):
+    """JSON lines split like text, arrays of objects by their
+    elements (H6); any other document is one task.
+
+    A file that is not whole - a document cut off or with a broken element -
+    is left out and reported; of JSON lines only the broken lines are.  What
+    could not be parsed is in ``result.rejected_rows`` (path, record)."""
+    kinds: dict[str, list[str]] = {"lines": [], "array": [], "document": []}
     for r in rows:
         name = r["file_name"].lower()
-        if records == "lines" or (records == "auto" and (name.endswith((".jsonl", ".ndjson"))
-                                                          or r["first_line_json"])):
-            lines.append(r["path"])
+        if records == "lines" or (records == "auto" and (name.endswith((".jsonl", ".ndjson")) or r["first_line_json"])):
+            kinds["lines"].append(r["path"])
+        elif r["first_char"] == "[" and r["encoding"] != "UTF-16":
+            kinds["array"].append(r["path"])
         else:
-            whole.append(r["path"])
-    frames = []
-    for paths, ml in ((lines, False), (whole, True)):
-        if not paths:
-            continue
-        d = spark.read.option("multiLine", str(ml).lower()).json(sorted(paths))
-        if "_corrupt_record" in d.columns and len(d.columns) == 1:
-            raise ValueError(f"unparseable JSON in {paths}")
-        d = rename_columns(d, policy)
-        if lineage:
-            d = d.withColumn("_source_file", _lineage_expr(lineage))
-        frames.append(d)
+            kinds["document"].append(r["path"])
+    frames, broken = [], []
+    for kind, paths in kinds.items():
+        if paths:
+            d, rejected, bad = (_json_arrays if kind == "array" else _json_files)(spark, sorted(paths), kind == "document")
+            broken += [{"path": p, "status": "partly read" if kind == "lines" else "unreadable", "error": "broken JSON"} for p in sorted(bad)]
+            if rejected is not None:
+                result.rejected_rows = rejected if result.rejected_rows is None else result.rejected_rows.unionByName(rejected)
+            if d.columns != ["_path"]:
+                source = _lineage_of_path(F.col("_path"), lineage)
+                named = rename_columns(d.drop("_path"), policy).columns
+                cols = [F.col(f"`{c}`").alias(n) for c, n in zip([c for c in d.columns if c != "_path"], named)]
+                frames.append(d.select(*cols, *([source.alias("_source_file")] if lineage else [])))
+    if broken:
+        files = {r["path"]: r["file_name"] for r in rows}
+        result.rejected_files += [{**b, "file_name": files[b["path"]]} for b in broken]
+        marks = spark.createDataFrame(broken, "path string, status string, error string")
+        probes = result.probes.join(marks.select("path", F.col("status").alias("_status"), F.col("error").alias("_error")), "path", "left")
+        result.probes = probes.withColumn("status", F.coalesce("_status", "status")).withColumn("error", F.coalesce("_error", "error")) \
+            .drop("_status", "_error")
+    if not frames:
+        raise ValueError(f"no JSON records in {[r['path'] for r in rows]}")
     return union_by_name(frames, order, pad_value)
 
 
+def _json_files(spark, paths, whole):
+    """Spark's own reader -> (_path + data of whole records, rejected, paths
+    with a broken record).  ``whole``: a file is one document."""
+    d = spark.read.option("multiLine", str(whole).lower()).option("columnNameOfCorruptRecord", CORRUPT).json(paths)
+    d = d.withColumn("_path", lineage_file_path())
+    if CORRUPT not in d.columns:
+        return d, None, set()
+    data = [F.col(f"`{c}`") for c in d.columns if c not in (CORRUPT, "_path")]
+    if not data:  # Spark reads the corrupt column only beside another one
+        d = spark.read.format("text").option("wholetext", str(whole).lower()).load(paths).select(
+            F.col("value").alias(CORRUPT), lineage_file_path().alias("_path")).where("trim(value) != ''")
+    rejected = _stored(d.where(F.col(CORRUPT).isNotNull()).select("_path", F.col(CORRUPT).alias("record"), F.to_json(F.struct(*data, F.lit(None))).alias("read")))
+    bad = {r._path for r in rejected.select("_path").distinct().collect()}
+    return d.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rejected.drop("read"), bad
+
+
+def _json_arrays(spark, paths, _whole):
+    """As ``_json_files`` for files that are one array of objects.  Elements
+    are written once as JSON lines, ``{"p": path, "r": element}``, and what
+    follows a file's last element as ``{"p": path, "t": text}``, so that their
+    schema is found, and they are read, by Spark's splittable reader."""
+    from tablework.sources.pieces import json_elements
+
+    got = json_elements(spark, paths)
+    flat = F.regexp_replace("value", r"[\r\n]+", " ")  # between tokens only: strings hold no raw line breaks
+    path = F.to_json(F.struct(F.col("_path").alias("p")))
+    line = F.when(F.col("_tail"), F.to_json(F.struct(F.col("_path").alias("p"), F.col("value").alias("t")))) \
+        .otherwise(F.concat(F.expr("substring(p, 1, length(p) - 1)"), F.lit(',"r":'), flat, F.lit("}")))
+    staged = shared_dir(spark, "json_elements")
+    got.withColumn("p", path).select(line.alias("value")).write.text(staged)
+    d = spark.read.option("columnNameOfCorruptRecord", CORRUPT).json(staged)
+    for name, kind in ((CORRUPT, "string"), ("p", "string"), ("t", "string")):
+        if name not in d.columns:
+            d = d.withColumn(name, F.lit(None).cast(kind))
+    own = F.from_json(F.concat(F.regexp_extract(CORRUPT, r'^(\{"p":"(?:[^"\\]|\\.)*")', 1), F.lit("}")), "p string")["p"]
+    d = d.withColumn("_path", F.coalesce("p", own))
+    state = d.groupBy("_path").agg(F.max(F.col("t").rlike(r"^\s*\]\s*$")).alias("ended"), F.max(F.col(CORRUPT).isNotNull()).alias("corrupt"))
+    whole = {r._path for r in state.where("ended and not corrupt").select("_path").collect()}
+    bad = set(paths) - whole
+    if "r" not in d.columns:
+        return d.select("_path").limit(0), None, bad
+    data = d.where("r is not null").select("_path", "r.*")
+    if not bad:
+        return data, None, bad
+    marks = spark.createDataFrame([(p,) for p in sorted(bad)], "_path string")
+    rejected = d.join(marks, "_path").select("_path", F.coalesce(CORRUPT, F.to_json("r"), "t").alias("record"))
+    return data.join(marks, "_path", "left_anti"), rejected, bad
+
+
 def _read_parquet(spark, path, pattern, recursive, policy, order, pad_value, lineage):
     """One read with ``mergeSchema``; incompatible types across files fall
     back to a read per file widened by the lattice (U10)."""
