@@ -326,7 +326,7 @@ def _cut(batches, window: int) -> Iterator[pa.RecordBatch]:
             if d is not None and least is not None and least < d:  # a copy of an earlier text
                 if len(words) >= window:
                     gone[0], gone[-1] = 1, -1
-            else:
+            elif d is not None:
                 for p in places or []:
                     for i, s in enumerate(p["starts"]):
                         if s < d:
