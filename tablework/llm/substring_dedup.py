@@ -98,12 +98,15 @@ class SuffixAutomaton:
         return c
 
     def close(self) -> None:
-        """Occurrences of a state are occurrences of its suffix links, too."""
-        first, link = self.first, self.link
-        for s in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
-            up = link[s]
-            if up > 0 and (first[up] is None or first[s] < first[up]):
-                first[up] = first[s]
+        """Occurrences of a state are occurrences of its suffix links, too:
+        smallest documents move up, from the longest states on."""
+        none = np.iinfo(np.int64).max
+        first = np.array([none if f is None else f for f in self.first], np.int64)
+        length, link = np.array(self.length), np.array(self.link)
+        order = np.argsort(-length, kind="stable")[:-1]  # without the root
+        for level in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            np.minimum.at(first, link[level], first[level])
+        self.first = [None if f == none else f for f in first.tolist()]
 
     def starts(self, words: list, window: int) -> list:
         """Matching statistics cut at the window: for each window of the
@@ -111,15 +114,17 @@ class SuffixAutomaton:
         nxt, link, length, first = self.next, self.link, self.length, self.first
         out, s, matched = [], 0, 0
         for i, w in enumerate(words):
-            while s and w not in nxt[s]:
+            t = nxt[s].get(w)
+            while t is None and s:
                 s = link[s]
                 matched = length[s]
-            if w in nxt[s]:
-                s = nxt[s][w]
+                t = nxt[s].get(w)
+            if t is not None:
+                s = t
                 matched += 1
-            while s and length[link[s]] >= window:  # the state of the suffix of `window` words
-                s = link[s]
-                matched = length[s]
+                while length[link[s]] >= window:  # up to the state of the suffix of `window` words
+                    s = link[s]
+                    matched = length[s]
             if i + 1 >= window:
                 out.append(first[s] if matched >= window else None)
         return out
@@ -317,26 +322,35 @@ _SPANS = "array<struct<start:int,end:int>>"
 
 
 def _cut(batches, window: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, least doc_id of the text, places) -> the operator's columns."""
+    """(doc_id, text, copy: an earlier document has the same text, windows:
+    first words of the windows to remove) -> the operator's columns."""
     for b in batches:
         n_words, spans, kept = [], [], []
-        for d, text, least, places in zip(*(b.column(i).to_pylist() for i in range(4))):
+        at = b.column(3).fill_null([]) if b.column(3).null_count else b.column(3)
+        first, every = at.offsets.to_numpy(), at.values.to_numpy()
+        for i, (d, text, copy) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
             words = (text or "").encode().split()
-            gone = np.zeros(len(words) + 1, np.int32)
-            if d is not None and least is not None and least < d:  # a copy of an earlier text
-                if len(words) >= window:
-                    gone[0], gone[-1] = 1, -1
-            elif d is not None:
-                for p in places or []:
-                    for i, s in enumerate(p["starts"]):
-                        if s < d:
-                            gone[p["at"] + i] += 1
-                            gone[p["at"] + i + window] -= 1
-            out = np.cumsum(gone[:-1]) > 0
-            edge = np.flatnonzero(np.diff(np.r_[0, out.astype(np.int8), 0]))
+            mine = every[first[i]:first[i + 1]] if d is not None and not copy else ()
             n_words.append(len(words))
-            spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
-            kept.append(b" ".join(w for w, o in zip(words, out.tolist()) if not o) if len(edge) else b" ".join(words))
+            if copy and len(words) >= window:
+                spans.append([(0, len(words))])
+                kept.append(b"")
+            elif len(mine):
+                gone = np.zeros(len(words) + 1, np.int32)
+                np.add.at(gone, mine, 1)
+                np.add.at(gone, mine + window, -1)
+                cover = np.cumsum(gone) > 0
+                edge = np.flatnonzero(cover[1:] != cover[:-1]) + 1
+                edge = np.r_[0, edge].tolist() if cover[0] else edge.tolist()
+                spans.append(list(zip(edge[::2], edge[1::2])))
+                rest, left = [], 0
+                for lo, hi in spans[-1]:
+                    rest += words[left:lo]
+                    left = hi
+                kept.append(b" ".join(rest + words[left:]))
+            else:
+                spans.append([])
+                kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays([
             b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "spans", "kept"])
@@ -368,10 +382,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .groupBy("hash", "at").agg(F.first("starts").alias("starts")) \
         .groupBy("hash").agg(F.collect_list(F.struct("at", "starts")).alias("places"))
     copies = rows.where("doc_id is not null").groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    facts = copies.join(places, "hash", "left").where("least < most or places is not null").select("hash", "least", "places")
+    mine = F.flatten(F.transform("places", lambda p: F.filter(
+        F.transform(p["starts"], lambda s, i: F.when(s < F.col("least"), p["at"] + i)), lambda x: x.isNotNull())))
+    facts = copies.join(places, "hash", "left").where("least < most or places is not null").select("hash", "least", mine.alias("windows"))
     facts = materialise(facts, "facts")
     discard(marked, stretches)
-    return rows.join(facts, "hash", "left").select("doc_id", "text", "least", "places") \
+    copy = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)).alias("copy")
+    return rows.join(facts, "hash", "left").select("doc_id", "text", copy, "windows") \
         .mapInArrow(lambda it: _cut(it, window), f"doc_id long, n_words long, spans {_SPANS}, kept string")
 
 
