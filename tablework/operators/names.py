@@ -196,6 +196,17 @@ def table_name_from_file(file_name_col: Column | str) -> Column:
     return clean_table_name_col(stem)
 
 
+#: Letters whose accent a catalog name loses; other non-ASCII ones become "_".
+_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
+
+
+def catalog_name_col(c: Column) -> Column:
+    """A cleaned table name in the characters that the catalog takes: ASCII
+    letters and digits and ``_``.  ASCII names stay as they are."""
+    n = F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), "[^a-z0-9_]+", "_")
+    return F.when(c.rlike("^[a-z0-9_]+$"), c).otherwise(clean_table_name_col(n))
+
+
 def plan_table_names(files: DataFrame, existing: DataFrame | None = None,
                      file_col: str = "file_name", prefix: str = "") -> DataFrame:
     """C5 over a listing: one unique table name per file, as a Spark job.
@@ -207,7 +218,7 @@ def plan_table_names(files: DataFrame, existing: DataFrame | None = None,
     Returns ``files`` + ``base_name`` + ``table_name``.
     """
     base = F.concat(F.lit(prefix), table_name_from_file(file_col)) if prefix else table_name_from_file(file_col)
-    f = files.withColumn("base_name", F.lower(base))
+    f = files.withColumn("base_name", catalog_name_col(F.lower(base)))
     taken = f.select(F.col("base_name").alias("name")).distinct()
     ex = None
     if existing is not None:

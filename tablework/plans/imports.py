@@ -42,7 +42,7 @@ def import_folder_as_tables(spark: SparkSession, folder: str, database: str, fil
     from tablework.operators.names import clean_names
 
     listing = list_files(spark, folder, pattern)
-    existing = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database)], "name string")
+    existing = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database) if not t.isTemporary], "name string")
     plan = plan_table_names(listing, existing, "file_name", prefix).select("path", "file_name", "table_name")
     # one row per file: the table names are needed on the driver for the catalog
     targets = {r["path"]: r["table_name"] for r in plan.collect()}

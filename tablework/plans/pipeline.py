@@ -160,28 +160,64 @@ def run_pipeline(spark: SparkSession, spec: PipelineSpec | dict | str,
     Returns the reference's result record: sources_processed, total_rows,
     tables_created, output_table, output_rows, execution_time, errors.
     Sources with ``load="view"`` are registered as temp views (no copy);
-    others are written as tables (K2 replace / K4 append).
+    others are written as tables (K2 replace / K4 append).  The views by
+    which the SQL finds the sources go when its output is written, and views
+    of the same names that were there before come back; without SQL the
+    ``load="view"`` ones are the result and stay.
     """
-    from tablework.sinks import tables
-
     if not isinstance(spec, PipelineSpec):
         spec = parse_pipeline(spec)
     spec.validate()
     t0 = time.time()
     result = {"sources_processed": 0, "total_rows": 0, "tables_created": [],
               "output_table": None, "output_rows": 0, "execution_time": 0.0, "errors": []}
+    views = _Views(spark)
+    try:
+        _run(spark, spec, database, views, result)
+    finally:
+        views.restore(keep=() if spec.sql_query else {s.table_name for s in spec.sources if s.load == "view"})
+    result["execution_time"] = round(time.time() - t0, 3)
+    return result
+
+
+class _Views:
+    """Temp views made for a while: what they hid comes back afterwards."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.before: dict[str, DataFrame | None] = {}
+
+    def make(self, df: DataFrame, name: str) -> None:
+        if name not in self.before:
+            there = any(t.isTemporary and t.name.lower() == name.lower() for t in self.spark.catalog.listTables())
+            self.before[name] = self.spark.table(f"`{name}`") if there else None
+        df.createOrReplaceTempView(name)
+
+    def restore(self, keep=()) -> None:
+        for name, df in self.before.items():
+            if name in keep:
+                continue
+            if df is not None:
+                df.createOrReplaceTempView(name)
+            else:
+                self.spark.catalog.dropTempView(name)
+
+
+def _run(spark: SparkSession, spec: PipelineSpec, database: str | None, views: _Views, result: dict) -> None:
+    from tablework.sinks import tables
+
     for src in spec.sources:
         try:
             df = load_source(spark, src)
             target = f"{database}.{src.table_name}" if database else src.table_name
             if src.load == "view":
-                df.createOrReplaceTempView(src.table_name)
+                views.make(df, src.table_name)
                 rows = None
             else:
                 layout = {k: src.options[k] for k in ("partition_by", "bucket_by") if k in src.options}
                 tables.write_table(df, target, mode=src.load, **layout)
                 rows = spark.table(target).count()
-                spark.table(target).createOrReplaceTempView(src.table_name)
+                views.make(spark.table(target), src.table_name)
                 result["tables_created"].append(target)
             result["sources_processed"] += 1
             result["total_rows"] += rows or 0
@@ -195,5 +231,3 @@ def run_pipeline(spark: SparkSession, spec: PipelineSpec | dict | str,
         tables.write_table(spark.sql(_strip_create(spec.sql_query, out)), target, mode="replace")
         result["output_table"] = target
         result["output_rows"] = spark.table(target).count()
-    result["execution_time"] = round(time.time() - t0, 3)
-    return result

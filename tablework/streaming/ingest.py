@@ -30,6 +30,7 @@ from tablework.sources.probe import case_insensitive_glob
 from tablework.sources.readers import read_files
 
 BATCH_COLUMN = "_ingest_batch"
+MAX_FILES = 10_000  # files of a micro-batch
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -68,16 +69,16 @@ def _stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 def start_folder_ingest(spark: SparkSession, folder: str, table: str, file_type: str = "csv",
                         pattern: str = "*.{csv,csv.gz,csv.bz2}", checkpoint: str | None = None,
-                        max_files_per_trigger: int | None = None, available_now: bool = True,
+                        max_files_per_trigger: int = MAX_FILES, available_now: bool = True,
                         recursive: bool = True, **read_options) -> StreamingQuery:
     """Start the ingest stream; with ``available_now`` it loads every file
-    not loaded by an earlier run and stops."""
+    not loaded by an earlier run and stops.  A micro-batch takes at most
+    ``max_files_per_trigger`` files, whose names are what reaches the driver."""
     checkpoint = checkpoint or default_checkpoint(spark, table)
     src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
            .option("pathGlobFilter", case_insensitive_glob(pattern))
            .option("recursiveFileLookup", str(recursive).lower()))
-    if max_files_per_trigger:
-        src = src.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    src = src.option("maxFilesPerTrigger", str(max_files_per_trigger))
     files = src.load(folder).select("path")
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
