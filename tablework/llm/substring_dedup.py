@@ -302,7 +302,8 @@ def first_starts(stretches: DataFrame, window: int = WINDOW) -> DataFrame:
     document of each window, for stretches whose windows are not all first
     in their only document."""
     distinct = materialise(stretches.groupBy("anchor", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
-    heavy = distinct.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor")
+    # stored, so that the joins know how small it is: at most stretches / HEAVY rows
+    heavy = materialise(distinct.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor"), "heavy")
     light = _by_shard(distinct.join(heavy, "anchor", "left_anti"), window)
     single = distinct.join(heavy, "anchor", "left_semi").select("words", "first", "last") \
         .mapInArrow(lambda it: _windows(it, window), "whole string, at int, words string, first long, last long")
