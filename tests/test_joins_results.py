@@ -21,9 +21,9 @@ def test_asof_matches_brute_force_across_buckets(spark):
     right = [(i, k, t) for i, k, t, side in data if side == "R"]
     L = spark.createDataFrame(left, "id long, k int, t long")
     R = spark.createDataFrame(right, "id long, k int, t long")
-    for bw in (None, 50.0, 700.0):
+    for bw in (1_000_000, 50, 7):
         got = {(r["id"], r["r_id"]) for r in asof_join(L, R, ["k"], "t", "t", how="left",
-                                                        bucket_width=bw).collect()}
+                                                        hot_rows=bw).collect()}
         want = set()
         for i, k, t in left:
             cands = [(rt, rid) for rid, rk, rt in right if rk == k and rt <= t]
@@ -97,7 +97,7 @@ def test_asof_tolerance_and_timestamps(spark):
     R = spark.createDataFrame(right, "id long, k int, ts timestamp_ntz")
     tol_us = 20 * 60 * 1_000_000
     got = {(r["id"], r["r_id"]) for r in asof_join(L, R, ["k"], "ts", "ts", how="inner", tolerance=tol_us,
-                                                    bucket_width=3_600_000_000.0).collect()}
+                                                    hot_rows=6).collect()}
     want = set()
     for i, k, t in left:
         cands = [(rt, rid) for rid, rk, rt in right if rk == k and rt <= t]
