@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from tablework.llm import words as W
 from tablework.llm.store import discard, materialise, n_parts, prepare, table
+from tablework.session import shared_dir
 
 WINDOW = 13
 GRAM = 5                # words of an anchor
@@ -245,6 +246,15 @@ def _stretches(batches, gate, window: int) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "hash", "at", "anchor", "words"])
 
 
+def _packed(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` for tables of texts: packed more tightly."""
+    path = shared_dir(df.sparkSession, "llm", name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out
+
+
 def _key() -> Column:
     return F.unhex(F.md5(F.col("words").cast("binary"))).alias("key")
 
@@ -301,7 +311,7 @@ def first_starts(stretches: DataFrame, window: int = WINDOW) -> DataFrame:
     """stretches(anchor, words, doc_id) -> (words, starts): the smallest
     document of each window, for stretches whose windows are not all first
     in their only document."""
-    distinct = materialise(stretches.groupBy("anchor", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
+    distinct = _packed(stretches.groupBy("anchor", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
     # stored, so that the joins know how small it is: at most stretches / HEAVY rows
     heavy = materialise(distinct.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor"), "heavy")
     light = _by_shard(distinct.join(heavy, "anchor", "left_anti"), window)
@@ -376,12 +386,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     marked = materialise(rows.mapInArrow(lambda it: _counted_anchors(it, window), "anchor long, n int")
                          .groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
     gate = spark.sparkContext.broadcast(_gate(marked))
-    stretches = materialise(rows.mapInArrow(lambda it: _stretches(it, gate, window), _STRETCH), "stretches")
+    stretches = _packed(rows.mapInArrow(lambda it: _stretches(it, gate, window), _STRETCH), "stretches")
     starts = first_starts(stretches, window)
     places = stretches.select("hash", "doc_id", "at", _key()).join(starts.select(_key(), "starts"), "key") \
         .where(F.array_min("starts") < F.col("doc_id")) \
-        .groupBy("hash", "at").agg(F.first("starts").alias("starts")) \
-        .groupBy("hash").agg(F.collect_list(F.struct("at", "starts")).alias("places"))
+        .groupBy("hash").agg(F.collect_set(F.struct("at", "starts")).alias("places"))
     copies = rows.where("doc_id is not null").groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     mine = F.flatten(F.transform("places", lambda p: F.filter(
         F.transform(p["starts"], lambda s, i: F.when(s < F.col("least"), p["at"] + i)), lambda x: x.isNotNull())))
