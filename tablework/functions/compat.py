@@ -45,14 +45,16 @@ def substring_plain(c, start: int, length: int | None = None) -> Column:
 
 # ---------------------------------------------------------------- numbers
 def trunc_number(c, digits: int = 0) -> Column:
-    """FM6/FM7 ``TRUNC`` / ``TRUNCATE(x, d)``: toward zero."""
+    """FM6/FM7 ``TRUNC`` / ``TRUNCATE(x, d)``: toward zero.  Numbers of 2^53
+    and more have no fraction and stay as they are, like NaN and infinities."""
     c = _c(c)
     if digits == 0:
-        return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
-    # on the decimal the number is written as: 0.29 * 100 is not 29 in binary
-    d = F.lit(digits)
-    return F.when(c >= 0, F.floor(c.cast("string").cast("decimal(38,18)"), d)) \
-        .otherwise(F.ceil(c.cast("string").cast("decimal(38,18)"), d)).cast("double")
+        cut = F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))
+    else:
+        # on the decimal the number is written as: 0.29 * 100 is not 29 in binary
+        d, written = F.lit(digits), c.cast("string").try_cast("decimal(38,18)")
+        cut = F.when(c >= 0, F.floor(written, d)).otherwise(F.ceil(written, d))
+    return F.when(F.abs(c.cast("double")) < float(2 ** 53), cut.cast("double")).otherwise(c.cast("double"))
 
 
 def log_plain(c) -> Column:
@@ -116,7 +118,34 @@ def parse_datetime(c) -> Column:
 
 def month_start(c) -> Column:
     """FD13 ``DATE_TRUNC('month', ts)`` as a time-zone-free timestamp_ntz."""
-    return F.trunc(_c(c).cast("date"), "month").cast("timestamp_ntz")
+    return date_trunc_ntz("month", c)
+
+
+#: FD13 units whose start is a date: years to round down to, or Spark's name.
+_YEARS = {"decade": 10, "century": 100, "millennium": 1000}
+_CLOCK = {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1000, "microsecond": 1}
+
+
+def date_trunc_ntz(unit: str, c) -> Column:
+    """FD13 ``DATE_TRUNC(unit, ts)`` as a timestamp_ntz, without a time-zone
+    step (``date_trunc`` goes through the session's zone): millennium,
+    century, decade, year, quarter, month, week (Monday), day, hour, minute,
+    second, millisecond, microsecond."""
+    unit, c = unit.lower(), _c(c).cast("timestamp_ntz")
+    day = c.cast("date")
+    if unit in _YEARS:
+        n = _YEARS[unit]
+        return F.make_date((F.floor(F.year(c) / n) * n).cast("int"), F.lit(1), F.lit(1)).cast("timestamp_ntz")
+    if unit in ("year", "quarter", "month", "week"):
+        return F.trunc(day, unit).cast("timestamp_ntz")
+    if unit == "day":
+        return day.cast("timestamp_ntz")
+    if unit in _CLOCK:
+        n = _CLOCK[unit]
+        clock = epoch_micros(c) - F.unix_date(day).cast("bigint") * 86_400_000_000
+        micros = F.floor(clock / n) * n if n > 1 else clock
+        return day.cast("timestamp_ntz") + F.make_dt_interval(secs=(micros / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)"))
+    raise ValueError(f"unknown unit {unit!r}")
 
 
 def ntz_text(c) -> Column:
@@ -127,11 +156,16 @@ def ntz_text(c) -> Column:
 
 
 def time_of_day(c) -> Column:
-    """FD9 ``TIME`` as ``HH:mm:ss`` text (the TIME type needs
-    ``spark.sql.timeType.enabled``)."""
+    """FD9 ``TIME`` as ``HH:mm:ss`` text."""
     return F.substring(ntz_text(c), 12, 8)
 
 
+def time_value(c) -> Column:
+    """FD9 ``TIME`` as a value of the TIME type (microseconds)."""
+    c = _c(c).cast("timestamp_ntz")
+    return F.make_time(F.hour(c), F.minute(c), (microsecond(c) / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(16,6)"))
+
+
 # ---------------------------------------------------------------- json
 def json_valid(c) -> Column:
     """FJ7: NULL stays NULL; otherwise whether the text parses as JSON."""

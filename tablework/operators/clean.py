@@ -92,11 +92,21 @@ def sanitize(df: DataFrame, tokens=NULL_TOKENS, max_len: int = MAX_TEXT_LEN,
     names = dedupe_names(names)
     out = df.toDF(*names)
     data = [n for c, n in zip(df.columns, names) if c not in exclude]
+    if drop_empty and data:
+        # a row will be empty exactly when each raw cell is NULL or spelled like it: tested before the work
+        out = out.where(~F.forall(F.array(*[_q(n).cast("string") for n in data]), lambda c: c.isNull() | c.isin(*tokens)))
     # a projection per step: each step's value is computed once, however often the next refers to it
-    for step in (lambda c: infinity_expr(null_tokens_expr(c.cast("string"), tokens)), control_chars_expr,
-                 lambda c: truncate_expr(c, max_len)):
+    for step in (lambda c: _spelled(c.cast("string"), tokens), control_chars_expr, lambda c: truncate_expr(c, max_len)):
         out = out.select(*[step(_q(n)).alias(n) if n in data else _q(n) for n in names])
-    return drop_empty_rows(out, exclude) if drop_empty else out
+    return out
+
+
+def _spelled(c: Column, tokens=NULL_TOKENS) -> Column:
+    """C10 and C11 in one CASE (no infinity is spelled like a null)."""
+    out = F.when(c.isin(*tokens), F.lit(None).cast("string"))
+    for new in dict.fromkeys(INFINITY_TOKENS.values()):
+        out = out.when(c.isin(*[k for k, v in INFINITY_TOKENS.items() if v == new]), F.lit(new))
+    return out.otherwise(c)
 
 
 def apply_to_strings(df: DataFrame, fn, exclude=LINEAGE_COLUMNS) -> DataFrame:
@@ -186,11 +196,14 @@ def quick_clean(df: DataFrame, exclude=LINEAGE_COLUMNS) -> DataFrame:
 
 
 # --------------------------------------------------------------- narrowing
-# Only texts that a number gives back: no leading zeros or signs, and at most
-# the 15 digits that a double holds; other texts (codes, long ids) stay text.
+# Only texts that a number gives back: no leading zeros or signs, no closing
+# zeros but the one of "1.0", at most the 15 digits that a double holds, and
+# exponents as a double is written; other texts (codes, long ids) stay text.
 INTEGER_PATTERN = r"^(0|-?[1-9][0-9]{0,18})$"
-NUMBER_PATTERN = (r"^(?=(?:[^0-9]*[0-9]){1,15}[^0-9]*(?:[eE].*)?$)-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]{1,2})?$"
-                  r"|^(?i:-?(inf|infinity)|nan)$")
+NUMBER_PATTERN = (r"^(?!-0$)-?(?:0|[1-9][0-9]{0,14})(?:\.(?:0|[0-9]*[1-9]))?$"
+                  r"|^-?[1-9]\.[0-9]+E-?[0-9]{1,3}$|^(?i:-?inf(?:inity)?|nan)$")
+# A column of texts with one number of decimals ("12.50") becomes DECIMAL.
+DECIMAL_PATTERN = r"^(?!-0\.0*$)-?(?:0|[1-9][0-9]*)\.[0-9]+$"
 _INT_RANGES = (("tinyint", -128, 127), ("smallint", -32768, 32767),
                ("int", -2147483648, 2147483647), ("bigint", None, None))
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -199,16 +212,21 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 def _narrow_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One aggregation: per column non-null count, integer/double parse counts,
-    integer range, float-lossless count.  Returns one row per column."""
-    aggs = []
+    integer range, float-lossless count, decimal places.  The casts are a
+    projection below it, so each is made once.  Returns one row per column."""
+    cast, aggs = [], []
     for i, c in enumerate(columns):
         f = df.schema[c]
         x = _q(c)
+        places = F.lit(None).cast("int")
         if isinstance(f.dataType, T.StringType):
             # gate the casts with a pattern: a failing cast raises and catches
             # an exception per value, which costs far more than the match
             as_long = F.when(x.rlike(INTEGER_PATTERN), F.expr(f"try_cast(`{c}` AS BIGINT)"))
-            as_dbl = F.when(x.rlike(NUMBER_PATTERN), F.expr(f"try_cast(`{c}` AS DOUBLE)"))
+            number = F.expr(f"try_cast(`{c}` AS DOUBLE)")
+            given_back = F.when(x.contains("E"), number.cast("string") == x).otherwise(F.length(F.translate(x, "-.", "")) <= 15)
+            as_dbl = F.when(x.rlike(NUMBER_PATTERN) & given_back, number)
+            places = F.when(x.contains(".") & x.rlike(DECIMAL_PATTERN) & (F.length(x) <= 38), F.length(x) - F.instr(x, "."))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             as_long = x.cast("bigint")
             as_dbl = x.cast("double")
@@ -220,21 +238,27 @@ def _narrow_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         else:
             as_long = F.lit(None).cast("bigint")
             as_dbl = F.lit(None).cast("double")
-        float_ok = as_dbl.cast("float").cast("double") == as_dbl
+        width = F.length(F.translate(x.cast("string"), "-.", "")) if isinstance(f.dataType, T.StringType) else F.lit(None).cast("int")
+        cast += [x.isNotNull().alias(f"x{i}"), as_long.alias(f"l{i}"), as_dbl.alias(f"d{i}"), places.alias(f"p{i}"),
+                 F.when(places.isNotNull(), width).alias(f"w{i}")]
+        as_dbl = F.col(f"d{i}")
         aggs += [
-            F.count(x).alias(f"n{i}"),
-            F.count(as_long).alias(f"l{i}"),
+            F.count_if(f"x{i}").alias(f"n{i}"),
+            F.count(f"l{i}").alias(f"l{i}"),
             F.count(as_dbl).alias(f"d{i}"),
-            F.min(as_long).alias(f"mn{i}"),
-            F.max(as_long).alias(f"mx{i}"),
-            F.count(F.when(float_ok, 1)).alias(f"f{i}"),
+            F.min(f"l{i}").alias(f"mn{i}"),
+            F.max(f"l{i}").alias(f"mx{i}"),
+            F.count_if(as_dbl.cast("float").cast("double") == as_dbl).alias(f"f{i}"),
+            F.count(f"p{i}").alias(f"dp{i}"), F.min(f"p{i}").alias(f"pn{i}"), F.max(f"p{i}").alias(f"px{i}"), F.max(f"w{i}").alias(f"w{i}"),
         ]
-    wide = df.agg(*aggs)
+    wide = df.select(*cast).agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column_name"),
                      F.lit(df.schema[c].dataType.simpleString()).alias("from_type"),
                      F.col(f"n{i}").alias("n_non_null"), F.col(f"l{i}").alias("n_integer"),
                      F.col(f"d{i}").alias("n_numeric"), F.col(f"mn{i}").alias("min_integer"),
-                     F.col(f"mx{i}").alias("max_integer"), F.col(f"f{i}").alias("n_float_exact"))
+                     F.col(f"mx{i}").alias("max_integer"), F.col(f"f{i}").alias("n_float_exact"),
+                     F.when((F.col(f"dp{i}") == F.col(f"n{i}")) & (F.col(f"pn{i}") == F.col(f"px{i}")),
+                            F.concat(F.lit("decimal("), F.col(f"w{i}"), F.lit(","), F.col(f"px{i}"), F.lit(")"))).alias("_decimal"))
             for i, c in enumerate(columns)]
     return wide.select(F.inline(F.array(*rows)))
 
@@ -251,20 +275,22 @@ def narrow_type_expr() -> Column:
             .when(li == n, int_choice)
             .when((d == n) & (fl == n), F.lit("float"))
             .when(d == n, F.lit("double"))
-            .otherwise(F.col("from_type")))
+            .otherwise(F.coalesce("_decimal", "from_type")))
 
 
 def narrow_report(df: DataFrame, columns: list[str] | None = None,
                   exclude=LINEAGE_COLUMNS) -> DataFrame:
     """C7 report: DataFrame(column_name, from_type, statistics..., to_type).
 
-    Text becomes numeric only when every non-NULL value converts; doubles
+    Text becomes numeric only when every non-NULL value converts and is given
+    back by the number; texts with one number of decimals that end in zeros
+    ("12.50") become DECIMAL; doubles
     become float only when every value survives the round trip exactly;
     integers take the narrowest of tinyint/smallint/int/bigint.
     """
     cols = columns or [f.name for f in df.schema.fields
                        if f.name not in exclude and isinstance(f.dataType, _NUMERIC + (T.StringType,))]
-    return _narrow_stats(df, cols).withColumn("to_type", narrow_type_expr())
+    return _narrow_stats(df, cols).withColumn("to_type", narrow_type_expr()).drop("_decimal")
 
 
 def narrow_types(df: DataFrame, columns: list[str] | None = None,

@@ -1,11 +1,9 @@
 """Result export (K8-K14): CSV, TSV, JSON, Parquet, XML, HTML, Excel.
 
 Every export is a distributed write: one output part per partition, written
-by executors.  Formats that need a document frame around the rows (HTML,
-JSON array) get their head and tail as separate one-row partitions placed
-before and after the data partitions of a ``union`` (which keeps partition
-order), so the part files concatenated in name order form the document
-without any shuffle or single-task step.
+by executors.  HTML gets its head and tail as files beside the part files,
+so that all of them in name order form the document without any shuffle or
+single-task step; a part of a JSON array export is an array of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 # --- fixed values: the reference's export conventions ------------------------
@@ -23,6 +21,7 @@ EXCEL_SHEET = "Query Results"
 EXCEL_MAX_WIDTH = 50
 EXCEL_MAX_ROWS = 1_048_575      # data rows per sheet (one row is the header)
 # ---------------------------------------------------------------------------
+HTML_HEAD, HTML_TAIL = "00-head.html", "zz-tail.html"  # sort before and behind Spark's part files
 
 
 def export_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True,
@@ -103,12 +102,13 @@ def export_xml(df: DataFrame, path: str, mode: str = "errorifexists", query: str
 
     names = dedupe_names([xml_name(c) for c in df.columns])
     out = df.toDF(*names)
-    (out.write.mode(mode).format("xml").option("rootTag", XML_ROOT_TAG).option("rowTag", XML_ROW_TAG)
-        .option("nullValue", "").save(path))
+    counted = Observation()  # the rows are counted as they are written
+    (out.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode).format("xml")
+        .option("rootTag", XML_ROOT_TAG).option("rowTag", XML_ROW_TAG).option("nullValue", "").save(path))
     spark = df.sparkSession
     meta = spark.createDataFrame(
-        [(query, datetime.datetime.now(datetime.timezone.utc).isoformat(), len(names))],
-        "query string, exported_at string, n_columns int")
+        [(query, datetime.datetime.now(datetime.timezone.utc).isoformat(), len(names), counted.get["rows"])],
+        "query string, exported_at string, n_columns int, n_rows long")
     meta.write.mode(mode).json(path.rstrip("/") + "_metadata.json")
     return path
 
@@ -130,24 +130,36 @@ def html_rows(df: DataFrame) -> DataFrame:
 
 
 def export_html(df: DataFrame, path: str, title: str = "Query Results", mode: str = "errorifexists") -> str:
-    """An HTML table document (title, timestamp, header) with escaped
-    values - the reference wrote them unescaped."""
+    """An HTML table document (title, timestamp, row and column count,
+    header) with escaped values - the reference wrote them unescaped.  The
+    rows are counted as they are written; what goes around them is put beside
+    the part files, so that the files in name order are the document."""
     import html
 
     spark = df.sparkSession
+    counted = Observation()
+    html_rows(df.observe(counted, F.count(F.lit(1)).alias("rows"))).write.mode(mode).text(path)
     now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
     head_cells = "".join(f"<th>{html.escape(str(c))}</th>" for c in df.columns)
     head = ("<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>" + html.escape(title)
             + "</title></head><body><h1>" + html.escape(title) + "</h1><p>Exported " + now
-            + f" - {len(df.columns)} columns</p><table border=\"1\"><thead><tr>" + head_cells
-            + "</tr></thead><tbody>")
-    tail = "</tbody></table></body></html>"
-    h = spark.createDataFrame([(head,)], "value string").coalesce(1)
-    t = spark.createDataFrame([(tail,)], "value string").coalesce(1)
-    h.union(html_rows(df)).union(t).write.mode(mode).text(path)
+            + f" - {counted.get['rows']} rows, {len(df.columns)} columns</p><table border=\"1\"><thead><tr>" + head_cells
+            + "</tr></thead><tbody>\n")
+    _put(spark, f"{path.rstrip('/')}/{HTML_HEAD}", head)
+    _put(spark, f"{path.rstrip('/')}/{HTML_TAIL}", "</tbody></table></body></html>\n")
     return path
 
 
+def _put(spark, path: str, text: str) -> None:
+    """A small text file on Spark's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def export_excel(df: DataFrame, path: str, max_rows_per_part: int = EXCEL_MAX_ROWS) -> DataFrame:
     """One ``.xlsx`` workbook per partition (sheet "Query Results",
     header row, column widths up to 50), written by executors.  Partitions

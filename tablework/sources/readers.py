@@ -22,7 +22,7 @@ from tablework.operators.names import clean_names, rename_columns
 from tablework.operators.schema import (lineage_file_name, lineage_file_path, target_columns,
                                         union_by_name)
 from tablework.session import shared_dir
-from tablework.sources.probe import describe_files, with_text_facts
+from tablework.sources.probe import describe_files, settle_text_facts
 
 EXTRA_FIELD = "__extra_field"
 CORRUPT = "__corrupt_record"
@@ -224,14 +224,15 @@ def read_files(spark: SparkSession, path: str | list[str], file_type: str = "csv
         return _read_parquet(spark, path, pattern or (default_pattern if _is_folder(spark, path) else None),
                              recursive, policy, order, pad_value, lineage)
     read_pattern = pattern or (default_pattern if _is_folder(spark, path) else None)
-    probes = describe_files(spark, path, read_pattern, recursive, delimiter, strategy, header, encoding)
-    # stored once: the report and the passes below do not probe again
-    probes = _stored(probes)
-    if ft in TEXT_TYPES and (multiline == "auto" or (encoding_check == "full" and not encoding)):
-        probes = _stored(with_text_facts(probes, encoding_check == "full" and not encoding))
+    check_encoding = encoding_check == "full" and not encoding
+    whole = None if ft not in TEXT_TYPES else "encoding" if check_encoding else "quotes" if multiline == "auto" else None
+    probes = describe_files(spark, path, read_pattern, recursive, delimiter, strategy, header, encoding, whole=whole)
     # one small row per file: the file list itself has to be on the driver
     # for the reads below, exactly as Spark's own file index holds it.
     rows = [r.asDict() for r in probes.collect()]
+    if whole:
+        settle_text_facts(spark, rows, check_encoding)
+    probes = spark.createDataFrame(rows, probes.schema)  # the report does not probe again
     good = [r for r in rows if r["status"] == "ok"]
     rejected_files = [r for r in rows if r["status"] != "ok"]
     result = ReadResult(probes=probes, rejected_files=rejected_files)

@@ -8,7 +8,7 @@ executor; rows become columns with ``map_from_arrays(header, cells)`` and
 one projection onto the unified column list, so a folder of workbooks with
 drifting headers is still a single scan.
 
-Writing is ``mapInPandas``: every partition streams its rows into its own
+Writing is ``mapInArrow``: every partition streams its rows into its own
 workbook(s), rolling over at the sheet row limit.  Each task attempt writes
 a temporary file and moves it to its deterministic final name when done, so
 a lost executor's retry or a speculative copy never leaves a torn workbook.
@@ -24,7 +24,8 @@ import zipfile
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -87,7 +88,7 @@ def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
     with zf.open("xl/sharedStrings.xml") as fh:
         for _, el in ET.iterparse(fh):
             if el.tag == f"{NS}si":
-                out.append("".join(t.text or "" for t in el.iter(f"{NS}t")))
+                out.append(_plain("".join(t.text or "" for t in el.iter(f"{NS}t"))))
                 el.clear()
     return out
 
@@ -139,7 +140,7 @@ def iter_sheet_rows(zf: zipfile.ZipFile, member: str, strings: list[str], date_s
                 if t == "s":
                     val = strings[int(v.text)] if v is not None and v.text else None
                 elif t == "inlineStr":
-                    val = "".join(x.text or "" for x in c.iter(f"{NS}t"))
+                    val = _plain("".join(x.text or "" for x in c.iter(f"{NS}t")))
                 elif t == "b":
                     val = ("TRUE" if v.text == "1" else "FALSE") if v is not None else None
                 else:
@@ -379,11 +380,20 @@ def list_sheets_df(spark: SparkSession, listing: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ writing
-_ILLEGAL_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_ILLEGAL_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+_ESCAPED = re.compile("_(?=x[0-9A-Fa-f]{4}_)")
+_HEX = re.compile("_x([0-9A-Fa-f]{4})_")
+
+
+def _plain(text: str) -> str:
+    """A cell's text with its ``_xHHHH_`` characters."""
+    return _HEX.sub(lambda m: chr(int(m[1], 16)), text) if "_x" in text else text
 
 
 def _xml_text(v) -> str:
-    s = _ILLEGAL_XML.sub("", str(v))
+    """Text of a cell; characters XML has no place for as ``_xHHHH_``."""
+    s = _ESCAPED.sub("_x005F_", str(v))
+    s = _ILLEGAL_XML.sub(lambda m: f"_x{ord(m[0]):04X}_", s)
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
@@ -486,12 +496,12 @@ class _WorkbookWriter:
         self.row += 1
         parts = [f'<row r="{self.row}">']
         for i, v in enumerate(values):
-            if v is None or (isinstance(v, float) and v != v):
+            if v is None:
                 continue
             ref = f"{_col_letter(i)}{self.row}"
             if not header and self.boolean[i]:
                 parts.append(f'<c r="{ref}" t="b"><v>{int(v == "true")}</v></c>')
-            elif not header and self.numeric[i]:
+            elif not header and self.numeric[i] and not v.endswith("Infinity"):
                 parts.append(f'<c r="{ref}"><v>{v}</v></c>')
             else:
                 parts.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_xml_text(v)}</t></is></c>')
@@ -523,35 +533,50 @@ def write_partitions(df: DataFrame, path: str, sheet: str, max_width: int, max_r
     numeric = [isinstance(f.dataType, T.NumericType) for f in df.schema.fields]
     boolean = [isinstance(f.dataType, T.BooleanType) for f in df.schema.fields]
     base = qualified(df.sparkSession, path)
-    # integers, decimals and booleans travel as text: pandas would make nullable ones floats
-    exact = (T.IntegralType, T.DecimalType, T.BooleanType)
-    staged = df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, exact)
-                         else F.col(f"`{f.name}`") for f in df.schema.fields]).withColumn("__part", F.spark_partition_id())
+    # cells are texts in the cluster already (numbers as Spark writes them, dates in ISO form), NULL is no cell;
+    # infinities and NaN are no numbers of a workbook: text and no cell
+    cells = [_cell(f).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
+    staged = df.select(*cells, F.spark_partition_id().alias("__part"))
 
     def write(batches):
         writer, part, k, n, report = None, None, 0, 0, []
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            part = int(pdf["__part"].iloc[0])
-            data = pdf.drop(columns=["__part"])
-            for rec in data.itertuples(index=False, name=None):
+            part = batch.column("__part")[0].as_py()
+            data = [batch.column(i).to_pylist() for i in range(len(columns))]
+            for rec in zip(*data):
                 if writer is None or n >= max_rows:
                     if writer is not None:
                         writer.close()
                         report.append((f"part-{part:05d}-{k:03d}.xlsx", n))
                         k += 1
-                    widths = [min(max(len(str(c)), *(len(str(v)) for v in data[c].head(100))) + 2, max_width)
-                              for c in data.columns]
+                    widths = [min(max(len(c), *(len(v or "") for v in values[:100])) + 2, max_width)
+                              for c, values in zip(columns, data)]
                     writer = _WorkbookWriter(f"{base}/part-{part:05d}-{k:03d}.xlsx", sheet, columns,
                                              numeric, boolean, widths)
                     n = 0
-                writer.write_row([None if (v is None or (isinstance(v, float) and v != v)) else
-                                  (v.isoformat() if hasattr(v, "isoformat") else v) for v in rec])
+                writer.write_row(rec)
                 n += 1
         if writer is not None:
             writer.close()
             report.append((f"part-{part:05d}-{k:03d}.xlsx", n))
-        yield pd.DataFrame(report, columns=["part", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in report], pa.string()), pa.array([r[1] for r in report], pa.int64())],
+                                         names=["part", "rows"])
+
+    return staged.mapInArrow(write, "part string, rows long")
+
+
+def _cell(field) -> Column:
+    """A column's values as the texts of cells."""
+    from pyspark.sql import types as T
 
-    return staged.mapInPandas(write, "part string, rows long")
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    text = c.cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(c), text)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.replace(text, F.lit(" "), F.lit("T"))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.to_json(c) if not isinstance(kind, T.VariantType) else text
+    return text

@@ -46,7 +46,8 @@ def test_validate_messages(spark):
 def test_html_and_json_array_and_xml_exports(spark, tmp):
     df = spark.createDataFrame([(1, "<b>&'\""), (2, None)], "id int, s string")
     h = export_html(df.repartition(2), str(tmp / "h"), title="T & T")
-    doc = "".join(open(os.path.join(h, f)).read() for f in sorted(os.listdir(h)) if f.startswith("part-"))
+    doc = "".join(open(os.path.join(h, f)).read() for f in sorted(os.listdir(h)) if f.endswith((".html", ".txt")))
+    assert "2 rows, 2 columns" in doc
     assert doc.startswith("<!DOCTYPE html>") and doc.endswith("</html>\n")
     assert "<td>&lt;b&gt;&amp;&#39;&quot;</td>" in doc and "<td></td>" in doc
     j = export_json(df.repartition(3), str(tmp / "j"), as_array=True)
@@ -58,6 +59,7 @@ def test_html_and_json_array_and_xml_exports(spark, tmp):
     x = export_xml(df.toDF("my id", "s-x"), str(tmp / "x"))
     back = spark.read.format("xml").option("rowTag", "row").load(x)
     assert sorted(back.columns) == ["my_id", "s_x"]
+    assert spark.read.json(x + "_metadata.json").first()["n_rows"] == 2
 
 
 def test_stream_ingest_only_new_files_and_drift(spark, tmp):
