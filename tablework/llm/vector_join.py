@@ -8,11 +8,13 @@ Unit vectors are projected on their leading principal directions (found on a
 bounded sample; any orthonormal directions are exact) and, as one more
 coordinate, the length of what remains: distances never grow by this.  Cells
 of width eps on these coordinates give the grid order.  The sequence is cut
-into blocks of consecutive vectors with their bounding boxes.  Two blocks
-are joined when their boxes may hold a link: equi-joined on the cells of the
-first coordinate, then tested on all of them.  Inside a pair of blocks the
-sequences are halved recursively; intervals whose boxes are further apart
-than eps are skipped, small ones are compared in double precision.
+into blocks of consecutive vectors with their bounding boxes, and intervals
+of 16 blocks, of 16 such intervals and so on have boxes of their own.  The
+sequence is joined with itself from the longest intervals down: the parts of
+two intervals are paired only if the intervals' boxes may hold a link.  Only
+the pairs of blocks that are left bring their vectors.  Inside such a pair
+the sequences are halved recursively in the same way, and small intervals
+are compared in double precision.
 
 A pair of blocks returns a count for each vector and a spanning forest of
 its links.
@@ -35,6 +37,8 @@ from tablework.llm.store import bounded_sample, materialise, n_parts, prepare, t
 
 SAMPLE = 10_000   # vectors that the directions are fitted on
 DIRECTIONS = 8    # projected coordinates
+LENGTHS = 64      # vector lengths that directions are fitted for; the others' are their first axes
+FAN = 4           # log2 of the parts of an interval
 BLOCK = 512       # vectors of a block
 LEAF = 64         # vectors of an interval that is compared at once
 
@@ -72,7 +76,8 @@ def _projected(batches, fitted, eps: float) -> Iterator[pa.RecordBatch]:
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
             x = _vectors(b.column(4).take(pa.array(at)))
-            for i, row in zip(at, coordinates(unit(x), fitted.value[int(d)])):
+            axes = fitted.value.get(int(d))
+            for i, row in zip(at, coordinates(unit(x), np.eye(d)[:, :DIRECTIONS] if axes is None else axes)):
                 out[i] = row
         y = [r.tolist() for r in out]
         cells = [[math.floor(c / eps) for c in r] for r in y]
@@ -169,6 +174,36 @@ def _pair_links(batches, threshold: float) -> Iterator[pa.RecordBatch]:
                 pa.array(np.r_[na[some_a], nb[some_b], b.nodes[j]])], names=["kind", "a", "b"])
 
 
+def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
+    """blocks(block, label, dim, lo, hi) -> (a, b, dim): pairs a <= b of one
+    label whose boxes are not further apart than eps.  Level by level, the
+    parts of two intervals that may hold a link are found by equi-joins on
+    the interval, so that what is looked at grows with what is near."""
+    # blocks are numbered in grid order: the task's number, then its blocks
+    bits = max(1, (blocks.agg(F.max(F.col("block").bitwiseAND(0xFFFFFFFF))).first()[0] or 0).bit_length())
+    bits = -(-bits // FAN) * FAN
+    place = F.shiftleft(F.shiftright("block", 32), bits) + F.col("block").bitwiseAND(0xFFFFFFFF)
+    level = blocks.select("label", "dim", place.alias("node"), "lo", "hi", "block")
+    levels, top = [level], blocks.agg(F.max(place)).first()[0] or 0
+    n = DIRECTIONS + 1
+    while top:
+        top >>= FAN
+        level = level.groupBy("label", "dim", F.shiftright("node", FAN).alias("node")).agg(
+            F.array(*[F.min(F.get("lo", F.lit(i))) for i in range(n)]).alias("lo"), F.array(*[F.max(F.get("hi", F.lit(i))) for i in range(n)]).alias("hi"))
+        levels.append(level)
+    pairs = levels[-1].select("label", "dim", F.col("node").alias("a"), F.col("node").alias("b"))
+    gap = F.expr("""aggregate(zip_with(zip_with(blo, ahi, (x, y) -> x - y), zip_with(alo, bhi, (x, y) -> x - y),
+                    (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)""")
+    for level in levels[-2::-1]:
+        side = {x: level.select("label", "dim", F.shiftright("node", FAN).alias(x), F.col("node").alias(f"{x}n"), F.col("lo").alias(f"{x}lo"),
+                                F.col("hi").alias(f"{x}hi")) for x in "ab"}
+        pairs = pairs.join(side["a"], ["label", "dim", "a"]).join(side["b"], ["label", "dim", "b"]).where("an <= bn") \
+            .where(gap <= eps * eps * (1 + 1e-9) + 1e-12).select("label", "dim", F.col("an").alias("a"), F.col("bn").alias("b"))
+    name = {x: levels[0].select("label", "dim", F.col("node").alias(x), F.col("block").alias(f"{x}_block")) for x in "ab"}
+    return pairs.join(name["a"], ["label", "dim", "a"]).join(name["b"], ["label", "dim", "b"]) \
+        .select(F.col("a_block").alias("a"), F.col("b_block").alias("b"), "dim")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vectors(vec_id long, embedding array<float or double>, label int) ->
     (vec_id, n_links, component_id, kept), one row per input row.
@@ -191,7 +226,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         F.count("*").alias("n"), F.min("vec_id").alias("first")), "classes")
     flat = classes.select("node", "label", F.size("vector").alias("dim"), "n", "vector")
     fitted = {}
-    for r in flat.groupBy("dim").count().collect():
+    for r in flat.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect():
         got = bounded_sample(flat.where(F.col("dim") == r["dim"]), ["node"], SAMPLE, r["count"]).select("vector").toArrow()
         fitted[r["dim"]] = directions(unit(_vectors(got.column(0).combine_chunks())))
     held = spark.sparkContext.broadcast(fitted)
@@ -201,16 +236,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     blocks = materialise(placed.repartitionByRange(n_parts(spark), *keys).sortWithinPartitions("label", "dim", "cells", "node")
                          .mapInArrow(_blocks, "block long, label int, dim int, nodes binary, weights binary, vectors binary, "
                                      "y binary, lo array<double>, hi array<double>"), "blocks")
-    box = blocks.select("block", "label", "dim", "lo", "hi",
-                        F.floor(F.col("lo")[0] / eps).alias("c0"), F.floor(F.col("hi")[0] / eps).alias("c1"))
-    left = box.select(F.col("block").alias("a"), "label", "dim", F.col("lo").alias("alo"), F.col("hi").alias("ahi"),
-                      F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("cell"))
-    right = box.select(F.col("block").alias("b"), "label", "dim", F.col("lo").alias("blo"), F.col("hi").alias("bhi"),
-                       F.explode(F.sequence("c0", "c1")).alias("cell"))
-    gap = F.expr("""aggregate(zip_with(zip_with(blo, ahi, (x, y) -> x - y), zip_with(alo, bhi, (x, y) -> x - y),
-                    (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)""")
-    pairs = left.join(right, ["label", "dim", "cell"]).where("a <= b").where(gap <= eps * eps * (1 + 1e-9) + 1e-12) \
-        .select("a", "b", "dim").distinct()
+    pairs = block_pairs(blocks.select("block", "label", "dim", "lo", "hi"), eps)
     payload = F.struct("block", "nodes", "weights", "vectors", "y")
     joined = pairs.join(blocks.select(F.col("block").alias("a"), payload.alias("pa")), "a") \
         .join(blocks.select(F.col("block").alias("b"), payload.alias("pb")), "b") \

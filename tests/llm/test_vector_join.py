@@ -73,3 +73,45 @@ def test_odd_vectors(spark):
 
 def test_empty_table(spark):
     assert V.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def boxes(rng, n, label=0):
+    """Blocks of a sequence whose first coordinate goes up, one unit a block."""
+    lo = np.sort(rng.random(n) * n)[:, None] * 0.1 + np.zeros((n, 9))
+    lo[:, 1:] = rng.random((n, 8)) * 0.05
+    return [((i % 7) * 0 + ((i // 50) << 32) + i % 50, label, 64, lo[i].tolist(), (lo[i] + 0.02).tolist()) for i in range(n)]
+
+
+SCHEMA_BLOCKS = "block long, label int, dim int, lo array<double>, hi array<double>"
+
+
+def near(rows, eps):
+    out = []
+    for i, a in enumerate(rows):
+        for b in rows[i:]:
+            if a[1] == b[1]:
+                gap = np.maximum(0, np.maximum(np.array(b[3]) - a[4], np.array(a[3]) - b[4]))
+                if (gap * gap).sum() <= eps * eps:
+                    out.append((min(a[0], b[0]), max(a[0], b[0])))
+    return sorted(out)
+
+
+def test_block_pairs_are_those_whose_boxes_are_near(spark):
+    rng = np.random.default_rng(1)
+    rows = boxes(rng, 230) + [(i + (99 << 32), 1, 64, [0.1 * i] * 9, [0.1 * i] * 9) for i in range(5)] + [(1 << 40, 2, 64, [0.0] * 9, [1.0] * 9)]
+    got = sorted((r.a, r.b) for r in V.block_pairs(spark.createDataFrame(rows, SCHEMA_BLOCKS), 0.2).collect())
+    assert got == near(rows, 0.2)
+    assert V.block_pairs(spark.createDataFrame([], SCHEMA_BLOCKS), 0.2).count() == 0
+
+
+def test_pairs_per_block_level_off(spark):
+    """Four times the blocks over four times the range: as many neighbours each."""
+    rng = np.random.default_rng(2)
+    per = [V.block_pairs(spark.createDataFrame(boxes(rng, n), SCHEMA_BLOCKS), 0.2).count() / n for n in (200, 800)]
+    assert per[1] < 1.3 * per[0]
+
+
+def test_lengths_beyond_the_fitted_ones(spark, monkeypatch):
+    monkeypatch.setattr(V, "LENGTHS", 1)
+    rows = made(5, 80, 6) + [(i + 1000, v[:4], l) for i, v, l in made(6, 40, 6)] + [(2000, [1.0, 0.5], 0), (2001, [2.0, 1.0], 0)]
+    assert result(V.near_vectors(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
