@@ -29,13 +29,48 @@ TRUST = 150.0       # trigrams a text's evidence counts as at most
 KAPPA = 5.0         # pages' worth of the parent's prior in a host's
 LEVELS = 4          # domain levels below the crawl: suffix, domain, ...
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_RAW = re.compile(r"<(script|style)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+_HTML = re.compile(r"<html\b[^>]*", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def visible(page: str) -> str:
-    """Text of a page: no comments, scripts, styles or tags; entities resolved."""
-    return _html.unescape(_DROP.sub(" ", page))
+    """Text of a page: no comments, scripts, styles or tags; entities resolved.
+    One pass: an end that is not found once is not looked for again, and what
+    it should have closed counts as a tag (or, without ``>``, as text)."""
+    out, at, missing = [], 0, set()
+    while (lt := page.find("<", at)) >= 0:
+        out.append(page[at:lt])
+        end, kind = -1, None
+        if page.startswith("<!--", lt):
+            kind = "comment"
+            if kind not in missing:
+                k = page.find("-->", lt + 4)
+                end = k + 3 if k >= 0 else -1
+        elif m := _RAW.match(page, lt):
+            kind = m[1].lower()
+            if kind not in missing:
+                c = _CLOSE[kind].search(page, m.end())
+                end = c.end() if c else -1
+        if end < 0 and kind:
+            missing.add(kind)
+        if end < 0:
+            end = page.find(">", lt) + 1
+        if not end:  # no tag ends any more
+            at = lt
+            break
+        out.append(" ")
+        at = end
+    return _html.unescape("".join(out) + page[at:])
+
+
+def declared_language(page: str) -> str | None:
+    """The language a page's html element declares."""
+    for tag in _HTML.finditer(page):
+        if m := _LANG.search(tag[0]):
+            return m[1].lower()
+    return None
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +107,10 @@ def train(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
 def evidence(model: np.ndarray, texts: list[str]) -> np.ndarray:
     """Log likelihood of each text in each language, relative to the best,
     with at most TRUST trigrams' worth; 0 everywhere for texts without any."""
-    g, first = trigrams(texts)
     out = np.zeros((len(texts), model.shape[1]))
+    if not model.shape[1]:
+        return out
+    g, first = trigrams(texts)
     n = np.diff(first)
     some = np.flatnonzero(n)
     if len(some):
@@ -83,10 +120,15 @@ def evidence(model: np.ndarray, texts: list[str]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """From at most ``sample`` documents with a language and a text, by hash."""
+    """From at most ``sample`` distinct (text, language) of documents that have
+    both, by hash; no languages without any."""
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")) \
         .where("lang is not null and length(text) > 0")
-    rows = bounded_sample(texts, ["text", "lang"], sample).orderBy("lang", "text").toArrow()
+    total = texts.select(F.xxhash64("text", "lang")).distinct().count()
+    if total > 4 * sample:  # a share of the hash range that holds enough: copies are in or out together
+        share = int(2.0 ** 64 * 2.0 * sample / total)
+        texts = texts.where(F.xxhash64("text", "lang") < F.lit(-(2 ** 63) + share))
+    rows = bounded_sample(texts.distinct(), ["text", "lang"], sample, 0).orderBy("lang", "text").toArrow()
     return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
@@ -94,7 +136,7 @@ def _texts(batches, held) -> Iterator[pa.RecordBatch]:
     model = held.value
     for b in batches:
         pages = [p or "" for p in b.column(1).to_pylist()]
-        declared = [(m.group(1).lower() if (m := _LANG.search(p)) else None) for p in pages]
+        declared = [declared_language(p) for p in pages]
         ll: list = []
         i = 0
         while i < len(pages):
@@ -133,7 +175,9 @@ def _smoothed(counts: Column, parent: Column) -> Column:
 def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, host, declared, text_lang, lang,
     probability), one row per row.  Null or empty pages are judged by the
-    other evidence; without a url the host is '' (its pages share a prior)."""
+    other evidence; without a url the host is '' (its pages share a prior).
+    A model without languages (no labelled text) gives null languages and
+    probabilities."""
     spark = pages.sparkSession
     prepare(spark, 200)
     names, table_ = model
@@ -147,6 +191,9 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     for k in range(2, LEVELS + 1):
         rows = rows.withColumn(f"level{k}", _level(F.col("host"), k))
     rows = materialise(rows, "evidence")
+    if not L:
+        none = F.lit(None).cast("string")
+        return rows.select("page_id", "host", "declared", none.alias("text_lang"), none.alias("lang"), F.lit(None).cast("double").alias("probability"))
     total = rows.groupBy().agg(*[F.count(F.when(F.col("text_lang") == i, 1)).alias(f"n{i}") for i in range(L)]).first()
     whole = F.array(*[F.lit(int(total[f"n{i}"])) for i in range(L)])
     levels = ["suffix", *[f"level{k}" for k in range(2, LEVELS + 1)], "host"]

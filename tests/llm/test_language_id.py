@@ -1,3 +1,6 @@
+import time
+import re
+import html
 import random
 
 import numpy as np
@@ -38,12 +41,12 @@ def brute(rows, model):
     k = len(names)
     seen = []
     for _, url, html in rows:
-        m = L._LANG.search(html or "")
+        declared = L.declared_language(html or "")
         host = url.split("://")[1].split("/")[0] if "://" in (url or "") else ""
         ll = L.evidence(table, [L.visible(html or "")])[0]
         text = int(ll.argmax()) if (ll < 0).any() else None
         levels = [host.split(".")[-1] if host else None] + [".".join(host.split(".")[-n:]) for n in range(2, L.LEVELS + 1)] + [host]
-        seen.append((m.group(1).lower() if m else None, levels, ll, text))
+        seen.append((declared, levels, ll, text))
     out = []
     for i, (declared, levels, ll, text) in enumerate(seen):
         def counts(test):
@@ -95,3 +98,49 @@ def test_markup_and_host_decide_without_text(spark, model):
 
 def test_empty_table(spark, model):
     assert L.identify(spark.createDataFrame([], PAGES), model).count() == 0
+
+
+PLAIN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+
+
+def test_visible_text_against_the_plain_pattern():
+    rng = random.Random(6)
+    parts = ["<!--", "-->", "<script>", "<SCRIPT a=b", "</script >", "</script", "<style>", "</style>", "<", ">", "<b>", "x", " ", "&amp;", "-", "<scripty>"]
+    for _ in range(4000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))
+        assert L.visible(page) == html.unescape(PLAIN.sub(" ", page)), page
+
+
+def test_declared_language():
+    assert L.declared_language('<p lang="fr"><HTML class=x LANG = "de-AT">') == "de"
+    assert L.declared_language('<html><html lang=en>') == "en"
+    assert L.declared_language("<html data-x>") is None and L.declared_language("") is None
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<script>", "<style", "<", "<html ", "</script "])
+def test_long_unclosed_pages_take_linear_time(piece):
+    page = piece * (2_000_000 // len(piece))
+    began = time.perf_counter()
+    L.visible(page)
+    L.declared_language(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_no_labelled_text(spark):
+    for docs in ([], [(None, "a b c")], [("en", None), ("de", "")]):
+        model = L.fit(spark.createDataFrame(docs, "lang string, text string"))
+        assert model[0] == []
+        rows = [(1, "https://a.de/", page("der und", "de")), (2, None, None)]
+        got = sorted(tuple(r) for r in L.identify(spark.createDataFrame(rows, PAGES), model).collect())
+        assert got == [(1, "a.de", "de", None, None, None), (2, "", None, None, None, None)]
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rng = random.Random(8)
+    texts = [(lang, sentence(rng, lang, 12) + f" x{i}") for i in range(40) for lang in sorted(WORDS)]
+    few = spark.createDataFrame(texts, "lang string, text string")
+    many = few.unionByName(spark.range(3000).selectExpr("'de' as lang", "'immer der gleiche text' as text"))
+    names, table = L.fit(many, sample=80)
+    assert names == sorted(WORDS)
+    probe = [sentence(rng, lang, 12) for lang in names]
+    assert L.evidence(table, probe).argmax(1).tolist() == list(range(len(names)))
