@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tablework.llm.store import materialise, prepare, table
 from tablework.session import shared_dir
 
-CAPTURES = 5_000
+CAPTURES = 5_000             # captures of a file at most
+FILE_BYTES = 256 << 20       # payload bytes of a file at most (of one capture, if that is larger)
 DATE = "2024-01-01T00:00:00Z"  # the pages have no capture time
 _END = "\r\n\r\n"
 _RECORD = pa.schema([
@@ -124,10 +125,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     again = sizes.join(heads, "hex").where("not page_id <=> head").select("key", "hex", "head").distinct() \
         .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("hex", "head"))).alias("heads"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    captures = max(1, min(CAPTURES, FILE_BYTES // max(largest, 1)))
     # payloads are shuffled once: the join keeps the partitions by key
     pages.withColumn("key", key).repartition(parts, "key").join(again, "key", "left").sortWithinPartitions("key") \
         .mapInArrow(_render, "value string") \
-        .write.mode("overwrite").option("lineSep", _END).option("maxRecordsPerFile", 3 * CAPTURES).option("compression", "gzip").text(path)
+        .write.mode("overwrite").option("lineSep", _END).option("maxRecordsPerFile", 3 * captures).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes) -> Iterator[dict]:

@@ -93,3 +93,13 @@ def test_a_broken_record_ends_its_archive():
     good = X.capture(1, "http://a/", "x", 0, None)
     raw = "\r\n\r\n".join([*good, "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort"]).encode()
     assert [r["fields"]["warc-type"] for r in X.parse(raw)] == ["request", "response", "metadata"]
+
+
+def test_files_of_large_payloads_are_bounded(spark, tmp_path, monkeypatch):
+    import glob
+    monkeypatch.setattr(X, "FILE_BYTES", 1 << 20)
+    big = [(i, f"http://a/{i}", f"{i} " + "x" * 300_000) for i in range(12)]
+    got, path = result(spark, big, tmp_path)
+    assert sorted((r.record_type, r.response.payload_bytes) for r in got.collect()) == sorted(("response", len(h)) for _, _, h in big)
+    sizes = [sum(len(r["block"]) for r in X.parse(open(f, "rb").read())) for f in glob.glob(f"{path}/part-*")]
+    assert max(sizes) < 1.1 * (1 << 20) and len(sizes) >= 4
