@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from tablework.llm import words as W
 from tablework.llm.components import components
-from tablework.llm.store import discard, materialise, n_parts, prepare
+from tablework.llm.store import aside, discard, materialise, n_parts, prepare
 
 SLICES = 8               # slices of the hash range for each shuffle partition
 ROW_BITS = 20            # bits of a text's place in its block
@@ -591,13 +591,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of texts: rows that repeat a doc_id with unlike texts are judged each by
     its own class.  Texts without words stay, each once, where no text with
     words stays under their doc_id; rows without a doc_id stay."""
-    cols = [f"`{c}`" for c in docs.columns]
     rows, info = _classes(docs, 5, 75)
     heads = info.where("node = head").select("first.doc_id", "first.hash")
     wordless = rows.where("node is null and doc_id is not null").select("doc_id", "hash").distinct() \
         .join(heads.select("doc_id"), "doc_id", "left_anti")
     keep = heads.unionByName(wordless).toDF("_keep", "_hash")
+    cols, names = aside(docs)
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), _hashed("text").alias("_text"), *cols)
     first = F.row_number().over(Window.partitionBy("_keep", "_hash").orderBy("_hash"))
-    stay = docs.join(keep, (docs["doc_id"].cast("long") == keep["_keep"]) & (_hashed("text") == keep["_hash"])) \
+    stay = whole.join(keep, (F.col("_id") == F.col("_keep")) & (F.col("_text") == F.col("_hash"))) \
         .withColumn("_first", first).where("_first = 1")
-    return stay.select(*cols).unionByName(docs.where("doc_id is null"))
+    out = stay.select(*names).unionByName(whole.where("_id is null").select(*names))
+    return out.select(*[F.col(n).alias(c) for n, c in names.items()])

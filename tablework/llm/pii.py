@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tablework.llm import words as W
 from tablework.llm.pii_tagger import KINDS, Tagger, classes, spans_of, tags_of
-from tablework.llm.store import bounded_sample, prepare, table
+from tablework.llm.store import aside, bounded_sample, prepare, table
 
 SAMPLE = 1_500      # windows the tagger is trained on
 WIDTH = 96          # characters of a window
@@ -308,9 +308,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: spans are replaced in the texts; n_chars follows."""
     prepare(spark)
-    cols = docs.columns
+    cols, names = aside(docs)
     tagger = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    out = find(docs.withColumnRenamed("n_chars", "_old").withColumn("n_chars", F.lit(None).cast("long")),
-               [c for c in cols if c not in ("text", "n_chars")], tagger,
-               lambda t, base, both: ((r := redacted(t, both)), None if r is None else len(r)), "text string, n_chars long")
-    return out.select(*[f"`{c}`" for c in cols])
+    out = find(docs.select(F.col("text").cast("string").alias("text"), *cols), list(names), tagger,
+               lambda t, base, both: ((r := redacted(t, both)), None if r is None else len(r)), "new_text string, new_chars long")
+    new = {"text": "new_text", "n_chars": "new_chars"}
+    return out.select(*[F.col(new.get(c, n)).alias(c) for n, c in names.items()])

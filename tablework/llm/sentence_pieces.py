@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tablework.llm import words as W
 from tablework.llm.pieces import SPACE, Table, Vocabulary, codes_of
-from tablework.llm.store import prepare, table
+from tablework.llm.store import aside, prepare, table
 from tablework.llm.token_counts import Held, TEXT_CHARS, Transducer, compiled
 
 EDGES = 1 << 21       # lattice edges (before the join) made at a time
@@ -318,7 +318,10 @@ def query(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the text becomes its pieces' ids."""
+    """Pipeline stage: the text becomes its pieces' ids (a document's own
+    column ``ids`` makes room for them)."""
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), [c for c in docs.columns if c != "text"])
+    cols, names = aside(docs)
+    out = encode(docs.select("text", *cols), public_tokenizers.path("piece_bpe_32k.model"), list(names))
+    return out.select(*[F.col(n).alias(c) for n, c in names.items() if c not in ("text", "ids")], "ids")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablework.session import apply_runtime_conf, shared_dir
 
@@ -52,10 +51,12 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pick(df: DataFrame, **cols: str) -> DataFrame:
-    """Only the named columns, cast to the given types: extra columns (and
-    whatever their names are) never reach the operators' internals."""
-    return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in cols.items()])
+def aside(docs: DataFrame) -> tuple[list, dict[str, str]]:
+    """All columns of ``docs`` under names of our own (``__c0`` ...), as
+    expressions, and their names by ours: whatever a document's columns are
+    called, they cannot meet the columns a step adds."""
+    names = {f"__c{i}": c for i, c in enumerate(docs.columns)}
+    return [F.col(f"`{c}`").alias(n) for n, c in names.items()], names
 
 
 def bounded_sample(df: DataFrame, by: list[str], size: int, total: int | None = None) -> DataFrame:
@@ -69,7 +70,3 @@ def bounded_sample(df: DataFrame, by: list[str], size: int, total: int | None =
         share = int(2.0 ** 64 * min(1.0, 2.0 * size / total))
         hashed = hashed.where(F.col("_hash") < F.lit(-(2 ** 63) + share))
     return hashed.orderBy("_hash", *by).limit(size).drop("_hash")
-
-
-def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)  # DDL

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.llm import words as W
-from tablework.llm.store import bounded_sample, discard, materialise, prepare, table
+from tablework.llm.store import aside, bounded_sample, discard, materialise, prepare, table
 
 SAMPLE = 4_000         # labelled rows read for training at most
 FOLDS = 5              # crc32(doc_id) mod FOLDS = 0 is held out
@@ -192,14 +192,18 @@ def optimise(vocab: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Model:
     """Learn from ``labels(doc_id, toxic)`` outside the held-out fold.  Labels
     other than 0 and 1, and null ids, are left out; conflicting labels of one
-    id count as 1.  At most ``sample`` ids (by hash) are used; of their texts
-    the features that ``support`` texts share reach the driver."""
+    id count as 1.  At most ``sample`` ids (by hash) and at most ``sample`` of
+    their rows (by hash of id and text, where ids repeat) are used; of their
+    texts the features that ``support`` texts share reach the driver."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
         .where(f"doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % {FOLDS} != 0") \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(chosen, ["doc_id"], sample)
-    texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "labelled")
+    texts = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), "labelled")
     n = texts.count()
+    if n > sample:
+        texts, n = materialise(bounded_sample(texts, ["doc_id", "text"], sample, n), "labelled"), sample
+    texts = _kept_path(texts.select("toxic", "text"), texts)
     common = texts.mapInArrow(_word_sets, "words array<long>") \
         .select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= support(n)).select("w").toPandas()
     known = np.unique(np.concatenate([common["w"].to_numpy(np.int64).view(np.uint64), *swap_table()]))
@@ -214,6 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
     return optimise(known, words.flatten().to_numpy(), doc, y, **options)
 
 
+def _kept_path(df: DataFrame, stored: DataFrame) -> DataFrame:
+    df._llm_path = stored._llm_path
+    return df
+
+
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of docs (which has ``text``) + score double in 0..1."""
     held = docs.sparkSession.sparkContext.broadcast((model.hashes, model.weights, model.bias))
@@ -251,7 +260,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored 0.5 or more are rejected."""
     prepare(spark)
-    cols = docs.columns
+    cols, names = aside(docs)
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
                 table(spark, sf_dir, "labels"))
-    return score(docs, model, cols).where("score < 0.5").drop("score")
+    scored = score(docs.select(F.col("text").cast("string").alias("text"), *cols), model, list(names))
+    return scored.where("score < 0.5").select(*[F.col(n).alias(c) for n, c in names.items()])

@@ -50,3 +50,21 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
         empty = spark.createDataFrame([], ddl)
         assert stage(spark, empty, str(tmp_path)).columns == empty.columns
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    extra = ["score", "_keep", "_hash", "_first", "_old", "ids", "_id", "_text", "new_text", "new_chars", "node", "first", "words", "__c0"]
+    ddl = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    rows = [(i, f"plain words number {i} and some more of them {i * 7} mail a{i}@b.example.com", 1, *extra) for i in range(20)]
+    rows += [(100, rows[0][1], 1, *extra), (None, "no id here at all", 1, *extra)]
+    spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a benchmark item of some twenty five characters")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for stage in (toxicity.stage, ngram_join.stage, decontaminate.stage, pii.stage):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert {tuple(r[3:]) for r in out.collect()} <= {tuple(extra)}
+    out = C.run(spark, str(tmp_path))
+    assert sorted(out.columns) == sorted([c for c in docs.columns if c != "text"])  # ids is the pieces' now
+    assert dict(out.dtypes)["ids"] == "array<int>" and out.count() <= 21

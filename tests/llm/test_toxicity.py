@@ -88,3 +88,23 @@ def test_stage_rejects_toxic_documents(spark, tmp_path):
     kept = {r.doc_id for r in out.collect()}
     truth = {i: t for i, _, t in labels}
     assert np.mean([(i in kept) != bool(truth[i]) for i in truth]) > 0.98
+
+
+def test_repeated_ids_are_bounded(spark, monkeypatch):
+    rows, labels = made(5, 300)
+    one = next(i for i, *_ in labels if zlib.crc32(str(i).encode()) % 5)
+    rows += [(one, f"copy {i} tree") for i in range(3000)]
+    seen = []
+    fitted = X.optimise
+    monkeypatch.setattr(X, "optimise", lambda known, words, doc, y, **kw: (seen.append(len(y)), fitted(known, words, doc, y, **kw))[1])
+    df = spark.createDataFrame(rows, DOCS)
+    out = X.toxicity(df, spark.createDataFrame(labels, LABELS), sample=200)
+    assert out.count() == len(rows) and seen and max(seen) <= 200
+
+
+def test_stage_keeps_clashing_columns(spark, tmp_path):
+    rows, labels = made(6, 60)
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame([(i, t, 0.25, "w") for i, t in rows], DOCS + ", score double, words string")
+    out = X.stage(spark, df, str(tmp_path))
+    assert out.columns == df.columns and out.select("score").distinct().collect()[0][0] == 0.25
