@@ -133,6 +133,48 @@ class Snapshot:
         return self.rows(number * size + 1, (number + 1) * size)
 
 
+@dataclass
+class Reordered:
+    """R6 on a snapshot: another order of the same written rows.  Only the
+    order's columns and the rows' places were sorted and written; a page is a
+    slice of that index, whose places are looked up in the snapshot."""
+    snap: Snapshot
+    index: Snapshot
+
+    @property
+    def total(self) -> int:
+        return self.index.total
+
+    def page(self, number: int, size: int = PAGE_SIZE) -> DataFrame:
+        """Page ``number`` (0-based) with ``_row``, its rows' numbers in this order."""
+        spark = self.snap.df.sparkSession
+        # at most ``size`` places; they go into the scan's filter, so that it only reads the Parquet pages that hold them
+        places = [(r["_p"], r["_m"], r["_row"]) for r in self.index.page(number, size).select("_p", "_m", "_row").collect()]
+        if not places:
+            return self.snap.rows(1, 0)
+        by_part: dict[int, list[Column]] = {}
+        for p, m, _ in places:
+            by_part.setdefault(p, []).append(F.col("_mid") == m)
+        wanted = _any_of([(F.col("_pid") == p) & _any_of(ms) for p, ms in sorted(by_part.items())])
+        rows = spark.createDataFrame(places, "_pid int, _mid long, _row long")
+        return self.snap.df.where(wanted).join(F.broadcast(rows), ["_pid", "_mid"]).drop("_pid", "_mid")
+
+
+def _any_of(conds: list[Column]) -> Column:
+    """OR of conditions as a balanced tree (Spark walks it by recursion)."""
+    while len(conds) > 1:
+        conds = [a | b for a, b in zip(conds[::2], conds[1::2])] + conds[len(conds) - len(conds) % 2:]
+    return conds[0]
+
+
+def reorder(snap: Snapshot, order: list[str], descending: bool = False) -> Reordered:
+    """Another order of a snapshot's rows (columns of one direction; ties keep
+    the snapshot's order)."""
+    by = [F.col(f"`{c}`").desc() if descending else F.col(f"`{c}`").asc() for c in order]
+    keys = snap.df.select(*dict.fromkeys(order), F.col("_pid").alias("_p"), F.col("_mid").alias("_m"))
+    return Reordered(snap, snapshot(keys, [*by, F.col("_p"), F.col("_m")]))
+
+
 def snapshot(df: DataFrame, order: list[Column | str], partitions: int | None = None,
              path: str | None = None) -> Snapshot:
     """Write ``df`` ordered by ``order`` (add a unique tie-breaker for stable

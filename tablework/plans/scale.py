@@ -287,3 +287,235 @@ def narrow_trailing_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     assert types["price"].startswith("decimal") and types["eighths"] in ("float", "double"), types
     return got.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "mixed", F.col("price").cast("string").alias("price"),
                       F.col("eighths").cast("double").alias("eighths"))
+
+
+# ------------------------------------------------- one scan, one group, one place
+@query("parquet_two_schemas", """
+SELECT o_orderkey AS k, o_custkey::VARCHAR AS v FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'
+""")
+def parquet_two_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two conflicting schemas are two scans, however many they are."""
+    from tablework.sources.readers import read_parquet
+
+    base = _scratch(spark, "two_schemas")
+    o = _t(spark, sf_dir, "orders").repartition(8, "o_orderkey")
+    o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v")).write.parquet(f"{base}/a")
+    o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v")).write.parquet(f"{base}/b")
+    return read_parquet(spark, base, recursive=True, lineage=False).select("k", "v")
+
+
+@query("group_cube_two_steps", f"""
+SELECT k3, status, year, grouping_id(k3, status, year)::BIGINT AS id, sum(cents)::BIGINT AS total, count(*) AS n, min(cents) AS low, max(cents) AS high,
+       round(avg(cents), 6) AS mean
+FROM (SELECT o.k % 3 AS k3, nullif(s.o_orderstatus, 'P') AS status, year(o.day)::BIGINT AS year, o.cents
+      FROM {_ORDERS_SQL} o JOIN orders s ON s.o_orderkey = o.o_orderkey)
+GROUP BY CUBE (k3, status, year)
+""")
+def group_cube_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q18: CUBE where only the finest groups are copied for the grouping sets."""
+    from tablework.operators.aggregates import grouping_sets
+
+    o = _t(spark, sf_dir, "orders").select(
+        (F.expr(_HOT) % 3).alias("k3"), F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.year("o_orderdate").cast("bigint").alias("year"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    out = grouping_sets(o, ["k3", "status", "year"], {
+        "total": ("sum", "cents"), "n": ("count", "*"), "low": ("min", "cents"), "high": ("max", "cents"), "mean": ("avg", "cents")}, "cube", "id")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query("agg_distinct_many", """
+SELECT l_returnflag, count(DISTINCT l_partkey) AS n_l_partkey, count(DISTINCT l_suppkey) AS n_l_suppkey,
+       count(DISTINCT l_shipdate) AS n_l_shipdate, count(DISTINCT l_extendedprice) AS n_l_extendedprice
+FROM lineitem GROUP BY l_returnflag
+""")
+def agg_distinct_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several exact distinct counts without copying the rows."""
+    from tablework.operators.aggregates import distinct_counts
+
+    return distinct_counts(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"])
+
+
+@query("agg_sketches_kept", """
+SELECT o_orderpriority, count(*) AS n_rows, TRUE AS distinct_near, TRUE AS median_near FROM orders GROUP BY o_orderpriority
+""")
+def agg_sketches_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches kept for each ingested batch, merged and held against the
+    exact values: distinct counts within 5 %, the median's rank within 3 %."""
+    from tablework.operators.aggregates import from_sketches, keep_sketches
+    from tablework.plans.showcase import _scratch_table
+    from tablework.sinks.tables import drop_table
+
+    t = _scratch_table(spark, "order_sketches", sf_dir)
+    drop_table(spark, t)
+    o = _t(spark, sf_dir, "orders")
+    for i, status in enumerate(("F", "O", "P")):
+        keep_sketches(o.where(F.col("o_orderstatus") == status), t, i, ["o_orderpriority"], ["o_custkey"], ["o_totalprice"])
+    near = from_sketches(spark.table(t), ["o_orderpriority"], ["o_custkey"], {"o_totalprice": [0.5]})
+    exact = o.groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("exact"))
+    below = o.join(near.select("o_orderpriority", F.col("o_totalprice_q50").alias("m")), "o_orderpriority").groupBy("o_orderpriority") \
+        .agg(F.avg((F.col("o_totalprice") <= F.col("m")).cast("int")).alias("rank"))
+    return near.join(exact, "o_orderpriority").join(below, "o_orderpriority").select(
+        "o_orderpriority", "n_rows", (F.abs(F.col("distinct_o_custkey") / F.col("exact") - 1) <= 0.05).alias("distinct_near"),
+        (F.abs(F.col("rank") - 0.5) <= 0.03).alias("median_near"))
+
+
+@query("page_other_order", f"""
+SELECT o_orderkey, k, day, cents, _row FROM (SELECT *, row_number() OVER (ORDER BY cents DESC, o_orderkey) AS _row FROM {_ORDERS_SQL})
+WHERE _row BETWEEN 3001 AND 4000
+""")
+def page_other_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 3 of a snapshot in another order, by an index over it."""
+    from tablework.operators.results import reorder, snapshot
+
+    snap = snapshot(_hot_orders(spark, sf_dir), ["o_orderkey"])
+    return reorder(snap, ["cents"], descending=True).page(3, 1000).select("o_orderkey", "k", "day", "cents", "_row")
+
+
+# ------------------------------------------------------------ workbooks, names, tables
+def _order_books(spark: SparkSession, sf_dir: str, name: str) -> str:
+    from tablework.sinks.export import export_excel
+
+    path = _scratch(spark, name)
+    export_excel(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")).repartition(3, "o_orderkey"), path).collect()
+    return path
+
+
+@query("xlsx_sheet_by_name", """
+SELECT o_orderkey::VARCHAR AS k, o_orderstatus AS s, way FROM orders, (VALUES ('named'), ('fallback')) w(way)
+""")
+def xlsx_sheet_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet by its name, and the first one where there is none of that name."""
+    from tablework.sources.xlsx import read_excel
+
+    path = _order_books(spark, sf_dir, "xlsx_named")
+    named, _ = read_excel(spark, path, sheet="Query Results", lineage=False)
+    fallback, _ = read_excel(spark, path, sheet="no such sheet", lineage=False)
+    return named.select("k", "s", F.lit("named").alias("way")).unionByName(fallback.select("k", "s", F.lit("fallback").alias("way")))
+
+
+@query("xlsx_folder_with_xls", """
+SELECT o_orderkey::VARCHAR AS k, o_orderstatus AS s, 'rejected' AS xls FROM orders
+""")
+def xlsx_folder_with_xls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An .xls file beside the workbooks is reported, not dropped silently."""
+    from tablework.sources.xlsx import read_excel
+
+    path = _order_books(spark, sf_dir, "xlsx_xls")
+    spark.range(1).select(F.lit("BIFF").alias("value")).write.text(f"{path}_old")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.rename(fs.globStatus(jvm.Path(f"{path}_old/part-*"))[0].getPath(), jvm.Path(f"{path}/old.xls"))
+    df, res = read_excel(spark, path, lineage=False)
+    status = {f["file_name"]: f["status"] for f in res.rejected_files}["old.xls"]
+    return df.select("k", "s").withColumn("xls", F.lit(status))
+
+
+@query("xlsx_sheet_names", """
+SELECT o_orderkey::VARCHAR AS k, 'Query Results' AS sheet FROM orders
+""")
+def xlsx_sheet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets of all workbooks of a folder, matched to the rows read from them."""
+    from tablework.sources.probe import describe_workbooks
+    from tablework.sources.xlsx import read_excel
+
+    path = _order_books(spark, sf_dir, "xlsx_listed")
+    sheets = describe_workbooks(spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("_source_file"), F.col("sheet_name").alias("sheet"))
+    return read_excel(spark, path)[0].join(sheets, "_source_file").select("k", "sheet")
+
+
+@query("missing_columns_diff", """
+SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders
+""")
+def missing_columns_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a frame that a table lacks."""
+    from tablework.operators.schema import missing_columns
+    from tablework.plans.showcase import _scratch_table
+    from tablework.sinks.tables import write_table
+
+    t = _scratch_table(spark, "missing_columns", sf_dir)
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    write_table(o.select(F.col("o_orderkey").alias("O_ORDERKEY"), "o_custkey"), t, mode="replace")
+    return spark.table(t).select(F.col("O_ORDERKEY").alias("o_orderkey")).join(
+        o.select("o_orderkey", *missing_columns(spark.table(t).schema, o)), "o_orderkey")
+
+
+@query("host_types", """
+SELECT o_orderkey, o_totalprice::DOUBLE AS price, o_orderstatus AS status, o_orderdate::TIMESTAMP AS placed, o_orderkey % 2 = 0 AS even FROM orders
+""")
+def host_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts get the types that data-frame type names stand for."""
+    from tablework.operators.schema import host_type_to_sql, spark_type_for_sql
+
+    texts = _t(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"), F.col("o_totalprice").cast("string").alias("price"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").cast("timestamp_ntz").cast("string").alias("placed"), (F.col("o_orderkey") % 2 == 0).cast("string").alias("even"))
+    host = {"o_orderkey": "int64", "price": "float64", "status": "object", "placed": "datetime64[ns]", "even": "bool"}
+    kinds = {c: spark_type_for_sql(host_type_to_sql(h)) for c, h in host.items()}
+    return texts.select(*[F.col(c).cast("timestamp_ntz" if k == "timestamp" else k).alias(c) for c, k in kinds.items()])
+
+
+@query("quick_clean_orders", """
+SELECT o_orderkey AS key, o_orderstatus AS col_1, o_custkey AS key_1 FROM orders WHERE o_orderkey % 5 <> 0
+""")
+def quick_clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trimmed, generated and unique names; rows without a value go."""
+    from tablework.operators.clean import quick_clean
+
+    kept = F.col("o_orderkey") % 5 != 0  # the other rows hold NULLs only
+    o = _t(spark, sf_dir, "orders").select(*[F.when(kept, F.col(c)).alias(c) for c in ("o_orderkey", "o_orderstatus", "o_custkey")])
+    return quick_clean(o.toDF("  key ", "  ", "key"))
+
+
+@query("schema_digest_changes", """
+SELECT o_orderkey, TRUE AS same, TRUE AS changed FROM orders
+""")
+def schema_digest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest stays while a schema stays, and changes with a column."""
+    from tablework.plans.showcase import _scratch_table
+    from tablework.sinks.tables import list_tables, schema_digest, write_table
+
+    t = _scratch_table(spark, "digest", sf_dir)
+    db, _, name = t.rpartition(".")
+
+    def digest() -> str:
+        return schema_digest(list_tables(spark, db).where(F.col("table_name") == name)).first()[0]
+
+    o = _t(spark, sf_dir, "orders")
+    write_table(o.select("o_orderkey"), t, mode="replace")
+    first, second = digest(), digest()
+    write_table(o.select("o_orderkey", "o_custkey").limit(0), t, mode="append_evolve")
+    third = digest()
+    return spark.table(t).select("o_orderkey", F.lit(first == second).alias("same"), F.lit(third != first).alias("changed"))
+
+
+@query("pipeline_unique_names", """
+SELECT o_orderkey::VARCHAR AS id, TRUE AS refused FROM orders
+""")
+def pipeline_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources of one table name are refused before anything is loaded."""
+    from tablework.plans.pipeline import parse_pipeline, run_pipeline
+    from tablework.sinks.tables import ensure_database
+
+    base = _scratch(spark, "unique_names")
+    _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).write.option("header", "true").csv(f"{base}/in")
+    source = {"mode": "folder", "folder_path": f"{base}/in", "file_pattern": "*.csv"}
+    doc = {"output_table": "unique_names_out", "sql_query": "SELECT id FROM first_rows", "sources": [{**source, "table_name": "first_rows"}]}
+    try:
+        parse_pipeline({**doc, "sources": [*doc["sources"], {**source, "table_name": "FIRST_ROWS"}]})
+        refused = False
+    except ValueError:
+        refused = True
+    res = run_pipeline(spark, doc, database=ensure_database(spark, "tablework_scratch"))
+    return spark.table(res["output_table"]).withColumn("refused", F.lit(refused))
+
+
+@query("fn_current_time", """
+SELECT o_orderkey, TRUE AS is_now FROM orders
+""")
+def fn_current_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FD3: CURRENT_TIME is the statement's time of day, of the TIME type."""
+    from tablework.functions import compat as X
+
+    same = F.substring(F.current_time().cast("string"), 1, 8) == F.substring(X.time_value(F.localtimestamp()).cast("string"), 1, 8)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", same.alias("is_now"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -371,7 +372,7 @@ def _json_arrays(spark, paths, _whole):
 
 def _read_parquet(spark, path, pattern, recursive, policy, order, pad_value, lineage):
     """One read with ``mergeSchema``; incompatible types across files fall
-    back to a read per file widened by the lattice (U10)."""
+    back to a read per distinct schema, widened by the lattice (U10)."""
     from tablework.sources.probe import case_insensitive_glob, list_files
 
     r = spark.read.option("mergeSchema", "true")
@@ -395,14 +396,37 @@ def _read_parquet(spark, path, pattern, recursive, policy, order, pad_value, lin
         if "CANNOT_MERGE" not in str(e) and "merge" not in str(e).lower():
             raise
         frames = []
-        for row in probes.select("path").orderBy("path").toLocalIterator():
-            d = rename_columns(spark.read.parquet(row["path"]), policy)
+        for row in parquet_schemas(probes).groupBy("schema").agg(F.sort_array(F.collect_list("path")).alias("paths")) \
+                .orderBy(F.col("paths")[0]).collect():  # a row for each distinct schema
+            d = rename_columns(spark.read.parquet(*row["paths"]), policy)
             if lineage:
                 d = d.withColumn("_source_file", _lineage_expr(lineage))
             frames.append(d)
         return union_by_name(frames, order, pad_value), result
 
 
+def parquet_schemas(listing: DataFrame) -> DataFrame:
+    """(path, schema as text) of Parquet files, from their footers alone, read
+    in the executors."""
+    from tablework.session import ship_package
+    from tablework.sources.probe import open_seekable
+
+    ship_package(listing.sparkSession)
+
+    def footers(batches):
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            paths, texts = b.column(0).to_pylist(), []
+            for p in paths:
+                with open_seekable(p) as fh:
+                    texts.append(pq.read_schema(fh).remove_metadata().to_string(show_field_metadata=False, show_schema_metadata=False))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "schema"])
+
+    n = max(1, min(listing.sparkSession.sparkContext.defaultParallelism * 4, 10_000))
+    return listing.select("path").repartition(n, "path").mapInArrow(footers, "path string, schema string")
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """S23."""
     return spark.table(name)
