@@ -9,7 +9,7 @@ bounded sample; any orthonormal directions are exact) and, as one more
 coordinate, the length of what remains: distances never grow by this.  Cells
 of width eps on these coordinates give the grid order.  The sequence is cut
 into blocks of consecutive vectors with their bounding boxes, and intervals
-of 16 blocks, of 16 such intervals and so on have boxes of their own.  The
+of 64 blocks, of 64 such intervals and so on have boxes of their own.  The
 sequence is joined with itself from the longest intervals down: the parts of
 two intervals are paired only if the intervals' boxes may hold a link.  Only
 the pairs of blocks that are left bring their vectors.  Inside such a pair
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.llm.components import components
@@ -38,7 +38,7 @@ from tablework.llm.store import bounded_sample, materialise, n_parts, prepare, t
 SAMPLE = 10_000   # vectors that the directions are fitted on
 DIRECTIONS = 8    # projected coordinates
 LENGTHS = 64      # vector lengths that directions are fitted for; the others' are their first axes
-FAN = 4           # log2 of the parts of an interval
+FAN = 6           # log2 of the parts of an interval
 BLOCK = 512       # vectors of a block
 LEAF = 64         # vectors of an interval that is compared at once
 
@@ -174,22 +174,25 @@ def _pair_links(batches, threshold: float) -> Iterator[pa.RecordBatch]:
                 pa.array(np.r_[na[some_a], nb[some_b], b.nodes[j]])], names=["kind", "a", "b"])
 
 
+def _place(bits: int) -> Column:
+    """A block's number in grid order: the task's, then the block's in it."""
+    return F.shiftleft(F.shiftright("block", 32), bits) + F.col("block").bitwiseAND(0xFFFFFFFF)
+
+
 def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     """blocks(block, label, dim, lo, hi) -> (a, b, dim): pairs a <= b of one
     label whose boxes are not further apart than eps.  Level by level, the
     parts of two intervals that may hold a link are found by equi-joins on
     the interval, so that what is looked at grows with what is near."""
-    # blocks are numbered in grid order: the task's number, then its blocks
-    bits = max(1, (blocks.agg(F.max(F.col("block").bitwiseAND(0xFFFFFFFF))).first()[0] or 0).bit_length())
-    bits = -(-bits // FAN) * FAN
-    place = F.shiftleft(F.shiftright("block", 32), bits) + F.col("block").bitwiseAND(0xFFFFFFFF)
-    level = blocks.select("label", "dim", place.alias("node"), "lo", "hi", "block")
-    levels, top = [level], blocks.agg(F.max(place)).first()[0] or 0
-    n = DIRECTIONS + 1
+    boxes = materialise(blocks.select("block", "label", "dim", "lo", "hi"), "boxes")  # without vectors: small beside the blocks
+    most = boxes.agg(F.max(F.col("block").bitwiseAND(0xFFFFFFFF)).alias("made"), F.max(F.shiftright("block", 32)).alias("task")).first()
+    bits = -(-max(1, (most.made or 0).bit_length()) // FAN) * FAN
+    level, top, n = boxes.select("label", "dim", _place(bits).alias("node"), "lo", "hi"), ((most.task or 0) << bits) + (most.made or 0), DIRECTIONS + 1
+    levels = [level]
     while top:
         top >>= FAN
-        level = level.groupBy("label", "dim", F.shiftright("node", FAN).alias("node")).agg(
-            F.array(*[F.min(F.get("lo", F.lit(i))) for i in range(n)]).alias("lo"), F.array(*[F.max(F.get("hi", F.lit(i))) for i in range(n)]).alias("hi"))
+        level = materialise(level.groupBy("label", "dim", F.shiftright("node", FAN).alias("node")).agg(
+            F.array(*[F.min(F.get("lo", F.lit(i))) for i in range(n)]).alias("lo"), F.array(*[F.max(F.get("hi", F.lit(i))) for i in range(n)]).alias("hi")), "level")
         levels.append(level)
     pairs = levels[-1].select("label", "dim", F.col("node").alias("a"), F.col("node").alias("b"))
     gap = F.expr("""aggregate(zip_with(zip_with(blo, ahi, (x, y) -> x - y), zip_with(alo, bhi, (x, y) -> x - y),
@@ -199,9 +202,11 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
                                 F.col("hi").alias(f"{x}hi")) for x in "ab"}
         pairs = pairs.join(side["a"], ["label", "dim", "a"]).join(side["b"], ["label", "dim", "b"]).where("an <= bn") \
             .where(gap <= eps * eps * (1 + 1e-9) + 1e-12).select("label", "dim", F.col("an").alias("a"), F.col("bn").alias("b"))
-    name = {x: levels[0].select("label", "dim", F.col("node").alias(x), F.col("block").alias(f"{x}_block")) for x in "ab"}
-    return pairs.join(name["a"], ["label", "dim", "a"]).join(name["b"], ["label", "dim", "b"]) \
-        .select(F.col("a_block").alias("a"), F.col("b_block").alias("b"), "dim")
+
+    def block(place: str) -> Column:
+        return F.shiftleft(F.shiftright(place, bits), 32) + F.col(place).bitwiseAND((1 << bits) - 1)
+
+    return pairs.select(block("a").alias("a"), block("b").alias("b"), "dim")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
