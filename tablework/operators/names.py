@@ -28,19 +28,23 @@ SQL_RESERVED_TABLE_WORDS = {
 }
 # ---------------------------------------------------------------------------
 
-POLICIES = ("upper", "keep_case", "upper_collapse", "ascii", "trim")
-
-_NON_WORD_SPACE = re.compile(r"[^\w\s]")
-_SPACES = re.compile(r"\s+")
-_UNDERSCORES = re.compile(r"_+")
+_TRIMMED = (r"^\s+|\s+$", "")
+_WORDS = [_TRIMMED, (r"[^\w\s]", "_"), (r"\s+", "_"), (r"_+", "_"), (r"^_|_$", "")]
+#: Policy -> (upper case first?, (pattern, replacement) steps); both forms below run it.
+_COLUMN_STEPS = {
+    "upper": (True, [(r" ", "_"), (r"[^A-Z0-9_]", ""), (r"^(?=[0-9])", "_"), (r"^$", UNNAMED_UPPER)]),
+    "keep_case": (False, [*_WORDS, (r"^(?=\d)", "col_"), (r"^$", UNNAMED_LOWER)]),
+    "upper_collapse": (True, [*_WORDS, (r"^(?=\d)", "COL_"), (r"^$", UNNAMED_UPPER)]),
+    "ascii": (False, [_TRIMMED, (r"[^a-zA-Z0-9_]", "_"), (r"_+", "_"), (r"^_|_$", ""), (r"^(?=[0-9])", "col_"), (r"^$", UNNAMED_LOWER)]),
+    "trim": (False, [_TRIMMED, (r"^$", UNNAMED_LOWER)]),
+}
+POLICIES = tuple(_COLUMN_STEPS)
 
 
-def _collapse_words(name: str) -> str:
-    name = name.strip()
-    name = _NON_WORD_SPACE.sub("_", name)
-    name = _SPACES.sub("_", name)
-    name = _UNDERSCORES.sub("_", name)
-    return name.strip("_")
+def _policy(name: str):
+    if name not in _COLUMN_STEPS:
+        raise ValueError(f"unknown name policy {name!r}; use one of {POLICIES}")
+    return _COLUMN_STEPS[name]
 
 
 def clean_name(name, policy: str = "upper") -> str:
@@ -57,65 +61,22 @@ def clean_name(name, policy: str = "upper") -> str:
     * ``ascii``: like ``keep_case`` but with ``[^a-zA-Z0-9_]``.
     * ``trim``: strip only; blank -> ``unnamed_column``.
     """
-    name = "" if name is None else str(name)
-    if policy == "upper":
-        n = re.sub(r"[^A-Z0-9_]", "", name.upper().translate({32: "_"}))
-        return re.sub(r"^(?=\d)", "_", n) or UNNAMED_UPPER
-    if policy == "keep_case":
-        n = _collapse_words(name)
-        if n and re.match(r"\d", n):
-            n = "col_" + n
-        return n or UNNAMED_LOWER
-    if policy == "upper_collapse":
-        n = _collapse_words(name).upper()
-        if n and re.match(r"\d", n):
-            n = "COL_" + n
-        return n or UNNAMED_UPPER
-    if policy == "ascii":
-        n = re.sub(r"[^a-zA-Z0-9_]", "_", name.strip())
-        n = _UNDERSCORES.sub("_", n).strip("_")
-        if n and not (n[0].isalpha() or n[0] == "_"):
-            n = "col_" + n
-        return n or UNNAMED_LOWER
-    if policy == "trim":
-        return name.strip() or UNNAMED_LOWER
-    raise ValueError(f"unknown name policy {policy!r}; use one of {POLICIES}")
+    upper, steps = _policy(policy)
+    n = "" if name is None else str(name)
+    n = n.upper() if upper else n
+    for pattern, new in steps:
+        n = re.sub(pattern, new, n)
+    return n
 
 
 def clean_name_col(c: Column | str, policy: str = "upper") -> Column:
     """Column-expression form of :func:`clean_name` (Java regex, Unicode classes)."""
-    c = F.col(c) if isinstance(c, str) else c
-    c = F.coalesce(c.cast("string"), F.lit(""))
-    strip_ws = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-
-    def collapse(x):
-        x = strip_ws(x)
-        x = F.regexp_replace(x, r"(?U)[^\w\s]", "_")
-        x = F.regexp_replace(x, r"(?U)\s+", "_")
-        x = F.regexp_replace(x, r"_+", "_")
-        return F.regexp_replace(x, r"^_+|_+$", "")
-
-    if policy == "upper":
-        n = F.regexp_replace(F.regexp_replace(F.upper(c), " ", "_"), r"[^A-Z0-9_]", "")
-        n = F.when(n.rlike(r"^[0-9]"), F.concat(F.lit("_"), n)).otherwise(n)
-        return F.when(n == "", F.lit(UNNAMED_UPPER)).otherwise(n)
-    if policy == "keep_case":
-        n = collapse(c)
-        n = F.when(n.rlike(r"(?U)^\d"), F.concat(F.lit("col_"), n)).otherwise(n)
-        return F.when(n == "", F.lit(UNNAMED_LOWER)).otherwise(n)
-    if policy == "upper_collapse":
-        n = F.upper(collapse(c))
-        n = F.when(n.rlike(r"(?U)^\d"), F.concat(F.lit("COL_"), n)).otherwise(n)
-        return F.when(n == "", F.lit(UNNAMED_UPPER)).otherwise(n)
-    if policy == "ascii":
-        n = F.regexp_replace(strip_ws(c), r"[^a-zA-Z0-9_]", "_")
-        n = F.regexp_replace(F.regexp_replace(n, r"_+", "_"), r"^_+|_+$", "")
-        n = F.when(n.rlike(r"^[0-9]"), F.concat(F.lit("col_"), n)).otherwise(n)
-        return F.when(n == "", F.lit(UNNAMED_LOWER)).otherwise(n)
-    if policy == "trim":
-        n = strip_ws(c)
-        return F.when(n == "", F.lit(UNNAMED_LOWER)).otherwise(n)
-    raise ValueError(f"unknown name policy {policy!r}")
+    upper, steps = _policy(policy)
+    n = F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+    n = F.upper(n) if upper else n
+    for pattern, new in steps:
+        n = F.regexp_replace(n, "(?U)" + pattern, new)
+    return n
 
 
 def dedupe_names(names: list[str]) -> list[str]:

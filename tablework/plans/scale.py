@@ -402,7 +402,7 @@ def xlsx_folder_with_xls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablework.sources.xlsx import read_excel
 
     path = _order_books(spark, sf_dir, "xlsx_xls")
-    spark.range(1).select(F.lit("BIFF").alias("value")).write.text(f"{path}_old")
+    spark.range(1).select(F.lit("BIFF").alias("value")).coalesce(1).write.text(f"{path}_old")
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.rename(fs.globStatus(jvm.Path(f"{path}_old/part-*"))[0].getPath(), jvm.Path(f"{path}/old.xls"))
