@@ -7,7 +7,7 @@ their spans ("name (at) host (dot) org", numbers in other groupings) - and
 adds the spans the patterns miss.
 
 Every text is scanned whole for possible places: a digit, an at sign or a
-bracketed "at".  A span of any kind holds one, so text without one is not
+bracketed "at" or "dot".  A span of any kind holds one, so text without one is not
 given to the tagger.  Around them overlapping windows are decoded; where
 windows overlap a character takes its tag from the window in which it is
 furthest from an end, and spans are read from the whole text's tags.
@@ -29,6 +29,8 @@ from tablework.llm.pii_tagger import KINDS, Tagger, classes, spans_of, tags_of
 from tablework.llm.store import aside, bounded_sample, prepare, table
 
 SAMPLE = 1_500      # windows the tagger is trained on
+COPIES = 5          # rewritten copies of a window with spans
+STEPS = 500         # batches of the training
 WIDTH = 96          # characters of a window
 STRIDE = 48         # characters between windows of a stretch
 AROUND = 32         # characters taken on either side of a possible place
@@ -39,7 +41,9 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_PLACE = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]", re.I)
+_PLACE = re.compile(r"[0-9@]|[(\[{]\s?(?:at|dot)\s?[)\]}]", re.I)
+_GROUPS = re.compile(r"[0-9]{13,19}|[0-9]{4}([\x20.-])[0-9]{4,6}(?:\1[0-9]{1,7})+")  # a card's digits, one separator
+_DATE = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}[-.](?:0[0-9]|1[0-2])[-.](?:[0-2][0-9]|3[01])(?![0-9])")
 _AT = re.compile(r"@|\s?[(\[{]\s?at\s?[)\]}]\s?", re.I)
 
 
@@ -133,14 +137,16 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], rng: np.random.Gener
     return "".join(out), new
 
 
-def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 160, seed: int = 7) -> Tagger | None:
-    """Fit a tagger on windows with labelled spans; None without any span."""
+def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], steps: int = STEPS, seed: int = 7) -> Tagger | None:
+    """Fit a tagger on windows with labelled spans, each with COPIES rewritten
+    ones, so that it sees the spellings the patterns miss as often as those
+    they find; None without any span."""
     if not any(s for _, s in labelled):
         return None
     rng = np.random.default_rng(seed)
     x, y = [], []
     for text, spans in labelled:
-        for t, sp in ((text, spans), rewritten(text, spans, rng)):
+        for t, sp in [(text, spans)] + [rewritten(text, spans, rng) for _ in range(COPIES if spans else 1)]:
             t = t[:WIDTH]
             x.append(classes(t, WIDTH))
             y.append(tags_of([(k, s, min(e, WIDTH)) for k, s, e in sp if s < WIDTH], WIDTH))
@@ -161,8 +167,8 @@ def plausible(kind: int, word: str) -> bool:
         parts = word.split(".")
         return len(parts) == 4 and all(p.isdigit() and int(p[:4]) <= 255 for p in parts)
     if KINDS[kind] == "card":
-        return 13 <= digits <= 19 and luhn(re.sub(r"[^0-9]", "", word))
-    return 9 <= digits <= 15 and bool(re.search(r"^[+(]|^00|[ .-]", word))
+        return 13 <= digits <= 19 and bool(_GROUPS.fullmatch(word)) and luhn(re.sub(r"[^0-9]", "", word))
+    return 9 <= digits <= 15 and bool(re.search(r"^[+(]|^00|[ .-]", word)) and not _DATE.search(word)
 
 
 def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
