@@ -287,14 +287,14 @@ FROM orders
 """)
 def xlsx_nullable_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nullable integers beyond 2^53 and booleans through a workbook."""
-    from tablework.sinks.export import export_excel
+    from tablework.sinks.export import dealt, export_excel
     from tablework.sources.xlsx import read_excel
 
     path = _scratch(spark, "xlsx_types")
     o = _t(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") + 9007199254740000).alias("big"),
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus") == "F").alias("flag"))
-    export_excel(o, path).collect()
+    export_excel(dealt(o), path).collect()
     return read_excel(spark, path, lineage=False)[0].select("id", "big", "flag")
 
 
@@ -303,12 +303,12 @@ SELECT s_suppkey::VARCHAR AS id, s_name AS name, 1::BIGINT AS n_rejected FROM su
 """)
 def xlsx_broken_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file that is no workbook is reported; the others are read."""
-    from tablework.sinks.export import export_excel
+    from tablework.sinks.export import dealt, export_excel
     from tablework.sources.xlsx import read_excel
 
     path = _scratch(spark, "xlsx_broken")
     supplier = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    export_excel(supplier.repartition(4, "id"), f"{path}/good").collect()
+    export_excel(dealt(supplier, 4), f"{path}/good").collect()
     supplier.select(F.col("name").alias("value")).write.text(f"{path}/junk")
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -324,13 +324,13 @@ UNION ALL SELECT s_suppkey::VARCHAR, s_name, 'Query Results' FROM supplier
 """)
 def xlsx_all_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sheets of a folder's workbooks with the sheet's name."""
-    from tablework.sinks.export import export_excel
+    from tablework.sinks.export import dealt, export_excel
     from tablework.sources.xlsx import read_excel
 
     path = _scratch(spark, "xlsx_sheets")
     customer = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    export_excel(customer.repartition(4, "key"), f"{path}/a").collect()
-    export_excel(_t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key")), f"{path}/b").collect()
+    export_excel(dealt(customer, 4), f"{path}/a").collect()
+    export_excel(dealt(_t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))), f"{path}/b").collect()
     df, _ = read_excel(spark, path, recursive=True, sheet="*")
     return df.select("key", "name", F.col("_source_sheet").alias("sheet"))
 

@@ -210,14 +210,14 @@ FROM orders
 """)
 def xlsx_null_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NULL times are empty cells, infinities are text cells."""
-    from tablework.sinks.export import export_excel
+    from tablework.sinks.export import dealt, export_excel
     from tablework.sources.xlsx import read_excel
 
     path = _scratch(spark, "xlsx_times")
     k = F.col("o_orderkey")
     x = F.when(k % 5 == 0, None).when(k % 7 == 0, float("inf")).when(k % 11 == 0, float("-inf")).otherwise((k % 100) / 4.0)
     o = _t(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 != 0, F.col("o_orderdate").cast("timestamp_ntz")).alias("at"), x.alias("x"))
-    export_excel(o, path).collect()
+    export_excel(dealt(o), path).collect()
     return read_excel(spark, path, lineage=False)[0].select("id", "at", "x")
 
 
@@ -374,10 +374,11 @@ def page_other_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ workbooks, names, tables
 def _order_books(spark: SparkSession, sf_dir: str, name: str) -> str:
-    from tablework.sinks.export import export_excel
+    from tablework.sinks.export import dealt, export_excel
 
     path = _scratch(spark, name)
-    export_excel(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")).repartition(3, "o_orderkey"), path).collect()
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    export_excel(dealt(o, 3), path).collect()
     return path
 
 

@@ -21,6 +21,7 @@ EXCEL_SHEET = "Query Results"
 EXCEL_MAX_WIDTH = 50
 EXCEL_MAX_ROWS = 1_048_575      # data rows per sheet (one row is the header)
 # ---------------------------------------------------------------------------
+EXCEL_TASK_ROWS = 100_000       # rows that ``dealt`` gives a task that writes workbooks
 HTML_HEAD, HTML_TAIL = "00-head.html", "zz-tail.html"  # sort before and behind Spark's part files
 
 
@@ -160,10 +161,19 @@ def _put(spark, path: str, text: str) -> None:
         out.close()
 
 
+def dealt(df: DataFrame, least: int = 1, rows: int | None = None) -> DataFrame:
+    """Rows dealt evenly over as many partitions as hold ``rows`` of them, or
+    ``least``, so that writers that take a task per partition grow in number
+    with the rows.  Counts the rows first; a frame of one part stays as it is."""
+    n = max(least, -(-df.count() // (rows or EXCEL_TASK_ROWS)))
+    return df.repartition(n) if n > 1 else df
+
+
 def export_excel(df: DataFrame, path: str, max_rows_per_part: int = EXCEL_MAX_ROWS) -> DataFrame:
     """One ``.xlsx`` workbook per partition (sheet "Query Results",
     header row, column widths up to 50), written by executors.  Partitions
-    larger than a sheet are split first.  Returns the per-part report
+    larger than a sheet give several workbooks, one after another in their
+    task; ``dealt(df)`` spreads them over more tasks.  Returns the per-part report
     (part, rows) as a DataFrame (lazy until the caller acts on it; call
     ``.collect()`` or ``.count()`` to write)."""
     from tablework.sources.xlsx import write_partitions
