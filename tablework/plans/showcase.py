@@ -1149,11 +1149,11 @@ FROM part
 """)
 def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K14 export (one workbook per partition) then S7/S11 folder import."""
-    from tablework.sinks.export import export_excel
+    from tablework.sinks.export import dealt, export_excel
     from tablework.sources.xlsx import read_excel
 
     path = _scratch(spark, "xlsx")
-    export_excel(_t(spark, sf_dir, "part"), path).collect()
+    export_excel(dealt(_t(spark, sf_dir, "part")), path).collect()
     df, _ = read_excel(spark, path)
     return df.drop("_source_file")
 
