@@ -422,7 +422,8 @@ def xlsx_sheet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = _order_books(spark, sf_dir, "xlsx_listed")
     sheets = describe_workbooks(spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("_source_file"), F.col("sheet_name").alias("sheet"))
-    return read_excel(spark, path)[0].join(sheets, "_source_file").select("k", "sheet")
+    # a few sheets, each with many rows: the rows stay where they are
+    return read_excel(spark, path)[0].join(F.broadcast(sheets), "_source_file").select("k", "sheet")
 
 
 @query("missing_columns_diff", """
