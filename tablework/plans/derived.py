@@ -37,12 +37,14 @@ def csv_wide_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, length(text)::BIGINT AS n FROM documents
 """)
 def json_long_first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines in ``.json`` files whose records are far longer than a head."""
+    """JSON lines in ``.json.gz`` files whose records are far longer than a
+    head.  The files are compressed, as their records hold mostly filling, and
+    have a bounded number of records, as such files are not split."""
     from tablework.sources.readers import read_json
 
     path = _scratch(spark, "longjson")
     _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.repeat(F.lit("x"), 20_000), "text").alias("text")) \
-        .write.json(path)
+        .write.option("compression", "gzip").option("maxRecordsPerFile", 5_000).json(path)
     return read_json(spark, path, lineage=False).select("doc_id", (F.length("text") - 20_000).cast("bigint").alias("n"))
 
 
